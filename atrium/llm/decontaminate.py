@@ -55,10 +55,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         last = F.size("w") - 1
         at = lambda test, upto: F.when(F.size("w") > upto, F.filter(F.sequence(F.lit(0), F.greatest(last - upto, F.lit(0))), test)).otherwise(F.array().cast("array<int>"))
         places = scanned.select("__id", "w", at(lambda i: opening(F.col("w"), i).isin(opens), 1).alias("at2"), (at(lambda i: F.xxhash64(F.get(F.col("w"), i)).isin(lone), 0) if lone else F.array().cast("array<int>")).alias("at1"))
-        pieces = []
-        for k in sizes:
-            source = F.col("at1") if k == 1 else F.col("at2")
-            pieces.append(F.transform(F.filter(source, lambda i, k=k: i + k <= F.size("w")), lambda i, k=k: F.struct(i.alias("start"), F.lit(k).alias("size"), F.array_join(F.slice(F.col("w"), i + 1, F.lit(k)), " ").alias("win"))))
+        def piece(k: int) -> Column:
+            """Every place with k words left, as a candidate; a lambda of two parameters would be given the index."""
+            fits = F.filter(F.col("at1" if k == 1 else "at2"), lambda i: i + k <= F.size("w"))
+            return F.transform(fits, lambda i: F.struct(i.alias("start"), F.lit(k).alias("size"), F.array_join(F.slice(F.col("w"), i + 1, F.lit(k)), " ").alias("win")))
+
+        pieces = [piece(k) for k in sizes]
         # Most openings are chance; the hash of the whole window leaves those that will be verified.
         full = [r.h for r in wins.select(F.xxhash64("win").alias("h")).collect()]
         checked = places.select("__id", F.size("w").alias("n_words"), F.filter(F.concat(*pieces), lambda x: F.xxhash64(x["win"]).isin(full)).alias("cand"))
