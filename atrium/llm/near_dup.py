@@ -106,8 +106,8 @@ def index(reps: DataFrame) -> DataFrame:
     return reps.select("sid", "sig").mapInArrow(run, "key long, sid long")
 
 
-def near(pairs: DataFrame) -> DataFrame:
-    """(a, b) of those (a, b, sa, sb) whose signatures differ in at most MAX_DISTANCE symbols."""
+def near(pairs: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of those (a, b, sa, sb) whose signatures differ in at most MAX_DISTANCE symbols and whose sizes allow it."""
 
     def run(batches):
         for batch in batches:
@@ -115,60 +115,139 @@ def near(pairs: DataFrame) -> DataFrame:
             ok = pa.array(((sig_matrix(sa) != sig_matrix(sb)).sum(1) <= MAX_DISTANCE) if len(a) else np.zeros(0, bool))
             yield pa.RecordBatch.from_arrays([a.filter(ok), b.filter(ok)], names=["a", "b"])
 
-    return pairs.mapInArrow(run, "a long, b long")
+    sized = pairs.where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
+    return sized.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def crosswise(rows: DataFrame) -> DataFrame:
-    """Pairs (a, b) of one bucket and different components with near signatures.
+def by_bucket(batches, closed):
+    """Runs closed over whole buckets of rows that come sorted by bucket."""
+    held = None
+    for batch in batches:
+        t = pa.Table.from_batches([batch])
+        held = t if held is None else pa.concat_tables([held, t])
+        b = held.column("bucket").to_numpy()
+        if not len(b) or b[0] == b[-1]:
+            continue
+        cut = int(np.flatnonzero(b != b[-1])[-1]) + 1
+        yield from closed(held.slice(0, cut).combine_chunks())
+        held = held.slice(cut)
+    if held is not None and held.num_rows:
+        yield from closed(held.combine_chunks())
 
-    rows: (bucket, half, sid, comp, sig) sorted by bucket within partitions; a bucket has at most 2 * BLOCK rows. Of two
-    halves, only pairs across them are compared, so split buckets meet once.
-    """
 
-    def pairs_of(half, sid, comp, sig):
-        for lo in range(0, len(sid), 256):
-            hi = min(lo + 256, len(sid))
-            diff = np.zeros((hi - lo, len(sid)), np.uint8)
-            for j in range(SYMBOLS):
-                diff += sig[lo:hi, j, None] != sig[None, :, j]
-            ok = (diff <= MAX_DISTANCE) & (comp[lo:hi, None] != comp[None, :]) & (sid[lo:hi, None] < sid[None, :])
-            if half.any():
-                ok &= half[lo:hi, None] != half[None, :]
-            i, j = np.nonzero(ok)
-            if len(i):
-                yield pa.RecordBatch.from_arrays([pa.array(sid[lo + i]), pa.array(sid[j])], names=["a", "b"])
+class Bucket:
+    """Rows of one bucket, at most 2 * BLOCK: which of them are near and of different components.
 
-    def run(batches):
-        held = None
-        for batch in batches:
-            t = pa.Table.from_batches([batch])
-            held = t if held is None else pa.concat_tables([held, t])
-            b = held.column("bucket").to_numpy()
-            if not len(b) or b[0] == b[-1]:
-                continue
-            cut = int(np.flatnonzero(b != b[-1])[-1]) + 1
-            yield from closed(held.slice(0, cut))
-            held = held.slice(cut)
-        if held is not None and held.num_rows:
-            yield from closed(held)
+    A pair counts only in the first bucket that it meets in: under its first chunk with at most one difference, and the
+    key that leaves out the differing symbol (or the first). Of two halves, only pairs across them count.
+    """
+
+    def __init__(self, t: pa.Table, percent: int):
+        self.slot, self.half, self.sid, self.comp, self.n = (t.column(c).to_numpy() for c in ("slot", "half", "sid", "comp", "n"))
+        self.sig = sig_matrix(t.column("sig").combine_chunks())
+        self.percent = percent
+
+    def near(self, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
+        """A matrix for rows against cols; both are indexes."""
+        shape = (len(rows), len(cols))
+        total, first, own = np.zeros(shape, np.uint8), np.full(shape, 99, np.uint8), np.zeros(shape, np.uint8)
+        slot = self.slot[rows[0]]
+        for c in range(CHUNKS):
+            e = np.zeros(shape, np.uint8)
+            for j in range(c * WIDTH, c * WIDTH + WIDTH):
+                e += self.sig[rows, j, None] != self.sig[None, cols, j]
+            total += e
+            first[(e <= 1) & (first == 99)] = c
+            if c == slot // WIDTH:
+                own = e
+        small, big = np.minimum(self.n[rows, None], self.n[None, cols]), np.maximum(self.n[rows, None], self.n[None, cols])
+        ok = (total <= MAX_DISTANCE) & (first == slot // WIDTH) & ((own == 1) | (slot % WIDTH == 0)) & (100 * small >= self.percent * big)
+        ok &= self.comp[rows, None] != self.comp[None, cols]
+        if self.half[cols].any():
+            ok &= self.half[rows, None] != self.half[None, cols]
+        return ok
+
+
+def cuts_of(t: pa.Table) -> np.ndarray:
+    b = t.column("bucket").to_numpy()
+    return np.concatenate(([0], np.flatnonzero(b[1:] != b[:-1]) + 1, [len(b)]))
+
+
+def needed(rows: DataFrame, percent: int) -> DataFrame:
+    """Those rows (bucket, slot, half, sid, comp, n, sig) that have a near row of another component in their bucket."""
 
     def closed(t):
-        b = t.column("bucket").to_numpy()
-        cuts = np.concatenate(([0], np.flatnonzero(b[1:] != b[:-1]) + 1, [len(b)]))
-        half, sid, comp = (t.column(c).to_numpy() for c in ("half", "sid", "comp"))
-        sig = sig_matrix(t.column("sig").combine_chunks())
+        cuts = cuts_of(t)
+        whole = Bucket(t, percent)
+        keep = np.zeros(t.num_rows, bool)
         lens = np.diff(cuts)
-        two = np.flatnonzero(lens == 2)  # most buckets, at once
-        if len(two):
-            x, y = cuts[two], cuts[two] + 1
-            ok = ((sig[x] != sig[y]).sum(1) <= MAX_DISTANCE) & (comp[x] != comp[y])
-            if ok.any():
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(sid[x], sid[y])[ok]), pa.array(np.maximum(sid[x], sid[y])[ok])], names=["a", "b"])
+        two = np.flatnonzero(lens == 2)  # most buckets, at once, by distance and component alone
+        x, y = cuts[two], cuts[two] + 1
+        ok = ((whole.sig[x] != whole.sig[y]).sum(1) <= MAX_DISTANCE) & (whole.comp[x] != whole.comp[y])
+        keep[x[ok]] = keep[y[ok]] = True
         for k in np.flatnonzero(lens > 2):
-            p = slice(cuts[k], cuts[k + 1])
-            yield from pairs_of(half[p], sid[p], comp[p], sig[p])
+            cols = np.arange(cuts[k], cuts[k + 1])
+            for lo in range(0, len(cols), 256):
+                ok = whole.near(cols[lo : lo + 256], cols)
+                keep[cols] |= ok.any(0)
+        yield from t.filter(pa.array(keep)).to_batches()
+
+    return rows.mapInArrow(lambda it: by_bucket(it, closed), rows.schema)
+
+
+def crosswise(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of rows that are near and of different components and whose sets, by 32-bit hashes, are similar enough.
+
+    rows: as of needed(), with the set of each row. Hashes that coincide only add to what two sets share, so no pair is
+    lost here; confirm() decides.
+    """
+
+    def closed(t):
+        cuts = cuts_of(t)
+        whole = Bucket(t, percent)
+        sets = t.column("set").combine_chunks()
+        for k in range(len(cuts) - 1):
+            cols = np.arange(cuts[k], cuts[k + 1])
+            if len(cols) < 2:
+                continue
+            mine = [np.frombuffer(x, np.uint32) for x in sets.slice(cols[0], len(cols)).to_pylist()]
+            for lo in range(0, len(cols), 256):
+                ok = whole.near(cols[lo : lo + 256], cols) & (whole.sid[cols[lo : lo + 256], None] < whole.sid[None, cols])
+                found = []
+                for i in np.flatnonzero(ok.any(1)):
+                    own = mine[lo + i]
+                    to = np.flatnonzero(ok[i])
+                    for part in np.array_split(to, len(to) // 256 + 1):
+                        flat = np.concatenate([mine[j] for j in part])
+                        at = np.searchsorted(own, flat)
+                        at[at == len(own)] = 0
+                        hit = np.concatenate(([0], np.cumsum(own[at] == flat)))
+                        stop = np.cumsum([len(mine[j]) for j in part])
+                        both = hit[stop] - hit[stop - np.array([len(mine[j]) for j in part])]
+                        n = whole.n[cols]
+                        good = 100 * both >= percent * (n[lo + i] + n[part] - both)
+                        found += [(whole.sid[cols[lo + i]], whole.sid[cols[j]]) for j in part[good]]
+                if found:
+                    a, b = zip(*found, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return rows.mapInArrow(lambda it: by_bucket(it, closed), "a long, b long")
+
+
+def packed_sets(texts: DataFrame, k: int) -> DataFrame:
+    """(sid, set): the sorted 32-bit hashes of each set's shingles."""
+
+    def run(batches):
+        for batch in batches:
+            sids, col = columns_of(batch, ["sid", "t"])
+            out = []
+            for s in text_slices(col):
+                values, bounds = shingle_sets(s, k)
+                small = (values >> U(22)).astype(np.uint32)  # sorted within each row as the values are
+                out += [small[bounds[r] : bounds[r + 1]].tobytes() for r in range(s.rows)]
+            yield pa.RecordBatch.from_arrays([sids, pa.array(out, pa.binary())], names=["sid", "set"])
 
-    return rows.mapInArrow(run, "a long, b long")
+    return texts.mapInArrow(run, "sid long, set binary")
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
@@ -222,15 +301,15 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     shared = Shared(df.sparkSession)
     src = df.select(df[id_col].alias("id"), df[text_col].alias("t"))
     rows = shared.put(sign(src, k), "rows")
-    groups = rows.where("n > 0").groupBy("sid").agg(F.min(F.struct("id", "sig")).alias("x"))
-    reps = shared.put(groups.select("sid", F.col("x.id").alias("id"), F.col("x.sig").alias("sig")), "reps")
+    groups = rows.where("n > 0").groupBy("sid").agg(F.min(F.struct("id", "n", "sig")).alias("x"))
+    reps = shared.put(groups.select("sid", "x.*"), "reps")
     keys = shared.put(index(reps), "keys")
     shares = keys.groupBy("key").agg(F.min("sid").alias("lead"), F.count("*").alias("m")).where("m > 1")
     multi = shared.put(keys.join(shares, "key").select("key", "sid", "lead", "m"), "multi")
     shared.drop("keys")
-    sig = lambda c, s: reps.select(F.col("sid").alias(c), F.col("sig").alias(s))
+    sig = lambda c: reps.select(F.col("sid").alias(c), F.col("sig").alias(f"s{c}"), F.col("n").alias(f"n{c}"))
     stars = multi.where("sid <> lead").select(F.col("lead").alias("a"), F.col("sid").alias("b")).distinct()
-    stars = shared.put(near(stars.join(sig("a", "sa"), "a").join(sig("b", "sb"), "b")), "stars")
+    stars = shared.put(near(stars.join(sig("a"), "a").join(sig("b"), "b"), percent), "stars")
     links = shared.put(confirm(stars, shared.put(texts_of(src, reps, stars, k), "texts"), k, percent), "links")
     comp = components(shared, links, "cc")
     named = multi.join(comp.withColumnRenamed("node", "sid"), "sid", "left").select("key", "sid", "m", F.coalesce("comp", "sid").alias("comp"))
@@ -242,10 +321,14 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     other = rest.withColumn("n", blocks).withColumn("i", own)
     # A bucket of n blocks is dealt to n * (n + 1) / 2 tasks, one for each two blocks.
     spread = other.select("sid", "comp", "key", "i", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("j"))
-    spread = spread.select("sid", "comp", F.xxhash64("key", F.least("i", "j"), F.greatest("i", "j")).alias("bucket"), F.when(F.col("i") > F.col("j"), 1).otherwise(0).alias("half"))
-    laid = spread.join(reps.select("sid", "sig"), "sid").repartition("bucket").sortWithinPartitions("bucket").select("bucket", "half", "sid", "comp", "sig")
-    more = crosswise(laid).distinct().join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    more = shared.put(more, "more")
+    slot = F.call_function("shiftright", F.col("key"), F.lit(48)).cast("int")
+    spread = spread.select("sid", "comp", slot.alias("slot"), F.xxhash64("key", F.least("i", "j"), F.greatest("i", "j")).alias("bucket"), F.when(F.col("i") > F.col("j"), 1).otherwise(0).alias("half"))
+    names = ["bucket", "slot", "half", "sid", "comp", "n", "sig"]
+    laid = spread.join(reps.select("sid", "n", "sig"), "sid").repartition("bucket").sortWithinPartitions("bucket").select(*names)
+    want = shared.put(needed(laid, percent), "needed")
+    sets = packed_sets(texts_of(src, reps, want.select(F.col("sid").alias("a"), F.col("sid").alias("b")), k), k)
+    full = want.join(sets, "sid").repartition("bucket").sortWithinPartitions("bucket").select(*names, "set")
+    more = shared.put(crosswise(full, percent).distinct(), "more")
     extra = shared.put(confirm(more, shared.put(texts_of(src, reps, more, k), "texts2"), k, percent), "extra")
     comp = shared.put(components(shared, links.unionAll(extra), "all"), "comp")
     named = reps.select("sid", "id").join(comp.withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
