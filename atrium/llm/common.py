@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -21,10 +23,27 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Shared:
-    """Written tables of one operator call: they cut the lineage, and survive a lost executor."""
+    """Written tables of one operator call: they cut the lineage, and survive a lost executor.
+
+    The result of a call may read them, so they stay until the caller drops them, by Shared.owned().
+    """
+
+    _owner: ContextVar[list | None] = ContextVar("owner", default=None)
 
     def __init__(self, spark: SparkSession):
         self.spark, self.root = spark, f"{shared_dir(spark)}/atrium-{uuid.uuid4().hex}"
+        if self._owner.get() is not None:
+            self._owner.get().append(self)
+
+    @classmethod
+    @contextmanager
+    def owned(cls, made: list[Shared]):
+        """Within, calls add their tables to made; drop each with drop("") once no result that reads them is needed."""
+        token = cls._owner.set(made)
+        try:
+            yield made
+        finally:
+            cls._owner.reset(token)
 
     def put(self, df: DataFrame, name: str) -> DataFrame:
         df.write.mode("overwrite").parquet(f"{self.root}/{name}")
@@ -32,7 +51,7 @@ class Shared:
 
     def drop(self, name: str) -> None:
         jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}".rstrip("/"))
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 

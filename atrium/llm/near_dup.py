@@ -314,6 +314,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     comp = components(shared, links, "cc")
     named = multi.join(comp.withColumnRenamed("node", "sid"), "sid", "left").select("key", "sid", "m", F.coalesce("comp", "sid").alias("comp"))
     named = shared.put(named, "named")
+    for done in ("multi", "texts", "stars"):
+        shared.drop(done)
     mixed = named.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
     rest = named.join(mixed, "key", "left_semi")
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
@@ -329,8 +331,11 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     sets = packed_sets(texts_of(src, reps, want.select(F.col("sid").alias("a"), F.col("sid").alias("b")), k), k)
     full = want.join(sets, "sid").repartition("bucket").sortWithinPartitions("bucket").select(*names, "set")
     more = shared.put(crosswise(full, percent).distinct(), "more")
+    for done in ("needed", "named"):
+        shared.drop(done)
     extra = shared.put(confirm(more, shared.put(texts_of(src, reps, more, k), "texts2"), k, percent), "extra")
     comp = shared.put(components(shared, links.unionAll(extra), "all"), "comp")
+    shared.drop("texts2")
     named = reps.select("sid", "id").join(comp.withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
     least = named.groupBy("comp").agg(F.min("id").alias("component"))
     final = named.join(least, "comp").select("sid", "component")
