@@ -1 +1,448 @@
-QUERIES, ORACLE_SQL = {}, {}
+"""Queries over the driver's tables and their DuckDB SQL. Boxes come from lineitem by one derivation in both engines."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.geometry import length_sql, polygon_area, round3_sql, segment_distance_sql, vertex_mean
+from ..functions.text import PROMPTS, fenced_json, label_text, prompt, status_icon, suffix
+from ..model import MATERIALS, Config
+from ..operators import dataset, detect, resolve, scene
+from ..sources import files, plans
+from ..sources.svg import scan_svg, svg_class
+
+CFG = Config(snap_threshold=0.35)  # wide enough that many of these plans snap
+
+#: About 40 rows to a plan at any size.
+BOXES = """select l_orderkey % m as plan_id,
+ row_number() over (partition by l_orderkey % m order by l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) - 1 as ord,
+ cast((l_partkey + l_linenumber) % 4 as int) as cls_id,
+ 1e0 - cast(l_discount as double) * 6e0 as conf,
+ cast(l_suppkey * 7 % 300 as double) as x1, cast(l_partkey % 250 as double) as y1,
+ cast(l_suppkey * 7 % 300 + 5 + l_partkey % 90 as double) as x2, cast(l_partkey % 250 + 5 + l_suppkey % 70 as double) as y2
+ from lineitem cross join (select greatest(cast(floor(count(*) / 4e1) as bigint), 1) as m from lineitem) k"""
+
+
+def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = BOXES.replace("from lineitem", "from {lineitem}")
+    return spark.sql(text, lineitem=spark.read.parquet(f"{sf_dir}/lineitem.parquet"))
+
+
+def metres(spark, sf_dir) -> DataFrame:
+    return detect.to_metres(detect.confident(boxes(spark, sf_dir), CFG), CFG)
+
+
+def found_walls(spark, sf_dir) -> DataFrame:
+    return detect.wall_segments(metres(spark, sf_dir), CFG)
+
+
+def found_openings(spark, sf_dir) -> DataFrame:
+    m = metres(spark, sf_dir)
+    return detect.opening_boxes(m, "door", CFG).unionByName(detect.opening_boxes(m, "window", CFG))
+
+
+def mm(c: Column) -> Column:
+    """Thousandths, as a whole number."""
+    return F.floor(c * 1000.0 + 0.5).cast("long")
+
+
+def mm_sql(e: str) -> str:
+    return f"cast(floor(({e}) * 1e3 + 5e-1) as bigint)"
+
+
+R = round3_sql
+WITH = f"""with b as ({BOXES}), f as (select * from b where conf >= 5e-1),
+m as (select plan_id, ord, cls_id, conf, x1 / 5e1 as x1, y1 / 5e1 as y1, x2 / 5e1 as x2, y2 / 5e1 as y2 from f),
+w as (select plan_id, ord, cast(row_number() over (partition by plan_id order by ord) - 1 as int) as wall_index,
+ {R("case when x2 - x1 > y2 - y1 then x1 else (x1 + x2) / 2e0 end")} as sx, {R("case when x2 - x1 > y2 - y1 then (y1 + y2) / 2e0 else y1 end")} as sy,
+ {R("case when x2 - x1 > y2 - y1 then x2 else (x1 + x2) / 2e0 end")} as ex, {R("case when x2 - x1 > y2 - y1 then (y1 + y2) / 2e0 else y2 end")} as ey,
+ 15e-2 as thickness, {R("conf")} as confidence from m where cls_id = 0),
+o as (select plan_id, ord, case cls_id when 1 then 'door' else 'window' end as kind, (x1 + x2) / 2e0 as x, (y1 + y2) / 2e0 as y,
+ greatest(least(x2 - x1, y2 - y1), case cls_id when 1 then 7e-1 else 5e-1 end) as width, {R("conf")} as confidence from m where cls_id in (1, 2))
+"""  # noqa: S608
+
+
+def near_sql(earlier: bool) -> str:
+    return f"""j as (select o.plan_id, o.ord, o.kind, o.x, o.y, o.width, w.wall_index as wi, case when w.wall_index is null then null else {segment_distance_sql("o.x", "o.y", "w.sx", "w.sy", "w.ex", "w.ey")} end as d from o left join w on w.plan_id = o.plan_id {"and w.ord < o.ord" if earlier else ""}),
+n as (select * from (select *, row_number() over (partition by plan_id, ord order by d nulls last, wi) as rn from j) where rn = 1)"""
+
+
+NEAR = near_sql(True)
+#: Openings on their walls, with defaults for what boxes don't say.
+ON = f"""{NEAR}, ow as (select n.plan_id, n.kind, n.ord, n.width, n.x as px, n.y as py, w.wall_index, w.sx, w.sy, w.thickness, {length_sql("w.sx", "w.sy", "w.ex", "w.ey")} as len, w.ex, w.ey,
+ case n.kind when 'door' then 21e-1 else 12e-1 end as height, case n.kind when 'door' then 0e0 else 9e-1 end as sill from n join w on w.plan_id = n.plan_id and w.wall_index = coalesce(n.wi, 0)),
+c as (select *, (ex - sx) / len as dx, (ey - sy) / len as dy from ow where len >= 1e-6), a as (select *, (px - sx) * dx + (py - sy) * dy as along from c)"""
+
+
+def walls_out(w: DataFrame) -> DataFrame:
+    return w.select("plan_id", "wall_index", *[mm(F.col(c)).alias(f"{c}_mm") for c in ("sx", "sy", "ex", "ey")])
+
+
+WALLS_OUT = "plan_id, wall_index, " + ", ".join(f"{mm_sql(c)} as {c}_mm" for c in ("sx", "sy", "ex", "ey"))
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+@query(WITH + "select plan_id, ord, " + ", ".join(f"{mm_sql(c)} as {c}_mm" for c in ("x1", "y1", "x2", "y2")) + " from m")
+def p1_pixels_to_metres(spark, sf_dir):
+    return metres(spark, sf_dir).select("plan_id", "ord", *[mm(F.col(c)).alias(f"{c}_mm") for c in ("x1", "y1", "x2", "y2")])
+
+
+@query(f"with b as ({BOXES}) select plan_id, ord, case cls_id + cast(ord % 2 as int) when 0 then 'wall' when 1 then 'door' when 2 then 'window' when 3 then 'room' else 'unknown' end as class from b")
+def p2_class_decode(spark, sf_dir):
+    return boxes(spark, sf_dir).select("plan_id", "ord", detect.class_name(F.col("cls_id") + F.col("ord") % 2).alias("class"))
+
+
+@query(WITH + f"select {WALLS_OUT}, {mm_sql('confidence')} as confidence_mm from w")
+def p3_wall_segments(spark, sf_dir):
+    return found_walls(spark, sf_dir).select("plan_id", "wall_index", *[mm(F.col(c)).alias(f"{c}_mm") for c in ("sx", "sy", "ex", "ey", "confidence")])
+
+
+def opening_query(kind):
+    def f(spark, sf_dir):
+        return detect.opening_boxes(metres(spark, sf_dir), kind, CFG).select("plan_id", "ord", *[mm(F.col(c)).alias(f"{c}_mm") for c in ("x", "y", "width", "confidence")])
+
+    return f
+
+
+for _name, _kind in (("p4_doors", "door"), ("p5_windows", "window")):
+    QUERIES[_name] = opening_query(_kind)
+    ORACLE_SQL[_name] = WITH + "select plan_id, ord, " + ", ".join(f"{mm_sql(c)} as {c}_mm" for c in ("x", "y", "width", "confidence")) + f" from o where kind = '{_kind}'"
+
+
+@query(f"with b as ({BOXES}) select plan_id, ord, cls_id from b where conf >= 5e-1")
+def f1_confidence(spark, sf_dir):
+    return detect.confident(boxes(spark, sf_dir), CFG).select("plan_id", "ord", "cls_id")
+
+
+@query(f"with b as ({BOXES}) select plan_id, count(*) filter (cls_id = 3) as n_rooms, count(*) filter (cls_id <> 3) as n_other from b group by plan_id")
+def f2_class_routing(spark, sf_dir):
+    return boxes(spark, sf_dir).groupBy("plan_id").agg(F.count_if(F.col("cls_id") == 3).alias("n_rooms"), F.count_if(F.col("cls_id") != 3).alias("n_other"))
+
+
+@query(WITH + f", {near_sql(True)} select plan_id, ord, kind, coalesce(wi, 0) as wall_index, coalesce({mm_sql('d')}, -1) as distance_mm from n")
+def j1_prefix_nearest_wall(spark, sf_dir):
+    got = resolve.nearest_wall(found_openings(spark, sf_dir), found_walls(spark, sf_dir))
+    return got.select("plan_id", "ord", "kind", "wall_index", F.coalesce(mm(F.col("wall_distance")), F.lit(-1)).alias("distance_mm"))
+
+
+@query(WITH + f", {near_sql(False)} select plan_id, ord, kind, coalesce(wi, 0) as wall_index, coalesce({mm_sql('d')}, -1) as distance_mm from n")
+def j1b_nearest_wall(spark, sf_dir):
+    got = resolve.nearest_wall(found_openings(spark, sf_dir), found_walls(spark, sf_dir), earlier_only=False)
+    return got.select("plan_id", "ord", "kind", "wall_index", F.coalesce(mm(F.col("wall_distance")), F.lit(-1)).alias("distance_mm"))
+
+
+SNAP = """, e as (select plan_id, count(*) as n, list(sx order by wall_index) as lsx, list(sy order by wall_index) as lsy, list(ex order by wall_index) as lex, list(ey order by wall_index) as ley from w group by plan_id),
+s0 as (select plan_id, n, list_transform(range(2 * n), lambda k: case when k % 2 = 0 then lsx[k // 2 + 1] else lex[k // 2 + 1] end) as xs, list_transform(range(2 * n), lambda k: case when k % 2 = 0 then lsy[k // 2 + 1] else ley[k // 2 + 1] end) as ys from e),
+ns as (select distinct n from e),
+pairs as (select n, row_number() over (partition by n order by i, j, a, b) as k, 2 * i + a + 1 as p, 2 * j + b + 1 as q from ns, (select unnest(range(200)) as i), (select unnest(range(200)) as j), (select unnest([0, 1]) as a), (select unnest([0, 1]) as b) where i < j and j < n),
+st as (select plan_id, n, cast(0 as bigint) as k, xs, ys from s0 union all
+ select plan_id, n, k + 1, case when hit then list_transform(xs, lambda v, i: case when i = p or i = q then mx else v end) else xs end, case when hit then list_transform(ys, lambda v, i: case when i = p or i = q then my else v end) else ys end
+ from (select st.*, p, q, sqrt((xs[p] - xs[q]) * (xs[p] - xs[q]) + (ys[p] - ys[q]) * (ys[p] - ys[q])) > 0 and sqrt((xs[p] - xs[q]) * (xs[p] - xs[q]) + (ys[p] - ys[q]) * (ys[p] - ys[q])) < 35e-2 as hit,
+  floor(((xs[p] + xs[q]) / 2e0) * 1e3 + 5e-1) / 1e3 as mx, floor(((ys[p] + ys[q]) / 2e0) * 1e3 + 5e-1) / 1e3 as my from st join pairs on pairs.n = st.n and pairs.k = st.k + 1)),
+done as (select * from st where k = 2 * n * (n - 1)),
+sw as (select w.plan_id, w.wall_index, xs[2 * w.wall_index + 1] as sx, ys[2 * w.wall_index + 1] as sy, xs[2 * w.wall_index + 2] as ex, ys[2 * w.wall_index + 2] as ey from w join done on w.plan_id = done.plan_id)
+"""
+RECURSIVE = WITH.replace("with b as", "with recursive b as", 1)
+
+
+@query(RECURSIVE + SNAP + f"select {WALLS_OUT} from sw")
+def a1_snap_endpoints(spark, sf_dir):
+    return walls_out(resolve.snap_ends(found_walls(spark, sf_dir), CFG))
+
+
+@query(RECURSIVE + SNAP + f"select {WALLS_OUT} from sw where {length_sql()} >= 3e-1")
+def f7_wall_length(spark, sf_dir):
+    return walls_out(resolve.long_enough(resolve.snap_ends(found_walls(spark, sf_dir), CFG), CFG))
+
+
+def room_polygons(spark, sf_dir) -> DataFrame:
+    """Rectangles of room boxes, as open rings."""
+    m = metres(spark, sf_dir).where("cls_id = 3")
+    pt = lambda x, y: F.array(F.col(x), F.col(y))
+    return m.select("plan_id", F.col("ord").alias("room_index"), F.concat(F.lit("room_"), F.col("ord")).alias("label"), F.array(pt("x1", "y1"), pt("x2", "y1"), pt("x2", "y2"), pt("x1", "y2")).alias("polygon"), F.lit(None).cast("double").alias("area"))
+
+
+@query(WITH + f"select plan_id, ord as room_index, {mm_sql('(x2 - x1) * (y2 - y1) + 1e-9')} as area_mm from m where cls_id = 3")
+def a2_polygon_area(spark, sf_dir):
+    return room_polygons(spark, sf_dir).select("plan_id", "room_index", mm(polygon_area(F.col("polygon")) + 1e-9).alias("area_mm"))
+
+
+@query(WITH + f"select plan_id, ord as room_index, {mm_sql('(x1 + x2) / 2e0 + 1e-9')} as x_mm, {mm_sql('(y1 + y2) / 2e0 + 1e-9')} as y_mm from m where cls_id = 3")
+def a3_vertex_mean(spark, sf_dir):
+    x, y = vertex_mean(F.col("polygon"))
+    return room_polygons(spark, sf_dir).select("plan_id", "room_index", mm(x + 1e-9).alias("x_mm"), mm(y + 1e-9).alias("y_mm"))
+
+
+@query(WITH + "select plan_id, ord as room_index from m where cls_id = 3 and (x2 - x1) * (y2 - y1) >= 1.00005e0")
+def f5_room_area(spark, sf_dir):
+    return room_polygons(spark, sf_dir).where(polygon_area(F.col("polygon")) >= 1.00005).select("plan_id", "room_index")
+
+
+@query(WITH + f", d as (select *, {length_sql()} as len from w), u as (select *, (ex - sx) / len as dx, (ey - sy) / len as dy from d where len >= 1e-6), z as (select unnest([0e0, 27e-1]) as z), k as (select unnest([0, 1, 2, 3]) as k)" + f" select plan_id, wall_index, cast(k + case when z > 0 then 4 else 0 end as int) as vertex, {mm_sql('case when k < 2 then sx else ex end + (-dy) * (thickness / 2e0) * (case when k in (0, 3) then -1e0 else 1e0 end) + 1e-7')} as x_mm, {mm_sql('case when k < 2 then sy else ey end + dx * (thickness / 2e0) * (case when k in (0, 3) then -1e0 else 1e0 end) + 1e-7')} as y_mm, {mm_sql('z')} as z_mm from u, z, k")
+def p12_wall_prism(spark, sf_dir):
+    v = scene.wall_prisms(found_walls(spark, sf_dir)).select("plan_id", "wall_index", F.posexplode("vertices").alias("vertex", "v"))
+    return v.select("plan_id", "wall_index", "vertex", mm(F.col("v.x") + 1e-7).alias("x_mm"), mm(F.col("v.y") + 1e-7).alias("y_mm"), mm(F.col("v.z")).alias("z_mm"))
+
+
+def placed(spark, sf_dir) -> DataFrame:
+    """Openings of the detection path in the form of documents'."""
+    got = resolve.nearest_wall(found_openings(spark, sf_dir), found_walls(spark, sf_dir))
+    door = F.col("kind") == "door"
+    return got.select("plan_id", "kind", F.col("ord").alias("opening_index"), F.col("x").alias("px"), F.col("y").alias("py"), F.lit(None).cast("double").alias("along"), F.lit(False).alias("bad_position"), "width", F.when(door, 2.1).otherwise(1.2).alias("height"), F.when(door, 0.0).otherwise(0.9).alias("sill"), "wall_index")
+
+
+@query(WITH + f", {ON} select plan_id, kind, ord as opening_index, wall_index, {mm_sql('along + 1e-7')} as along_mm from a")
+def j2_opening_wall(spark, sf_dir):
+    got = scene.opening_on_wall(placed(spark, sf_dir), found_walls(spark, sf_dir))
+    return got.select("plan_id", "kind", "opening_index", "wall_index", mm(F.col("along") + 1e-7).alias("along_mm"))
+
+
+def cutter_query(kind):
+    def f(spark, sf_dir):
+        on = scene.opening_on_wall(placed(spark, sf_dir).where(F.col("kind") == kind), found_walls(spark, sf_dir))
+        return scene.cutters(on).select("plan_id", "opening_index", "name", *[mm(F.col(c) + 1e-7).alias(f"{c}_mm") for c in ("cx", "cy", "cz", "hx", "hy", "hz")], mm(F.col("rotation") + 1e-7).alias("rotation_mrad"))
+
+    return f
+
+
+for _name, _kind in (("p13_door_cutter", "door"), ("p14_window_cutter", "window")):
+    QUERIES[_name] = cutter_query(_kind)
+    ORACLE_SQL[_name] = WITH + f", {ON} select plan_id, ord as opening_index, '{_kind.title()}Cutter_' || ord as name, " + ", ".join(f"{mm_sql(e + ' + 1e-7')} as {n}_mm" for n, e in (("cx", "sx + dx * along"), ("cy", "sy + dy * along"), ("cz", "sill + height / 2e0"), ("hx", "width / 2e0"), ("hy", "thickness * 15e-1"), ("hz", "height / 2e0"))) + f", {mm_sql('atan2(dy, dx) + 1e-7')} as rotation_mrad from a where kind = '{_kind}'"
+
+
+@query(WITH + f", {ON} select plan_id, kind, count(*) as n_cut from a group by plan_id, kind")
+def j3_cutter_wall(spark, sf_dir):
+    w = found_walls(spark, sf_dir)
+    cut = scene.cut_walls(scene.cutters(scene.opening_on_wall(placed(spark, sf_dir), w)), scene.wall_prisms(w))
+    return cut.where("cut").groupBy("plan_id", "kind").agg(F.count("*").alias("n_cut"))
+
+
+def slab_query(kind):
+    def f(spark, sf_dir):
+        s = scene.slabs(room_polygons(spark, sf_dir), kind).select("plan_id", "room_index", F.posexplode(F.get("faces", F.lit(0))).alias("place", "i"), "vertices")
+        v = F.get("vertices", F.col("i"))
+        return s.select("plan_id", "room_index", "place", mm(v["x"]).alias("x_mm"), mm(v["y"]).alias("y_mm"), mm(v["z"]).alias("z_mm"))
+
+    return f
+
+
+for _name, _kind, _order, _z in (("p15_floor_polygon", "floor", "k", "0"), ("p16_ceiling_polygon", "ceiling", "3 - k", "2700")):
+    QUERIES[_name] = slab_query(_kind)
+    ORACLE_SQL[_name] = WITH + f", k as (select unnest([0, 1, 2, 3]) as k) select plan_id, ord as room_index, cast({_order} as int) as place, {mm_sql('case when k in (0, 3) then x1 else x2 end')} as x_mm, {mm_sql('case when k < 2 then y1 else y2 end')} as y_mm, cast({_z} as bigint) as z_mm from m, k where cls_id = 3"
+
+
+@query("select p_partkey, list_aggregate(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || w[2:]), 'string_agg', ' ') as label from part")
+def p17_label_text(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", label_text(F.translate("p_name", " ", "_"), exact=False).alias("label"))
+
+
+def objects(spark, sf_dir) -> DataFrame:
+    """Walls and rooms as objects with a type; walls of odd index have a height of their own."""
+    w = found_walls(spark, sf_dir).select("plan_id", F.col("wall_index").cast("long").alias("i"), F.lit("wall").alias("type"), F.when(F.col("wall_index") % 2 == 1, 3.0).alias("height"))
+    r = room_polygons(spark, sf_dir)
+    flat = [r.select("plan_id", F.col("room_index").cast("long").alias("i"), F.lit(t).alias("type"), F.lit(None).cast("double").alias("height")) for t in ("floor", "label")]
+    return w.unionByName(flat[0]).unionByName(flat[1])
+
+
+OBJECTS = ", ob as (select plan_id, cast(wall_index as bigint) as i, 'wall' as type, case when wall_index % 2 = 1 then 3e0 end as height from w union all select plan_id, ord, t, null from m, (select unnest(['floor', 'label']) as t) where cls_id = 3)"
+
+
+@query(WITH + OBJECTS + f" select plan_id, i, type, {mm_sql('case when type = ' + chr(39) + 'wall' + chr(39) + ' then 32e-1 / coalesce(height, 27e-1) else 1e0 end')} as scale_mm from ob")
+def p18_adjust_height(spark, sf_dir):
+    return scene.adjust_height(objects(spark, sf_dir), 3.2).select("plan_id", "i", "type", mm(F.col("scale_z")).alias("scale_mm"))
+
+
+@query(WITH + OBJECTS + " select plan_id, i, type, case type when 'wall' then 'FP3D_Wall' when 'floor' then 'FP3D_Floor' end as material, " + ", ".join(f"cast(case type when 'wall' then {round(MATERIALS['wall'][k] * 1000)} when 'floor' then {round(MATERIALS['floor'][k] * 1000)} end as bigint) as {c}_mm" for k, c in enumerate("rgb")) + " from ob")
+def p19_materials(spark, sf_dir):
+    return scene.with_materials(objects(spark, sf_dir)).select("plan_id", "i", "type", "material", *[mm(F.col(c)).alias(f"{c}_mm") for c in "rgb"])
+
+
+@query(WITH + f", {ON}, q as (select plan_id, 'wall' as kind from w where {length_sql()} >= 1e-6 union all select plan_id, kind from a union all select plan_id, t from m, (select unnest(['floor', 'label']) as t) where cls_id = 3), g as (select plan_id, " + ", ".join(f"count(*) filter (kind = '{k}') as {k}s" for k in ("wall", "door", "window", "floor", "ceiling", "label")) + " from q group by plan_id) select *, concat_ws(', ', " + ", ".join(f"case when {k}s > 0 then {k}s || ' {k}s' end" for k in ("wall", "door", "window", "floor", "ceiling", "label")) + ") as summary from g")
+def a5_scene_counts(spark, sf_dir):
+    w, r = found_walls(spark, sf_dir), room_polygons(spark, sf_dir)
+    prisms = scene.wall_prisms(w)
+    cut = scene.cut_walls(scene.cutters(scene.opening_on_wall(placed(spark, sf_dir), w)), prisms).where("cut").select("plan_id", "kind")
+    parts = prisms.select("plan_id", F.lit("wall").alias("kind")).unionByName(cut)
+    for k in ("floor", "label"):
+        parts = parts.unionByName(r.where(F.size("polygon") >= 3).select("plan_id", F.lit(k).alias("kind")))
+    return scene.count_kinds(parts)
+
+
+@query(WITH + OBJECTS + " select plan_id, count(*) filter (type = 'wall') as n_adjusted from ob group by plan_id")
+def a6_adjusted_count(spark, sf_dir):
+    return objects(spark, sf_dir).groupBy("plan_id").agg(F.count_if(F.col("type") == "wall").alias("n_adjusted"))
+
+
+YOLO = "(x1 + x2) / 2e0 / 32e1 as cx, (y1 + y2) / 2e0 / 24e1 as cy, (x2 - x1) / 32e1 as w, (y2 - y1) / 24e1 as h"
+
+
+@query(f"with b as ({BOXES}), s as (select plan_id, ord, {YOLO} from b), u as (select plan_id, ord, " + ", ".join(f"greatest(0e0, least(1e0, {c})) as {c}" for c in ("cx", "cy", "w", "h")) + " from s) select plan_id, ord, " + ", ".join(f"cast(floor({c} * 1e6 + 5e-1) as bigint) as {c}_ppm" for c in ("cx", "cy", "w", "h")) + " from u where w > 1e-3 and h > 1e-3")
+def p21_yolo_labels(spark, sf_dir):
+    b = boxes(spark, sf_dir).withColumnsRenamed({"x1": "x0", "y1": "y0"}).withColumnsRenamed({"x2": "x1", "y2": "y1"})
+    return dataset.yolo_labels(b, F.lit(320.0), F.lit(240.0)).select("plan_id", "ord", *[F.floor(F.col(c) * 1000000.0 + 0.5).cast("long").alias(f"{c}_ppm") for c in ("cx", "cy", "w", "h")])
+
+
+@query("select event_id, case when lower(g) like '%wall%' then 0 when lower(g) like '%door%' then 1 when lower(g) like '%window%' then 2 when lower(g) like '%room%' then 3 end as cls_id from (select event_id, event_type || case event_id % 5 when 0 then 'DoorWall' when 1 then 'Bedroom' when 2 then 'WINDOW' when 3 then 'door' else '' end as g from events)")
+def p22_class_map(spark, sf_dir):
+    tail = F.get(F.array(*[F.lit(x) for x in ("DoorWall", "Bedroom", "WINDOW", "door", "")]), (F.col("event_id") % 5).cast("int"))
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", svg_class(F.concat("event_type", tail)).alias("cls_id"))
+
+
+@query("select event_id, case event_id % 3 when 2 then null else props end is not null as found, case event_id % 3 when 2 then null else try_cast(json_extract_string(props, '$.v') as double) end as v from events")
+def p25_fenced_json(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    text = F.when(F.col("event_id") % 3 == 0, F.col("props")).when(F.col("event_id") % 3 == 1, F.concat(F.lit("So:\n```json\n"), "props", F.lit("\n```\nDone."))).otherwise(F.concat(F.lit("```\n{broken\n```\n```\n"), "props", F.lit("\n```")))
+    j = fenced_json(text)
+    return e.select("event_id", j.isNotNull().alias("found"), F.try_variant_get(j, "$.v", "double").alias("v"))
+
+
+@query("select event_id, case when s in ('', 'Ready') then null when s like 'Error%' then 'ERROR' when s like 'Done%' or s like 'Sample%' then 'CHECKMARK' else 'INFO' end as icon from (select event_id, case event_id % 6 when 0 then '' when 1 then 'Ready' when 2 then 'Error: ' || event_type when 3 then 'Done' when 4 then 'Sample ' || event_type else event_type end as s from events)")
+def p26_status_icon(spark, sf_dir):
+    k = F.col("event_id") % 6
+    s = F.when(k == 0, "").when(k == 1, "Ready").when(k == 2, F.concat(F.lit("Error: "), "event_type")).when(k == 3, "Done").when(k == 4, F.concat(F.lit("Sample "), "event_type")).otherwise(F.col("event_type"))
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", status_icon(s).alias("icon"))
+
+
+@query("with r as (select p_partkey, row_number() over (order by p_partkey) - 1 as rank, count(*) over () as n from part) select p_partkey, case when rank < cast(floor(n * 5e-2) as bigint) then 'test' when rank < cast(floor(n * 5e-2) as bigint) + cast(floor(n * 15e-2) as bigint) then 'val' else 'train' end as split from r")
+def o3_split(spark, sf_dir):
+    p = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey")
+    # Global ranks without one task for all rows: counts of ranges of the key, then a rank within each range.
+    step = 10_000
+    ranges = p.groupBy(F.floor(F.col("p_partkey") / step).alias("r")).agg(F.count("*").alias("n"))
+    from pyspark.sql import Window
+
+    before = ranges.withColumn("before", F.sum("n").over(Window.orderBy("r")) - F.col("n"))
+    ranked = p.withColumn("r", F.floor(F.col("p_partkey") / step)).join(before, "r").withColumn("rank", F.col("before") + F.row_number().over(Window.partitionBy("r").orderBy("p_partkey")) - 1)
+    return dataset.range_split(ranked.select("p_partkey", "rank"), "rank").select("p_partkey", "split")
+
+
+@query("select page_id, len(string_split(url, '/')) as n_parts, string_split(url, '/')[3] as host from pages")
+def s4_path_parts(spark, sf_dir):
+    parts = dataset.path_parts(F.col("url"))
+    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.size(parts).cast("long").alias("n_parts"), F.get(parts, F.lit(2)).alias("host"))
+
+
+FILES = "url || case page_id % 5 when 0 then '/__pycache__/x' when 1 then '/a.pyc' when 2 then '/.DS_Store' else '/a.py' end"
+
+
+@query(f"select page_id from pages where not contains({FILES}, '__pycache__') and not contains({FILES}, '.pyc') and not contains({FILES}, '.pyo') and not contains({FILES}, '.DS_Store')")
+def f12_exclude(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/pages.parquet").where(files.included(F.expr(FILES))).select("page_id")
+
+
+@query("select page_id, case page_id % 4 when 0 then '.glb' when 1 then '.obj' when 2 then '' else '.fbx' end as suffix from pages")
+def s11_export_suffix(spark, sf_dir):
+    k = F.col("page_id") % 4
+    name = F.concat(F.lit("/out/plan"), F.when(k == 0, ".GLB").when(k == 1, ".obj").when(k == 2, "").otherwise(".v2.FBX"))
+    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", suffix(name).alias("suffix"))
+
+
+@query("select event_id, case when event_id % 3 = 0 then 'json' when event_id % 3 = 1 then 'image' end as kind from events")
+def s2_source_choice(spark, sf_dir):
+    k = F.col("event_id") % 3
+    chosen = plans.choose_source(F.when(k == 0, "a.json"), F.when(k < 2, "a.png"))
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", chosen["kind"].alias("kind"))
+
+
+_HEAD, _TAIL = PROMPTS["critique"]
+
+
+@query(f"select event_id, md5('{_HEAD}' || chr(10) || chr(10) || '{{' || chr(10) || '  \"event_type\" : \"' || event_type || '\"' || chr(10) || '}}' || chr(10) || chr(10) || '{_TAIL}') as prompt_md5 from events")
+def p24_prompts(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return e.select("event_id", F.md5(prompt("critique", F.struct("event_type"))).alias("prompt_md5"))
+
+
+def document_rows(spark, sf_dir) -> DataFrame:
+    """Whole plan documents of the boxes, a JSON text each."""
+    w, r = found_walls(spark, sf_dir), room_polygons(spark, sf_dir)
+    ws = w.groupBy("plan_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("wall_index", "sx", "sy", "ex", "ey", "thickness"))), lambda x: F.struct(F.array(x["sx"], x["sy"]).alias("start"), F.array(x["ex"], x["ey"]).alias("end"), x["thickness"].alias("thickness"))).alias("walls"))
+    rs = r.groupBy("plan_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("room_index", "polygon"))), lambda x: F.struct(x["polygon"].alias("polygon"))).alias("rooms"))
+    return ws.join(rs, "plan_id", "full").select("plan_id", F.to_json(F.struct("walls", "rooms")).alias("doc"))
+
+
+@query(WITH + ", x as (select plan_id, count(*) filter (cls_id = 0) as n_walls, count(*) filter (cls_id = 3) as n_rooms from m where cls_id in (0, 3) group by plan_id) select plan_id, n_walls, n_rooms from x")
+def s1_plan_scan(spark, sf_dir):
+    p = plans.parse_plans(document_rows(spark, sf_dir), "plan_id", "doc")
+    return p.select("plan_id", F.coalesce(F.size("walls"), F.lit(0)).cast("long").alias("n_walls"), F.coalesce(F.size("rooms"), F.lit(0)).cast("long").alias("n_rooms"))
+
+
+@query(WITH + f", x as (select plan_id, ord, row_number() over (partition by plan_id order by ord) - 1 as i, {mm_sql('(x2 - x1) * (y2 - y1) + 1e-9')} as area_mm from m where cls_id = 3) select plan_id, cast(i as int) as room_index, 'Room_' || i as label, area_mm from x")
+def p23_room_label_default(spark, sf_dir):
+    r = plans.rooms(plans.parse_plans(document_rows(spark, sf_dir), "plan_id", "doc"))
+    return r.select("plan_id", "room_index", "label", mm(polygon_area(F.col("polygon")) + 1e-9).alias("area_mm"))
+
+
+@query()
+def s3_sample_scenes(spark, sf_dir):
+    return scene.scene_counts(plans.sample_plans(spark), with_ceiling=True)
+
+
+@query()
+def s5_svg_labels(spark, sf_dir):
+    """One group per box, written as SVG and scanned again."""
+    b = boxes(spark, sf_dir)
+    g = F.format_string('<g id="%s_%d"><rect x="%s" y="%s" width="%s" height="%s"/></g>', detect.class_name(F.col("cls_id")), F.col("ord"), F.col("x1"), F.col("y1"), F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))
+    docs = b.select(F.col("plan_id").cast("string").alias("name"), F.struct("ord", g.alias("g")).alias("g")).groupBy("name").agg(F.array_sort(F.collect_list("g")).alias("g"))
+    return scan_svg(docs.select("name", F.concat(F.lit('<svg xmlns="http://www.w3.org/2000/svg">'), F.array_join(F.transform("g", lambda x: x["g"]), ""), F.lit("</svg>")).alias("svg")))
+
+
+@query()
+def p6_mask_polygons(spark, sf_dir):
+    """Contours with a point on each side's middle, moved out by a pixel, which simplifying drops again."""
+    b = boxes(spark, sf_dir).where("conf >= 0.5")
+    pt = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    x1, y1, x2, y2 = (F.col(c) * 4.0 for c in ("x1", "y1", "x2", "y2"))
+    contour = F.array(pt(x1, y1), pt((x1 + x2) / 2.0, y1 - 1.0), pt(x2, y1), pt(x2 + 1.0, (y1 + y2) / 2.0), pt(x2, y2), pt(x1, y2))
+    return detect.mask_polygons(b.select("plan_id", F.col("ord").alias("mask_idx"), "cls_id", contour.alias("contour")))
+
+
+@query()
+def f1_suppression(spark, sf_dir):
+    return detect.suppress(boxes(spark, sf_dir)).select("plan_id", "ord", "cls_id")
+
+
+@query()
+def a1_snap_exact(spark, sf_dir):
+    return walls_out(resolve.snap_ends(found_walls(spark, sf_dir), CFG, exact=True))
+
+
+@query()
+def s11_obj_export(spark, sf_dir):
+    return files.obj_text(scene.build_scene(plans.sample_plans(spark)))
+
+
+@query()
+def s8_json_sink(spark, sf_dir):
+    return files.json_documents(plans.sample_plans(spark))
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Detection to counts: walls that stay, openings on them, rooms, per plan."""
+    w = found_walls(spark, sf_dir)
+    kept = resolve.long_enough(resolve.snap_ends(w, CFG), CFG)
+    parts = kept.select("plan_id", F.lit("wall").alias("kind"))
+    tied = resolve.nearest_wall(found_openings(spark, sf_dir), w).join(kept.select("plan_id", "wall_index"), ["plan_id", "wall_index"], "left_semi")
+    parts = parts.unionByName(tied.select("plan_id", "kind"))
+    rooms = room_polygons(spark, sf_dir).where(polygon_area(F.col("polygon")) >= CFG.min_room_area)
+    return scene.count_kinds(parts.unionByName(rooms.select("plan_id", F.lit("floor").alias("kind"))))
+
+
+@query(RECURSIVE + SNAP + f", {NEAR}, kw as (select plan_id, wall_index from sw where {length_sql()} >= 3e-1), q as (select plan_id, 'wall' as kind from kw union all select n.plan_id, n.kind from n join kw on kw.plan_id = n.plan_id and kw.wall_index = coalesce(n.wi, 0) union all select plan_id, 'floor' from m where cls_id = 3 and (x2 - x1) * (y2 - y1) >= 1e0), g as (select plan_id, " + ", ".join(f"count(*) filter (kind = '{k}') as {k}s" for k in ("wall", "door", "window", "floor", "ceiling", "label")) + " from q group by plan_id) select *, concat_ws(', ', " + ", ".join(f"case when {k}s > 0 then {k}s || ' {k}s' end" for k in ("wall", "door", "window", "floor", "ceiling", "label")) + ") as summary from g")
+def e2_detection_to_counts(spark, sf_dir):
+    return flagship(spark, sf_dir)
+

@@ -1,0 +1 @@
+"""Plans as they arrive."""
