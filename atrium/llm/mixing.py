@@ -38,7 +38,7 @@ def targets(sizes: list[int], weights: list[float], total: float, cap: float) ->
                 out[i] = left * weights[i] / w
             break
         for i in full:
-            out[i] = cap * sizes[i]
+            out[i] = float(cap * sizes[i])
         left -= sum(out[i] for i in full)
         open_ = [i for i in open_ if i not in full]
     return out
