@@ -13,6 +13,7 @@ from .html_text import extract_text
 from .licences import licence_scan
 from .mixing import mix_sources
 from .near_dup import near_duplicates
+from .oracle import ORACLE_SQL as ORACLE_SQL
 from .ppm import score_texts
 from .quality_model import held_out, score, train
 from .quality_rules import quality_rules
@@ -63,5 +64,3 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_licence_scan, op2_source_mix, op3_quality_rules, op4_url_filter, op5_near_dedup, op6_span_dedup, op7_ppm_score, op8_quality_model, op9_html_text, op10_decontaminate)}
-
-ORACLE_SQL: dict[str, str] = {}
