@@ -49,6 +49,10 @@ class Shared:
         df.write.mode("overwrite").parquet(f"{self.root}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
 
+    def sweep(self) -> None:
+        """Lets Spark remove the shuffle files of queries that are done, rather than when the driver next collects garbage."""
+        self.spark._jvm.System.gc()
+
     def drop(self, name: str) -> None:
         jvm = self.spark._jvm
         path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}".rstrip("/"))
