@@ -46,13 +46,16 @@ class Shared:
             cls._owner.reset(token)
 
     def put(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(f"{self.root}/{name}")
+        """Writes df and reads it again. Its shuffle files go with the write, so a long operator holds one query's at a time."""
+        key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+        before = self.spark.conf.get(key, None)
+        self.spark.conf.set(key, "true")
+        try:
+            df.write.mode("overwrite").parquet(f"{self.root}/{name}")
+        finally:
+            self.spark.conf.unset(key) if before is None else self.spark.conf.set(key, before)
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
 
-    def sweep(self) -> None:
-        """Lets Spark remove the shuffle files of queries that are done, rather than when the driver next collects garbage."""
-        self.spark._jvm.System.gc()
-
     def drop(self, name: str) -> None:
         jvm = self.spark._jvm
         path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}".rstrip("/"))

@@ -307,7 +307,6 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     shares = keys.groupBy("key").agg(F.min("sid").alias("lead"), F.count("*").alias("m")).where("m > 1")
     multi = shared.put(keys.join(shares, "key").select("key", "sid", "lead", "m"), "multi")
     shared.drop("keys")
-    shared.sweep()
     sig = lambda c: reps.select(F.col("sid").alias(c), F.col("sig").alias(f"s{c}"), F.col("n").alias(f"n{c}"))
     stars = multi.where("sid <> lead").select(F.col("lead").alias("a"), F.col("sid").alias("b")).distinct()
     stars = shared.put(near(stars.join(sig("a"), "a").join(sig("b"), "b"), percent), "stars")
@@ -317,7 +316,6 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     named = shared.put(named, "named")
     for done in ("multi", "texts", "stars"):
         shared.drop(done)
-    shared.sweep()
     mixed = named.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
     rest = named.join(mixed, "key", "left_semi")
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
@@ -335,7 +333,6 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     more = shared.put(crosswise(full, percent).distinct(), "more")
     for done in ("needed", "named"):
         shared.drop(done)
-    shared.sweep()
     extra = shared.put(confirm(more, shared.put(texts_of(src, reps, more, k), "texts2"), k, percent), "extra")
     comp = shared.put(components(shared, links.unionAll(extra), "all"), "comp")
     shared.drop("texts2")
