@@ -90,7 +90,8 @@ def span_dedup(df: DataFrame, keep: list[str], order_col: str = "doc_id", text_c
     spans = shared.put(src.select("__o", "__row", "__t").mapInArrow(find, f"h long, o {kind}, row long, i int, size int"), "spans")
     seen = spans.groupBy("h").agg(F.min(F.struct(F.col("o").isNull().alias("z"), "o", "row", "i")).alias("first"), F.count("*").alias("n")).where("n > 1")
     again = spans.join(seen.select("h", F.col("first.row").alias("row0"), F.col("first.i").alias("i0")), "h").where("row <> row0 or i <> i0")
-    gone = again.groupBy("row").agg(F.collect_set(F.struct("i", "size")).alias("cut"))  # no more than a row has sentences, thrice
+    gone = shared.put(again.groupBy("row").agg(F.collect_set(F.struct("i", "size")).alias("cut")), "gone")  # no more than a row has sentences, thrice
+    shared.drop("spans")
     joined = src.join(gone.withColumnRenamed("row", "__row"), "__row", "left")
     schema = ", ".join([f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep if c != text_col] + ["__text string, n_sentences long, n_removed long, words_removed long"])
     names = [c for c in keep if c != text_col]
