@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.geometry import length_sql, polygon_area, round3_sql, segment_distance_sql, vertex_mean
+from ..functions.geometry import direction, length_sql, perpendicular, polygon_area, round3_sql, segment_distance_sql, vertex_mean
 from ..functions.text import PROMPTS, fenced_json, label_text, prompt, status_icon, suffix
-from ..model import MATERIALS, Config
+from ..model import CLASSES, MATERIALS, Config
 from ..operators import dataset, detect, resolve, scene
 from ..sources import files, plans
 from ..sources.svg import scan_svg, svg_class
@@ -446,3 +446,196 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 def e2_detection_to_counts(spark, sf_dir):
     return flagship(spark, sf_dir)
 
+
+
+# Parts of the operators above, each by itself.
+
+UNIT = f", d as (select *, {length_sql()} as len from w), u as (select plan_id, wall_index, len, case when len < 1e-6 then 1e0 else (ex - sx) / len end as dx, case when len < 1e-6 then 0e0 else (ey - sy) / len end as dy from d)"
+
+
+@query(WITH + UNIT + f" select plan_id, wall_index, {mm_sql('dx + 1e-7')} as dx_mm, {mm_sql('dy + 1e-7')} as dy_mm, {mm_sql('case when len < 1e-6 then 0e0 else len + 1e-7 end')} as length_mm from u")
+def p7_wall_direction(spark, sf_dir):
+    dx, dy, n = direction(*map(F.col, ("sx", "sy", "ex", "ey")))
+    return found_walls(spark, sf_dir).select("plan_id", "wall_index", mm(dx + 1e-7).alias("dx_mm"), mm(dy + 1e-7).alias("dy_mm"), mm(F.when(n > 0, n + 1e-7).otherwise(0.0)).alias("length_mm"))
+
+
+@query(WITH + UNIT + f" select plan_id, wall_index, {mm_sql('1e-7 - dy')} as px_mm, {mm_sql('dx + 1e-7')} as py_mm from u")
+def p8_perpendicular(spark, sf_dir):
+    dx, dy, _ = direction(*map(F.col, ("sx", "sy", "ex", "ey")))
+    px, py = perpendicular(dx, dy)
+    return found_walls(spark, sf_dir).select("plan_id", "wall_index", mm(px + 1e-7).alias("px_mm"), mm(py + 1e-7).alias("py_mm"))
+
+
+@query(WITH + f"select plan_id, wall_index, {mm_sql(length_sql() + ' + 1e-7')} as length_mm from w")
+def p9_wall_length(spark, sf_dir):
+    return found_walls(spark, sf_dir).select("plan_id", "wall_index", mm(F.expr(length_sql()) + 1e-7).alias("length_mm"))
+
+
+@query(WITH + f"select o.plan_id, o.ord, {mm_sql(segment_distance_sql('x', 'y') + ' + 1e-7')} as distance_mm from o join w on w.plan_id = o.plan_id and w.wall_index = 0")
+def p10_segment_distance(spark, sf_dir):
+    """Each opening to the first wall of its plan."""
+    w = found_walls(spark, sf_dir).where("wall_index = 0").select("plan_id", "sx", "sy", "ex", "ey")
+    return found_openings(spark, sf_dir).join(w, "plan_id").select("plan_id", "ord", mm(F.expr(segment_distance_sql("x", "y")) + 1e-7).alias("distance_mm"))
+
+
+@query("select p_partkey, case p_partkey % 4 when 0 then cast(p_size as double) when 2 then 0e0 end as px, case p_partkey % 4 when 0 then 25e-1 when 2 then 0e0 end as py, case p_partkey % 4 when 1 then p_size / 2e0 end as along, p_partkey % 4 = 3 as bad from part")
+def p11_opening_position(spark, sf_dir):
+    """Positions as a pair, a distance, missing, or malformed."""
+    k, p = F.col("p_partkey") % 4, spark.read.parquet(f"{sf_dir}/part.parquet")
+    place = F.when(k == 0, F.format_string('"position":[%s,2.5]', "p_size")).when(k == 1, F.format_string('"position":%s', F.col("p_size") / 2.0)).when(k == 2, F.lit('"width":1')).otherwise(F.lit('"position":[1,2,3]'))
+    docs = p.select("p_partkey", F.concat(F.lit('{"doors":[{'), place, F.lit("}]}")).alias("doc"))
+    o = plans.openings(plans.parse_plans(docs, "p_partkey", "doc"), "door")
+    fine = ~F.col("bad_position")
+    return o.select(F.col("plan_id").alias("p_partkey"), *[F.when(fine & F.col("along").isNull(), F.col(c)).alias(c) for c in ("px", "py")], F.when(fine, F.col("along")).alias("along"), F.col("bad_position").alias("bad"))
+
+
+@query("select cast(p_partkey as string) as name, case p_partkey % 3 when 0 then s else 1e0 end as x0, case p_partkey % 3 when 2 then 1e0 else 2e0 end as y0, case p_partkey % 3 when 0 then s + 3e0 else greatest(s, 1e0) end as x1, case p_partkey % 3 when 0 then 6e0 when 1 then 9e0 else 5e0 end as y1 from (select p_partkey, cast(p_size as double) as s from part)")
+def p20_element_box(spark, sf_dir):
+    """Boxes of a rect, a line drawn backwards, and a polygon."""
+    k, s = F.col("p_partkey") % 3, F.col("p_size")
+    shape = F.when(k == 0, F.format_string('<rect x="%s" y="2" width="3" height="4"/>', s)).when(k == 1, F.format_string('<line x1="%s" y1="9" x2="1" y2="2"/>', s)).otherwise(F.format_string('<polygon points="1,1 %s,5  1,4"/>', s))
+    docs = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").cast("string").alias("name"), F.concat(F.lit('<svg xmlns="http://www.w3.org/2000/svg"><g id="Wall">'), shape, F.lit("</g></svg>")).alias("svg"))
+    return scan_svg(docs).select("name", "x0", "y0", "x1", "y1")
+
+
+def masks(spark, sf_dir) -> DataFrame:
+    """Detections of a plan as two lists, joined again by place."""
+    b = boxes(spark, sf_dir).groupBy("plan_id").agg(F.array_sort(F.collect_list(F.struct("ord", "cls_id", "x1", "y1"))).alias("b"))
+    contour = lambda x: F.array(F.struct(x["x1"].alias("x"), x["y1"].alias("y")))
+    return detect.zip_masks(b.select("plan_id", F.transform("b", lambda x: x["cls_id"]).alias("classes"), F.transform("b", contour).alias("contours")))
+
+
+@query(f"with b as ({BOXES}) select plan_id, cast(ord as int) as mask_idx, cls_id, x1 as x from b")
+def j5_mask_box(spark, sf_dir):
+    return masks(spark, sf_dir).select("plan_id", "mask_idx", "cls_id", F.get("contour", F.lit(0))["x"].alias("x"))
+
+
+@query(f"with b as ({BOXES}) select plan_id, 'room_' || ord as label from b where cls_id = 3")
+def f3_room_masks(spark, sf_dir):
+    """Places count all masks, so the labels have gaps."""
+    return masks(spark, sf_dir).where(detect.class_name(F.col("cls_id")) == "room").select("plan_id", F.concat(F.lit("room_"), F.col("mask_idx")).alias("label"))
+
+
+@query(WITH + "select plan_id, ord as room_index from m where cls_id = 3 and ord % 5 >= 3")
+def f4_polygon_points(spark, sf_dir):
+    """Rooms cut to (place % 5) points."""
+    r = room_polygons(spark, sf_dir).withColumn("polygon", F.slice("polygon", F.lit(1), (F.col("room_index") % 5).cast("int")))
+    return scene.slabs(r, "floor").select("plan_id", "room_index")
+
+
+@query(f"with b as ({BOXES}) select plan_id, ord from b where ord % 4 > 1")
+def f6_label_size(spark, sf_dir):
+    """Boxes of 0 to 3 quarters of a pixel: those of a thousandth of the image's width or less go."""
+    b = boxes(spark, sf_dir).select("plan_id", "ord", F.col("x1").alias("x0"), (F.col("x1") + F.col("ord") % 4 * 0.25).alias("x1"), F.lit(0.0).alias("y0"), F.lit(8.0).alias("y1"))
+    return dataset.yolo_labels(b, F.lit(320.0), F.lit(240.0)).select("plan_id", "ord")
+
+
+def short_walls(spark, sf_dir) -> DataFrame:
+    """Walls of which every third is a point."""
+    point = F.col("wall_index") % 3 == 0
+    return found_walls(spark, sf_dir).withColumns({"ex": F.when(point, F.col("sx")).otherwise(F.col("ex")), "ey": F.when(point, F.col("sy")).otherwise(F.col("ey"))})
+
+
+@query(WITH + f"select plan_id, wall_index from w where wall_index % 3 <> 0 and {length_sql()} >= 1e-6")
+def f8_degenerate_walls(spark, sf_dir):
+    return scene.solid_walls(short_walls(spark, sf_dir)).select("plan_id", "wall_index")
+
+
+@query(WITH + f", i as (select plan_id, ord, kind, cast(ord % 9 - 1 as int) as wi from o), r as (select i.plan_id, i.ord as opening_index, case when i.wi < 0 then 'negative wall' when w.wall_index is null then 'no such wall' when w.wall_index % 3 = 0 or {length_sql()} < 1e-6 then 'degenerate wall' end as reason from i left join w on w.plan_id = i.plan_id and w.wall_index = i.wi) select * from r where reason is not null")
+def f9_opening_in_range(spark, sf_dir):
+    """Openings that no wall takes, with the reason."""
+    o = placed(spark, sf_dir).withColumn("wall_index", (F.col("opening_index") % 9 - 1).cast("int"))
+    return scene.rejected_openings(o, short_walls(spark, sf_dir)).select("plan_id", "opening_index", "reason")
+
+
+@query(WITH + ", k as (select unnest(['floor', 'ceiling']) as type) select plan_id, type, count(*) as n from m, k where cls_id = 3 group by plan_id, type")
+def f10_ceiling_toggle(spark, sf_dir):
+    s = scene.build_scene(plans.parse_plans(document_rows(spark, sf_dir), "plan_id", "doc"), with_ceiling=True)
+    return s.where("type in ('floor', 'ceiling')").groupBy("plan_id", "type").agg(F.count("*").alias("n"))
+
+
+@query(WITH + OBJECTS + " select plan_id, i from ob where type = 'wall'")
+def f11_wall_objects(spark, sf_dir):
+    return objects(spark, sf_dir).where("type = 'wall'").select("plan_id", "i")
+
+
+@query(WITH + ", n as (select plan_id, count(*) as n from w group by plan_id), k as (select unnest([0, 1]) as k) select n.plan_id, cast(2 * a.wall_index + k1.k as int) as p, cast(2 * b.wall_index + k2.k as int) as q from n join w a on a.plan_id = n.plan_id join w b on b.plan_id = n.plan_id and b.wall_index > a.wall_index, k k1, k k2")
+def j4_endpoint_pairs(spark, sf_dir):
+    n = found_walls(spark, sf_dir).groupBy("plan_id").agg(F.count("*").cast("int").alias("n"))
+    return n.select("plan_id", F.explode(resolve.pair_places(F.col("n"))).alias("x")).select("plan_id", "x.p", "x.q")
+
+
+@query("select 'c' || p_partkey || '_a' as name, '/data/c' || p_partkey || '/a/' || case p_partkey % 4 when 0 then 'F1_scaled.png' when 1 then 'F1_original.png' else 'other.png' end as image_path from part where p_partkey % 7 <> 0 and p_partkey % 4 <> 3")
+def j6_svg_image(spark, sf_dir):
+    """Folders with and without a drawing, and with none, one or two images."""
+    k = F.col("p_partkey") % 4
+    images = F.when(k == 0, F.array(F.lit("image.png"), F.lit("F1_scaled.png"))).when(k == 1, F.array(F.lit("F1_original.png"), F.lit("a.png"))).when(k == 2, F.array(F.lit("other.png"))).otherwise(F.array(F.lit("notes.txt")))
+    listed = F.concat(images, F.when(F.col("p_partkey") % 7 != 0, F.array(F.lit("model.svg"))).otherwise(F.array().cast("array<string>")))
+    paths = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.explode(listed).alias("f"), "p_partkey").select(F.concat(F.lit("/data/c"), "p_partkey", F.lit("/a/"), "f").alias("path"))
+    return dataset.find_samples(paths, "/data").select("name", "image_path")
+
+
+@query(WITH + OBJECTS + " select case type when 'wall' then 'FP3D_Wall' when 'floor' then 'FP3D_Floor' end as material, count(*) as n from ob group by 1")
+def j7_material_dimension(spark, sf_dir):
+    return scene.with_materials(objects(spark, sf_dir)).groupBy("material").agg(F.count("*").alias("n"))
+
+
+@query(WITH + f"select plan_id, {', '.join(f'{mm_sql(e)} as {c}_mm' for c, e in (('x0', 'min(least(sx, ex))'), ('y0', 'min(least(sy, ey))'), ('x1', 'max(greatest(sx, ex))'), ('y1', 'max(greatest(sy, ey))')))} from w group by plan_id")
+def a4_extent(spark, sf_dir):
+    low, high = (lambda c, f=f, g=g: f(g(f"s{c}", f"e{c}")) for f, g in ((F.min, F.least), (F.max, F.greatest)))
+    return found_walls(spark, sf_dir).groupBy("plan_id").agg(mm(low("x")).alias("x0_mm"), mm(low("y")).alias("y0_mm"), mm(high("x")).alias("x1_mm"), mm(high("y")).alias("y1_mm"))
+
+
+@query("select n - cast(floor(n * 5e-2) as bigint) - cast(floor(n * 15e-2) as bigint) as train, cast(floor(n * 15e-2) as bigint) as val, cast(floor(n * 5e-2) as bigint) as test from (select count(*) as n from part)")
+def a7_split_sizes(spark, sf_dir):
+    return spark.createDataFrame([dataset.split_sizes(spark.read.parquet(f"{sf_dir}/part.parquet").count())], "train long, val long, test long")
+
+
+@query("select page_id, url from pages where url is not null order by string_split(url, '/'), page_id")
+def o1_path_sort(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/pages.parquet").where("url is not null").select("page_id", "url").orderBy(dataset.path_parts(F.col("url")), "page_id")
+
+
+@query()
+def o2_seeded_shuffle(spark, sf_dir):
+    return dataset.seeded_split(spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey", F.concat(F.lit("c/"), "s_suppkey").alias("dir"))).select("s_suppkey", "position", "split")
+
+
+@query(WITH + "select plan_id, ord, kind from (select plan_id, ord, kind, row_number() over (partition by plan_id order by confidence desc, ord) as rn from o) where rn = 1")
+def o4_top_opening(spark, sf_dir):
+    best = found_openings(spark, sf_dir).groupBy("plan_id").agg(F.min_by(F.struct("ord", "kind"), F.struct(-F.col("confidence"), F.col("ord"))).alias("x"))
+    return best.select("plan_id", "x.*")
+
+
+@query("select p_partkey, cast(p_partkey % 5000 + 1 as int) as img_w, cast(p_size * 7 as int) as img_h from part")
+def s6_image_size(spark, sf_dir):
+    """Headers of images, written and read."""
+    part = lambda c: F.lpad(F.hex(c.cast("long")), 8, "0")
+    p = spark.read.parquet(f"{sf_dir}/part.parquet")
+    content = F.unhex(F.concat(F.lit("89504E470D0A1A0A0000000D49484452"), part(F.col("p_partkey") % 5000 + 1), part(F.col("p_size") * 7)))
+    w, h = files.png_size(content)
+    return p.select("p_partkey", w.alias("img_w"), h.alias("img_h"))
+
+
+@query(f"with b as ({BOXES}), t as (select plan_id, string_agg(printf('%d %.6f %.6f 0.500000 0.250000', cls_id, ord % 8 / 8e0, ord % 4 / 4e0), chr(10) order by ord) as t from b where plan_id % 3 <> 0 group by plan_id) select cast(p.plan_id as string) as name, 'train' as split, coalesce(t, '') as content from (select distinct plan_id from b) p left join t on t.plan_id = p.plan_id")
+def s9_label_text(spark, sf_dir):
+    """One text per sample; samples without labels have an empty one."""
+    b = boxes(spark, sf_dir).withColumn("name", F.col("plan_id").cast("string"))
+    labels = b.where("plan_id % 3 <> 0").select("name", F.col("ord").alias("seq"), "cls_id", (F.col("ord") % 8 / 8.0).alias("cx"), (F.col("ord") % 4 / 4.0).alias("cy"), F.lit(0.5).alias("w"), F.lit(0.25).alias("h"))
+    return files.label_lines(labels, b.select("name", F.lit("train").alias("split")).distinct())
+
+
+@query()
+def s10_manifest(spark, sf_dir):
+    return spark.createDataFrame([(files.manifest("/out", CLASSES),)], "yaml string")
+
+
+def by_length(path: str) -> list[dict]:
+    """Stands in for a detector: a box that follows from the path's length."""
+    return [{"cls_id": len(path) % 4, "conf": 0.5, "x1": 0.0, "y1": 0.0, "x2": float(len(path)), "y2": 1.0}]
+
+
+@query("select page_id as plan_id, cast(0 as bigint) as ord, cast(length(url) % 4 as int) as cls_id, cast(length(url) as double) as x2 from pages where url is not null")
+def s14_detector_call(spark, sf_dir):
+    images = spark.read.parquet(f"{sf_dir}/pages.parquet").where("url is not null").select(F.col("page_id").alias("plan_id"), F.col("url").alias("path"))
+    return detect.detect(images, by_length).select("plan_id", "ord", "cls_id", "x2")
