@@ -80,9 +80,15 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     return out.select(F.col("__id").alias(id_col), F.col("n_words").cast("long").alias("n_words"), F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"), F.coalesce("sha", F.sha2(F.lit(""), 256)).alias("items_sha256"), F.col("n_hit").isNotNull().alias("contaminated"), F.coalesce("hits", F.array().cast("array<struct<start:int,size:int>>")).alias("hits"))
 
 
-def clean_documents(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **args) -> DataFrame:
-    """The rows of docs without a benchmark window. The flags are joined back on id and text hash, so repeated ids keep their own verdict."""
+def clean_documents(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_broadcast_rows: int = 200_000, **args) -> DataFrame:
+    """The rows of docs without a benchmark window. The flags are joined back on id and text hash, so repeated ids keep their own verdict.
+
+    The keys of contaminated rows are written and counted; up to max_broadcast_rows they are broadcast, so no text is
+    shuffled; beyond, both sides are.
+    """
     mark = F.xxhash64(F.coalesce(docs[text_col], F.lit("")))
     tagged = docs.withColumn("__key", F.struct(docs[id_col].alias("i"), mark.alias("h")))
     bad = decontaminate(tagged.select("__key", text_col), benchmark, "__key", text_col, **args).where("contaminated").select("__key").distinct()
+    bad = Shared(docs.sparkSession).put(bad, "contaminated")
+    bad = F.broadcast(bad) if bad.count() <= max_broadcast_rows else bad
     return tagged.join(bad, tagged["__key"].eqNullSafe(bad["__key"]), "left_anti").drop("__key")
