@@ -97,7 +97,7 @@ def min_cost_flow(supply: list[int], members: list[list[int]], quota: list[int],
     return {k: cap[e + 1] for k, e in links.items() if cap[e + 1]}
 
 
-def mix_sources(df: DataFrame, keep: list[str], id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (1, 2, 3), share: float = 1.0, max_repeat: int = 3, seed: str = "mix-1", max_sources: int = 10_000, max_patterns: int = 20_000) -> DataFrame:
+def mix_sources(df: DataFrame, keep: list[str], id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (1, 2, 3), share: float = 1.0, max_repeat: int = 3, seed: str = "mix-1", max_sources: int = 10_000, max_patterns: int = 20_000, max_broadcast_rows: int = 200_000) -> DataFrame:
     """The kept columns, size, source_size, target, copies and taken (size * copies) of every row.
 
     source_col holds one source or an array of them; a document of several may serve any. Rows of one pattern are
@@ -144,6 +144,8 @@ def mix_sources(df: DataFrame, keep: list[str], id_col: str = "doc_id", text_col
     at_edge = sized.where("__b = __edge").groupBy("__pat", "__at", "before", "rest").agg(F.sum("size").alias("n"))
     at_edge = at_edge.withColumn("upto", F.col("before") + F.sum("n").over(Window.partitionBy("__pat").orderBy("__at")))
     picked = at_edge.where(F.col("upto") - F.col("n") / 2 <= F.col("rest")).select("__pat", "__at", F.lit(1).alias("__in"))
+    picked = shared.put(picked, "picked")
+    picked = F.broadcast(picked) if picked.count() <= max_broadcast_rows else picked  # else rows are shuffled with what is kept of them
     done = sized.join(picked, ["__pat", "__at"], "left")
     copies = F.col("full") + F.when(F.col("__b") < F.col("__edge"), 1).when((F.col("__b") == F.col("__edge")) & F.col("__in").isNotNull(), 1).otherwise(0)
     return done.withColumn("copies", F.when(F.col("rest") > 0, copies).otherwise(F.col("full")).cast("long")).select(*keep, "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
