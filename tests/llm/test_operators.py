@@ -105,6 +105,8 @@ def test_mix(tricky, docs):
     got = mixing.mix_sources(tricky, ["doc_id", "source"]).cache()
     again = mixing.mix_sources(tricky.repartition(2), ["doc_id", "source"])
     assert by_id(got, "doc_id", "taken") == by_id(again, "doc_id", "taken")
+    shuffled = mixing.mix_sources(tricky, ["doc_id", "source"], max_broadcast_rows=0)
+    assert by_id(got, "doc_id", "taken") == by_id(shuffled, "doc_id", "taken")
     size = {i: len(brute.SPACED.findall(t or "")) for i, t in docs}
     rows = got.collect()
     assert {r.doc_id: r["size"] for r in rows} == size
@@ -314,6 +316,8 @@ def test_leaks(tricky, docs, spark):
     clean = clean_documents(tricky, bench)
     assert sorted(r.doc_id for r in clean.select("doc_id").collect()) == [i for i, w in sorted(want.items()) if not w[4]]
     assert clean.columns == tricky.columns
+    shuffled = clean_documents(tricky, bench, max_broadcast_rows=0)
+    assert sorted(r.doc_id for r in shuffled.select("doc_id").collect()) == sorted(r.doc_id for r in clean.select("doc_id").collect())
     none = by_id(decontaminate(tricky, bench.where("false")), "doc_id", *cols)
     assert all(v[1:3] == (0, 0) and not v[4] for v in none.values())
 
