@@ -1,8 +1,12 @@
 """LM scoring: prediction by partial matching over bytes, with escape estimation and symbol exclusion, and a word unigram base.
 
-The byte trie of order 3 is learned from all training rows. Its alphabet is the 62 commonest bytes, "other" and the end
-of a text, so it has at most 64**4 nodes whatever the input; it is flattened into one table of log probabilities, which
-is what is broadcast. A byte of "other" is told apart by its share of those.
+The byte trie is learned from all training rows, to order 5 unless told otherwise. Its alphabet is the 62 commonest
+bytes, "other" and the end of a text; a byte of "other" is told apart by its share of those. Orders to 3 have at most
+64**4 nodes whatever the input, and are flattened into one table. Those above grow with the input, and are tables of
+grams: the commonest are broadcast, the places of all others are joined with them by shuffle.
+
+Above order 3, a symbol seen after a context has n / (all + kinds). Any other has the escape, kinds / (all + kinds),
+times its probability one order below, divided by what that order leaves to symbols not seen after the context.
 """
 
 from __future__ import annotations
@@ -11,14 +15,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Shared, columns_of
 from .words import LOWER, SPACED, U, Slice, mix, text_slices
 
-A, ORDER = 64, 3
+A, BITS, ORDER = 64, 6, 3
 OTHER, END = A - 2, A - 1
 END_TOKEN = int(mix(np.array([0x454E44], U)).astype(np.int64)[0])
 
@@ -77,34 +81,93 @@ def count_words(df: DataFrame, flush_at: int = 2_000_000) -> DataFrame:
     return df.mapInArrow(run, "kind int, key long, n long").where("n > 0")
 
 
-def codes(s: Slice, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Context and symbol of each byte and of the end of each row, as one number below A**4, and the rows' bounds in them."""
+def codes(s: Slice, classes: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """Context and symbol of each byte and of the end of each row, as one number below A**(order + 1), and the rows' bounds in them."""
     lens = np.diff(s.offs)
-    n = len(s.data) + 3 * (s.rows + 1)
-    arr = np.full(n, END, np.int32)
-    at = np.arange(len(s.data)) + np.repeat(3 * (np.arange(s.rows) + 1), lens)
+    n = len(s.data) + order * (s.rows + 1)
+    arr = np.full(n, END, np.int64)
+    at = np.arange(len(s.data)) + np.repeat(order * (np.arange(s.rows) + 1), lens)
     arr[at] = classes[s.data]
-    full = ((arr[:-3] * A + arr[1:-2]) * A + arr[2:-1]) * A + arr[3:]
-    keep = np.ones(len(full), bool)  # but for the two further ends after each row, which are padding
-    stops = s.offs[1:] + 3 * np.arange(s.rows)
-    keep[stops + 1] = keep[stops + 2] = False
+    full = arr[: n - order].copy()
+    for j in range(1, order + 1):
+        full *= A
+        full += arr[j : n - order + j]
+    keep = np.ones(len(full), bool)  # but for the further ends after each row, which are padding
+    stops = s.offs[1:] + order * np.arange(s.rows)
+    for j in range(1, order):
+        keep[stops + j] = False
     return full[keep], s.offs + np.arange(s.rows + 1)
 
 
-def count_grams(df: DataFrame, classes: np.ndarray) -> DataFrame:
-    """(gram, n) of (t): how often each symbol follows its three before."""
+def count_grams(df: DataFrame, classes: np.ndarray, order: int, flush_at: int = 1_500_000) -> DataFrame:
+    """(gram, n) of (t): how often each symbol follows the ones before it, in parts that are yet to be added up."""
 
     def run(batches):
-        total = np.zeros(A**4, np.int32)
+        grams = Tally(1_000_000)
+
+        def parts():
+            k, n = grams.flush()
+            for lo in range(0, len(k), 200_000):
+                yield pa.RecordBatch.from_arrays([pa.array(k[lo : lo + 200_000], pa.int64()), pa.array(n[lo : lo + 200_000], pa.int64())], names=["gram", "n"])
+
         for batch in batches:
             for s in text_slices(columns_of(batch, ["t"])[0]):
-                got = np.sort(codes(s, classes)[0])  # sorting a slice takes no table as large as the alphabet's
-                first = np.flatnonzero(np.concatenate(([True], got[1:] != got[:-1])))
-                total[got[first]] += np.diff(np.append(first, len(got))).astype(np.int32)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], names=["gram", "n"])
+                grams.add(codes(s, classes, order)[0])
+                if grams.size > flush_at:
+                    yield from parts()
+        yield from parts()
+
+    return df.mapInArrow(run, "gram long, n long")
+
+
+def seen_shares(grams: DataFrame, contexts: DataFrame) -> DataFrame:
+    """(gram, n, den, lp) of the grams of one order: counts, and log10 probability where the symbol was seen after its context."""
+    both = grams.withColumn("ctx", F.shiftright("gram", BITS)).join(contexts.select("ctx", "den"), "ctx")
+    return both.select("gram", "n", "den", F.log10(F.col("n") / F.col("den")).alias("lp"))
+
+
+def contexts_of(grams: DataFrame) -> DataFrame:
+    """(ctx, den, kinds, seen): the divisor of its counts, how many symbols follow it, and which, as bits."""
+    by_ctx = grams.groupBy(F.shiftright("gram", BITS).alias("ctx")).agg(F.sum("n").alias("tot"), F.count("*").alias("kinds"), F.bit_or(F.expr(f"shiftleft(1L, cast(gram & {A - 1} as int))")).alias("seen"))
+    return by_ctx.select("ctx", (F.col("tot") + F.when(F.col("kinds") < A, F.col("kinds")).otherwise(0)).alias("den"), "kinds", "seen")  # none left to escape to
+
+
+def dense_rest(contexts: DataFrame, table: Broadcast) -> DataFrame:
+    """(ctx, rest) of order 4: what the order below, table, leaves to symbols not seen after the context."""
+
+    def run(batches):
+        for batch in batches:
+            ctx, seen = (c.to_numpy() for c in columns_of(batch, ["ctx", "seen"]))
+            below = table.value.reshape(-1, A)[ctx % A**ORDER]
+            free = (seen[:, None] >> np.arange(A)) & 1 == 0
+            yield pa.RecordBatch.from_arrays([pa.array(ctx), pa.array((10.0 ** below.astype(float) * free).sum(1))], names=["ctx", "rest"])
+
+    return contexts.select("ctx", "seen").mapInArrow(run, "ctx long, rest double")
+
+
+def rest_below(grams: DataFrame, below: DataFrame, order: int) -> DataFrame:
+    """(ctx, rest) of an order above 4, from the shares of the order below it."""
+    low = below.select(F.col("gram").alias("low"), F.col("n").alias("m"), F.col("den").alias("d"))
+    met = grams.withColumn("low", F.col("gram").bitwiseAND(A**order - 1)).join(low, "low")
+    return met.groupBy(F.shiftright("gram", BITS).alias("ctx")).agg(((F.max("d") - F.sum("m")) / F.max("d")).alias("rest"))
+
+
+def escapes(contexts: DataFrame, rest: DataFrame) -> DataFrame:
+    """(ctx, esc): log10 of what a context's escape multiplies the order below by."""
+    value = F.col("kinds") / F.col("den") / F.greatest("rest", F.lit(1e-30))
+    return contexts.join(rest, "ctx").select("ctx", F.log10(value).alias("esc"))
 
-    return df.mapInArrow(run, "gram int, n long")
+
+def most_frequent(counts: DataFrame, most: int) -> Column:
+    """Whether n reaches the least count, rounded down to a power of 2**(1/8), that at most so many rows reach."""
+    step = F.floor(F.log2("n") * 8).cast("int")
+    levels = sorted(((r.b, r.m) for r in counts.groupBy(step.alias("b")).agg(F.count("*").alias("m")).collect()), reverse=True)
+    room, least = most, 10**6
+    for b, m in levels:
+        if m > room:
+            break
+        room, least = room - m, b
+    return step >= least
 
 
 def flatten(grams: np.ndarray, counts: np.ndarray, block: int = 8192) -> np.ndarray:
@@ -135,11 +198,53 @@ def flatten(grams: np.ndarray, counts: np.ndarray, block: int = 8192) -> np.ndar
     return out.ravel()
 
 
+@dataclass
+class Trie:
+    dense: Broadcast  # log10 probabilities of order 3
+    shares: dict[int, DataFrame]  # seen_shares of each order above
+    escape: dict[int, DataFrame]  # and escapes
+    order: int
+
+    def values(self, grams: DataFrame) -> DataFrame:
+        """(gram, value): log10 probability of the last symbol of each distinct gram, whether or not it was seen."""
+        dense = self.dense
+
+        def lowest(batches):
+            for batch in batches:
+                g = columns_of(batch, ["gram"])[0].to_numpy()
+                yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(dense.value[g % A ** (ORDER + 1)], pa.float64())], names=["gram", "value"])
+
+        out = grams.select("gram").mapInArrow(lowest, "gram long, value double")
+        for k in range(ORDER + 1, self.order + 1):
+            out = out.withColumn("low", F.col("gram").bitwiseAND(A ** (k + 1) - 1)).withColumn("ctx", F.shiftright("low", BITS))
+            out = out.join(self.shares[k].select(F.col("gram").alias("low"), "lp"), "low", "left").join(self.escape[k], "ctx", "left")
+            out = out.select("gram", F.coalesce("lp", F.col("value") + F.coalesce("esc", F.lit(0.0))).alias("value"))
+        return out
+
+
+def learn(shared: Shared, counts: DataFrame, order: int) -> Trie:
+    """The trie from parts of the counts of its longest grams, (gram, n)."""
+    summed = lambda df, k: df.groupBy(F.col("gram").bitwiseAND(A ** (k + 1) - 1).alias("gram")).agg(F.sum("n").alias("n"))
+    grams = {order: shared.put(summed(counts, order), f"grams-{order}")}
+    for k in range(order - 1, ORDER, -1):
+        grams[k] = shared.put(summed(grams[k + 1], k), f"grams-{k}")
+    low = summed(grams[ORDER + 1], ORDER).toArrow()  # 64**4 rows at most
+    dense = shared.spark.sparkContext.broadcast(flatten(low.column("gram").to_numpy(), low.column("n").to_numpy()))
+    trie = Trie(dense, {}, {}, order)
+    for k in range(ORDER + 1, order + 1):
+        ctx = shared.put(contexts_of(grams[k]), f"contexts-{k}")
+        trie.shares[k] = shared.put(seen_shares(grams[k], ctx), f"shares-{k}")
+        rest = dense_rest(ctx, dense) if k == ORDER + 1 else rest_below(grams[k], trie.shares[k - 1], k)
+        trie.escape[k] = shared.put(escapes(ctx, rest), f"escapes-{k}")
+    return trie
+
+
 @dataclass
 class Model:
     classes: np.ndarray  # byte to symbol
     within: np.ndarray  # log10 share of a byte in its symbol
-    table: np.ndarray
+    grams: np.ndarray  # the common grams, sorted
+    shares: np.ndarray  # and their log10 probabilities
     known: np.ndarray  # sorted hashes of the common words
     counts: np.ndarray
     start: np.ndarray  # where each 20-bit prefix begins in known
@@ -160,6 +265,15 @@ class Model:
             live, at, end, want = live[go], at[go] + 1, end[go], want[go]
         return out
 
+    def gram_shares(self, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Log10 probabilities of the grams in the common table, 0 for others, and which are in it."""
+        kinds, which = np.unique(g, return_inverse=True)
+        at = np.searchsorted(self.grams, kinds)
+        at[at == len(self.grams)] = 0
+        hit = self.grams[at] == kinds if len(self.grams) else np.zeros(len(kinds), bool)
+        value = np.where(hit, self.shares[at], 0.0) if len(self.grams) else np.zeros(len(kinds))
+        return value[which], hit[which]
+
     def base(self, c: np.ndarray) -> np.ndarray:
         return np.log10((c + 0.1) / (self.tokens + 0.1 * (self.kinds + 1)))
 
@@ -175,11 +289,12 @@ def alphabet(by_byte: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return classes, within
 
 
-def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_common: int = 500_000) -> DataFrame:
+def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_common: int = 500_000, order: int = 5, max_grams: int = 1_500_000) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row; learns from rows that aren't held out.
 
-    Word counts cover all training rows. The most frequent words, at most max_common, are broadcast; the places of all
-    others are joined with their counts by shuffle, so nothing is left out. Null and empty texts have the end alone;
+    Counts of words and grams cover all training rows. The most frequent words and grams, at most max_common and
+    max_grams, are broadcast; the places of all others are joined with the rest by shuffle, so nothing is left out and
+    neither bound alters a result. order is 4 to 9. Null and empty texts have the end alone;
     with nothing to learn from, all counts are 0 and the base score falls back on its constant; repeated rows each give
     a row; an empty table gives an empty result.
     """
@@ -193,24 +308,16 @@ def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     for r in tally.where("kind = 1").collect():  # 256 at most
         by_byte[r.key] = r.n
     classes, within = alphabet(by_byte)
-    grams = count_grams(train, classes).groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
-    table = flatten(grams.column("gram").to_numpy(), grams.column("n").to_numpy())
-    # The least count that at most max_common words reach, from counts rounded down to powers of 2**(1/8).
-    step = F.floor(F.log2("n") * 8).cast("int")
-    levels = sorted(((r.b, r.m) for r in words.groupBy(step.alias("b")).agg(F.count("*").alias("m")).collect()), reverse=True)
-    room, least = max_common, 10**6
-    for b, m in levels:
-        if m > room:
-            break
-        room, least = room - m, b
-    often = (step >= least) | (F.col("key") == END_TOKEN)
+    trie = learn(shared, count_grams(train, classes, order), order)
+    top = trie.shares[order].where(most_frequent(trie.shares[order], max_grams)).select("gram", "lp").sort("gram").toArrow()
+    often = most_frequent(words, max_common) | (F.col("key") == END_TOKEN)
     common = words.where(often).select("key", "n").toArrow()
     keys = common.column("key").to_numpy().astype(U)
-    order = np.argsort(keys)
-    keys = keys[order]
+    by_key = np.argsort(keys)
+    keys = keys[by_key]
     start = np.searchsorted(keys, np.arange(2**20 + 1, dtype=U) << U(44)) if len(keys) else np.zeros(2**20 + 1, np.int64)
     start[-1] = len(keys)
-    model = spark.sparkContext.broadcast(Model(classes, within.astype(np.float32), table, keys, common.column("n").to_numpy()[order], start.astype(np.int32), int(total), int(kinds)))
+    model = spark.sparkContext.broadcast(Model(classes, within.astype(np.float32), top.column("gram").to_numpy(), top.column("lp").to_numpy(), keys, common.column("n").to_numpy()[by_key], start.astype(np.int32), int(total), int(kinds)))
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches):
@@ -219,7 +326,7 @@ def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
         for batch in batches:
             ids, helds, texts = columns_of(batch, ["id", "held", "t"])
             out: dict[str, list] = {k: [] for k in ("n_tokens", "n_known", "base", "score")}
-            tails, tail_n = [], []
+            tails, tail_n, novel, novel_n = [], [], [], []
             for s in text_slices(texts):
                 h = s.split(SPACED).hashes(lower=True)
                 c = m.lookup(h)
@@ -232,21 +339,26 @@ def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
                 out["base"].append(sums(np.where(found, m.base(np.maximum(c, 0)), 0.0)) + m.base(np.array([ends]))[0])
                 tails.append(h[~found].astype(np.int64))
                 tail_n.append(s.counts - n_found)
-                g, bounds = codes(s, m.classes)
-                bits = np.concatenate(([0.0], np.cumsum(m.table[g], dtype=float)))
+                g, bounds = codes(s, m.classes, order)
+                value, hit = m.gram_shares(g)
+                bits = np.concatenate(([0.0], np.cumsum(value)))
+                novel.append(g[~hit])
+                novel_n.append(np.diff(np.concatenate(([0], np.cumsum(~hit)))[bounds]))
                 rest = np.concatenate(([0.0], np.cumsum(m.within[s.data], dtype=float)))
                 out["score"].append(np.diff(bits[bounds]) + np.diff(rest[s.offs]))
             cat = lambda x, t: np.concatenate(x).astype(t) if x else np.zeros(0, t)
-            offs = np.concatenate(([0], np.cumsum(cat(tail_n, np.int64)))).astype(np.int32)
-            tail = pa.ListArray.from_arrays(pa.array(offs), pa.array(cat(tails, np.int64)))
+            lists = lambda x, k: pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(cat(k, np.int64)))).astype(np.int32)), pa.array(cat(x, np.int64)))
             n = batch.num_rows
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + n), pa.int64()), ids, helds, *(pa.array(cat(out[k], np.int64)) for k in ("n_tokens", "n_known")), *(pa.array(cat(out[k], float)) for k in ("base", "score")), tail], names=["row", "id", "held", "n_tokens", "n_known", "base", "score", "tail"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + n), pa.int64()), ids, helds, *(pa.array(cat(out[k], np.int64)) for k in ("n_tokens", "n_known")), *(pa.array(cat(out[k], float)) for k in ("base", "score")), lists(tails, tail_n), lists(novel, novel_n)], names=["row", "id", "held", "n_tokens", "n_known", "base", "score", "tail", "novel"])
             row += n
 
-    rows = shared.put(src.mapInArrow(run, f"row long, id {kind}, held boolean, n_tokens long, n_known long, base double, score double, tail array<long>"), "rows")
+    rows = shared.put(src.mapInArrow(run, f"row long, id {kind}, held boolean, n_tokens long, n_known long, base double, score double, tail array<long>, novel array<long>"), "rows")
     rare = words.where(~often).select("key", "n")
     tail = rows.select("row", F.explode("tail").alias("key")).join(rare, "key", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     cost = F.log10((F.col("n") + 0.1) / F.lit(float(total) + 0.1 * (kinds + 1)))
     tail = tail.groupBy("row").agg(F.sum(cost).alias("more"), F.sum(F.when(F.col("n") > 0, 1).otherwise(0)).alias("known"))
-    out = rows.drop("tail").join(tail, "row", "left")
-    return out.select(F.col("id").alias(id_col), F.col("held").alias("held_out"), "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), "score")
+    novel = rows.select("row", F.explode("novel").alias("gram"))
+    value = shared.put(trie.values(novel.select("gram").distinct()), "values")
+    novel = novel.join(value, "gram").groupBy("row").agg(F.sum("value").alias("bits"))
+    out = rows.drop("tail", "novel").join(tail, "row", "left").join(novel, "row", "left")
+    return out.select(F.col("id").alias(id_col), F.col("held").alias("held_out"), "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), (F.col("score") + F.coalesce("bits", F.lit(0.0))).alias("score"))

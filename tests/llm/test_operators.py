@@ -1,5 +1,6 @@
 """Operators against plain Python on tricky tables, and on a small table of the driver's."""
 
+import collections
 import glob
 import os
 import random
@@ -230,11 +231,31 @@ def test_spans(tricky, docs):
 def test_ppm(tricky, docs):
     got = ppm.score_texts(tricky).cache()
     same(by_id(got, "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score"), brute.unigram(docs))
-    few = ppm.score_texts(tricky, max_common=3)
+    few = ppm.score_texts(tricky, max_common=3, max_grams=40)
     same(by_id(few, "doc_id", "n_tokens", "n_known", "base_score", "score"), by_id(got, "doc_id", "n_tokens", "n_known", "base_score", "score"))
     assert got.where("score > 0 or isnan(score)").count() == 0
 
 
+def test_ppm_scores(tricky, docs):
+    """Every score is the sum that a plain trie gives, at three orders."""
+    for order in (4, 5, 7):
+        got = by_id(ppm.score_texts(tricky, order=order, max_grams=200), "doc_id", "score")
+        same(got, brute.ppm(docs, order))
+
+
+def test_ppm_orders(spark):
+    """Above the dense orders too, each context's probabilities add up to one."""
+    rng = np.random.RandomState(1)
+    counts = collections.Counter(int(g) for g in rng.choice([0, 1, 2, 9, 63], (4000, 7)) @ ppm.A ** np.arange(7))
+    trie = ppm.learn(ppm.Shared(spark), spark.createDataFrame(list(counts.items()), "gram long, n long"), 6)
+    contexts = [*{g // ppm.A for g in list(counts)[:20]}, 5, ppm.A**6 - 1, ppm.A**5 + 1]
+    grams = spark.createDataFrame([(c * ppm.A + s,) for c in contexts for s in range(ppm.A)], "gram long")
+    total = collections.Counter()
+    for r in trie.values(grams).collect():
+        total[r.gram // ppm.A] += 10.0**r.value
+    assert len(total) == len(contexts) and np.allclose(list(total.values()), 1, atol=1e-4)
+
+
 def test_ppm_probabilities():
     """Each context's probabilities add up to one, and follow the definition for a context worked by hand."""
     rng = np.random.RandomState(0)
