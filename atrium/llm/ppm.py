@@ -1,11 +1,11 @@
 """LM scoring: prediction by partial matching over bytes, with escape estimation and symbol exclusion, and a word unigram base.
 
 The byte trie is learned from all training rows, to order 5 unless told otherwise. Its alphabet is the 62 commonest
-bytes, "other" and the end of a text; a byte of "other" is told apart by its share of those. Orders to 3 have at most
-64**4 nodes whatever the input, and are flattened into one table. Those above grow with the input, and are tables of
+bytes, "other" and the end of a text; a byte of "other" is told apart by its share of those. Orders to 2 have at most
+64**3 nodes whatever the input, and are flattened into one table. Those above grow with the input, and are tables of
 grams: the commonest are broadcast, the places of all others are joined with them by shuffle.
 
-Above order 3, a symbol seen after a context has n / (all + kinds). Any other has the escape, kinds / (all + kinds),
+Above order 2, a symbol seen after a context has n / (all + kinds). Any other has the escape, kinds / (all + kinds),
 times its probability one order below, divided by what that order leaves to symbols not seen after the context.
 """
 
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import Shared, columns_of
 from .words import LOWER, SPACED, U, Slice, mix, text_slices
 
-A, BITS, ORDER = 64, 6, 3
+A, BITS, ORDER = 64, 6, 2  # symbols, their bits, and the order up to which the trie is one table
 OTHER, END = A - 2, A - 1
 END_TOKEN = int(mix(np.array([0x454E44], U)).astype(np.int64)[0])
 
@@ -133,7 +133,7 @@ def contexts_of(grams: DataFrame) -> DataFrame:
 
 
 def dense_rest(contexts: DataFrame, table: Broadcast) -> DataFrame:
-    """(ctx, rest) of order 4: what the order below, table, leaves to symbols not seen after the context."""
+    """(ctx, rest) of the first order above the dense table: what that leaves to symbols not seen after the context."""
 
     def run(batches):
         for batch in batches:
@@ -146,7 +146,7 @@ def dense_rest(contexts: DataFrame, table: Broadcast) -> DataFrame:
 
 
 def rest_below(grams: DataFrame, below: DataFrame, order: int) -> DataFrame:
-    """(ctx, rest) of an order above 4, from the shares of the order below it."""
+    """(ctx, rest) of a further order, from the shares of the order below it."""
     low = below.select(F.col("gram").alias("low"), F.col("n").alias("m"), F.col("den").alias("d"))
     met = grams.withColumn("low", F.col("gram").bitwiseAND(A**order - 1)).join(low, "low")
     return met.groupBy(F.shiftright("gram", BITS).alias("ctx")).agg(((F.max("d") - F.sum("m")) / F.max("d")).alias("rest"))
@@ -170,15 +170,16 @@ def most_frequent(counts: DataFrame, most: int) -> Column:
     return step >= least
 
 
-def flatten(grams: np.ndarray, counts: np.ndarray, block: int = 8192) -> np.ndarray:
-    """log10 probability of each symbol after each context, by PPM with escape method C and exclusion, as float32 [A**4]."""
-    top = np.zeros(A**4, np.float32)
+def flatten(grams: np.ndarray, counts: np.ndarray, order: int = 3, block: int = 8192) -> np.ndarray:
+    """log10 probability of each symbol after each context, by PPM with escape method C and exclusion, as float32 [A**(order + 1)]."""
+    top = np.zeros(A ** (order + 1), np.float32)
     top[grams] = counts
     orders = [top.reshape(-1, A)]
-    for _ in range(ORDER):
+    for _ in range(order):
         orders.append(orders[-1].reshape(A, -1, A).sum(0, dtype=float))
-    out = np.empty((A**3, A), np.float32)
-    for lo in range(0, A**3, block):
+    out = np.empty((A**order, A), np.float32)
+    block = min(block, A**order)
+    for lo in range(0, A**order, block):
         ctx = np.arange(lo, lo + block)
         p = np.zeros((block, A))
         left = np.ones(block)
@@ -200,7 +201,7 @@ def flatten(grams: np.ndarray, counts: np.ndarray, block: int = 8192) -> np.ndar
 
 @dataclass
 class Trie:
-    dense: Broadcast  # log10 probabilities of order 3
+    dense: Broadcast  # log10 probabilities of the lowest orders
     shares: dict[int, DataFrame]  # seen_shares of each order above
     escape: dict[int, DataFrame]  # and escapes
     order: int
@@ -228,8 +229,8 @@ def learn(shared: Shared, counts: DataFrame, order: int) -> Trie:
     grams = {order: shared.put(summed(counts, order), f"grams-{order}")}
     for k in range(order - 1, ORDER, -1):
         grams[k] = shared.put(summed(grams[k + 1], k), f"grams-{k}")
-    low = summed(grams[ORDER + 1], ORDER).toArrow()  # 64**4 rows at most
-    dense = shared.spark.sparkContext.broadcast(flatten(low.column("gram").to_numpy(), low.column("n").to_numpy()))
+    low = summed(grams[ORDER + 1], ORDER).toArrow()  # 64**3 rows at most
+    dense = shared.spark.sparkContext.broadcast(flatten(low.column("gram").to_numpy(), low.column("n").to_numpy(), ORDER))
     trie = Trie(dense, {}, {}, order)
     for k in range(ORDER + 1, order + 1):
         ctx = shared.put(contexts_of(grams[k]), f"contexts-{k}")
@@ -271,7 +272,7 @@ class Model:
         at = np.searchsorted(self.grams, kinds)
         at[at == len(self.grams)] = 0
         hit = self.grams[at] == kinds if len(self.grams) else np.zeros(len(kinds), bool)
-        value = np.where(hit, self.shares[at], 0.0) if len(self.grams) else np.zeros(len(kinds))
+        value = np.where(hit, self.shares[at].astype(float), 0.0) if len(self.grams) else np.zeros(len(kinds))
         return value[which], hit[which]
 
     def base(self, c: np.ndarray) -> np.ndarray:
@@ -294,7 +295,7 @@ def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
 
     Counts of words and grams cover all training rows. The most frequent words and grams, at most max_common and
     max_grams, are broadcast; the places of all others are joined with the rest by shuffle, so nothing is left out and
-    neither bound alters a result. order is 4 to 9. Null and empty texts have the end alone;
+    neither bound alters a result. order is 3 to 9. Null and empty texts have the end alone;
     with nothing to learn from, all counts are 0 and the base score falls back on its constant; repeated rows each give
     a row; an empty table gives an empty result.
     """
@@ -317,7 +318,7 @@ def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     keys = keys[by_key]
     start = np.searchsorted(keys, np.arange(2**20 + 1, dtype=U) << U(44)) if len(keys) else np.zeros(2**20 + 1, np.int64)
     start[-1] = len(keys)
-    model = spark.sparkContext.broadcast(Model(classes, within.astype(np.float32), top.column("gram").to_numpy(), top.column("lp").to_numpy(), keys, common.column("n").to_numpy()[by_key], start.astype(np.int32), int(total), int(kinds)))
+    model = spark.sparkContext.broadcast(Model(classes, within.astype(np.float32), top.column("gram").to_numpy(), top.column("lp").to_numpy().astype(np.float32), keys, common.column("n").to_numpy()[by_key], start.astype(np.int32), int(total), int(kinds)))
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches):

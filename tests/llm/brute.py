@@ -112,7 +112,7 @@ def unigram(rows):
     return {i: (held[i], len(w), sum(c[x] > 0 for x in w), n, sum(math.log10((c[x] + 0.1) / (n + 0.1 * (v + 1))) for x in w)) for i, w in toks.items()}
 
 
-def ppm(rows, order, size=64, dense=3):
+def ppm(rows, order, size=64, dense=2):
     """log10 probability of each text by a trie in dictionaries."""
     body = {i: low(t).encode() for i, t in rows}
     train = [b for i, b in body.items() if zlib.crc32(str(i).encode()) % 10]
