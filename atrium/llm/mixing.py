@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import heapq
-from itertools import count
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -47,54 +46,75 @@ def targets(sizes: list[int], weights: list[float], total: float, cap: float) ->
 def min_cost_flow(supply: list[int], members: list[list[int]], quota: list[int], passes: int) -> dict[tuple[int, int], int]:
     """Words routed from each pattern to each of its sources, up to the quotas, at least cost.
 
-    The k-th pass over a pattern's words costs k, so repetition is spread before it is deepened. Successive shortest
-    paths with potentials; the graph has a node per pattern and source, whatever the number of documents.
+    The k-th pass over a pattern's words costs k, so repetition is spread before it is deepened. Only the start's edges
+    cost anything, so the cheapest path is one of the lowest pass: passes are opened one by one, and each is filled by
+    blocking flows over shortest paths. The graph has a node per pattern and source, whatever the number of documents.
     """
-    n_p, n_s = len(supply), len(quota)
-    start, end, n = n_p + n_s, n_p + n_s + 1, n_p + n_s + 2
-    to, cap, cost, adj = [], [], [], [[] for _ in range(n)]
-
-    def edge(a: int, b: int, c: int, w: int) -> int:
-        for x, y, z, v in ((a, b, c, w), (b, a, 0, -w)):
-            adj[x].append(len(to))
-            to.append(y), cap.append(z), cost.append(v)
-        return len(to) - 2
-
-    links = {}
-    for p in range(n_p):
-        for k in range(1, passes + 1):
-            edge(start, p, supply[p], k)
-        for s in members[p]:
-            links[p, s] = edge(p, n_p + s, supply[p] * passes, 0)
-    for s in range(n_s):
-        edge(n_p + s, end, quota[s], 0)
-    potential = [0] * n
-    while True:
-        dist, via, tick = [None] * n, [-1] * n, count()
-        dist[start] = 0
-        heap = [(0, next(tick), start)]
-        while heap:
-            d, _, v = heapq.heappop(heap)
-            if d > dist[v]:
-                continue
-            for e in adj[v]:
-                if cap[e] and (dist[to[e]] is None or d + cost[e] + potential[v] - potential[to[e]] < dist[to[e]]):
-                    dist[to[e]], via[to[e]] = d + cost[e] + potential[v] - potential[to[e]], e
-                    heapq.heappush(heap, (dist[to[e]], next(tick), to[e]))
-        if dist[end] is None:
-            break
-        for v in range(n):
-            potential[v] += dist[v] if dist[v] is not None else dist[end]
-        v, room = end, None
-        while v != start:
-            room = cap[via[v]] if room is None else min(room, cap[via[v]])
-            v = to[via[v] ^ 1]
-        v = end
-        while v != start:
-            cap[via[v]] -= room
-            cap[via[v] ^ 1] += room
-            v = to[via[v] ^ 1]
-    return {k: cap[e + 1] for k, e in links.items() if cap[e + 1]}
+    n_p = len(supply)
+    holders: list[list[int]] = [[] for _ in quota]
+    for p, own in enumerate(members):
+        for s in own:
+            holders[s].append(p)
+    flow = {(p, s): 0 for p, own in enumerate(members) for s in own}
+    room, left = [0] * n_p, list(quota)
+
+    def beside(v: int) -> list[int]:
+        return [n_p + s for s in members[v]] if v < n_p else holders[v - n_p]
+
+    def fill() -> bool:
+        """One blocking flow; False if no path is left."""
+        depth = [-1] * (n_p + len(quota))
+        layer = [p for p in range(n_p) if room[p]]
+        for p in layer:
+            depth[p] = 0
+        roots, near = layer, False
+        while layer and not near:
+            after = []
+            for v in layer:
+                for w in beside(v):
+                    if depth[w] < 0 and (v < n_p or flow[w, v - n_p]):  # back over what a pattern has sent
+                        depth[w] = depth[v] + 1
+                        after.append(w)
+                        near |= w >= n_p and left[w - n_p] > 0
+            layer = after
+        if not near:
+            return False
+        edges: dict[int, list[int]] = {}
+        place = [0] * len(depth)
+        for root in roots:
+            path = [root]
+            while path and room[root]:
+                v = path[-1]
+                if v >= n_p and left[v - n_p]:
+                    steps = list(zip(path, path[1:], strict=False))
+                    push = min(room[root], left[v - n_p], *(flow[w, u - n_p] for u, w in steps if u >= n_p))
+                    for u, w in steps:
+                        if u < n_p:
+                            flow[u, w - n_p] += push
+                        else:
+                            flow[w, u - n_p] -= push
+                    room[root] -= push
+                    left[v - n_p] -= push
+                    path = [root]
+                    continue
+                if v not in edges:
+                    edges[v] = beside(v)
+                out = edges[v]
+                while place[v] < len(out) and not (depth[out[place[v]]] == depth[v] + 1 and (v < n_p or flow[out[place[v]], v - n_p])):
+                    place[v] += 1
+                if place[v] < len(out):
+                    path.append(out[place[v]])
+                else:
+                    path.pop()
+                    if path:
+                        place[path[-1]] += 1
+        return True
+
+    for _ in range(passes):
+        room = [r + n for r, n in zip(room, supply, strict=True)]
+        while fill():
+            pass
+    return {k: f for k, f in flow.items() if f}
 
 
 def mix_sources(df: DataFrame, keep: list[str], id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (1, 2, 3), share: float = 1.0, max_repeat: int = 3, seed: str = "mix-1", max_sources: int = 10_000, max_patterns: int = 20_000, max_broadcast_rows: int = 200_000) -> DataFrame:
@@ -126,9 +146,12 @@ def mix_sources(df: DataFrame, keep: list[str], id_col: str = "doc_id", text_col
     patterns = sized.groupBy("__pat").agg(F.sum("size").alias("n")).collect()
     patterns.sort(key=lambda r: list(r["__pat"]))
     flow = min_cost_flow([int(r.n) for r in patterns], [[index[s] for s in r["__pat"]] for r in patterns], [round(g) for g in goal], max_repeat)
+    routed: Counter[int] = Counter()
+    for (p, _), f in flow.items():
+        routed[p] += f
     plan = []
     for p, r in enumerate(patterns):
-        words = sum(f for (q, _), f in flow.items() if q == p)
+        words = routed[p]
         full, rest = divmod(words, int(r.n)) if r.n else (0, 0)
         first = index[r["__pat"][0]]
         plan.append((list(r["__pat"]), full, rest, sizes[first], goal[first]))

@@ -2,6 +2,7 @@
 
 import collections
 import glob
+import itertools
 import os
 import random
 
@@ -390,3 +391,39 @@ def test_pipeline(spark):
             assert out.columns == pipeline.COLUMNS
             kept = spark.createDataFrame(rows, out.schema)
     assert pipeline.run(spark, DATA).count() == len(rows)
+
+
+def test_flow_is_cheapest():
+    """As many words as any routing, at the least cost, by trying all routings."""
+    rng = random.Random(3)
+    for _ in range(25):
+        supply = [rng.randrange(3) for _ in range(3)]
+        members = [sorted(rng.sample(range(3), rng.choice([1, 2]))) for _ in supply]
+        quota = [rng.randrange(4) for _ in range(3)]
+        links = [(p, s) for p, own in enumerate(members) for s in own]
+
+        def cost(flow, supply=supply):
+            sent = [sum(f for (p, _), f in flow.items() if p == q) for q in range(3)]
+            return sum(k // supply[q] + 1 for q in range(3) for k in range(sent[q]))
+
+        def fits(flow, supply=supply, quota=quota):
+            return all(sum(f for (p, _), f in flow.items() if p == q) <= 2 * supply[q] for q in range(3)) and all(sum(f for (_, s), f in flow.items() if s == q) <= quota[q] for q in range(3))
+
+        tried = [dict(zip(links, f, strict=True)) for f in itertools.product(*(range(min(2 * supply[p], quota[s]) + 1) for p, s in links))]
+        best = min((-sum(f.values()), cost(f)) for f in tried if fits(f))
+        got = mixing.min_cost_flow(supply, members, quota, 2)
+        assert fits(got) and (-sum(got.values()), cost(got)) == best
+
+
+def test_flow_of_many_patterns():
+    rng = random.Random(4)
+    supply = [rng.randrange(1, 10**6) for _ in range(20_000)]
+    members = [sorted(rng.sample(range(300), rng.randrange(1, 5))) for _ in supply]
+    quota = [rng.randrange(sum(supply) // 100) for _ in range(300)]
+    sent = collections.Counter()
+    for (p, s), f in mixing.min_cost_flow(supply, members, quota, 3).items():
+        assert s in members[p] and f > 0
+        sent[p] += f
+        sent["to", s] += f
+    assert all(sent[p] <= 3 * n for p, n in enumerate(supply))
+    assert all(sent["to", s] <= q for s, q in enumerate(quota))
