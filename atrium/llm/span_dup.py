@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from .common import Shared, columns_of
 from .words import SPACED, U, mix, span_hashes, text_slices
 
+_M = 0x9E3779B97F4A7C15
+
 #: A sentence ends with its stops or line breaks and the blanks after them; the last one with the text.
 SENTENCE = re.compile(rb"[^.!?\n]*[.!?\n][.!?\s]*|[^.!?\n]+\Z")
 
@@ -21,10 +23,42 @@ def sentences(data: bytes) -> np.ndarray:
     return np.array([m.end() for m in SENTENCE.finditer(data)], np.int64)
 
 
-def spans_of(data: np.ndarray, run: int, min_words: int, long_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
+def word_begins(data: np.ndarray, by_character: bool) -> np.ndarray:
+    """The bytes that begin a word; if by_character, each Han or Kana character is a word, as no blanks part them."""
+    is_word = SPACED[data]
+    opens = is_word.copy()
+    opens[1:] &= ~is_word[:-1]
+    if not by_character or len(data) < 3:
+        return opens
+    two = data[:-2].astype(np.int32) << 8 | data[1:-1]
+    at = np.flatnonzero((two >= 0xE381) & (two <= 0xE383) | (two >= 0xE390) & (two <= 0xE9BF) & (two != 0xE4B7) | (two >= 0xEFA4) & (two <= 0xEFAB) | (two >= 0xF0A0) & (two <= 0xF0BF))
+    after = at + np.where(data[at] == 0xF0, 4, 3)
+    after = after[after < len(data)]
+    opens[after] |= is_word[after]
+    opens[at] = True
+    return opens
+
+
+def grown(h: np.ndarray, upto: np.ndarray, run: int, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """From each start whose run sentences have too few words, the shortest longer run that has min_words."""
+    n = len(h)
+    at = np.arange(max(0, n - run))
+    at = at[upto[at + run] - upto[at] < min_words]
+    end = np.searchsorted(upto, upto[at] + min_words)
+    at, end = at[end <= n], end[end <= n]
+    if not len(at):
+        return np.zeros(0, U), *(np.zeros(0, np.int64),) * 3
+    down, up = np.full(n, pow(_M, -1, 1 << 64), U), np.full(n, _M, U)
+    down[0] = up[0] = 1
+    total = np.concatenate((np.zeros(1, U), np.cumsum(mix(h) * np.cumprod(down))))
+    return mix((total[end] - total[at]) * np.cumprod(up)[at] + (end - at).astype(U)), at, end - at, upto[end] - upto[at]
+
+
+def spans_of(data: np.ndarray, run: int, min_words: int, long_words: int, grow: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
     """(hash, first sentence, sentences, words) of the spans of one text, and its number of sentences.
 
     A span is run consecutive sentences of min_words in all, or fewer of long_words. Blanks around a sentence don't count.
+    With grow, also the shortest longer runs that reach min_words, and Han and Kana count by characters.
     """
     ends = sentences(data.tobytes())
     n = len(ends)
@@ -37,10 +71,7 @@ def spans_of(data: np.ndarray, run: int, min_words: int, long_words: int) -> tup
     first, last = np.zeros(n, np.int64), np.zeros(n, np.int64)
     first[some], last[some] = solid[lo[some]], solid[hi[some] - 1] + 1
     h = span_hashes(data, first, last)
-    is_word = SPACED[data]
-    opens = is_word.copy()
-    opens[1:] &= ~is_word[:-1]
-    upto = np.concatenate(([0], np.cumsum(opens)))
+    upto = np.concatenate(([0], np.cumsum(word_begins(data, grow))))
     words = upto[ends] - upto[begins]
     out = []
     g, total = h.copy(), words.copy()
@@ -53,15 +84,18 @@ def spans_of(data: np.ndarray, run: int, min_words: int, long_words: int) -> tup
             total = total[:m] + words[size - 1 :]
         at = np.flatnonzero(total >= (min_words if size == run else long_words))
         out.append((g[at], at, np.full(len(at), size), total[at]))
+    if grow:
+        out.append(grown(h, np.concatenate(([0], upto[ends])), run, min_words))
     return *(np.concatenate(x) for x in zip(*out, strict=True)), n
 
 
-def span_dedup(df: DataFrame, keep: list[str], order_col: str = "doc_id", text_col: str = "text", run: int = 3, min_words: int = 8, long_words: int = 30) -> DataFrame:
+def span_dedup(df: DataFrame, keep: list[str], order_col: str = "doc_id", text_col: str = "text", run: int = 3, min_words: int = 8, long_words: int = 30, grow: bool = False) -> DataFrame:
     """The kept columns, text without repeated spans, n_sentences, n_removed and words_removed of every row.
 
     Of equal spans anywhere in the table, the one in the row of least order_col (then the earliest place) is the first;
     sentences that any other one covers go. Counting is a group-by with partial sums, and the places of repeated spans
     are found by a join that adaptive execution can split, so a line that a third of all rows hold is no single task.
+    With grow, passages of short sentences or lines, and of Han and Kana, make spans too: see spans_of().
     Null texts stay null; texts without sentences stay as they are; rows that repeat an order_col value are still
     several rows, and all but one lose their spans; an empty table gives an empty result.
     """
@@ -77,7 +111,7 @@ def span_dedup(df: DataFrame, keep: list[str], order_col: str = "doc_id", text_c
             at: list[int] = []
             for s in text_slices(texts):
                 for r in range(s.rows):
-                    h, i, size, _, _ = spans_of(s.data[s.offs[r] : s.offs[r + 1]], run, min_words, long_words)
+                    h, i, size, _, _ = spans_of(s.data[s.offs[r] : s.offs[r + 1]], run, min_words, long_words, grow)
                     if len(h):
                         pieces.append((h, i, size))
                         at += [s.lo + r] * len(h)
@@ -104,9 +138,11 @@ def span_dedup(df: DataFrame, keep: list[str], order_col: str = "doc_id", text_c
                 body = text.as_py()
                 data = (body or "").encode()
                 ends = sentences(data)
-                drop = np.zeros(len(ends), bool)
+                steps = np.zeros(len(ends) + 1, np.int64)
                 for c in cut.as_py() or ():
-                    drop[c["i"] : c["i"] + c["size"]] = True
+                    steps[c["i"]] += 1
+                    steps[c["i"] + c["size"]] -= 1
+                drop = np.cumsum(steps[:-1]) > 0
                 lost = 0
                 if drop.any():
                     begins = np.concatenate(([0], ends[:-1]))

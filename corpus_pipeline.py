@@ -51,7 +51,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 @stage
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the spans that another document, or an earlier place, has first; n_chars follows."""
-    return span_dedup(docs, COLUMNS).selectExpr("doc_id", "text", "lang", "source", "if(n_removed > 0, cast(char_length(text) as bigint), n_chars) as n_chars")
+    return span_dedup(docs, COLUMNS, grow=True).selectExpr("doc_id", "text", "lang", "source", "if(n_removed > 0, cast(char_length(text) as bigint), n_chars) as n_chars")
 
 
 @stage
