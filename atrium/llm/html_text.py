@@ -16,6 +16,11 @@ BLOCKS = frozenset("address article aside blockquote body caption center dd deta
 SILENT = frozenset("script style noscript template iframe object svg canvas math head title select button textarea datalist nav header footer aside form menu dialog audio video".split())
 RAW = frozenset(("script", "style"))
 HINT = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|nav|navbar|navigation|menu|breadcrumbs?|header|masthead|footer|sidebar|aside|notices?|cookies?|consent|popup|modal|newsletter|subscribe|share|social|related|comments?|disqus|replies|respond|complementary|contentinfo|search)(?=$|[\s_-])", re.I)
+#: Elements that part the body into boxes, and those of them that belong to the text around them unless they are links.
+BOXES = frozenset("center div dl fieldset ol section table ul".split())
+LISTS = frozenset("dl ol table ul".split())
+#: Characters over tags from which a line is plain text; more doesn't raise the level that the body's lines and boxes must reach.
+PLAIN = 100.0
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SPACE = re.compile(r"[\s]+")
 #: An open element of the key is ended by a start of one of these.
@@ -23,15 +28,19 @@ ENDS = {"p": BLOCKS, "li": frozenset(("li",)), "dt": frozenset(("dt", "dd")), "d
 
 
 class Lines(HTMLParser):
-    """Lines of a page, one per block: text, tags met and the region they lie in; text of silent elements is left out."""
+    """Lines of a page, one per block: text, tags met, the region and the box they lie in, characters in links.
+
+    Text of silent elements is left out. boxes holds each one's outer box and tag; box 0 is the body.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, bool, int]] = []
-        self.lines: list[tuple[str, int, int]] = []
+        self.stack: list[tuple[str, bool, int, int, bool]] = []
+        self.lines: list[tuple[str, int, int, int, int]] = []
         self.regions = ["body"]
+        self.boxes = [(0, "body")]
         self.text: list[str] = []
-        self.tags = 0
+        self.tags = self.linked = 0
 
     @property
     def quiet(self) -> bool:
@@ -40,8 +49,8 @@ class Lines(HTMLParser):
     def close_line(self) -> None:
         text = SPACE.sub(" ", "".join(self.text)).strip()
         if text or self.tags:
-            self.lines.append((text, self.tags, self.stack[-1][2] if self.stack else 0))
-        self.text, self.tags = [], 0
+            self.lines.append((text, self.tags, *(self.stack[-1][2:4] if self.stack else (0, 0)), self.linked))
+        self.text, self.tags, self.linked = [], 0, 0
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in BLOCKS:
@@ -53,7 +62,7 @@ class Lines(HTMLParser):
             self.text.append(" ")
         if tag in VOID:
             return
-        region = self.stack[-1][2] if self.stack else 0
+        region, box, link = self.stack[-1][2:] if self.stack else (0, 0, False)
         quiet = self.quiet or tag in SILENT
         if not quiet:
             hidden = tag not in ("html", "body", "article", "main") and any(k in ("class", "id", "role") and v and HINT.search(v) for k, v in attrs)
@@ -61,7 +70,10 @@ class Lines(HTMLParser):
         if not quiet and (tag in ("article", "main") or ("role", "main") in attrs) and self.regions[region] == "body":
             self.regions.append("main")
             region = len(self.regions) - 1
-        self.stack.append((tag, quiet, region))
+        if tag in BOXES:
+            self.boxes.append((box, tag))
+            box = len(self.boxes) - 1
+        self.stack.append((tag, quiet, region, box, link or tag == "a"))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -83,6 +95,8 @@ class Lines(HTMLParser):
     def handle_data(self, data: str) -> None:
         if not self.quiet:
             self.text.append(data)
+            if self.stack and self.stack[-1][4]:
+                self.linked += len(data.strip())
 
 
 def smooth(x: np.ndarray, sigma: float) -> np.ndarray:
@@ -92,12 +106,34 @@ def smooth(x: np.ndarray, sigma: float) -> np.ndarray:
     return np.convolve(np.pad(x, r, mode="edge"), k, "valid") if len(x) else x
 
 
+def clusters(p: Lines, index: list[int], content: np.ndarray, level: float) -> np.ndarray:
+    """Which lines of the body lie in boxes of the high cluster.
+
+    A box, the lines in it but in no inner box, is in it if its characters over its tags reach level and at least half
+    of its characters are in content lines; if none is, the one with most content is. Other lists and tables in such a
+    box stay with it unless most of their characters are links.
+    """
+    lines = [p.lines[i] for i in index]
+    body = np.array([x[2] == 0 for x in lines])
+    box = np.array([x[3] for x in lines])
+    size, tags, linked = (np.bincount(box, np.array(v) * body, len(p.boxes)) for v in zip(*[(len(x[0]), max(1, x[1]), x[4]) for x in lines], strict=True))
+    mass = np.bincount(box, np.array([len(x[0]) for x in lines]) * (body & content), len(p.boxes))
+    high = (size > 0) & (size >= level * tags) & (2 * mass >= size)
+    if mass.any() and not high.any():
+        high[mass.argmax()] = True
+    for i, (outer, tag) in enumerate(p.boxes[1:], 1):  # outer boxes come first
+        high[i] |= tag in LISTS and high[outer] and 2 * linked[i] <= size[i]
+    return body & high[box]
+
+
 def extract(html: str | None, sigma: float = 1.0, cut: float = 1.0) -> str:
     """The main text of one page.
 
     The ratio of a line is its characters over its tags; smoothed ratios above cut standard deviations over nothing
-    (the threshold of the clustering) are content lines. The region, article or main or else the body, that holds most
-    content characters is selected whole, so short blocks in it stay; without any content line all regions count.
+    (the threshold of the clustering) are content lines. Each article or main is a region; the body around them is one
+    too, of which only the boxes in the high cluster count. If a marked region holds most content characters, the marked
+    ones with content are selected whole, so short blocks in them stay; if the body does, its boxes are, with the marked
+    regions that reach the level without their neighbours' help.
     """
     if not html:
         return ""
@@ -105,18 +141,26 @@ def extract(html: str | None, sigma: float = 1.0, cut: float = 1.0) -> str:
     p.feed(html)
     p.close()
     p.close_line()
-    lines = [x for x in p.lines if x[0]]
-    if not lines:
+    index = [i for i, x in enumerate(p.lines) if x[0]]
+    if not index:
         return ""
-    ratio = smooth(np.array([len(t) / max(1, n) for t, n, _ in p.lines]), sigma)[[i for i, x in enumerate(p.lines) if x[0]]]
-    content = ratio >= min(cut * ratio.std(), ratio.max())
-    region = np.array([r for _, _, r in lines])
-    mass = np.bincount(region, np.array([len(t) for t, _, _ in lines]) * content, len(p.regions))
-    if len(p.regions) > 1 and mass[1:].any():
-        mass[0] = 0  # a marked article comes before what stands around it
-    chosen = np.flatnonzero(mass[1:] > 0) + 1 if mass[1:].any() else np.array([0])
-    keep = np.isin(region, chosen)
-    return "\n".join(t for (t, _, _), k in zip(lines, keep, strict=True) if k)
+    lines = [p.lines[i] for i in index]
+    raw = np.array([len(x[0]) / max(1, x[1]) for x in p.lines])
+    ratio = smooth(raw, sigma)[index]
+    capped = smooth(np.minimum(raw, PLAIN), sigma)[index]
+    level = cut * capped.std()
+    region, chars = np.array([x[2] for x in lines]), np.array([len(x[0]) for x in lines])
+    content = np.where(region > 0, ratio >= min(cut * ratio.std(), ratio.max()), capped >= min(level, capped.max()))
+    body = clusters(p, index, content, level)
+    mass = np.bincount(region, chars * content * (body | (region > 0)), len(p.regions))
+    chosen = mass > 0
+    if mass[0] > mass[1:].max(initial=0):
+        tags = np.bincount(region, np.array([max(1, x[1]) for x in lines]), len(p.regions))
+        chosen &= np.bincount(region, chars, len(p.regions)) >= level * tags
+    else:
+        body[:] = False  # the marked regions hold the text
+    keep = body | (chosen[region] & (region > 0))
+    return "\n".join(x[0] for x, k in zip(lines, keep, strict=True) if k)
 
 
 def extract_text(df: DataFrame, keep: list[str], html_col: str = "html", **limits) -> DataFrame:

@@ -351,6 +351,22 @@ def test_html():
     assert len(extract("<article>" + "<p>word</p>" * 30_000 + "</article>").split("\n")) == 30_000
 
 
+def test_html_regions_by_ratio():
+    """Ratios tell boxes apart where no tag or class does, and the body's text isn't lost beside an article card."""
+    text = ["The river rises in the hills above the town and runs for forty miles to the sea.", "In spring it floods the meadows, and the road along its bank is closed for weeks.", "Older people remember when the mill still worked, and its wheel could be heard at night."]
+    links = "<ul>" + "".join(f"<li><a href=x>{w}</a></li>" for w in ("Home", "News", "Sport", "Weather", "Travel")) + "</ul>"
+    main = "<div><h2>River</h2>" + "".join(f"<p>{t}</p>" for t in text) + "<ul><li>mill</li><li>bank</li></ul></div>"
+    want = "\n".join(["River", *text, "mill", "bank"])
+    assert extract(f"<body><div>{links}</div>{main}<div>We use cookies</div><div>{links}</div></body>") == want
+    assert extract(f"<body><div>{links}{main}</div><div>All prices include tax</div></body>") == want
+    assert extract(f"<body>{main}<article><a href=x>Read this too</a></article></body>") == want
+    assert extract(f"<body><article><a href=x>Read this too</a></article>{main}{links}</body>") == want
+    assert extract(f"<body><article>{main}</article><div><p>{text[0]}</p></div></body>") == want
+    assert extract(links).split("\n") == ["Home", "News", "Sport", "Weather", "Travel"]
+    long = "<div><p>" + "word " * 2000 + "</p></div>" + main
+    assert extract(f"<body>{long}</body>").endswith(want)
+
+
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
 def test_html_pages(spark):
     pages = spark.read.parquet(f"{DATA}/pages.parquet")
