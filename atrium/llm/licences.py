@@ -30,6 +30,7 @@ TEMPLATES = [
     ("cc", "Licensed under CC BY-SA 4.0"),
     ("cc", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
     ("reserved", "Copyright. All rights reserved"),
+    ("reserved", "All rights reserved"),
 ]
 
 
@@ -104,7 +105,10 @@ class Automaton:
 
 @dataclass
 class Scanner:
-    """min_match: words of a match that counts; max_gap: unmatched words inside a span; min_cover: share of a template that labels."""
+    """min_match: words of a match that counts; max_gap: unmatched words inside a span; min_cover: share of a template that labels.
+
+    A template of fewer than min_match words counts wherever it stands whole, within longer matches too.
+    """
 
     phrases: list[tuple[str, str]]
     templates: list[tuple[str, str]]
@@ -119,12 +123,14 @@ class Scanner:
         ids = {w: i + 1 for i, w in enumerate(self.words)}
         self.seqs = [[ids[w] for w in s] for s in seqs]
         self.automaton = Automaton(self.seqs)
-        self.base = []
-        for s in self.seqs[: len(self.phrases)]:
-            v = 0
-            for c in s:
-                v = self.automaton.next[v][c]
-            self.base.append((v, len(s)))
+        self.short = [t for t in range(len(self.phrases), len(self.seqs)) if 0 < len(self.seqs[t]) < self.min_match]
+        self.base, self.whole = [], []
+        for found, ts in ((self.base, range(len(self.phrases))), (self.whole, self.short)):
+            for t in ts:
+                v = 0
+                for c in self.seqs[t]:
+                    v = self.automaton.next[v][c]
+                found.append((t, v, len(self.seqs[t])))
         joined = np.frombuffer(b"".join(self.words), np.uint8)
         stops = np.cumsum([len(w) for w in self.words])
         h = span_hashes(joined, np.concatenate(([0], stops[:-1])), stops)
@@ -132,20 +138,20 @@ class Scanner:
         self.known = h[self.order]
         n = len(self.words) + 1
         self.pair = np.zeros((n, n), bool)  # bigrams that some template holds
-        self.opens = np.zeros((n, n), bool)  # bigrams that open a phrase
+        self.opens = np.zeros((n, n), bool)  # bigrams that open a phrase or a short template
         for k, s in enumerate(self.seqs):
             for a, b in zip(s, s[1:], strict=False):
                 self.pair[a, b] = True
-            if k < len(self.phrases) and len(s) > 1:
+            if (k < len(self.phrases) or k in self.short) and len(s) > 1:
                 self.opens[s[0], s[1]] = True
-        self.single = {s[0] for s in self.seqs[: len(self.phrases)] if len(s) == 1}
+        self.single = {self.seqs[k][0] for k in (*range(len(self.phrases)), *self.short) if len(self.seqs[k]) == 1}
 
     def ids(self, h: np.ndarray) -> np.ndarray:
         at = np.minimum(np.searchsorted(self.known, h), len(self.known) - 1)
         return np.where(self.known[at] == h, self.order[at] + 1, 0)
 
     def runs(self, ids: np.ndarray, row: np.ndarray) -> list[tuple[int, int]]:
-        """Word ranges outside which no match reaches min_match words and no phrase stands."""
+        """Word ranges outside which no match reaches min_match words and no phrase or short template stands."""
         if len(ids) < 1:
             return []
         ok = self.pair[ids[:-1], ids[1:]] & (row[:-1] == row[1:])
@@ -162,17 +168,21 @@ class Scanner:
         return sorted(out)
 
     def scan(self, ids: list[int], at: int) -> tuple[list[tuple[int, int]], list[tuple[int, int, int, int]]]:
-        """Phrase places (start, phrase) and maximal matches (template, start, place in template, words) of one run."""
+        """Phrase places (start, phrase) and maximal matches (template, start, place in template, words) of one run.
+
+        Short templates give their whole occurrences instead.
+        """
         auto, state, length = self.automaton, 0, 0
         places, matches = [], []
         for i, c in enumerate([*ids, -1]):
             before = (state, length)
             state, length = auto.step(state, length, c)
             if length != before[1] + 1 and before[1] >= self.min_match:
-                matches += [(t, at + i - before[1], e - before[1], before[1]) for t, e in auto.ends[before[0]].items() if t >= len(self.phrases)]
-            for k, (target, size) in enumerate(self.base):
+                matches += [(t, at + i - before[1], e - before[1], before[1]) for t, e in auto.ends[before[0]].items() if t >= len(self.phrases) and t not in self.short]
+            for k, target, size in self.base:
                 if auto.has_suffix(state, length, target, size):
                     places.append((at + i + 1 - size, k))
+            matches += [(t, at + i + 1 - size, 0, size) for t, target, size in self.whole if auto.has_suffix(state, length, target, size)]
         return places, matches
 
     def spans(self, matches: list[tuple[int, int, int, int]]) -> list[tuple[str, int, int, float]]:

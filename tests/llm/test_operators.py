@@ -80,6 +80,19 @@ def test_licences(tricky, docs):
     assert by_id(licences.licence_scan(full), "doc_id", "labels", "score") == {1: ("mit", 1.0), 2: ("gpl", 1.0)}
 
 
+def test_short_licence_templates(spark):
+    """Templates of fewer than min_match words count where they stand whole, alone or in longer matches, and not in part."""
+    texts = ["x y.\nAll rights reserved. z", "Copyright 2024 Name. All rights reserved", "Copyright. All rights reserved", "all rights", "rights reserved", "All rights reserved. All Rights Reserved", "all", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in licences.licence_scan(df).collect()}
+    assert [(got[i].labels, got[i].score) for i in range(8)] == [("reserved", 1.0)] * 3 + [("", 0.0)] * 2 + [("reserved", 1.0)] + [("", 0.0)] * 2
+    assert [(s.start, s.end) for s in got[0].spans] == [(2, 5)]
+    assert [(s.start, s.end) for s in got[5].spans] == [(0, 3), (3, 6)]
+    own = [("one", "solo"), ("two", "solo b"), ("long", "a solo b c d e"), ("none", "")]
+    got = by_id(licences.licence_scan(spark.createDataFrame([(1, "a solo b c d e"), (2, "z solo z"), (3, "b c d")], "doc_id long, text string"), templates=own), "doc_id", "labels")
+    assert got == {1: ("long,one,two",), 2: ("one",), 3: ("",)}
+
+
 def test_automaton_matching_statistics():
     rng = random.Random(1)
     for _ in range(30):
