@@ -40,38 +40,65 @@ def url_tokens(host: Column, path: Column, url: Column) -> Column:
     return F.array_distinct(F.concat(F.array(F.concat(F.lit("scheme:"), scheme)), flat("host:", host, r"\."), flat("path:", F.lower(path), r"[/._-]"), flat("query:", F.lower(query), r"[&=]")))
 
 
-def mine(tokens: DataFrame, min_rows: int, min_support: float, min_confidence: float, max_items: int, max_rules: int) -> list[tuple[list[str], float, int]]:
-    """Rules "tokens -> bad", the most confident and general first; rules that a part of them already gives are pruned.
+def prune(shared: Shared, sets: DataFrame) -> DataFrame:
+    """The sets (k, c, rule) that are rules and hold no smaller rule of the same or a higher confidence c.
 
-    tokens: (items, bad) of labelled pages. Frequent sets without the label are only used for counts. The result is at
-    most max_rules rules: a parameter of the model, not of the rows that it is applied to.
+    Level by level: the best confidence of a rule in or below a set is its own or that of a set with one token less.
+    Every part of a frequent set is frequent, so none is missing.
+    """
+    parts = F.expr("transform(sequence(0, size(k) - 1), i -> concat(slice(k, 1, i), slice(k, i + 2, size(k))))")
+    kept, top = [], None
+    for size in range(1, (sets.agg(F.max(F.size("k"))).first()[0] or 0) + 1):
+        level = sets.where(F.size("k") == size)
+        if top is None:
+            level = level.withColumn("below", F.lit(None).cast("double"))
+        else:
+            below = level.select("k", F.explode(parts).alias("part")).join(top.select(F.col("k").alias("part"), "top").hint("merge"), "part").groupBy("k").agg(F.max("top").alias("below"))
+            level = level.join(below.hint("merge"), "k", "left")
+        own = F.when(F.col("rule"), F.col("c"))
+        level = shared.put(level.select("k", "c", (F.col("rule") & (F.col("below").isNull() | (F.col("below") < F.col("c")))).alias("keep"), F.greatest(own, "below").alias("top")), f"level-{size}")
+        kept.append(level.where("keep").select("k", "c"))
+        top = level.where("top is not null")
+    out = kept[0]
+    for more in kept[1:]:
+        out = out.unionAll(more)
+    return out
+
+
+def mine(shared: Shared, tokens: DataFrame, min_rows: int, min_support: float, min_confidence: float, max_items: int | None) -> DataFrame | None:
+    """Rules "tokens -> bad" as (rule_id, k, c, anchor), or None; rules that a part of them already gives are pruned.
+
+    tokens: (items, bad) of labelled pages. Frequent sets without the label are only used for counts. All rules that
+    are left are given, of at most max_items tokens where set. The anchor is the token that the fewest pages have.
     """
     n = tokens.count()
     if n == 0 or tokens.where("bad").limit(1).count() == 0:
-        return []
+        return None
     support = max(min_support, min_rows / n)
     if support > 1:
-        return []
+        return None
     with_label = tokens.select(F.when(F.col("bad"), F.array_append("items", F.lit(LABEL))).otherwise(F.col("items")).alias("items"))
     sets = FPGrowth(itemsCol="items", minSupport=support, minConfidence=min_confidence).fit(with_label).freqItemsets
-    small = sets.where(F.size("items") <= max_items + 1)
+    small = shared.put(sets if max_items is None else sets.where(F.size("items") <= max_items + 1), "sets")
     key = F.array_sort(F.array_remove("items", LABEL))
     hit = small.where(F.array_contains("items", LABEL) & (F.size("items") > 1)).select(key.alias("k"), F.col("freq").alias("hits"))
     seen = small.where(~F.array_contains("items", LABEL)).select(key.alias("k"), "freq")
-    found = hit.join(seen, "k").where(F.col("hits") >= F.col("freq") * min_confidence).withColumn("c", F.col("hits") / F.col("freq"))
-    out: list[tuple[list[str], float, int]] = []
-    for r in found.orderBy(F.size("k"), F.desc("c"), F.desc("hits"), "k").limit(max_rules).collect():
-        if not any(set(k) <= set(r.k) and c >= r.c for k, c, _ in out):
-            out.append((list(r.k), float(r.c), int(r.hits)))
-    return out
+    found = shared.put(hit.join(seen.hint("merge"), "k").select("k", (F.col("hits") / F.col("freq")).alias("c"), (F.col("hits") >= F.col("freq") * min_confidence).alias("rule")), "found")
+    if found.where("rule").limit(1).count() == 0:
+        return None
+    rules = shared.put(prune(shared, found).withColumn("rule_id", F.monotonically_increasing_id()), "rules")
+    single = seen.where(F.size("k") == 1).select(F.col("k")[0].alias("token"), "freq")
+    anchors = rules.select("rule_id", F.explode("k").alias("token")).join(single, "token").groupBy("rule_id").agg(F.min(F.struct("freq", "token"))["token"].alias("anchor"))
+    return shared.put(rules.join(anchors, "rule_id"), "mined")
 
 
-def url_filter(pages: DataFrame, labels: DataFrame, id_col: str = "page_id", url_col: str = "url", label_id: str = "doc_id", rules=HOST_RULES, min_rows: int = 20, min_support: float = 0.002, min_confidence: float = 0.9, max_items: int = 3, max_rules: int = 2000) -> DataFrame:
+def url_filter(pages: DataFrame, labels: DataFrame, id_col: str = "page_id", url_col: str = "url", label_id: str = "doc_id", rules=HOST_RULES, min_rows: int = 20, min_support: float = 0.002, min_confidence: float = 0.9, max_items: int | None = None, max_broadcast: int = 100_000) -> DataFrame:
     """id, host, path, rule, verdict, n_matched (mined rules that fit) of every row.
 
     Labels: a row of labels with quality 0 or toxic 1 marks the page of that id as bad. A host rule that fits decides;
-    else a mined rule blocks; else the page is allowed. Mined rules match by an inverted index from token to rule:
-    a rule fits if the page has as many of its tokens as it has. Null URLs have empty host and path and no mined
+    else a mined rule blocks; else the page is allowed. Mined rules match by an inverted index from their rarest token:
+    a rule fits if the page has its other tokens too. The index is broadcast up to max_broadcast rules, joined by
+    shuffle beyond. Null URLs have empty host and path and no mined
     verdict; repeated rows each give a row; without labels nothing is mined; an empty table gives an empty result.
     """
     spark, shared = pages.sparkSession, Shared(pages.sparkSession)
@@ -81,18 +108,15 @@ def url_filter(pages: DataFrame, labels: DataFrame, id_col: str = "page_id", url
     known = labels.where(labels[label_id].isNotNull()).groupBy(labels[label_id].alias("__id")).agg(F.max((F.coalesce(labels["quality"], F.lit(1)) == 0) | (F.coalesce(labels["toxic"], F.lit(0)) == 1)).alias("bad"))
     toks = url_tokens(F.col("host"), F.col("path"), F.col("__url"))
     train = shared.put(src.where(F.col("host") != "").join(known, "__id").select(toks.alias("items"), "bad"), "train")
-    mined = mine(train, min_rows, min_support, min_confidence, max_items, max_rules)
+    mined = mine(shared, train, min_rows, min_support, min_confidence, max_items)
     decided = src.withColumn("rule", name).withColumn("__v", verdict)
-    if not mined:
+    if mined is None:
         return decided.select(F.col("__id").alias(id_col), "host", "path", "rule", F.coalesce("__v", F.lit("allow")).alias("verdict"), F.lit(0).cast("long").alias("n_matched"))
-    index: dict[str, list[int]] = {}
-    for i, (k, _, _) in enumerate(mined):
-        for t in k:
-            index.setdefault(t, []).append(i)
-    inverted = spark.createDataFrame([(t, i, len(mined[i][0])) for t, ids in index.items() for i in ids], "token string, rule_id int, size int")  # at most max_rules * max_items rows
+    inverted = mined.select(F.col("anchor").alias("token"), "k")
+    inverted = F.broadcast(inverted) if mined.count() <= max_broadcast else inverted.hint("merge")
     keyed = shared.put(decided.withColumn("__row", F.monotonically_increasing_id()), "decided")
-    hits = keyed.where("host <> ''").select("__row", F.explode(url_tokens(F.col("host"), F.col("path"), F.col("__url"))).alias("token")).join(F.broadcast(inverted), "token")
-    fits = hits.groupBy("__row", "rule_id").agg(F.count("*").alias("n"), F.max("size").alias("size")).where("n = size").groupBy("__row").agg(F.count("*").alias("n_matched"))
+    hits = keyed.where("host <> ''").select("__row", toks.alias("items")).select("__row", "items", F.explode("items").alias("token")).join(inverted, "token")
+    fits = hits.where(F.size(F.array_except("k", "items")) == 0).groupBy("__row").agg(F.count("*").alias("n_matched"))
     out = keyed.join(fits, "__row", "left")
     final = F.coalesce("__v", F.when(F.col("n_matched") > 0, "block").otherwise("allow"))
     return out.select(F.col("__id").alias(id_col), "host", "path", "rule", final.alias("verdict"), F.coalesce("n_matched", F.lit(0)).cast("long").alias("n_matched"))

@@ -186,6 +186,23 @@ def test_mined_url_rules(spark):
     assert got[400] == ("allow", 0)
 
 
+def test_mined_url_rules_are_all_used(spark):
+    """Sets that hold a bad host don't crowd out rules of three tokens, and rules of four tokens count."""
+    common = "w/x/y/z/u/v"
+    urls = [(f"http://bad{i}.t/{common}", True) for i in range(60) for _ in range(22)] + [(f"http://good.t/{common}", False)] * 400
+    for name in ("abc", "defg"):
+        urls += [(f"http://good.t/{'/'.join(name)}", i >= 2) for i in range(40)]
+        urls += [(f"http://good.t/{'/'.join(name.replace(x, ''))}", False) for x in name for _ in range(40)]
+    last = len(urls)
+    rows = [*((i, u) for i, (u, _) in enumerate(urls)), (last, "http://n.t/a/b/c"), (last + 1, "http://n.t/d/e/f/g"), (last + 2, "http://n.t/d/e/f"), (last + 3, "http://bad7.t/w")]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    labels = spark.createDataFrame([(i, 0 if bad else 1, 0) for i, (_, bad) in enumerate(urls)], "doc_id long, quality int, toxic int")
+    got = by_id(url_rules.url_filter(pages, labels, rules=[]), "page_id", "verdict", "n_matched")
+    assert [got[last + i] for i in range(4)] == [("block", 1), ("block", 1), ("allow", 0), ("block", 1)]
+    assert all(got[i] == (("block", 1) if i < 1320 else ("allow", 0)) for i in range(1720))
+    assert by_id(url_rules.url_filter(pages, labels, rules=[], max_broadcast=0), "page_id", "verdict", "n_matched") == got
+
+
 def test_near(tricky, docs):
     got = near_dup.near_duplicates(tricky, k=4)
     same(by_id(got, "doc_id", "n_shingles", "component_id", "kept"), brute.near(docs))
