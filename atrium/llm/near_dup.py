@@ -3,7 +3,7 @@
 A signature has CHUNKS * WIDTH symbols of 16 bits, each the low bits of one minimum hash. Two signatures that differ in
 at most 2 * CHUNKS - 1 symbols have, by pigeonhole, a chunk that differs in at most one; each chunk is indexed once for
 each symbol left out, so such a pair always meets under some key. At similarity 0.8 the chance that two signatures
-differ in more symbols is about 1e-5, and that they meet under no key below 1e-8.
+differ in more symbols is 3.3e-6, and that they meet under no key below 1e-8.
 """
 
 from __future__ import annotations
