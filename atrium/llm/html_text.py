@@ -12,15 +12,30 @@ from pyspark.sql import DataFrame
 from .common import columns_of
 
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split())
-#: Elements whose text is never content, and class, id or role words that say the same of others.
+#: Elements whose text is never content.
 SILENT = frozenset("script style noscript template iframe object svg canvas math head title select button textarea datalist nav header footer aside form menu dialog audio video".split())
-RAW = frozenset(("script", "style"))
-HINT = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|nav|navbar|navigation|menu|breadcrumbs?|header|masthead|footer|sidebar|aside|notices?|cookies?|consent|popup|modal|newsletter|subscribe|share|social|related|comments?|disqus|replies|respond|complementary|contentinfo|search)(?=$|[\s_-])", re.I)
+#: Words of a class, id or role that say the same of other elements, and words that may stand beside them in one name.
+HINT = re.compile(r"ads?|advert\w*|banners?|sponsor\w*|promos?|promotions?|nav|navbar|navigation|menus?|breadcrumbs?|header|masthead|footer|sidebar|aside|notices?|cookies?|consent|popup|modal|newsletter|subscribe|share|sharing|social|related|comments?|disqus|replies|respond|complementary|contentinfo|search")
+BESIDE = frozenset("site page main top bottom left right box bar block area wrap wrapper container list links section widget primary secondary global inner outer content form buttons icons reader user".split())
+
+
+def hinted(value: str) -> bool:
+    """Whether a name in a class, id or role is made of hint words: "cookie-notice" and "site-footer" are, "post-header" and "share-price" aren't."""
+    for name in value.lower().split():
+        parts = [x for x in re.split(r"[_-]+", name) if x]
+        hints = [bool(HINT.fullmatch(x)) for x in parts]
+        if any(hints) and all(h or x in BESIDE or x.isdigit() for h, x in zip(hints, parts, strict=True)):
+            return True
+    return False
+
+
 #: Elements that part the body into boxes, and those of them that belong to the text around them unless they are links.
 BOXES = frozenset("center div dl fieldset ol section table ul".split())
 LISTS = frozenset("dl ol table ul".split())
 #: Characters over tags from which a line is plain text; more doesn't raise the level that the body's lines and boxes must reach.
 PLAIN = 100.0
+SURE = 2 / 3
+HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SPACE = re.compile(r"[\s]+")
 #: An open element of the key is ended by a start of one of these.
@@ -28,7 +43,7 @@ ENDS = {"p": BLOCKS, "li": frozenset(("li",)), "dt": frozenset(("dt", "dd")), "d
 
 
 class Lines(HTMLParser):
-    """Lines of a page, one per block: text, tags met, the region and the box they lie in, characters in links.
+    """Lines of a page, one per block: text, tags met, the region and the box they lie in, characters in links, and whether it is a heading.
 
     Text of silent elements is left out. boxes holds each one's outer box and tag; box 0 is the body.
     """
@@ -36,7 +51,7 @@ class Lines(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.stack: list[tuple[str, bool, int, int, bool]] = []
-        self.lines: list[tuple[str, int, int, int, int]] = []
+        self.lines: list[tuple[str, int, int, int, int, bool]] = []
         self.regions = ["body"]
         self.boxes = [(0, "body")]
         self.text: list[str] = []
@@ -49,7 +64,7 @@ class Lines(HTMLParser):
     def close_line(self) -> None:
         text = SPACE.sub(" ", "".join(self.text)).strip()
         if text or self.tags:
-            self.lines.append((text, self.tags, *(self.stack[-1][2:4] if self.stack else (0, 0)), self.linked))
+            self.lines.append((text, self.tags, *(self.stack[-1][2:4] if self.stack else (0, 0)), self.linked, any(x[0] in HEADINGS for x in self.stack[-2:])))
         self.text, self.tags, self.linked = [], 0, 0
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -65,7 +80,7 @@ class Lines(HTMLParser):
         region, box, link = self.stack[-1][2:] if self.stack else (0, 0, False)
         quiet = self.quiet or tag in SILENT
         if not quiet:
-            hidden = tag not in ("html", "body", "article", "main") and any(k in ("class", "id", "role") and v and HINT.search(v) for k, v in attrs)
+            hidden = tag not in ("html", "body", "article", "main") and any(k in ("class", "id", "role") and v and hinted(v) for k, v in attrs)
             quiet = hidden or any(k == "hidden" or (k == "aria-hidden" and v == "true") for k, v in attrs)
         if not quiet and (tag in ("article", "main") or ("role", "main") in attrs) and self.regions[region] == "body":
             self.regions.append("main")
@@ -106,21 +121,39 @@ def smooth(x: np.ndarray, sigma: float) -> np.ndarray:
     return np.convolve(np.pad(x, r, mode="edge"), k, "valid") if len(x) else x
 
 
+def content_lines(p: Lines, index: list[int], region: np.ndarray, sigma: float, cut: float) -> tuple[np.ndarray, float]:
+    """Which lines are content, by smoothed ratios, and the level that the body's lines must reach."""
+    raw = np.array([len(x[0]) / max(1, x[1]) for x in p.lines])
+    ratio = smooth(raw, sigma)[index]
+    capped = smooth(np.minimum(raw, PLAIN), sigma)[index]
+    level = cut * capped.std()
+    return np.where(region > 0, ratio >= min(cut * ratio.std(), ratio.max()), capped >= min(level, capped.max())), level
+
+
 def clusters(p: Lines, index: list[int], content: np.ndarray, level: float) -> np.ndarray:
-    """Which lines of the body lie in boxes of the high cluster.
+    """Which lines of the body its content clusters select.
 
-    A box, the lines in it but in no inner box, is in it if its characters over its tags reach level and at least half
-    of its characters are in content lines; if none is, the one with most content is. Other lists and tables in such a
-    box stay with it unless most of their characters are links.
+    A box, the lines in it but in no inner box, is in the high cluster if its characters over its tags reach level and
+    at least SURE of its characters are in content lines; it is kept whole. Other lists and tables in such a box stay
+    with it unless most of their characters are links. If no box is in the high cluster, lines are chosen one by one:
+    content lines, those between two of them in one box, and headings right before one.
     """
     lines = [p.lines[i] for i in index]
     body = np.array([x[2] == 0 for x in lines])
     box = np.array([x[3] for x in lines])
     size, tags, linked = (np.bincount(box, np.array(v) * body, len(p.boxes)) for v in zip(*[(len(x[0]), max(1, x[1]), x[4]) for x in lines], strict=True))
     mass = np.bincount(box, np.array([len(x[0]) for x in lines]) * (body & content), len(p.boxes))
-    high = (size > 0) & (size >= level * tags) & (2 * mass >= size)
-    if mass.any() and not high.any():
-        high[mass.argmax()] = True
+    high = (size > 0) & (size >= level * tags) & (mass >= SURE * size)
+    if not high.any():
+        keep = body & content
+        for b in np.unique(box[keep]):
+            own = np.flatnonzero(body & (box == b))
+            at = np.flatnonzero(keep[own])
+            first = at[0]
+            while first and lines[own[first - 1]][5]:
+                first -= 1
+            keep[own[first : at[-1] + 1]] = True
+        return keep
     for i, (outer, tag) in enumerate(p.boxes[1:], 1):  # outer boxes come first
         high[i] |= tag in LISTS and high[outer] and 2 * linked[i] <= size[i]
     return body & high[box]
@@ -131,9 +164,9 @@ def extract(html: str | None, sigma: float = 1.0, cut: float = 1.0) -> str:
 
     The ratio of a line is its characters over its tags; smoothed ratios above cut standard deviations over nothing
     (the threshold of the clustering) are content lines. Each article or main is a region; the body around them is one
-    too, of which only the boxes in the high cluster count. If a marked region holds most content characters, the marked
-    ones with content are selected whole, so short blocks in them stay; if the body does, its boxes are, with the marked
-    regions that reach the level without their neighbours' help.
+    too, of which only what clusters() selects counts. If a marked region holds most content characters, the marked
+    ones with content are selected whole, so short blocks in them stay; if the body does, its clusters are, with the
+    marked regions that reach the level without their neighbours' help.
     """
     if not html:
         return ""
@@ -145,12 +178,8 @@ def extract(html: str | None, sigma: float = 1.0, cut: float = 1.0) -> str:
     if not index:
         return ""
     lines = [p.lines[i] for i in index]
-    raw = np.array([len(x[0]) / max(1, x[1]) for x in p.lines])
-    ratio = smooth(raw, sigma)[index]
-    capped = smooth(np.minimum(raw, PLAIN), sigma)[index]
-    level = cut * capped.std()
     region, chars = np.array([x[2] for x in lines]), np.array([len(x[0]) for x in lines])
-    content = np.where(region > 0, ratio >= min(cut * ratio.std(), ratio.max()), capped >= min(level, capped.max()))
+    content, level = content_lines(p, index, region, sigma, cut)
     body = clusters(p, index, content, level)
     mass = np.bincount(region, chars * content * (body | (region > 0)), len(p.regions))
     chosen = mass > 0
@@ -166,9 +195,12 @@ def extract(html: str | None, sigma: float = 1.0, cut: float = 1.0) -> str:
 def extract_text(df: DataFrame, keep: list[str], html_col: str = "html", **limits) -> DataFrame:
     """The kept columns, text and n_chars of every row's whole page. No shuffle, one page in memory at a time.
 
-    Null, empty or tag-only pages give an empty text; malformed markup is read as far as it goes; repeated rows each
-    give a row; an empty table gives an empty result.
+    Null, empty or tag-only pages give an empty text; malformed markup is read as far as it goes; a very long page is
+    parsed whole, in time that follows its length; repeated rows each give a row; an empty table gives an empty result;
+    columns that aren't kept don't matter, and a kept one named text or n_chars is replaced by the result's. Of boxes
+    with equal mass none is preferred: all in the high cluster stay.
     """
+    keep = [c for c in keep if c not in ("text", "n_chars")]
     schema = ", ".join([f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep] + ["text string", "n_chars long"])
 
     def run(batches):

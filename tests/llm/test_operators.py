@@ -399,11 +399,48 @@ def test_html_regions_by_ratio():
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
 def test_html_pages(spark):
-    pages = spark.read.parquet(f"{DATA}/pages.parquet")
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
     got = by_id(extract_text(pages, ["page_id", "url"]), "page_id", "text", "n_chars")
     assert got == {r.page_id: (t := brute.article(r.html), len(t)) for r in pages.collect()}
 
 
+def test_html_names_are_taken_whole():
+    """Class names count as whole names, and text isn't lost because a part of one is a hint."""
+    body = "<p>" + "A paragraph of the article that is long enough to be one. " * 3 + "</p>"
+    for name in ("post-header", "share-price", "ad-hoc", "navigator", "readers", "headers"):
+        assert extract(f"<article>{body}<div class='{name}'><p>Kept.</p></div></article>").endswith("Kept."), name
+    for name in ("header", "site-header", "cookie-notice", "x ads", "Ad", "share-buttons", "comments_list", "widget ad-2"):
+        assert not extract(f"<article>{body}<div class='{name}'><p>Gone.</p></div></article>").endswith("Gone."), name
+
+
+def test_html_short_paragraphs():
+    """Short paragraphs between long ones stay, with or without an article, and so do headings and lists."""
+    long = "A paragraph of the article that is long enough to count as one by itself, whatever stands beside it in the page."
+    parts = ["<h1>Head</h1>", f"<p>{long}</p>", "<p>No.</p>", "<p>Yes.</p>", "<p>Well.</p>", f"<p>{long}</p>", "<ul><li>one</li><li>two</li></ul>", f"<p>{long}</p>", "<p>End.</p>"]
+    want = "\n".join(["Head", long, "No.", "Yes.", "Well.", long, "one", "two", long, "End."])
+    links = "<div>" + "".join(f"<p><a href=x>{w}</a></p>" for w in ("Home", "News", "Sport", "Imprint", "Privacy")) + "</div>"
+    for tag in ("article", "div", "section"):
+        assert extract(f"<body>{links}<{tag}>{''.join(parts)}</{tag}>{links}</body>") == want
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
+def test_html_ratios_decide(spark, monkeypatch):
+    """Without telling tags, ratios find the same text as the tags do, and a random choice of lines doesn't."""
+    from atrium.llm import html_text
+
+    rng = np.random.RandomState(1)
+    bare = re.compile("(</?)(?:article|nav|footer)")
+    pages = [(r.html, bare.sub(r"\1div", r.html).replace(' class="ad"', "")) for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("html").collect()]
+    plain = [extract(b) for _, b in pages]
+    lost = [len(set(extract(a).split("\n")) - set(b.split("\n"))) for (a, _), b in zip(pages, plain, strict=True)]
+    assert not any(lost)
+    assert sum(len(b.split("\n")) <= len(extract(a).split("\n")) + 2 for (a, _), b in zip(pages, plain, strict=True)) == len(pages)  # no link list, at most the notice and the footer's sentence
+    real = html_text.content_lines
+    monkeypatch.setattr(html_text, "content_lines", lambda *a: (rng.rand(len(a[1])) < 0.5, real(*a)[1]))
+    changed = sum(extract(b) != x for (_, b), x in zip(pages, plain, strict=True))
+    assert changed > 0.5 * len(pages), changed
+
+
 def test_leaks(tricky, docs, spark):
     long = next(t for _, t in docs if t and len(t) > 100_000).split()
     items = [("a", " ".join(long[100:130])), ("b", "a"), ("c", None), ("d", ""), (None, "w1 w2"), ("e", "General public license"), ("f", " ".join(long[100:130])), ("f", "É"), ("g", "shared PASSAGE starts here: now it goes on for a while and it ends")]
