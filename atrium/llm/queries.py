@@ -34,7 +34,8 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filter(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+    """The table labels marks documents, not pages, so the host rules label the pages."""
+    return url_filter(table(spark, sf_dir, "pages"))
 
 
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,14 @@
-"""URL filter: longest-prefix host rules, then association rules that FP-growth mines from labelled pages."""
+"""URL filter: longest-prefix host rules, then association rules that FP-growth mines from labels.
+
+Tokens that the same labelled pages hold are one item, so a run of shared tokens adds one item to a page, not many. An
+item is met by any of its tokens, which is what a rule for each of them would do.
+"""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from math import ceil
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -40,15 +47,22 @@ def url_tokens(host: Column, path: Column, url: Column) -> Column:
     return F.array_distinct(F.concat(F.array(F.concat(F.lit("scheme:"), scheme)), flat("host:", host, r"\."), flat("path:", F.lower(path), r"[/._-]"), flat("query:", F.lower(query), r"[&=]")))
 
 
-def prune(shared: Shared, sets: DataFrame) -> DataFrame:
-    """The sets (k, c, rule) that are rules and hold no smaller rule of the same or a higher confidence c.
+def prune(shared: Shared, sets: DataFrame, small: int = 10) -> DataFrame:
+    """(k) of the sets (k, c, rule) that are rules and hold no smaller rule of the same or a higher confidence c.
 
-    Level by level: the best confidence of a rule in or below a set is its own or that of a set with one token less.
-    Every part of a frequent set is frequent, so none is missing.
+    Rules of up to small items look up all their parts at once. Where there are longer ones, it goes level by level: the
+    best confidence of a rule in or below a set is its own or that of a set with one item less. Every part of a frequent
+    set is frequent, so none is missing.
     """
+    largest = sets.where("rule").agg(F.max(F.size("k"))).first()[0] or 0
+    if largest <= small:
+        rules = sets.where("rule").select("k", "c")
+        part = F.expr("explode(transform(sequence(1, shiftleft(1, size(k)) - 2), m -> filter(k, (x, i) -> (shiftright(m, i) & 1) = 1)))")
+        parts = rules.where(F.size("k") > 1).select("k", "c", part.alias("p")).join(rules.select(F.col("k").alias("p"), F.col("c").alias("d")).hint("merge"), "p").where("d >= c")
+        return rules.join(parts.select("k").distinct().hint("merge"), "k", "left_anti").select("k")
     parts = F.expr("transform(sequence(0, size(k) - 1), i -> concat(slice(k, 1, i), slice(k, i + 2, size(k))))")
     kept, top = [], None
-    for size in range(1, (sets.agg(F.max(F.size("k"))).first()[0] or 0) + 1):
+    for size in range(1, largest + 1):
         level = sets.where(F.size("k") == size)
         if top is None:
             level = level.withColumn("below", F.lit(None).cast("double"))
@@ -56,8 +70,8 @@ def prune(shared: Shared, sets: DataFrame) -> DataFrame:
             below = level.select("k", F.explode(parts).alias("part")).join(top.select(F.col("k").alias("part"), "top").hint("merge"), "part").groupBy("k").agg(F.max("top").alias("below"))
             level = level.join(below.hint("merge"), "k", "left")
         own = F.when(F.col("rule"), F.col("c"))
-        level = shared.put(level.select("k", "c", (F.col("rule") & (F.col("below").isNull() | (F.col("below") < F.col("c")))).alias("keep"), F.greatest(own, "below").alias("top")), f"level-{size}")
-        kept.append(level.where("keep").select("k", "c"))
+        level = shared.put(level.select("k", (F.col("rule") & (F.col("below").isNull() | (F.col("below") < F.col("c")))).alias("keep"), F.greatest(own, "below").alias("top")), f"level-{size}")
+        kept.append(level.where("keep").select("k"))
         top = level.where("top is not null")
     out = kept[0]
     for more in kept[1:]:
@@ -65,58 +79,88 @@ def prune(shared: Shared, sets: DataFrame) -> DataFrame:
     return out
 
 
-def mine(shared: Shared, tokens: DataFrame, min_rows: int, min_support: float, min_confidence: float, max_items: int | None) -> DataFrame | None:
-    """Rules "tokens -> bad" as (rule_id, k, c, anchor), or None; rules that a part of them already gives are pruned.
+@dataclass
+class Mined:
+    """rules: (k, anchor) over items; tokens: (token, item). The anchor is the item that the fewest pages have."""
+
+    rules: DataFrame
+    tokens: DataFrame
+
+
+def least_count(n: int, min_rows: int, min_support: float) -> int:
+    """How many bad pages must hold a set."""
+    return max(min_rows, ceil(min_support * n), 1)
+
+
+def item_table(shared: Shared, flat: DataFrame, least: int) -> DataFrame:
+    """(item, n, tokens) of the tokens that enough bad pages hold, from (row, token, bad).
 
-    tokens: (items, bad) of labelled pages. Frequent sets without the label are only used for counts. All rules that
-    are left are given, of at most max_items tokens where set. The anchor is the token that the fewest pages have.
+    Tokens in exactly the same pages are one item, told by the count and two 64-bit sums of row hashes. There are at
+    most as many tokens as bad pages have on the whole, over least.
     """
-    n = tokens.count()
-    if n == 0 or tokens.where("bad").limit(1).count() == 0:
-        return None
-    support = max(min_support, min_rows / n)
-    if support > 1:
+    both = [F.bit_xor(F.xxhash64("row", F.lit(k))).alias(f"x{k}") for k in (1, 2)]
+    per = flat.groupBy("token").agg(F.count("*").alias("n"), F.count_if("bad").alias("hits"), *both).where(F.col("hits") >= least)
+    return shared.put(per.groupBy("n", "x1", "x2").agg(F.min("token").alias("item"), F.array_sort(F.collect_list("token")).alias("tokens")).select("item", "n", "tokens"), "items")
+
+
+def mine(shared: Shared, flat: DataFrame, n: int, min_rows: int, min_support: float, min_confidence: float, max_broadcast: int) -> Mined | None:
+    """Rules "items -> bad", or None; rules that a part of them already gives are pruned, whatever is left is given.
+
+    flat: (row, token, bad) of n labelled pages. Frequent sets without the label are only used for counts.
+    """
+    least = least_count(n, min_rows, min_support)
+    items = item_table(shared, flat, least)
+    n_items = items.count()
+    if n_items == 0:
         return None
-    with_label = tokens.select(F.when(F.col("bad"), F.array_append("items", F.lit(LABEL))).otherwise(F.col("items")).alias("items"))
-    sets = FPGrowth(itemsCol="items", minSupport=support, minConfidence=min_confidence).fit(with_label).freqItemsets
-    small = shared.put(sets if max_items is None else sets.where(F.size("items") <= max_items + 1), "sets")
+    tokens = items.select("item", F.explode("tokens").alias("token"))
+    near = F.broadcast(tokens) if n_items <= max_broadcast else tokens.hint("merge")
+    pages = flat.join(near, "token").groupBy("row").agg(F.collect_set("item").alias("items"), F.max("bad").alias("bad"))
+    pages = shared.put(pages.select(F.when(F.col("bad"), F.array_append("items", F.lit(LABEL))).otherwise(F.col("items")).alias("items")), "transactions")
+    held = pages.count()
+    sets = shared.put(FPGrowth(itemsCol="items", minSupport=max(0.0, (least - 0.5) / held), minConfidence=min_confidence).fit(pages).freqItemsets, "sets")
     key = F.array_sort(F.array_remove("items", LABEL))
-    hit = small.where(F.array_contains("items", LABEL) & (F.size("items") > 1)).select(key.alias("k"), F.col("freq").alias("hits"))
-    seen = small.where(~F.array_contains("items", LABEL)).select(key.alias("k"), "freq")
+    hit = sets.where(F.array_contains("items", LABEL) & (F.size("items") > 1)).select(key.alias("k"), F.col("freq").alias("hits"))
+    seen = sets.where(~F.array_contains("items", LABEL)).select(key.alias("k"), "freq")
     found = shared.put(hit.join(seen.hint("merge"), "k").select("k", (F.col("hits") / F.col("freq")).alias("c"), (F.col("hits") >= F.col("freq") * min_confidence).alias("rule")), "found")
-    if found.where("rule").limit(1).count() == 0:
-        return None
-    rules = shared.put(prune(shared, found).withColumn("rule_id", F.monotonically_increasing_id()), "rules")
-    single = seen.where(F.size("k") == 1).select(F.col("k")[0].alias("token"), "freq")
-    anchors = rules.select("rule_id", F.explode("k").alias("token")).join(single, "token").groupBy("rule_id").agg(F.min(F.struct("freq", "token"))["token"].alias("anchor"))
-    return shared.put(rules.join(anchors, "rule_id"), "mined")
+    rules = prune(shared, found)
+    anchors = rules.select("k", F.explode("k").alias("item")).join(items.select("item", "n"), "item").groupBy("k").agg(F.min(F.struct("n", "item"))["item"].alias("anchor"))
+    anchors = shared.put(anchors, "rules")
+    return Mined(anchors, shared.put(tokens.join(anchors.select(F.explode("k").alias("item")).distinct(), "item"), "tokens"))
 
 
-def url_filter(pages: DataFrame, labels: DataFrame, id_col: str = "page_id", url_col: str = "url", label_id: str = "doc_id", rules=HOST_RULES, min_rows: int = 20, min_support: float = 0.002, min_confidence: float = 0.9, max_items: int | None = None, max_broadcast: int = 100_000) -> DataFrame:
+def url_filter(pages: DataFrame, labels: DataFrame | None = None, id_col: str = "page_id", url_col: str = "url", label_id: str = "page_id", rules=HOST_RULES, min_rows: int = 10, min_support: float = 0.002, min_confidence: float = 0.9, max_broadcast: int = 100_000) -> DataFrame:
     """id, host, path, rule, verdict, n_matched (mined rules that fit) of every row.
 
-    Labels: a row of labels with quality 0 or toxic 1 marks the page of that id as bad. A host rule that fits decides;
-    else a mined rule blocks; else the page is allowed. Mined rules match by an inverted index from their rarest token:
-    a rule fits if the page has its other tokens too. The index is broadcast up to max_broadcast rules, joined by
-    shuffle beyond. Null URLs have empty host and path and no mined
-    verdict; repeated rows each give a row; without labels nothing is mined; an empty table gives an empty result.
+    labels (label_id, quality, toxic) mark pages by their id: one with quality 0 or toxic 1 is bad, and only labelled
+    pages are learned from. Without labels, the host rules label every page: those that a rule blocks are bad and all
+    others, undecided ones too, are not, so that a mined rule holds against the whole crawl.
+    A host rule that fits decides; else a mined rule blocks; else the page is allowed. Mined rules match by an inverted
+    index from their rarest item: a rule fits if the page has its other items too. The index and the tokens are broadcast
+    up to max_broadcast rows, joined by shuffle beyond.
+
+    Null URLs have empty host and path, no tokens and no mined verdict; a very long URL is read whole; repeated rows each
+    count and each give a row; of rules of equal length that fit, the last in order of (host, path) decides; a page of
+    several labels is bad if one of them is; an empty table gives an empty result; other columns don't matter.
     """
-    spark, shared = pages.sparkSession, Shared(pages.sparkSession)
-    host, path = host_of(F.col("__url")), path_of(F.col("__url"))
-    src = pages.select(pages[id_col].alias("__id"), pages[url_col].alias("__url")).select("__id", "__url", host.alias("host"), path.alias("path"))
+    shared = Shared(pages.sparkSession)
+    src = pages.select(pages[id_col].alias("__id"), pages[url_col].alias("__url")).select("__id", "__url", host_of(F.col("__url")).alias("host"), path_of(F.col("__url")).alias("path"))
     name, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    known = labels.where(labels[label_id].isNotNull()).groupBy(labels[label_id].alias("__id")).agg(F.max((F.coalesce(labels["quality"], F.lit(1)) == 0) | (F.coalesce(labels["toxic"], F.lit(0)) == 1)).alias("bad"))
     toks = url_tokens(F.col("host"), F.col("path"), F.col("__url"))
-    train = shared.put(src.where(F.col("host") != "").join(known, "__id").select(toks.alias("items"), "bad"), "train")
-    mined = mine(shared, train, min_rows, min_support, min_confidence, max_items)
-    decided = src.withColumn("rule", name).withColumn("__v", verdict)
+    keyed = shared.put(src.select("__id", "host", "path", name.alias("rule"), verdict.alias("__v"), F.when(F.col("host") != "", toks).alias("tokens"), F.monotonically_increasing_id().alias("row")), "pages")
+    if labels is None:
+        known = keyed.select("row", "tokens", F.coalesce(F.col("__v") == "block", F.lit(False)).alias("bad"))
+    else:
+        bad = labels.where(labels[label_id].isNotNull()).groupBy(labels[label_id].alias("__id")).agg(F.max((F.coalesce(labels["quality"], F.lit(1)) == 0) | (F.coalesce(labels["toxic"], F.lit(0)) == 1)).alias("bad"))
+        known = shared.put(keyed.join(bad, "__id").select("row", "tokens", "bad"), "known")
+    known = known.where("tokens is not null")
+    n = known.count()
+    mined = mine(shared, known.select("row", "bad", F.explode("tokens").alias("token")), n, min_rows, min_support, min_confidence, max_broadcast) if n else None
     if mined is None:
-        return decided.select(F.col("__id").alias(id_col), "host", "path", "rule", F.coalesce("__v", F.lit("allow")).alias("verdict"), F.lit(0).cast("long").alias("n_matched"))
-    inverted = mined.select(F.col("anchor").alias("token"), "k")
-    inverted = F.broadcast(inverted) if mined.count() <= max_broadcast else inverted.hint("merge")
-    keyed = shared.put(decided.withColumn("__row", F.monotonically_increasing_id()), "decided")
-    hits = keyed.where("host <> ''").select("__row", toks.alias("items")).select("__row", "items", F.explode("items").alias("token")).join(inverted, "token")
-    fits = hits.where(F.size(F.array_except("k", "items")) == 0).groupBy("__row").agg(F.count("*").alias("n_matched"))
-    out = keyed.join(fits, "__row", "left")
+        return keyed.select(F.col("__id").alias(id_col), "host", "path", "rule", F.coalesce("__v", F.lit("allow")).alias("verdict"), F.lit(0).cast("long").alias("n_matched"))
+    small = lambda df: F.broadcast(df) if df.count() <= max_broadcast else df.hint("merge")
+    held = keyed.select("row", F.explode("tokens").alias("token")).join(small(mined.tokens), "token").groupBy("row").agg(F.collect_set("item").alias("items"))
+    hits = held.select("row", "items", F.explode("items").alias("anchor")).join(small(mined.rules.select("anchor", "k")), "anchor")
+    fits = hits.where(F.size(F.array_except("k", "items")) == 0).groupBy("row").agg(F.count("*").alias("n_matched"))
     final = F.coalesce("__v", F.when(F.col("n_matched") > 0, "block").otherwise("allow"))
-    return out.select(F.col("__id").alias(id_col), "host", "path", "rule", final.alias("verdict"), F.coalesce("n_matched", F.lit(0)).cast("long").alias("n_matched"))
+    return keyed.join(fits, "row", "left").select(F.col("__id").alias(id_col), "host", "path", "rule", final.alias("verdict"), F.coalesce("n_matched", F.lit(0)).cast("long").alias("n_matched"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 import re
 import zlib
@@ -60,6 +61,33 @@ def url(u):
     return host, path, best and best[0], best and best[1]
 
 
+def url_tokens(u):
+    host, path = url(u)[:2]
+    if not host:
+        return set()
+    query = re.search(r"\?([^#]*)", u)
+    parts = [("scheme:", re.match(r"([A-Za-z]*)(?=://)", u)[0] if re.match(r"([A-Za-z]*)://", u) else "")]
+    for kind, text, cut in (("host:", host, r"\."), ("path:", path.lower(), "[/._-]"), ("query:", query[1].lower() if query else "", "[&=]")):
+        parts += [(kind, "0" if re.fullmatch("[0-9]+", x) else x) for x in re.split(cut, text) if x]
+    return {a + b for a, b in parts}
+
+
+def mined_urls(pages, bad, learned, min_rows=10, min_support=0.002, min_confidence=0.9):
+    """Ids of (id, url) that a set of tokens gives away: frequent in bad pages, confident, with no part that is as good; all sets are tried."""
+    tokens = {i: frozenset(url_tokens(u)) for i, u in pages}
+    known = [(tokens[i], i in bad) for i, u in pages if i in learned and tokens[i]]
+    least = max(min_rows, math.ceil(min_support * len(known)))
+    often = {t for t, n in Counter(t for s, b in known if b for t in s).items() if n >= least}
+    hits = Counter(c for s, b in known if b for n in range(1, len(s & often) + 1) for c in map(frozenset, itertools.combinations(sorted(s & often), n)))
+    sure = {}
+    for s in (s for s, n in hits.items() if n >= least):
+        n = sum(s <= t for t, _ in known)
+        if hits[s] >= n * min_confidence:
+            sure[s] = hits[s] / n
+    rules = [s for s, c in sure.items() if not any(z < s and d >= c for z, d in sure.items())]
+    return {i for i, t in tokens.items() if any(s <= t for s in rules)}
+
+
 def shingles(text, k=4):
     w = SPACED.findall(low(text))
     return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)} if w else set()

@@ -170,7 +170,7 @@ URLS = [None, "", "no scheme", "http://", "HTTP://A.NET", "http://x.Example.NET/
 
 def test_urls(spark):
     df = spark.createDataFrame([(i, u, "h") for i, u in enumerate(URLS)], "page_id long, url string, host string")
-    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    none = spark.createDataFrame([], "page_id long, quality int, toxic int")
     got = by_id(url_rules.url_filter(df, none), "page_id", "host", "path", "rule", "verdict")
     for i, u in enumerate(URLS):
         h, p, r, v = brute.url(u)
@@ -180,7 +180,7 @@ def test_urls(spark):
 def test_mined_url_rules(spark):
     urls = [(i, f"https://{'spam' if i % 4 == 0 else 'good'}.site{i % 3}.com/{'buy' if i % 2 == 0 else 'read'}/{i}") for i in range(400)]
     pages = spark.createDataFrame([*urls, (400, None)], "page_id long, url string")
-    labels = spark.createDataFrame([(i, 0 if i % 4 == 0 else 1, 0) for i in range(0, 300)] + [(None, 0, 0), (1, None, None)], "doc_id long, quality int, toxic int")
+    labels = spark.createDataFrame([(i, 0 if i % 4 == 0 else 1, 0) for i in range(0, 300)] + [(None, 0, 0), (1, None, None)], "page_id long, quality int, toxic int")
     got = by_id(url_rules.url_filter(pages, labels), "page_id", "verdict", "n_matched")
     assert all((got[i][0] == "block") == (i % 4 == 0) for i in range(400))
     assert got[400] == ("allow", 0)
@@ -196,11 +196,35 @@ def test_mined_url_rules_are_all_used(spark):
     last = len(urls)
     rows = [*((i, u) for i, (u, _) in enumerate(urls)), (last, "http://n.t/a/b/c"), (last + 1, "http://n.t/d/e/f/g"), (last + 2, "http://n.t/d/e/f"), (last + 3, "http://bad7.t/w")]
     pages = spark.createDataFrame(rows, "page_id long, url string")
-    labels = spark.createDataFrame([(i, 0 if bad else 1, 0) for i, (_, bad) in enumerate(urls)], "doc_id long, quality int, toxic int")
-    got = by_id(url_rules.url_filter(pages, labels, rules=[]), "page_id", "verdict", "n_matched")
+    labels = spark.createDataFrame([(i, 0 if bad else 1, 0) for i, (_, bad) in enumerate(urls)], "page_id long, quality int, toxic int")
+    got = by_id(url_rules.url_filter(pages, labels, rules=[], min_rows=20), "page_id", "verdict", "n_matched")
     assert [got[last + i] for i in range(4)] == [("block", 1), ("block", 1), ("allow", 0), ("block", 1)]
     assert all(got[i] == (("block", 1) if i < 1320 else ("allow", 0)) for i in range(1720))
-    assert by_id(url_rules.url_filter(pages, labels, rules=[], max_broadcast=0), "page_id", "verdict", "n_matched") == got
+    assert by_id(url_rules.url_filter(pages, labels, rules=[], min_rows=20, max_broadcast=0), "page_id", "verdict", "n_matched") == got
+
+
+def test_url_rules_of_all_token_sets(spark, monkeypatch):
+    """Verdicts are those of trying all sets of tokens, from labels and from host rules; rules are pruned alike either way."""
+    rng = random.Random(6)
+    hosts = ["a.net", "b.net", "a.com", "c.com", "d.org"]
+    urls = [f"http{rng.choice(['', 's'])}://{rng.choice(hosts)}/{rng.choice(['en', 'de', 'fr'])}/{rng.choice('xyz')}/{rng.randrange(9)}" + rng.choice(["", "?p=1&q=2", "#t"]) for _ in range(300)]
+    urls += ["http://e.net/long/path/of/many/shared/tokens/that/all/pages/of/this/host/have/in/common"] * 30 + [None, "", "x", "http://z.org/shared", urls[0], urls[0]]
+    pages = list(enumerate(urls))
+    df = spark.createDataFrame([(i, u, "h", "r") for i, u in pages], "page_id long, url string, host string, row string")
+    bad = {i for i, u in pages if u and ("a.net" in u and "/x/" in u or "shared/tokens" in u or "p=1" in u and "/de/" in u and rng.random() < 0.97)}
+    learned = {i for i, _ in pages if i % 7}
+    labels = spark.createDataFrame([(i, 1, 1) if i in bad else (i, 1, None) for i in sorted(learned)], "page_id long, quality int, toxic int")
+    got = by_id(url_rules.url_filter(df, labels, rules=[], min_rows=4), "page_id", "verdict", "n_matched")
+    want = brute.mined_urls(pages, bad, learned, 4)
+    assert {i for i, v in got.items() if v[0] == "block"} == want and len(want) > len(bad & learned) - 5
+    with monkeypatch.context() as m:
+        m.setattr(url_rules.prune, "__defaults__", (1,))
+        assert by_id(url_rules.url_filter(df, labels, rules=[], min_rows=4), "page_id", "verdict", "n_matched") == got
+    blocked = {i for i, u in pages if brute.url(u)[3] == "block"}
+    want = brute.mined_urls(pages, blocked, {i for i, _ in pages})
+    got = by_id(url_rules.url_filter(df), "page_id", "verdict", "n_matched", "rule")
+    assert {i for i, v in got.items() if v[1]} == want and blocked < want | blocked
+    assert all(v[0] == ("block" if i in blocked or i in want and v[2] is None else "allow") for i, v in got.items())
 
 
 def test_near(tricky, docs):
@@ -470,7 +494,7 @@ def test_empty_tables(tricky, spark):
     bench = spark.createDataFrame([("a", "x y z")], "item_id string, text string")
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     for got in (
-        licences.licence_scan(none), mixing.mix_sources(none, ["doc_id"]), quality_rules.quality_rules(none), url_rules.url_filter(pages, labels), near_dup.near_duplicates(none), span_dup.span_dedup(none, ["doc_id"]),
+        licences.licence_scan(none), mixing.mix_sources(none, ["doc_id"]), quality_rules.quality_rules(none), url_rules.url_filter(pages), url_rules.url_filter(pages, labels, label_id="doc_id"), near_dup.near_duplicates(none), span_dup.span_dedup(none, ["doc_id"]),
         ppm.score_texts(none), quality_model.score(none, quality_model.train(none, labels), ["doc_id"]), extract_text(pages, ["page_id"]), decontaminate(none, bench),
     ):
         assert got.count() == 0
