@@ -43,13 +43,18 @@ r as (select a, b from e union select r.a, e.b from r join e on r.b = e.a),
 c as (select a as doc_id, least(a, min(b)) as c from r group by a)
 select w.doc_id, coalesce(n.n, 0) as n_shingles, coalesce(c.c, w.doc_id) as component_id, coalesce(c.c, w.doc_id) = w.doc_id as kept from w left join n using (doc_id) left join c using (doc_id)"""
 
+HAN = r"\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{20000}-\x{3FFFF}"
 SPANS = rf"""with d as (select doc_id, text, regexp_extract_all(coalesce(text, ''), '[^.!?\n]*[.!?\n][.!?\x20\x09-\x0D]*|[^.!?\n]+$') as s from documents),
 u as (select doc_id, len(s) as n, i, s[i] as s, regexp_replace(regexp_replace(s[i], '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', '') as k, len(regexp_extract_all(s[i], {SPACED})) as w0,
- case when i > 1 and regexp_matches(s[i], '^[^\x20\x09-\x0D]') and regexp_matches(s[i - 1], '[^\x20\x09-\x0D]$') then 1 else 0 end as joined from d, unnest(range(1, len(s) + 1)) as t(i)),
-z as (select doc_id, i, 1 as size, k as key, w0 - joined as w from u
- union all select a.doc_id, a.i, 2, a.k || chr(1) || b.k, a.w0 - a.joined + b.w0 - b.joined from u a join u b on a.doc_id = b.doc_id and b.i = a.i + 1
- union all select a.doc_id, a.i, 3, a.k || chr(1) || b.k || chr(1) || c.k, a.w0 - a.joined + b.w0 - b.joined + c.w0 - c.joined from u a join u b on a.doc_id = b.doc_id and b.i = a.i + 1 join u c on a.doc_id = c.doc_id and c.i = a.i + 2),
-g as (select doc_id, i, size, row_number() over (partition by size, key order by doc_id, i) as rn from z where w >= case size when 3 then 8 else 30 end),
+ len(regexp_extract_all(s[i], '[{HAN}]|[^\x20\x09-\x0D{HAN}]+')) - case when i > 1 and regexp_matches(s[i], '^[^\x20\x09-\x0D{HAN}]') and regexp_matches(s[i - 1], '[^\x20\x09-\x0D{HAN}]$') then 1 else 0 end as w from d, unnest(range(1, len(s) + 1)) as t(i)),
+y as (select *, sum(w) over (partition by doc_id order by i) as upto, sum(w) over (partition by doc_id order by i) - w as before from u),
+l as (select doc_id, list(k order by i) as ks from u group by doc_id),
+e as (select doc_id, upto, min(i) as j from y group by doc_id, upto),
+r as (select a.doc_id, a.i, 3 - b.n as size from y a, (select unnest([0, 1, 2]) as n) b where a.i + 2 - b.n <= a.n),
+z as (select r.doc_id, r.i, r.size, y.upto - x.before as w from r join y x on x.doc_id = r.doc_id and x.i = r.i join y on y.doc_id = r.doc_id and y.i = r.i + r.size - 1),
+v as (select z.doc_id, z.i, y.before + 8 as want from z join y on y.doc_id = z.doc_id and y.i = z.i where z.size = 3 and z.w < 8),
+p as (select doc_id, i, size from z where w >= case size when 3 then 8 else 30 end union all select v.doc_id, v.i, e.j - v.i + 1 from v asof join e on v.doc_id = e.doc_id and v.want <= e.upto),
+g as (select p.doc_id, i, size, row_number() over (partition by size, array_to_string(ks[i : i + size - 1], chr(1)) order by p.doc_id, i) as rn from p join l on l.doc_id = p.doc_id),
 x as (select distinct doc_id, unnest(range(i, i + size)) as i from g where rn > 1),
 o as (select u.doc_id, string_agg(case when x.i is null then u.s end, '' order by u.i) as kept, count(x.i) as n_removed, coalesce(sum(case when x.i is not null then w0 end), 0)::bigint as words_removed from u left join x on x.doc_id = u.doc_id and x.i = u.i group by u.doc_id)
 select d.doc_id, case when coalesce(n_removed, 0) = 0 then d.text else coalesce(kept, '') end as text, len(s)::bigint as n_sentences, coalesce(n_removed, 0)::bigint as n_removed, coalesce(words_removed, 0)::bigint as words_removed from d left join o using (doc_id)"""

@@ -6,6 +6,8 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,12 +25,12 @@ def sentences(data: bytes) -> np.ndarray:
     return np.array([m.end() for m in SENTENCE.finditer(data)], np.int64)
 
 
-def word_begins(data: np.ndarray, by_character: bool) -> np.ndarray:
-    """The bytes that begin a word; if by_character, each Han or Kana character is a word, as no blanks part them."""
+def word_begins(data: np.ndarray) -> np.ndarray:
+    """The bytes that begin a word; each Han or Kana character is a word, as no blanks part them."""
     is_word = SPACED[data]
     opens = is_word.copy()
     opens[1:] &= ~is_word[:-1]
-    if not by_character or len(data) < 3:
+    if len(data) < 3:
         return opens
     two = data[:-2].astype(np.int32) << 8 | data[1:-1]
     at = np.flatnonzero((two >= 0xE381) & (two <= 0xE383) | (two >= 0xE390) & (two <= 0xE9BF) & (two != 0xE4B7) | (two >= 0xEFA4) & (two <= 0xEFAB) | (two >= 0xF0A0) & (two <= 0xF0BF))
@@ -39,118 +41,124 @@ def word_begins(data: np.ndarray, by_character: bool) -> np.ndarray:
     return opens
 
 
-def grown(h: np.ndarray, upto: np.ndarray, run: int, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """From each start whose run sentences have too few words, the shortest longer run that has min_words."""
-    n = len(h)
+def grown(h: np.ndarray, upto: np.ndarray, run: int, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """From each start whose run sentences have too few words, the shortest longer run that has min_words. (hashes, starts, sizes)"""
+    n = h.shape[1]
     at = np.arange(max(0, n - run))
     at = at[upto[at + run] - upto[at] < min_words]
     end = np.searchsorted(upto, upto[at] + min_words)
     at, end = at[end <= n], end[end <= n]
     if not len(at):
-        return np.zeros(0, U), *(np.zeros(0, np.int64),) * 3
+        return np.zeros((2, 0), U), *(np.zeros(0, np.int64),) * 2
     down, up = np.full(n, pow(_M, -1, 1 << 64), U), np.full(n, _M, U)
     down[0] = up[0] = 1
-    total = np.concatenate((np.zeros(1, U), np.cumsum(mix(h) * np.cumprod(down))))
-    return mix((total[end] - total[at]) * np.cumprod(up)[at] + (end - at).astype(U)), at, end - at, upto[end] - upto[at]
+    total = np.concatenate((np.zeros((2, 1), U), np.cumsum(mix(h) * np.cumprod(down), axis=1)), axis=1)
+    return mix((total[:, end] - total[:, at]) * np.cumprod(up)[at] + (end - at).astype(U)), at, end - at
 
 
-def spans_of(data: np.ndarray, run: int, min_words: int, long_words: int, grow: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
-    """(hash, first sentence, sentences, words) of the spans of one text, and its number of sentences.
+def spans_of(data: np.ndarray, run: int, min_words: int, long_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """(128-bit hashes as two rows, first sentence, sentences) of the spans of one text, and its number of sentences.
 
-    A span is run consecutive sentences of min_words in all, or fewer of long_words. Blanks around a sentence don't count.
-    With grow, also the shortest longer runs that reach min_words, and Han and Kana count by characters.
+    A span is run consecutive sentences; where those have fewer than min_words words, the shortest longer run that has
+    them; and fewer sentences of long_words or more. So every run is in a span, but for the last ones of a text that
+    have too few words. Blanks around a sentence don't count.
     """
     ends = sentences(data.tobytes())
     n = len(ends)
     if not n:
-        return np.zeros(0, U), *(np.zeros(0, np.int64),) * 3, 0
+        return np.zeros((2, 0), U), *(np.zeros(0, np.int64),) * 2, 0
     begins = np.concatenate(([0], ends[:-1]))
     solid = np.flatnonzero(SPACED[data])
     lo, hi = np.searchsorted(solid, begins), np.searchsorted(solid, ends)
     some = hi > lo
     first, last = np.zeros(n, np.int64), np.zeros(n, np.int64)
     first[some], last[some] = solid[lo[some]], solid[hi[some] - 1] + 1
-    h = span_hashes(data, first, last)
-    upto = np.concatenate(([0], np.cumsum(word_begins(data, grow))))
-    words = upto[ends] - upto[begins]
+    h = span_hashes(data, first, last, wide=True)
+    upto = np.concatenate(([0], np.cumsum(word_begins(data))))[np.concatenate(([0], ends))]
     out = []
-    g, total = h.copy(), words.copy()
-    for size in range(1, run + 1):
+    g = h.copy()
+    for size in range(1, min(run, n) + 1):
+        m = n - size + 1
         if size > 1:
-            m = n - size + 1
-            if m <= 0:
-                break
-            g = mix(g[:m] * U(0x9E3779B97F4A7C15) + h[size - 1 :] + U(size))
-            total = total[:m] + words[size - 1 :]
-        at = np.flatnonzero(total >= (min_words if size == run else long_words))
-        out.append((g[at], at, np.full(len(at), size), total[at]))
-    if grow:
-        out.append(grown(h, np.concatenate(([0], upto[ends])), run, min_words))
-    return *(np.concatenate(x) for x in zip(*out, strict=True)), n
-
-
-def span_dedup(df: DataFrame, keep: list[str], order_col: str = "doc_id", text_col: str = "text", run: int = 3, min_words: int = 8, long_words: int = 30, grow: bool = False) -> DataFrame:
+            g = mix(g[:, :m] * U(_M) + h[:, size - 1 :] + U(size))
+        at = np.flatnonzero(upto[size:] - upto[:m] >= (min_words if size == run else long_words))
+        out.append((g[:, at], at, np.full(len(at), size)))
+    out.append(grown(h, upto, run, min_words))
+    return *(np.concatenate(x, axis=-1) for x in zip(*out, strict=True)), n
+
+
+def cut_spans(text: str, cut: list[dict]) -> tuple[str, int, int]:
+    """The text without the sentences of the spans, how many went, and their words."""
+    data = text.encode()
+    ends = sentences(data)
+    steps = np.zeros(len(ends) + 1, np.int64)
+    for c in cut:
+        steps[c["i"]] += 1
+        steps[c["i"] + c["size"]] -= 1
+    drop = np.cumsum(steps[:-1]) > 0
+    begins = np.concatenate(([0], ends[:-1]))
+    gone = [data[a:b] for a, b, d in zip(begins, ends, drop, strict=True) if d]
+    left = b"".join(data[a:b] for a, b, d in zip(begins, ends, drop, strict=True) if not d)
+    return left.decode(), len(gone), len(b" ".join(gone).split())
+
+
+def span_dedup(df: DataFrame, keep: list[str], order_col: str = "doc_id", text_col: str = "text", run: int = 3, min_words: int = 8, long_words: int = 30) -> DataFrame:
     """The kept columns, text without repeated spans, n_sentences, n_removed and words_removed of every row.
 
-    Of equal spans anywhere in the table, the one in the row of least order_col (then the earliest place) is the first;
-    sentences that any other one covers go. Counting is a group-by with partial sums, and the places of repeated spans
-    are found by a join that adaptive execution can split, so a line that a third of all rows hold is no single task.
-    With grow, passages of short sentences or lines, and of Han and Kana, make spans too: see spans_of().
-    Null texts stay null; texts without sentences stay as they are; rows that repeat an order_col value are still
-    several rows, and all but one lose their spans; an empty table gives an empty result.
+    Of equal spans (see spans_of()) anywhere in the table, the one in the row of least order_col (null last), then the
+    earliest place, is the first; sentences that any other one covers go. Counting is a group-by with partial sums, and
+    the places of repeated spans are found by a join that adaptive execution can split, so a line that a third of all
+    rows hold is no single task. Texts are written once with their spans and shuffled once; only those that lose
+    sentences are handled in Python after that.
+
+    Null texts stay null; texts without sentences stay as they are; a very long text is handled whole; rows that repeat
+    an order_col value, whole rows included, are still several rows, and all but one lose their spans, which one is not
+    fixed; an empty table gives an empty result; kept columns named like the result's own are replaced by those.
     """
     shared = Shared(df.sparkSession)
-    kind = df.schema[order_col].dataType.simpleString()
-    src = df.select(*[df[c] for c in keep], df[order_col].alias("__o"), df[text_col].alias("__t"))
-    src = shared.put(src.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    keep = [c for c in keep if c not in ("n_sentences", "n_removed", "words_removed")]
+    names = [c for c in keep if c != text_col]
+    inner = [f"k{i}" for i in range(len(names))]
+    kinds = [df.schema[c].dataType.simpleString() for c in names]
+    src = df.select(*[df[c].alias(k) for c, k in zip(names, inner, strict=True)], df[order_col].alias("o"), df[text_col].alias("t"))
+    spans = "spans array<struct<a:bigint,b:bigint,i:int,size:int>>"
+    base = ", ".join([*(f"{k} {kind}" for k, kind in zip(inner, kinds, strict=True)), f"o {src.schema['o'].dataType.simpleString()}", "t string", "n_sentences long"])
 
     def find(batches):
+        row = TaskContext.get().partitionId() << 36
         for batch in batches:
-            order, rows, texts = columns_of(batch, ["__o", "__row", "__t"])
-            pieces: list[tuple] = []
-            at: list[int] = []
-            for s in text_slices(texts):
+            kept = columns_of(batch, [*inner, "o", "t"])
+            for s in text_slices(kept[-1]):
+                hashes, at, size, counts, sents = [], [], [], [0], []
                 for r in range(s.rows):
-                    h, i, size, _, _ = spans_of(s.data[s.offs[r] : s.offs[r + 1]], run, min_words, long_words, grow)
-                    if len(h):
-                        pieces.append((h, i, size))
-                        at += [s.lo + r] * len(h)
-                if len(at) > 200_000 or (s.hi == len(texts) and at):
-                    h, i, size = (np.concatenate(x) for x in zip(*pieces, strict=True))
-                    idx = pa.array(at, pa.int64())
-                    yield pa.RecordBatch.from_arrays([pa.array(h.astype(np.int64)), order.take(idx), rows.take(idx), pa.array(i, pa.int32()), pa.array(size, pa.int32())], names=["h", "o", "row", "i", "size"])
-                    pieces, at = [], []
-
-    spans = shared.put(src.select("__o", "__row", "__t").mapInArrow(find, f"h long, o {kind}, row long, i int, size int"), "spans")
-    seen = spans.groupBy("h").agg(F.min(F.struct(F.col("o").isNull().alias("z"), "o", "row", "i")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    again = spans.join(seen.select("h", F.col("first.row").alias("row0"), F.col("first.i").alias("i0")), "h").where("row <> row0 or i <> i0")
-    gone = shared.put(again.groupBy("row").agg(F.collect_set(F.struct("i", "size")).alias("cut")), "gone")  # no more than a row has sentences, thrice
-    shared.drop("spans")
-    joined = src.join(gone.withColumnRenamed("row", "__row"), "__row", "left")
-    schema = ", ".join([f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep if c != text_col] + ["__text string, n_sentences long, n_removed long, words_removed long"])
-    names = [c for c in keep if c != text_col]
+                    h, i, k, n = spans_of(s.data[s.offs[r] : s.offs[r + 1]], run, min_words, long_words)
+                    hashes.append(h.astype(np.int64)), at.append(i), size.append(k), counts.append(len(i)), sents.append(n)
+                (a, b), i, k = np.concatenate(hashes, axis=1), np.concatenate(at), np.concatenate(size)
+                items = pa.StructArray.from_arrays([pa.array(a), pa.array(b), pa.array(i, pa.int32()), pa.array(k, pa.int32())], names=["a", "b", "i", "size"])
+                lists = pa.ListArray.from_arrays(pa.array(np.cumsum(counts), pa.int32()), items)
+                out = [c.slice(s.lo, s.rows) for c in kept]
+                yield pa.RecordBatch.from_arrays([*out, pa.array(sents, pa.int64()), pa.array(np.arange(row, row + s.rows)), lists], names=[*inner, "o", "t", "n_sentences", "row", "spans"])
+                row += s.rows
+
+    rows = shared.put(src.mapInArrow(find, f"{base}, row long, {spans}"), "rows")
+    places = rows.select("o", "row", F.inline("spans"))
+    seen = places.groupBy("a", "b").agg(F.min(F.struct(F.col("o").isNull().alias("z"), "o", "row", "i")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    again = places.join(seen.select("a", "b", F.col("first.row").alias("row0"), F.col("first.i").alias("i0")), ["a", "b"]).where("row <> row0 or i <> i0")
+    gone = shared.put(again.groupBy("row").agg(F.collect_set(F.struct("i", "size")).alias("cut")), "gone")  # no more than a row has sentences, four times
+    joined = rows.drop("spans", "o").join(gone, "row", "left").select(*inner, "t", "n_sentences", "cut")
+    schema = ", ".join([*(f"{k} {kind}" for k, kind in zip(inner, kinds, strict=True)), "t string, n_sentences long, n_removed long, words_removed long"])
 
     def rebuild(batches):
         for batch in batches:
-            texts, cuts = columns_of(batch, ["__t", "__cut"])
-            out, n_all, n_gone, n_words = [], [], [], []
-            for text, cut in zip(texts, cuts, strict=True):
-                body = text.as_py()
-                data = (body or "").encode()
-                ends = sentences(data)
-                steps = np.zeros(len(ends) + 1, np.int64)
-                for c in cut.as_py() or ():
-                    steps[c["i"]] += 1
-                    steps[c["i"] + c["size"]] -= 1
-                drop = np.cumsum(steps[:-1]) > 0
-                lost = 0
-                if drop.any():
-                    begins = np.concatenate(([0], ends[:-1]))
-                    parts = [data[a:b] for a, b in zip(begins, ends, strict=True)]
-                    lost = len(b" ".join(p for p, d in zip(parts, drop, strict=True) if d).split())
-                    body = b"".join(p for p, d in zip(parts, drop, strict=True) if not d).decode()
-                out.append(body), n_all.append(len(ends)), n_gone.append(int(drop.sum())), n_words.append(lost)
-            yield pa.RecordBatch.from_arrays([*columns_of(batch, names), pa.array(out, pa.string()), *(pa.array(x, pa.int64()) for x in (n_all, n_gone, n_words))], names=[*names, "__text", "n_sentences", "n_removed", "words_removed"])
-
-    done = joined.select(*names, "__t", F.col("cut").alias("__cut")).mapInArrow(rebuild, schema)
-    return done.select(*[F.col("__text").alias(c) if c == text_col else F.col(c) for c in keep], *([] if text_col in keep else [F.col("__text").alias(text_col)]), "n_sentences", "n_removed", "words_removed")
+            texts, cuts = columns_of(batch, ["t", "cut"])
+            at = np.flatnonzero(cuts.is_valid())
+            lost = np.zeros((2, batch.num_rows), np.int64)
+            if len(at):
+                done = [cut_spans(texts[i].as_py(), cuts[i].as_py()) for i in at.tolist()]
+                lost[:, at] = np.array([x[1:] for x in done]).T
+                texts = pc.replace_with_mask(texts, cuts.is_valid(), pa.array([x[0] for x in done], texts.type))
+            yield pa.RecordBatch.from_arrays([*columns_of(batch, inner), texts, columns_of(batch, ["n_sentences"])[0], pa.array(lost[0]), pa.array(lost[1])], names=[*inner, "t", "n_sentences", "n_removed", "words_removed"])
+
+    done = joined.mapInArrow(rebuild, schema)
+    own = {**dict(zip(names, inner, strict=True)), text_col: "t"}
+    return done.select(*[F.col(own[c]).alias(c) for c in (keep if text_col in keep else [*keep, text_col])], "n_sentences", "n_removed", "words_removed")

@@ -24,6 +24,7 @@ ALNUM[48:58] = ALNUM[97:123] = ALNUM[65:91] = ALNUM[128:] = True
 _R = np.random.RandomState(20240607)
 _T = _R.randint(1, 2**63 - 1, 256, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 _P = _R.randint(1, 2**63 - 1, LONG_WORD + 1, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+_T2, _P2 = (_R.randint(1, 2**63 - 1, n, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1) for n in (256, LONG_WORD + 1))
 U = np.uint64
 
 
@@ -83,11 +84,14 @@ class Slice:
         return c[self.offs[1:]] - c[self.offs[:-1]]
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
-    """64-bit hashes of byte spans: a sum of byte code times place code, mixed; very long spans by blake2b."""
-    out = np.zeros(len(starts), U)
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False, wide: bool = False) -> np.ndarray:
+    """64-bit hashes of byte spans: a sum of byte code times place code, mixed; very long spans by blake2b.
+
+    If wide, (2, n): a second hash by other codes, for 128 bits.
+    """
+    out = np.zeros((1 + wide, len(starts)), U)
     lens = ends - starts
-    codes = _T[LOWER] if lower else _T
+    tables = [(_T[LOWER] if lower else _T, _P), (_T2, _P2)][: 1 + wide]
     short = np.flatnonzero(lens <= LONG_WORD)
     total = np.cumsum(lens[short])
     cut, done = [0], 0
@@ -101,17 +105,18 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: b
         n = lens[pick]
         before = np.cumsum(n) - n
         place = np.arange(int(n.sum())) - np.repeat(before, n)
-        at = place + np.repeat(starts[pick], n)
-        v = codes[data[at]] * _P[place]
+        of = data[place + np.repeat(starts[pick], n)]
         some = n > 0
-        got = np.zeros(len(pick), U)
-        if some.any():
-            got[some] = np.add.reduceat(v, before[some])
-        out[pick] = mix(got + n.astype(U) * U(0x9E3779B97F4A7C15))
+        for k, (codes, places) in enumerate(tables):
+            got = np.zeros(len(pick), U)
+            if some.any():
+                got[some] = np.add.reduceat(codes[of] * places[place], before[some])
+            out[k, pick] = mix(got + n.astype(U) * U(0x9E3779B97F4A7C15))
     for i in np.flatnonzero(lens > LONG_WORD):
         part = data[starts[i] : ends[i]]
-        out[i] = int.from_bytes(hashlib.blake2b((LOWER[part] if lower else part).tobytes(), digest_size=8).digest(), "little")
-    return out
+        digest = hashlib.blake2b((LOWER[part] if lower else part).tobytes(), digest_size=8 * (1 + wide)).digest()
+        out[:, i] = np.frombuffer(digest, "<u8")
+    return out if wide else out[0]
 
 
 def windows(h: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

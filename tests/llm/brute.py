@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import itertools
 import math
@@ -228,35 +229,35 @@ def mix_targets(sizes, cap=3):
         fixed |= {i: cap * sizes[i] for i in over}
 
 
-def sentence_spans(rows, run=3, min_words=8, long_words=30):
+HAN = re.compile("[\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]|[^\x20\x09-\x0D\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]+")
+
+
+def runs(s, run=3, min_words=8, long_words=30):
+    """(first, size) of the spans of a text's sentences."""
+    ends = list(itertools.accumulate(map(len, s), initial=0))
+    begins = [m.start() for m in HAN.finditer("".join(s))]
+    upto = [sum(b < e for b in begins) for e in ends] if len(begins) < 2000 else [bisect.bisect_left(begins, e) for e in ends]
+    out = []
+    for j in range(len(s)):
+        sizes = [n for n in range(1, min(run, len(s) - j) + 1) if upto[j + n] - upto[j] >= (min_words if n == run else long_words)]
+        if j + run <= len(s) and run not in sizes:
+            sizes += [n for n in range(run + 1, len(s) - j + 1) if upto[j + n] - upto[j] >= min_words][:1]
+        out += [(j, n) for n in sizes]
+    return out
+
+
+def sentence_spans(rows):
     """(id, text, sentences, removed, words) of (id, text) rows in order."""
     cut = re.compile(r"[^.!?\n]*[.!?\n][.!?\x20\t\n\r\f\v]*|[^.!?\n]+\Z")
     parts = {i: cut.findall(t or "") for i, t in rows}
-    seen, drop, sizes = set(), defaultdict(set), {}
-
-    def n_words(s):
-        """Words that begin in each sentence."""
-        text, at, out = "".join(s), 0, []
-        begins = [m.start() for m in SPACED.finditer(text)]
-        for x in s:
-            out.append(sum(at <= b < at + len(x) for b in begins))
-            at += len(x)
-        return out
-
+    seen, drop = set(), defaultdict(set)
     for i in sorted(parts):
         s = parts[i]
-        sizes[i] = n_words(s)
-        for j in range(len(s)):
-            for n in range(1, run + 1):
-                if j + n > len(s):
-                    break
-                words = sum(sizes[i][j : j + n])
-                if words < (min_words if n == run else long_words):
-                    continue
-                key = tuple(x.strip("\x20\t\n\r\f\v") for x in s[j : j + n])
-                if key in seen:
-                    drop[i] |= set(range(j, j + n))
-                seen.add(key)
+        for j, n in runs(s):
+            key = tuple(x.strip("\x20\t\n\r\f\v") for x in s[j : j + n])
+            if key in seen:
+                drop[i] |= set(range(j, j + n))
+            seen.add(key)
     out = {}
     for i, t in rows:
         s = parts[i]
