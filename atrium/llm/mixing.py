@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from collections import Counter
+from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Shared, columns_of
+from .common import Shared, columns_of, map_arrow
 from .words import SPACED, text_slices
 
+DIGITS = 2  # of a place in the order, to a level: 256 buckets
 
 def word_counts(df: DataFrame, keep: list[str], text_col: str, out: str) -> DataFrame:
     """The kept columns and the number of words of each row's whole text (null: 0)."""
@@ -22,7 +24,7 @@ def word_counts(df: DataFrame, keep: list[str], text_col: str, out: str) -> Data
             got = [s.split(SPACED).counts for s in text_slices(columns_of(batch, ["__text"])[0])]
             yield pa.RecordBatch.from_arrays([*columns_of(batch, keep), pa.array(np.concatenate(got) if got else np.zeros(0, np.int64), pa.int64())], names=[*keep, out])
 
-    return df.select(*[df[c] for c in keep], df[text_col].alias("__text")).mapInArrow(run, schema)
+    return map_arrow(df.select(*[df[c] for c in keep], df[text_col].alias("__text")), run, schema)
 
 
 def targets(sizes: list[int], weights: list[float], total: float, cap: float) -> list[float]:
@@ -43,27 +45,24 @@ def targets(sizes: list[int], weights: list[float], total: float, cap: float) ->
     return out
 
 
-def min_cost_flow(supply: list[int], members: list[list[int]], quota: list[int], passes: int) -> dict[tuple[int, int], int]:
-    """Words routed from each pattern to each of its sources, up to the quotas, at least cost.
+def route(supply: np.ndarray, first: np.ndarray, to: np.ndarray, quota: list[int], passes: int) -> np.ndarray:
+    """Words over each link, of the cheapest flow that sends as many words as quotas and passes allow.
 
-    The k-th pass over a pattern's words costs k, so repetition is spread before it is deepened. Only the start's edges
-    cost anything, so the cheapest path is one of the lowest pass: passes are opened one by one, and each is filled by
-    blocking flows over shortest paths. The graph has a node per pattern and source, whatever the number of documents.
+    Pattern p has the links first[p] to first[p + 1] - 1, and link e goes to source to[e]. A word's first use costs 1, its
+    second 2, and so on, so the cost is convex in how often a pattern is passed. Only passes cost anything, so the
+    cheapest path is one of the lowest pass: passes are opened one by one, and each is filled by blocking flows over
+    shortest paths. There is a node per pattern and source, whatever the number of documents, in arrays of numbers.
     """
-    n_p = len(supply)
-    holders: list[list[int]] = [[] for _ in quota]
-    for p, own in enumerate(members):
-        for s in own:
-            holders[s].append(p)
-    flow = {(p, s): 0 for p, own in enumerate(members) for s in own}
-    room, left = [0] * n_p, list(quota)
-
-    def beside(v: int) -> list[int]:
-        return [n_p + s for s in members[v]] if v < n_p else holders[v - n_p]
+    n_p, n_s = len(supply), len(quota)
+    by_source = np.argsort(to, kind="stable")
+    nums = lambda kind, x: array(kind, np.ascontiguousarray(x, {"i": np.int32, "q": np.int64}[kind]).tobytes())
+    held, begin = nums("i", by_source), nums("q", np.searchsorted(to[by_source], np.arange(n_s + 1)))
+    owner, first, to, supply = nums("i", np.repeat(np.arange(n_p), np.diff(first))), nums("q", first), nums("i", to), nums("q", supply)
+    flow, room, left = nums("q", np.zeros(len(to))), nums("q", np.zeros(n_p)), nums("q", np.array(quota, np.int64))
 
     def fill() -> bool:
         """One blocking flow; False if no path is left."""
-        depth = [-1] * (n_p + len(quota))
+        depth = nums("i", np.full(n_p + n_s, -1))
         layer = [p for p in range(n_p) if room[p]]
         for p in layer:
             depth[p] = 0
@@ -71,104 +70,145 @@ def min_cost_flow(supply: list[int], members: list[list[int]], quota: list[int],
         while layer and not near:
             after = []
             for v in layer:
-                for w in beside(v):
-                    if depth[w] < 0 and (v < n_p or flow[w, v - n_p]):  # back over what a pattern has sent
+                if v < n_p:
+                    beside = (n_p + to[e] for e in range(first[v], first[v + 1]))
+                else:  # back over what a pattern has sent
+                    beside = (owner[held[i]] for i in range(begin[v - n_p], begin[v - n_p + 1]) if flow[held[i]])
+                for w in beside:
+                    if depth[w] < 0:
                         depth[w] = depth[v] + 1
                         after.append(w)
                         near |= w >= n_p and left[w - n_p] > 0
             layer = after
         if not near:
             return False
-        edges: dict[int, list[int]] = {}
-        place = [0] * len(depth)
+        place = first[:n_p] + begin[:n_s]
         for root in roots:
-            path = [root]
+            path, used = [root], []
             while path and room[root]:
                 v = path[-1]
                 if v >= n_p and left[v - n_p]:
-                    steps = list(zip(path, path[1:], strict=False))
-                    push = min(room[root], left[v - n_p], *(flow[w, u - n_p] for u, w in steps if u >= n_p))
-                    for u, w in steps:
-                        if u < n_p:
-                            flow[u, w - n_p] += push
-                        else:
-                            flow[w, u - n_p] -= push
+                    push = min(room[root], left[v - n_p], *(flow[e] for u, e in zip(path, used, strict=False) if u >= n_p))
+                    for u, e in zip(path, used, strict=False):
+                        flow[e] += push if u < n_p else -push
                     room[root] -= push
                     left[v - n_p] -= push
-                    path = [root]
+                    path, used = [root], []
                     continue
-                if v not in edges:
-                    edges[v] = beside(v)
-                out = edges[v]
-                while place[v] < len(out) and not (depth[out[place[v]]] == depth[v] + 1 and (v < n_p or flow[out[place[v]], v - n_p])):
-                    place[v] += 1
-                if place[v] < len(out):
-                    path.append(out[place[v]])
+                at, want = place[v], depth[v] + 1
+                if v < n_p:
+                    end = first[v + 1]
+                    while at < end and depth[n_p + to[at]] != want:
+                        at += 1
+                    step = (n_p + to[at], at) if at < end else None
+                else:
+                    end = begin[v - n_p + 1]
+                    while at < end and not (flow[held[at]] and depth[owner[held[at]]] == want):
+                        at += 1
+                    step = (owner[held[at]], held[at]) if at < end else None
+                place[v] = at
+                if step:
+                    path.append(step[0])
+                    used.append(step[1])
                 else:
                     path.pop()
                     if path:
+                        used.pop()
                         place[path[-1]] += 1
         return True
 
     for _ in range(passes):
-        room = [r + n for r, n in zip(room, supply, strict=True)]
+        for p in range(n_p):
+            room[p] += supply[p]
         while fill():
             pass
-    return {k: f for k, f in flow.items() if f}
+    return np.frombuffer(flow, np.int64)
+
+
+def min_cost_flow(supply: list[int], members: list[list[int]], quota: list[int], passes: int) -> dict[tuple[int, int], int]:
+    """route() by pattern and source."""
+    links = [(p, s) for p, own in enumerate(members) for s in own]
+    sent = route(np.array(supply, np.int64), np.cumsum([0, *map(len, members)]), np.array([s for _, s in links], np.int64), quota, passes)
+    return {link: int(f) for link, f in zip(links, sent, strict=True) if f}
+
 
+def edges_of(shared: Shared, sized: DataFrame, quotas: DataFrame, few: bool, small: int) -> DataFrame:
+    """(pat, edge, need): of each pattern with a rest, the beginning of the places at which the rest ends, and the words to take among those that begin so.
 
-def mix_sources(df: DataFrame, keep: list[str], id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (1, 2, 3), share: float = 1.0, max_repeat: int = 3, seed: str = "mix-1", max_sources: int = 10_000, max_patterns: int = 20_000, max_broadcast_rows: int = 200_000) -> DataFrame:
+    Level by level the words of 256 buckets are summed, and the one that the rest ends in is parted further, until it
+    holds at most small rows. So no task ranks more than 256 buckets of a pattern, however many rows it has.
+    """
+    near = lambda df: F.broadcast(df) if few else df
+    live = quotas.where("rest > 0").select("pat", F.lit("").alias("edge"), F.col("rest").alias("need"))
+    done, level = [], 0
+    while True:
+        bucket = F.substring("at", 1, DIGITS * (level + 1))
+        rows = sized.select("pat", "at", "size").join(near(live), "pat").where(F.col("at").startswith(F.col("edge")))
+        sums = rows.groupBy("pat", bucket.alias("b"), "need").agg(F.sum("size").alias("n"), F.count("*").alias("m"))
+        sums = sums.withColumn("upto", F.sum("n").over(Window.partitionBy("pat").orderBy("b")))
+        best = sums.where("upto >= need").groupBy("pat").agg(F.min(F.struct("b", (F.col("need") - F.col("upto") + F.col("n")).alias("need"), "m")).alias("x"))
+        found = shared.put(best.select("pat", F.col("x.b").alias("edge"), "x.need", "x.m"), f"edges-{level}")
+        level += 1
+        full = DIGITS * level >= 32
+        done.append(found.where(F.lit(full) | (F.col("m") <= small)).select("pat", "edge", "need"))
+        live = found.where(F.col("m") > small).select("pat", "edge", "need")
+        if full or live.limit(1).count() == 0:
+            break
+    out = done[0]
+    for more in done[1:]:
+        out = out.unionAll(more)
+    return out
+
+
+def mix_sources(df: DataFrame, keep: list[str], id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (1, 2, 3), share: float = 1.0, max_repeat: int = 3, seed: str = "mix-1", few_patterns: int = 20_000, max_broadcast_rows: int = 200_000, edge_rows: int = 256) -> DataFrame:
     """The kept columns, size, source_size, target, copies and taken (size * copies) of every row.
 
-    source_col holds one source or an array of them; a document of several may serve any. Rows of one pattern are
-    taken in the order of md5(seed, id, text hash): whole passes first, then the first documents up to the rest. A
-    null text has size 0 and a null (or empty) source is a source of its own, last. Sources are a documented bound
-    (max_sources, else an error); patterns beyond max_patterns are routed by one of their sources, by hash, so no row
-    is lost. Empty tables give an empty result; repeated rows share one place in the order.
+    source_col holds one source or an array of them; a document of several may serve any, and shows the size and target
+    of its first. Rows of one pattern are taken in the order of md5(seed, id), of a null id md5(seed, text): whole passes
+    first, then the first documents up to the rest. Every pattern keeps all its sources, however many patterns there
+    are; the driver holds a few numbers for each source, pattern and member of a pattern, and nothing of documents.
+
+    A null text has size 0 and a null (or empty) source is a source of its own, last; very long texts count whole; rows
+    that tie in the order, as repeated rows do, are taken or left together; kept columns named like the result's own are
+    replaced by those; empty tables give an empty result. The bounds only choose between broadcast and shuffle.
     """
     spark, shared = df.sparkSession, Shared(df.sparkSession)
+    keep = [c for c in keep if c not in ("size", "source_size", "target", "copies", "taken")]
+    inner = [f"k{i}" for i in range(len(keep))]
     many = df.schema[source_col].dataType.typeName() == "array"
-    sorted_set = F.array_sort(F.array_distinct(F.transform(df[source_col], lambda x: F.coalesce(F.concat(F.lit("s"), x.cast("string")), F.lit("~"))))) if many else F.array(F.coalesce(F.concat(F.lit("s"), df[source_col].cast("string")), F.lit("~")))
-    pattern = F.when(F.coalesce(F.size(sorted_set), F.lit(0)) > 0, sorted_set).otherwise(F.array(F.lit("~")))  # "~" is after every "s...": null comes last
-    src = df.select(*[df[c] for c in keep], df[id_col].alias("__id"), pattern.alias("__pat"), df[text_col].alias("__t"))
-    place = F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col("__id").cast("string"), F.lit(""))))
-    sized = shared.put(word_counts(src.withColumn("__at", place), [*keep, "__pat", "__at"], "__t", "size"), "sized")
-    sources = [r for r in sized.select(F.explode("__pat").alias("s"), "size").groupBy("s").agg(F.sum("size").alias("n")).orderBy("s").limit(max_sources + 1).collect()]
-    if len(sources) > max_sources:
-        raise ValueError(f"more than {max_sources} sources")
-    sources.sort(key=lambda r: r.s.encode())
-    index = {r.s: i for i, r in enumerate(sources)}
-    sizes = [int(r.n) for r in sources]
-    total = int(sized.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n")).first().n)
+    own = lambda x: F.coalesce(F.concat(F.lit("s"), x.cast("string")), F.lit("~"))  # noqa: E731  "~" is after every "s...": null comes last
+    sorted_set = F.array_sort(F.array_distinct(F.transform(df[source_col], own))) if many else F.array(own(df[source_col]))
+    pattern = F.when(F.coalesce(F.size(sorted_set), F.lit(0)) > 0, sorted_set).otherwise(F.array(F.lit("~")))
+    place = F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(df[id_col].cast("string"), F.concat(F.lit("|"), F.md5(F.coalesce(df[text_col], F.lit("")))))))
+    src = df.select(*[df[c].alias(k) for c, k in zip(keep, inner, strict=True)], pattern.alias("pat"), place.alias("at"), df[text_col].alias("t"))
+    sized = shared.put(word_counts(src, [*inner, "pat", "at"], "t", "size"), "sized")
+    patterns = shared.put(sized.groupBy("pat").agg(F.sum("size").alias("n")), "patterns")
+    of = patterns.select(F.explode("pat").alias("s"), "n").groupBy("s").agg(F.sum("n").alias("n")).toArrow().to_pylist()
+    of.sort(key=lambda r: r["s"].encode())
+    index, sizes = {r["s"]: i for i, r in enumerate(of)}, [r["n"] for r in of]
+    numbers = spark.createDataFrame(list(index.items()), "s string, i int")
+    numbered = patterns.select("pat", "n", F.posexplode("pat").alias("p", "s")).join(F.broadcast(numbers) if len(index) <= few_patterns else numbers, "s")
+    got = numbered.groupBy("pat", "n").agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "i"))), lambda x: x["i"]).alias("own")).select("own", "n").orderBy("own").toArrow()
+    supply, lists = got.column("n").to_numpy(), got.column("own").combine_chunks()
+    total = int(supply.sum())
     goal = targets(sizes, [weights[i % len(weights)] for i in range(len(sizes))], total * share, max_repeat)
-    if many and sized.select("__pat").distinct().limit(max_patterns + 1).count() > max_patterns:
-        sized = sized.withColumn("__pat", F.array(F.element_at("__pat", (F.pmod(F.xxhash64("__at"), F.size("__pat")) + 1).cast("int"))))
-    patterns = sized.groupBy("__pat").agg(F.sum("size").alias("n")).collect()
-    patterns.sort(key=lambda r: list(r["__pat"]))
-    flow = min_cost_flow([int(r.n) for r in patterns], [[index[s] for s in r["__pat"]] for r in patterns], [round(g) for g in goal], max_repeat)
-    routed: Counter[int] = Counter()
-    for (p, _), f in flow.items():
-        routed[p] += f
-    plan = []
-    for p, r in enumerate(patterns):
-        words = routed[p]
-        full, rest = divmod(words, int(r.n)) if r.n else (0, 0)
-        first = index[r["__pat"][0]]
-        plan.append((list(r["__pat"]), full, rest, sizes[first], goal[first]))
-    quotas = spark.createDataFrame(plan, "__pat array<string>, full long, rest long, source_size long, target double")
-    quotas = F.broadcast(quotas) if len(plan) <= 20_000 else quotas
-    # The rest of a pattern goes to its first documents. Buckets of the order are summed first, so only the one bucket that the rest ends in is ranked row by row.
-    sized = sized.withColumn("__b", F.substring("__at", 1, 4)).join(quotas, "__pat")
-    w = Window.partitionBy("__pat").orderBy("__b")
-    buckets = sized.where("rest > 0").groupBy("__pat", "__b", "rest").agg(F.sum("size").alias("n"), F.count("*").alias("rows")).withColumn("upto", F.sum("n").over(w))
-    edges = shared.put(buckets.where("upto >= rest").groupBy("__pat").agg(F.min(F.struct("__b", F.col("upto").alias("u"), "n")).alias("x")).select("__pat", F.col("x.__b").alias("__edge"), (F.col("x.u") - F.col("x.n")).alias("before")), "edges")
-    edges = F.broadcast(edges) if len(plan) <= 20_000 else edges
-    sized = sized.join(edges, "__pat", "left")
-    at_edge = sized.where("__b = __edge").groupBy("__pat", "__at", "before", "rest").agg(F.sum("size").alias("n"))
-    at_edge = at_edge.withColumn("upto", F.col("before") + F.sum("n").over(Window.partitionBy("__pat").orderBy("__at")))
-    picked = at_edge.where(F.col("upto") - F.col("n") / 2 <= F.col("rest")).select("__pat", "__at", F.lit(1).alias("__in"))
-    picked = shared.put(picked, "picked")
+    first = np.concatenate(([0], np.cumsum(pc.list_value_length(lists).to_numpy(False)))).astype(np.int64) if len(lists) else np.zeros(1, np.int64)
+    to = lists.flatten().to_numpy(False) if len(lists) else np.zeros(0, np.int32)
+    sent = route(supply, first, to, [round(g) for g in goal], max_repeat)
+    routed = np.add.reduceat(sent, first[:-1]) if len(sent) else np.zeros(0, np.int64)
+    full, rest = np.divmod(routed, np.maximum(supply, 1))
+    head = to[first[:-1]]
+    plan = pa.table({"own": lists, "full": pa.array(full), "rest": pa.array(rest), "source_size": pa.array(np.array(sizes, np.int64)[head]), "target": pa.array(np.array(goal, float)[head])})
+    few = len(supply) <= few_patterns
+    quotas = spark.createDataFrame(plan)
+    quotas = shared.put(quotas.join(numbered.groupBy("pat").agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "i"))), lambda x: x["i"]).alias("own")), "own").select("pat", "full", "rest", "source_size", "target"), "quotas")
+    edges = shared.put(edges_of(shared, sized, quotas, few, edge_rows), "edges")
+    near = lambda df: F.broadcast(df) if few else df
+    at_edge = sized.select("pat", "at", "size").join(near(edges), "pat").where(F.col("at").startswith(F.col("edge"))).groupBy("pat", "at", "need").agg(F.sum("size").alias("n"))
+    at_edge = at_edge.withColumn("upto", F.sum("n").over(Window.partitionBy("pat").orderBy("at")))
+    picked = shared.put(at_edge.where(F.col("upto") - F.col("n") / 2 <= F.col("need")).select("pat", "at", F.lit(1).alias("taken_in")), "picked")
     picked = F.broadcast(picked) if picked.count() <= max_broadcast_rows else picked  # else rows are shuffled with what is kept of them
-    done = sized.join(picked, ["__pat", "__at"], "left")
-    copies = F.col("full") + F.when(F.col("__b") < F.col("__edge"), 1).when((F.col("__b") == F.col("__edge")) & F.col("__in").isNotNull(), 1).otherwise(0)
-    return done.withColumn("copies", F.when(F.col("rest") > 0, copies).otherwise(F.col("full")).cast("long")).select(*keep, "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
+    done = sized.join(near(quotas), "pat").join(near(edges.drop("need")), "pat", "left").join(picked, ["pat", "at"], "left")
+    before = F.col("at").substr(F.lit(1), F.length("edge")) < F.col("edge")
+    copies = (F.col("full") + F.when(before | F.col("taken_in").isNotNull(), 1).otherwise(0)).cast("long")
+    return done.select(*[F.col(k).alias(c) for c, k in zip(keep, inner, strict=True)], "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"))

@@ -6,7 +6,7 @@ LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijkl
 SPACED = r"'[^\x20\x09-\x0D]+'"
 ALNUM = rf"regexp_extract_all({LOW}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
-MIX = rf"""with d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), {SPACED})) as size, md5('mix-1|' || coalesce(cast(doc_id as varchar), '')) as place from documents),
+MIX = rf"""with d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), {SPACED})) as size, md5('mix-1|' || coalesce(cast(doc_id as varchar), '|' || md5(coalesce(text, '')))) as place from documents),
 s as (select source, sum(size)::bigint as n, 1 + (row_number() over (order by source nulls last) - 1) % 3 as w from d group by source),
 o as (select *, sum(n) over (order by n / w, source nulls last) as n_upto, sum(w) over () - sum(w) over (order by n / w, source nulls last) + w as w_from, sum(n) over () as total from s where n > 0),
 k as (select *, total - 3 * (n_upto - n) as room, room * w / w_from <= 3 * n as fits from o),

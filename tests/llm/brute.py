@@ -213,16 +213,16 @@ def leaks(docs, items, size=10):
     return out
 
 
-def mix_targets(sizes, cap=3):
+def mix_targets(sizes, cap=3, total=None):
     """Targets of sources in order, by exact rationals."""
     from fractions import Fraction
 
-    total, fixed = sum(sizes), {}
+    total, fixed = sum(sizes) if total is None else total, {}
     weights = [i % 3 + 1 for i in range(len(sizes))]
     while True:
         left = total - sum(fixed.values())
         free = [i for i in range(len(sizes)) if i not in fixed and sizes[i]]
-        w = sum(weights[i] for i in free)
+        w = sum(weights[i] for i in free) or 1
         over = [i for i in free if Fraction(left * weights[i], w) > cap * sizes[i]]
         if not over:
             return [float(fixed.get(i, Fraction(left * weights[i], w) if i in free else 0)) for i in range(len(sizes))]

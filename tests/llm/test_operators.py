@@ -143,6 +143,43 @@ def test_mix_of_members(spark):
     assert got.agg(F.sum("taken")).first()[0] == pytest.approx(1200, abs=30)
 
 
+def test_mix_of_members_is_cheapest(spark):
+    """With texts of one word, patterns are taken as the best of all routings takes them; a bound on broadcasts and small edges change nothing."""
+    rng = random.Random(2)
+    for _ in range(3):
+        patterns = rng.sample([("a",), ("b",), ("c",), ("a", "b"), ("b", "c"), ("a", "b", "c")], 4)
+        supply = {p: rng.randrange(1, 4) for p in patterns}
+        rows = [(f"{p}{i}", "w", list(p)) for p, n in supply.items() for i in range(n)]
+        df = spark.createDataFrame(rows, "doc_id string, text string, source array<string>")
+        got = mixing.mix_sources(df, ["doc_id", "source"]).collect()
+        names = sorted({s for p in patterns for s in p})
+        quota = [round(g) for g in brute.mix_targets([sum(n for p, n in supply.items() if s in p) for s in names], total=len(rows))]
+        links = [(p, s) for p in patterns for s in p]
+        best = None
+        for f in itertools.product(*(range(min(3 * supply[p], quota[names.index(s)]) + 1) for p, s in links)):
+            sent = {p: sum(x for x, (q, _) in zip(f, links, strict=True) if q == p) for p in patterns}
+            if all(sent[p] <= 3 * supply[p] for p in patterns) and all(sum(x for x, (_, z) in zip(f, links, strict=True) if z == s) <= q for s, q in zip(names, quota, strict=True)):
+                cost = -sum(f), sum(k // supply[p] + 1 for p in patterns for k in range(sent[p]))
+                best = min(best or cost, cost)
+        sent = {p: sum(r.taken for r in got if tuple(r.source) == p) for p in patterns}
+        assert (-sum(sent.values()), sum(k // supply[p] + 1 for p in patterns for k in range(sent[p]))) == best
+    again = mixing.mix_sources(df, ["doc_id"], few_patterns=0, max_broadcast_rows=0, edge_rows=1)
+    assert by_id(again, "doc_id", "taken") == {r.doc_id: (r.taken,) for r in got}
+
+
+def test_mix_of_hard_rows(spark):
+    """Null ids are parted by their texts, repeated rows go together, and kept columns may have the result's names."""
+    rows = [(None, f"w{i} " * 5, "a", 7) for i in range(40)] + [(1, "x y z", "b", 7)] * 3 + [(2, None, None, None), (3, "q " * 30_000, "b", 7)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, size int")
+    got = mixing.mix_sources(df, df.columns)
+    assert got.columns == ["doc_id", "text", "source", "size", "source_size", "target", "copies", "taken"]
+    rows = got.collect()
+    assert len({r.copies for r in rows if r.doc_id == 1}) == 1 and len(rows) == 45
+    few = spark.createDataFrame([r for r in [(None, f"w{i} " * 5, s) for i in range(40) for s in "ab"]], "doc_id long, text string, source string")
+    got = mixing.mix_sources(few, ["source"]).groupBy("source").agg(F.sum("taken").alias("n"), F.max("target").alias("t")).collect()
+    assert all(abs(r.n - r.t) <= 5 for r in got)
+
+
 def test_rules(tricky, docs):
     got = quality_rules.quality_rules(tricky)
     same(by_id(got, "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"), {i: brute.rules(t) for i, t in docs})
@@ -557,7 +594,7 @@ def test_flow_is_cheapest():
 
 def test_flow_of_many_patterns():
     rng = random.Random(4)
-    supply = [rng.randrange(1, 10**6) for _ in range(20_000)]
+    supply = [rng.randrange(1, 10**6) for _ in range(60_000)]
     members = [sorted(rng.sample(range(300), rng.randrange(1, 5))) for _ in supply]
     quota = [rng.randrange(sum(supply) // 100) for _ in range(300)]
     sent = collections.Counter()
