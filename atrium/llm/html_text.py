@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import columns_of
+from .common import columns_of, map_arrow
 
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split())
 #: Elements whose text is never content.
@@ -208,4 +208,4 @@ def extract_text(df: DataFrame, keep: list[str], html_col: str = "html", **limit
             texts = [extract(x.as_py(), **limits) for x in columns_of(batch, ["__html"])[0]]
             yield pa.RecordBatch.from_arrays([*columns_of(batch, keep), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[*keep, "text", "n_chars"])
 
-    return df.select(*[df[c] for c in keep], df[html_col].alias("__html")).mapInArrow(run, schema)
+    return map_arrow(df.select(*[df[c] for c in keep], df[html_col].alias("__html")), run, schema)

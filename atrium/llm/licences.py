@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import columns_of, without_clash
+from .common import columns_of, map_arrow, without_clash
 from .words import ALNUM, LOWER, span_hashes, text_slices
 
 #: Phrases whose places are counted, with their labels.
@@ -252,4 +252,4 @@ def licence_scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield pa.RecordBatch.from_arrays([keys, *(pa.array(v, t) for v, t in zip(out.values(), types, strict=True))], names=["id", *out])
 
     src = without_clash(df, id_col, text_col).toDF("id", "text")
-    return src.mapInArrow(run, f"id {kind}, {SCHEMA}").withColumnRenamed("id", id_col)
+    return map_arrow(src, run, f"id {kind}, {SCHEMA}").withColumnRenamed("id", id_col)

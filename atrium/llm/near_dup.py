@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Shared, columns_of, components
+from .common import Shared, columns_of, components, map_arrow
 from .words import SPACED, U, Slice, distinct_by_row, mix, text_slices, windows
 
 CHUNKS, WIDTH = 12, 4
@@ -22,7 +22,8 @@ MAX_DISTANCE = 2 * CHUNKS - 1
 _R = np.random.RandomState(77)
 _XOR = _R.randint(0, 2**63 - 1, SYMBOLS, dtype=np.int64).astype(U)
 _MUL = _R.randint(1, 2**62, SYMBOLS, dtype=np.int64).astype(U) * U(2) + U(1)
-BLOCK = 2048  # signatures compared at once
+BLOCK = 512  # rows of a bucket in one of its blocks; a task holds two blocks
+CACHE_BYTES = 16 << 20
 
 
 def shingle_sets(s: Slice, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -89,7 +90,7 @@ def sign(df: DataFrame, k: int) -> DataFrame:
             join = lambda x: pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64())
             yield pa.RecordBatch.from_arrays([ids, join(n), join(sid), pa.array(sig, pa.binary())], names=["id", "n", "sid", "sig"])
 
-    return df.mapInArrow(run, f"id {kind}, n long, sid long, sig binary")
+    return map_arrow(df, run, f"id {kind}, n long, sid long, sig binary")
 
 
 def index(reps: DataFrame) -> DataFrame:
@@ -103,7 +104,7 @@ def index(reps: DataFrame) -> DataFrame:
                 keys = chunk_keys(sig_matrix(part))
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(sids.slice(lo, 4096).to_numpy(), keys.shape[1]))], names=["key", "sid"])
 
-    return reps.select("sid", "sig").mapInArrow(run, "key long, sid long")
+    return map_arrow(reps.select("sid", "sig"), run, "key long, sid long")
 
 
 def near(pairs: DataFrame, percent: int) -> DataFrame:
@@ -116,7 +117,7 @@ def near(pairs: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([a.filter(ok), b.filter(ok)], names=["a", "b"])
 
     sized = pairs.where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
-    return sized.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    return map_arrow(sized.select("a", "b", "sa", "sb"), run, "a long, b long")
 
 
 def by_bucket(batches, closed):
@@ -192,7 +193,7 @@ def needed(rows: DataFrame, percent: int) -> DataFrame:
                 keep[cols] |= ok.any(0)
         yield from t.filter(pa.array(keep)).to_batches()
 
-    return rows.mapInArrow(lambda it: by_bucket(it, closed), rows.schema)
+    return map_arrow(rows, lambda it: by_bucket(it, closed), rows.schema)
 
 
 def crosswise(rows: DataFrame, percent: int) -> DataFrame:
@@ -231,7 +232,7 @@ def crosswise(rows: DataFrame, percent: int) -> DataFrame:
                     a, b = zip(*found, strict=True)
                     yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return rows.mapInArrow(lambda it: by_bucket(it, closed), "a long, b long")
+    return map_arrow(rows, lambda it: by_bucket(it, closed), "a long, b long")
 
 
 def packed_sets(texts: DataFrame, k: int) -> DataFrame:
@@ -247,7 +248,7 @@ def packed_sets(texts: DataFrame, k: int) -> DataFrame:
                 out += [small[bounds[r] : bounds[r + 1]].tobytes() for r in range(s.rows)]
             yield pa.RecordBatch.from_arrays([sids, pa.array(out, pa.binary())], names=["sid", "set"])
 
-    return texts.mapInArrow(run, "sid long, set binary")
+    return map_arrow(texts, run, "sid long, set binary")
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
@@ -256,8 +257,8 @@ def confirm(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFra
     def run(batches):
         cache: dict[int, np.ndarray] = {}
         for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                part = batch.slice(lo, 512)
+            for lo in range(0, batch.num_rows, 64):
+                part = batch.slice(lo, 64)
                 a, b, ta, tb = columns_of(part, ["a", "b", "ta", "tb"])
                 sets = []
                 for ids, col in ((a.to_pylist(), ta), (b.to_pylist(), tb)):
@@ -280,14 +281,14 @@ def confirm(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFra
                     at[at == len(big)] = 0
                     both = int((big[at] == small).sum())
                     ok.append(100 * both >= percent * (len(x) + len(y) - both))
-                if len(cache) > 2000:
+                if sum(x.nbytes for x in cache.values()) > CACHE_BYTES:
                     cache.clear()
                 keep = pa.array(ok, pa.bool_())
                 yield pa.RecordBatch.from_arrays([a.filter(keep), b.filter(keep)], names=["a", "b"])
 
     left = pairs.join(texts.select(F.col("sid").alias("a"), F.col("t").alias("ta")), "a")
     both = left.join(texts.select(F.col("sid").alias("b"), F.col("t").alias("tb")), "b")
-    return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+    return map_arrow(both.select("a", "b", "ta", "tb"), run, "a long, b long")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
@@ -356,7 +357,7 @@ def texts_of(src: DataFrame, reps: DataFrame, pairs: DataFrame, k: int) -> DataF
             yield pa.RecordBatch.from_arrays([sids.filter(ok), texts.filter(ok)], names=["sid", "t"])
 
     found = src.where(F.col("t").isNotNull()).join(wanted, src["id"].eqNullSafe(wanted["id"])).select("sid", "t")
-    return found.mapInArrow(run, "sid long, t string").groupBy("sid").agg(F.min("t").alias("t"))
+    return map_arrow(found, run, "sid long, t string").groupBy("sid").agg(F.min("t").alias("t"))
 
 
 def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **args) -> DataFrame:

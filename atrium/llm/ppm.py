@@ -19,7 +19,7 @@ from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Shared, columns_of
+from .common import Shared, columns_of, map_arrow
 from .words import LOWER, SPACED, U, Slice, mix, text_slices
 
 A, BITS, ORDER = 64, 6, 2  # symbols, their bits, and the order up to which the trie is one table
@@ -78,7 +78,7 @@ def count_words(df: DataFrame, flush_at: int = 2_000_000) -> DataFrame:
         yield rec(0, np.array([END_TOKEN]), np.array([ends]))
         yield rec(1, np.flatnonzero(by_byte), by_byte[by_byte > 0])
 
-    return df.mapInArrow(run, "kind int, key long, n long").where("n > 0")
+    return map_arrow(df, run, "kind int, key long, n long").where("n > 0")
 
 
 def codes(s: Slice, classes: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -117,7 +117,7 @@ def count_grams(df: DataFrame, classes: np.ndarray, order: int, flush_at: int =
                     yield from parts()
         yield from parts()
 
-    return df.mapInArrow(run, "gram long, n long")
+    return map_arrow(df, run, "gram long, n long")
 
 
 def seen_shares(grams: DataFrame, contexts: DataFrame) -> DataFrame:
@@ -142,7 +142,7 @@ def dense_rest(contexts: DataFrame, table: Broadcast) -> DataFrame:
             free = (seen[:, None] >> np.arange(A)) & 1 == 0
             yield pa.RecordBatch.from_arrays([pa.array(ctx), pa.array((10.0 ** below.astype(float) * free).sum(1))], names=["ctx", "rest"])
 
-    return contexts.select("ctx", "seen").mapInArrow(run, "ctx long, rest double")
+    return map_arrow(contexts.select("ctx", "seen"), run, "ctx long, rest double")
 
 
 def rest_below(grams: DataFrame, below: DataFrame, order: int) -> DataFrame:
@@ -215,7 +215,7 @@ class Trie:
                 g = columns_of(batch, ["gram"])[0].to_numpy()
                 yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(dense.value[g % A ** (ORDER + 1)], pa.float64())], names=["gram", "value"])
 
-        out = grams.select("gram").mapInArrow(lowest, "gram long, value double")
+        out = map_arrow(grams.select("gram"), lowest, "gram long, value double")
         for k in range(ORDER + 1, self.order + 1):
             out = out.withColumn("low", F.col("gram").bitwiseAND(A ** (k + 1) - 1)).withColumn("ctx", F.shiftright("low", BITS))
             out = out.join(self.shares[k].select(F.col("gram").alias("low"), "lp"), "low", "left").join(self.escape[k], "ctx", "left")
@@ -353,7 +353,7 @@ def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + n), pa.int64()), ids, helds, *(pa.array(cat(out[k], np.int64)) for k in ("n_tokens", "n_known")), *(pa.array(cat(out[k], float)) for k in ("base", "score")), lists(tails, tail_n), lists(novel, novel_n)], names=["row", "id", "held", "n_tokens", "n_known", "base", "score", "tail", "novel"])
             row += n
 
-    rows = shared.put(src.mapInArrow(run, f"row long, id {kind}, held boolean, n_tokens long, n_known long, base double, score double, tail array<long>, novel array<long>"), "rows")
+    rows = shared.put(map_arrow(src, run, f"row long, id {kind}, held boolean, n_tokens long, n_known long, base double, score double, tail array<long>, novel array<long>"), "rows")
     rare = words.where(~often).select("key", "n")
     tail = rows.select("row", F.explode("tail").alias("key")).join(rare, "key", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     cost = F.log10((F.col("n") + 0.1) / F.lit(float(total) + 0.1 * (kinds + 1)))

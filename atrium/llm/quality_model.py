@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns_of
+from .common import columns_of, map_arrow
 from .quality_stats import STATS, stats, with_stats
 from .words import text_slices
 
@@ -138,4 +138,4 @@ def score(df: DataFrame, model: Trees, keep: list[str], text_col: str = "text")
             p = np.concatenate(got) if got else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*columns_of(batch, keep), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], names=[*keep, "score", "predicted"])
 
-    return df.select(*[df[c] for c in names]).mapInArrow(run, schema)
+    return map_arrow(df.select(*[df[c] for c in names]), run, schema)

@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import columns_of, without_clash
+from .common import columns_of, map_arrow, without_clash
 from .words import SPACED, Slice, distinct_by_row, text_slices, windows
 
 STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_chars", "n_upper", "n_digits", "n_marks", "n_distinct", "n_same_next", "n_pipes", "n_stops"]
@@ -74,4 +74,4 @@ def with_stats(df: DataFrame, keep: list[str], text_col: str, names: list[str] |
             got = [pa.array(np.concatenate([f[n] for f in found]) if found else np.zeros(0, np.int64), pa.int64()) for n in names]
             yield pa.RecordBatch.from_arrays([*columns_of(batch, keep), *got], names=[*keep, *names])
 
-    return df.select(*[df[c] for c in keep], df[text_col].alias("__text")).mapInArrow(run, schema)
+    return map_arrow(df.select(*[df[c] for c in keep], df[text_col].alias("__text")), run, schema)

@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Shared, columns_of
+from .common import Shared, columns_of, map_arrow
 from .words import SPACED, U, mix, span_hashes, text_slices
 
 _M = 0x9E3779B97F4A7C15
@@ -140,7 +140,7 @@ def span_dedup(df: DataFrame, keep: list[str], order_col: str = "doc_id", text_c
                 yield pa.RecordBatch.from_arrays([*out, pa.array(sents, pa.int64()), pa.array(np.arange(row, row + s.rows)), lists], names=[*inner, "o", "t", "n_sentences", "row", "spans"])
                 row += s.rows
 
-    rows = shared.put(src.mapInArrow(find, f"{base}, row long, {spans}"), "rows")
+    rows = shared.put(map_arrow(src, find, f"{base}, row long, {spans}"), "rows")
     places = rows.select("o", "row", F.inline("spans"))
     seen = places.groupBy("a", "b").agg(F.min(F.struct(F.col("o").isNull().alias("z"), "o", "row", "i")).alias("first"), F.count("*").alias("n")).where("n > 1")
     again = places.join(seen.select("a", "b", F.col("first.row").alias("row0"), F.col("first.i").alias("i0")), ["a", "b"]).where("row <> row0 or i <> i0")
@@ -159,6 +159,6 @@ def span_dedup(df: DataFrame, keep: list[str], order_col: str = "doc_id", text_c
                 texts = pc.replace_with_mask(texts, cuts.is_valid(), pa.array([x[0] for x in done], texts.type))
             yield pa.RecordBatch.from_arrays([*columns_of(batch, inner), texts, columns_of(batch, ["n_sentences"])[0], pa.array(lost[0]), pa.array(lost[1])], names=[*inner, "t", "n_sentences", "n_removed", "words_removed"])
 
-    done = joined.mapInArrow(rebuild, schema)
+    done = map_arrow(joined, rebuild, schema)
     own = {**dict(zip(names, inner, strict=True)), text_col: "t"}
     return done.select(*[F.col(own[c]).alias(c) for c in (keep if text_col in keep else [*keep, text_col])], "n_sentences", "n_removed", "words_removed")
