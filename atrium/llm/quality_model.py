@@ -114,12 +114,18 @@ def held_out(id_col) -> F.Column:
 
 
 def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_rows: int = 20_000, **fit_args) -> Trees:
-    """Fits on a sample of labelled, not held-out rows: the max_rows with the least hash of their id, so at most that many ids are broadcast and collected."""
+    """Fits on a sample of labelled, not held-out rows: the max_rows with the least hash of their id.
+
+    At most that many ids are broadcast and as many rows of statistics collected: of rows that repeat an id one is
+    fitted, that of the least statistics, and of its labels the largest counts. Null ids and labels are left out, null
+    texts count as empty, very long ones whole; without rows, or with labels of one kind, the model is a constant.
+    """
     known = labels.where(labels[id_col].isNotNull() & labels[label_col].isNotNull()).where(~held_out(labels[id_col]))
     known = known.groupBy(known[id_col].alias("__key")).agg(F.max(known[label_col]).cast("int").alias("__y"))
     known = known.orderBy(F.xxhash64("__key"), "__key").limit(max_rows)
     src = df.select(df[id_col].alias("__key"), df[text_col].alias("__t"))
-    rows = with_stats(src.join(F.broadcast(known), "__key"), ["__key", "__y"], "__t").toArrow()
+    rows = with_stats(src.join(F.broadcast(known), "__key"), ["__key", "__y"], "__t")
+    rows = rows.groupBy("__key", "__y").agg(F.min(F.struct(*STATS)).alias("s")).select("__key", "__y", "s.*").toArrow()
     f = {n: rows.column(n).to_numpy() for n in STATS}
     order = np.argsort(rows.column("__key").to_numpy(), kind="stable")
     y = rows.column("__y").to_numpy().astype(float) if rows.num_rows else np.zeros(0)
@@ -127,7 +133,12 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def score(df: DataFrame, model: Trees, keep: list[str], text_col: str = "text") -> DataFrame:
-    """The kept columns, score (0 to 1) and predicted of each row's whole text (null: empty). No shuffle."""
+    """The kept columns, score (0 to 1) and predicted of each row's whole text (null: empty). No shuffle.
+
+    Empty and very long texts have a score like any other; repeated rows each give a row with the same score; a score of
+    0.5 is predicted 1; an empty table gives an empty result; kept columns named score or predicted are replaced.
+    """
+    keep = [c for c in keep if c not in ("score", "predicted")]
     schema = ", ".join([f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep] + ["score double", "predicted int"])
     take_text = text_col in keep
     names = keep if take_text else [*keep, text_col]
