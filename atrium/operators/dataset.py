@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..model import DEFAULT, Config
 
-#: Images in order of preference; any other PNG comes after.
+#: Image names in order of preference; any other PNG comes after.
 PREFERRED = ("F1_scaled.png", "F1_original.png", "image.png")
 
 

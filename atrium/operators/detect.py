@@ -37,11 +37,12 @@ def wall_segments(boxes: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     return boxes.where("cls_id = 0").select("plan_id", "ord", at.cast("int").alias("wall_index"), pick(F.col("x1"), mx).alias("sx"), pick(my, F.col("y1")).alias("sy"), pick(F.col("x2"), mx).alias("ex"), pick(my, F.col("y2")).alias("ey"), F.lit(cfg.wall_thickness).alias("thickness"), round3(F.col("conf")).alias("confidence"))
 
 
-def opening_boxes(boxes: DataFrame, kind: str, cfg: Config = DEFAULT) -> DataFrame:
-    """(plan_id, ord, kind, x, y, width, confidence): centres unrounded, widths not under the least of their kind."""
-    least = cfg.min_window if kind == "window" else cfg.min_door
+def opening_boxes(boxes: DataFrame, kind: str | None = None, cfg: Config = DEFAULT) -> DataFrame:
+    """(plan_id, ord, kind, x, y, width, confidence) of one kind or of both in one pass: centres unrounded, widths not under the least of their kind."""
+    name = class_name(F.col("cls_id"))
+    least = F.when(name == "window", cfg.min_window).otherwise(cfg.min_door)
     w, h = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
-    return boxes.where(F.col("cls_id") == CLASSES.index(kind)).select("plan_id", "ord", F.lit(kind).alias("kind"), ((F.col("x1") + F.col("x2")) / 2.0).alias("x"), ((F.col("y1") + F.col("y2")) / 2.0).alias("y"), F.greatest(F.least(w, h), F.lit(least)).alias("width"), round3(F.col("conf")).alias("confidence"))
+    return boxes.where(F.col("cls_id").isin([CLASSES.index(k) for k in ([kind] if kind else ["door", "window"])])).select("plan_id", "ord", name.alias("kind"), ((F.col("x1") + F.col("x2")) / 2.0).alias("x"), ((F.col("y1") + F.col("y2")) / 2.0).alias("y"), F.greatest(F.least(w, h), least).alias("width"), round3(F.col("conf")).alias("confidence"))
 
 
 def simplify_ring(points: list[tuple[float, float]], tolerance: float) -> list[tuple[float, float]]:
@@ -97,22 +98,16 @@ def zip_masks(plans: DataFrame) -> DataFrame:
 
 
 def suppress(boxes: DataFrame, iou: float = 0.45) -> DataFrame:
-    """Greedy suppression of raw boxes by confidence within plan and class; a plan's boxes are one group."""
-
-    def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["conf", "ord"], ascending=[False, True], kind="stable")
-        kept: list = []
-        for r in pdf.itertuples(index=False):
-            area = (r.x2 - r.x1) * (r.y2 - r.y1)
-            for k in kept:
-                both = max(0.0, min(r.x2, k.x2) - max(r.x1, k.x1)) * max(0.0, min(r.y2, k.y2) - max(r.y1, k.y1))
-                if both > iou * (area + (k.x2 - k.x1) * (k.y2 - k.y1) - both):
-                    break
-            else:
-                kept.append(r)
-        return pd.DataFrame(kept, columns=pdf.columns)
-
-    return boxes.groupBy("plan_id", "cls_id").applyInPandas(greedy, boxes.schema)
+    """Greedy suppression of raw boxes by confidence, then ord, within plan and class; a plan's boxes are folded as one array in the JVM."""
+    rest = [c for c in boxes.columns if c not in ("plan_id", "cls_id")]
+    area = lambda b: (b["x2"] - b["x1"]) * (b["y2"] - b["y1"])
+    side = lambda a, b, lo, hi: F.greatest(F.lit(0.0), F.least(a[hi], b[hi]) - F.greatest(a[lo], b[lo]))
+    both = lambda a, b: side(a, b, "x1", "x2") * side(a, b, "y1", "y2")
+    over = lambda a, b: both(a, b) > (area(a) + area(b) - both(a, b)) * iou
+    item = F.struct((-F.col("conf")).alias("__place"), *["ord", *[c for c in rest if c != "ord"]])
+    groups = boxes.groupBy("plan_id", "cls_id").agg(F.array_sort(F.collect_list(item)).alias("b"))
+    kept = F.aggregate("b", F.slice("b", 1, 0), lambda kept, b: F.when(F.exists(kept, lambda k: over(b, k)), kept).otherwise(F.concat(kept, F.array(b))))
+    return groups.select("plan_id", "cls_id", F.inline(kept)).select(*boxes.columns)
 
 
 def detect(images: DataFrame, detector: Callable[[str], list[dict]], batch: int = 16) -> DataFrame:

@@ -13,14 +13,16 @@ from ..model import DEFAULT, Config
 def nearest_wall(openings: DataFrame, walls: DataFrame, earlier_only: bool = True) -> DataFrame:
     """openings with wall_index and wall_distance of the nearest wall; ties to the lowest index, 0 (and null) without one.
 
-    earlier_only: among walls of a lower ord, as when both come from one ordered list. One shuffle by plan on each side;
-    only wall ends travel, and the minimum is taken with partial aggregation.
+    earlier_only: among walls of a lower ord, as when both come from one ordered list. One shuffle by plan on each side:
+    a plan's walls are one array beside each of its openings, so no pair is a row. A null plan is a plan of its own.
     """
-    w = walls.select("plan_id", F.col("ord").alias("w_ord"), F.col("wall_index").alias("w_index"), "sx", "sy", "ex", "ey")
-    on = [openings["plan_id"].eqNullSafe(w["plan_id"])] + ([w["w_ord"] < openings["ord"]] if earlier_only else [])
-    both = openings.join(w, on, "left").select(*[openings[c] for c in openings.columns], F.struct(F.expr(segment_distance_sql("x", "y")).alias("d"), F.col("w_index").alias("i")).alias("c"), F.col("w_index").isNotNull().alias("some"))
-    best = both.groupBy(*openings.columns).agg(F.min(F.when(F.col("some"), F.col("c"))).alias("best"))
-    return best.select(*openings.columns, F.coalesce("best.i", F.lit(0)).alias("wall_index"), F.col("best.d").alias("wall_distance"))
+    ends = F.struct(F.col("ord").alias("at"), F.col("wall_index").alias("i"), "sx", "sy", "ex", "ey")
+    w = walls.groupBy("plan_id").agg(F.collect_list(ends).alias("__walls")).withColumnRenamed("plan_id", "__plan")
+    far = segment_distance_sql("x", "y", "w.sx", "w.sy", "w.ex", "w.ey")
+    some = "filter(__walls, w -> w.at < ord)" if earlier_only else "__walls"
+    best = F.expr(f"array_min(transform({some}, w -> struct({far} as d, w.i as i)))")
+    got = openings.join(w, openings["plan_id"].eqNullSafe(w["__plan"]), "left").withColumn("__best", best)
+    return got.select(*openings.columns, F.coalesce("__best.i", F.lit(0)).alias("wall_index"), F.col("__best.d").alias("wall_distance"))
 
 
 def pair_places(n: Column) -> Column:

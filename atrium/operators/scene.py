@@ -92,13 +92,14 @@ def room_labels(rooms: DataFrame, cfg: Config = DEFAULT, exact: bool = True) ->
     return rooms.where(F.size("polygon") >= 3).select("plan_id", "room_index", label_text(F.col("label"), exact).alias("text"), x.alias("x"), y.alias("y"), F.lit(cfg.label_z).alias("z"), F.lit(cfg.label_size).alias("size"), "area")
 
 
-def materials(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(k, f"FP3D_{k.title()}", *v) for k, v in MATERIALS.items()], "type string, material string, r double, g double, b double, a double")
+def materials(spark: SparkSession, names: dict[str, str] | None = None) -> DataFrame:
+    """Colours by type of object, under the given names or else Wall, Floor and Ceiling."""
+    return spark.createDataFrame([(k, (names or {}).get(k, k.title()), *v) for k, v in MATERIALS.items()], "type string, material string, r double, g double, b double, a double")
 
 
-def with_materials(objects: DataFrame) -> DataFrame:
+def with_materials(objects: DataFrame, names: dict[str, str] | None = None) -> DataFrame:
     """Objects with their type's material; null for types without one. The dimension has three rows."""
-    return objects.join(F.broadcast(materials(objects.sparkSession)), "type", "left")
+    return objects.join(F.broadcast(materials(objects.sparkSession, names)), "type", "left")
 
 
 def adjust_height(objects: DataFrame, target: float, cfg: Config = DEFAULT) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import random
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -40,8 +42,7 @@ def found_walls(spark, sf_dir) -> DataFrame:
 
 
 def found_openings(spark, sf_dir) -> DataFrame:
-    m = metres(spark, sf_dir)
-    return detect.opening_boxes(m, "door", CFG).unionByName(detect.opening_boxes(m, "window", CFG))
+    return detect.opening_boxes(metres(spark, sf_dir), None, CFG)
 
 
 def mm(c: Column) -> Column:
@@ -192,6 +193,15 @@ def f5_room_area(spark, sf_dir):
     return room_polygons(spark, sf_dir).where(polygon_area(F.col("polygon")) >= 1.00005).select("plan_id", "room_index")
 
 
+@query("select p_partkey from part where (p_partkey % 4) * 5e-1 * (p_size % 4) * 5e-1 >= 1e0")
+def f5_room_area_edge(spark, sf_dir):
+    """Rooms of up to one and a half square metres a side; one of exactly the least area stays."""
+    pt = lambda x, y: F.array(x.cast("double"), y.cast("double"))
+    w, h, o = F.col("p_partkey") % 4 * 0.5, F.col("p_size") % 4 * 0.5, F.lit(0.0)
+    rooms = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", F.array(pt(o, o), pt(w, o), pt(w, h), pt(o, h)).alias("polygon"))
+    return rooms.where(polygon_area(F.col("polygon")) >= CFG.min_room_area).select("p_partkey")
+
+
 @query(WITH + f", d as (select *, {length_sql()} as len from w), u as (select *, (ex - sx) / len as dx, (ey - sy) / len as dy from d where len >= 1e-6), z as (select unnest([0e0, 27e-1]) as z), k as (select unnest([0, 1, 2, 3]) as k)" + f" select plan_id, wall_index, cast(k + case when z > 0 then 4 else 0 end as int) as vertex, {mm_sql('case when k < 2 then sx else ex end + (-dy) * (thickness / 2e0) * (case when k in (0, 3) then -1e0 else 1e0 end) + 1e-7')} as x_mm, {mm_sql('case when k < 2 then sy else ey end + dx * (thickness / 2e0) * (case when k in (0, 3) then -1e0 else 1e0 end) + 1e-7')} as y_mm, {mm_sql('z')} as z_mm from u, z, k")
 def p12_wall_prism(spark, sf_dir):
     v = scene.wall_prisms(found_walls(spark, sf_dir)).select("plan_id", "wall_index", F.posexplode("vertices").alias("vertex", "v"))
@@ -247,7 +257,7 @@ for _name, _kind, _order, _z in (("p15_floor_polygon", "floor", "k", "0"), ("p16
 
 @query("select p_partkey, list_aggregate(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || w[2:]), 'string_agg', ' ') as label from part")
 def p17_label_text(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", label_text(F.translate("p_name", " ", "_"), exact=False).alias("label"))
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", label_text(F.translate("p_name", " ", "_")).alias("label"))
 
 
 def objects(spark, sf_dir) -> DataFrame:
@@ -266,7 +276,7 @@ def p18_adjust_height(spark, sf_dir):
     return scene.adjust_height(objects(spark, sf_dir), 3.2).select("plan_id", "i", "type", mm(F.col("scale_z")).alias("scale_mm"))
 
 
-@query(WITH + OBJECTS + " select plan_id, i, type, case type when 'wall' then 'FP3D_Wall' when 'floor' then 'FP3D_Floor' end as material, " + ", ".join(f"cast(case type when 'wall' then {round(MATERIALS['wall'][k] * 1000)} when 'floor' then {round(MATERIALS['floor'][k] * 1000)} end as bigint) as {c}_mm" for k, c in enumerate("rgb")) + " from ob")
+@query(WITH + OBJECTS + " select plan_id, i, type, case type when 'wall' then 'Wall' when 'floor' then 'Floor' end as material, " + ", ".join(f"cast(case type when 'wall' then {round(MATERIALS['wall'][k] * 1000)} when 'floor' then {round(MATERIALS['floor'][k] * 1000)} end as bigint) as {c}_mm" for k, c in enumerate("rgb")) + " from ob")
 def p19_materials(spark, sf_dir):
     return scene.with_materials(objects(spark, sf_dir)).select("plan_id", "i", "type", "material", *[mm(F.col(c)).alias(f"{c}_mm") for c in "rgb"])
 
@@ -387,12 +397,12 @@ def p23_room_label_default(spark, sf_dir):
     return r.select("plan_id", "room_index", "label", mm(polygon_area(F.col("polygon")) + 1e-9).alias("area_mm"))
 
 
-@query()
+@query("select * from (values " + ", ".join(f"('{n}', {w}, {d}, {v}, {r}, {r}, {r}, '{w} walls, {d} doors, {v} windows, {r} floors, {r} ceilings, {r} labels')" for n, w, d, v, r in (("apartment", 5, 2, 2, 2), ("studio", 6, 2, 2, 3), ("three_bedroom", 9, 5, 6, 5))) + ") as t(plan_id, walls, doors, windows, floors, ceilings, labels, summary)")
 def s3_sample_scenes(spark, sf_dir):
     return scene.scene_counts(plans.sample_plans(spark), with_ceiling=True)
 
 
-@query()
+@query(f"with b as ({BOXES}) select cast(plan_id as varchar) as name, cast(row_number() over (partition by plan_id order by ord) - 1 as int) as seq, cls_id, x1 as x0, y1 as y0, x2 as x1, y2 as y1 from b")
 def s5_svg_labels(spark, sf_dir):
     """One group per box, written as SVG and scanned again."""
     b = boxes(spark, sf_dir)
@@ -401,17 +411,22 @@ def s5_svg_labels(spark, sf_dir):
     return scan_svg(docs.select("name", F.concat(F.lit('<svg xmlns="http://www.w3.org/2000/svg">'), F.array_join(F.transform("g", lambda x: x["g"]), ""), F.lit("</svg>")).alias("svg")))
 
 
-@query()
+@query(f"with b as ({BOXES}), r as (select plan_id, ord, x1 * 4e0 / 5e1 as x1, y1 * 4e0 / 5e1 as y1, x2 * 4e0 / 5e1 as x2, y2 * 4e0 / 5e1 as y2 from b where conf >= 5e-1 and cls_id = 3), k as (select unnest([0, 1, 2, 3]) as k) select plan_id, ord as mask_idx, 'room_' || ord as label, cast(k as int) as place, {mm_sql('case when k in (0, 3) then x1 else x2 end')} as x_mm, {mm_sql('case when k < 2 then y1 else y2 end')} as y_mm, cast(floor((x2 - x1) * (y2 - y1) * 1e2 + 5e-1) as bigint) as area_cm from r, k where (x2 - x1) * (y2 - y1) >= 1e0")
 def p6_mask_polygons(spark, sf_dir):
-    """Contours with a point on each side's middle, moved out by a pixel, which simplifying drops again."""
+    """Contours with a point on one side's middle, moved out by a pixel, which simplifying drops again; a row for each point."""
     b = boxes(spark, sf_dir).where("conf >= 0.5")
     pt = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
     x1, y1, x2, y2 = (F.col(c) * 4.0 for c in ("x1", "y1", "x2", "y2"))
-    contour = F.array(pt(x1, y1), pt((x1 + x2) / 2.0, y1 - 1.0), pt(x2, y1), pt(x2 + 1.0, (y1 + y2) / 2.0), pt(x2, y2), pt(x1, y2))
-    return detect.mask_polygons(b.select("plan_id", F.col("ord").alias("mask_idx"), "cls_id", contour.alias("contour")))
+    contour = F.array(pt(x1, y1), pt((x1 + x2) / 2.0, y1 - 1.0), pt(x2, y1), pt(x2, y2), pt(x1, y2))
+    got = detect.mask_polygons(b.select("plan_id", F.col("ord").alias("mask_idx"), "cls_id", contour.alias("contour")))
+    got = got.select("plan_id", "mask_idx", "label", F.posexplode("polygon").alias("place", "p"), F.round(F.col("area") * 100.0).cast("long").alias("area_cm"))
+    return got.select("plan_id", "mask_idx", "label", "place", mm(F.get("p", F.lit(0))).alias("x_mm"), mm(F.get("p", F.lit(1))).alias("y_mm"), "area_cm")
 
 
-@query()
+BOTH = "greatest(0e0, least(q.x2, r.x2) - greatest(q.x1, r.x1)) * greatest(0e0, least(q.y2, r.y2) - greatest(q.y1, r.y1))"
+
+
+@query(f"with recursive b as ({BOXES}), r as (select plan_id, cls_id, ord, x1, y1, x2, y2, row_number() over (partition by plan_id, cls_id order by conf desc, ord) as k from b), g as (select plan_id, cls_id, cast(1 as bigint) as k, [{{'ord': ord, 'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2}}] as kept from r where k = 1 union all select g.plan_id, g.cls_id, r.k, case when len(list_filter(kept, lambda q: {BOTH} > ((r.x2 - r.x1) * (r.y2 - r.y1) + (q.x2 - q.x1) * (q.y2 - q.y1) - {BOTH}) * 45e-2)) > 0 then kept else list_append(kept, {{'ord': r.ord, 'x1': r.x1, 'y1': r.y1, 'x2': r.x2, 'y2': r.y2}}) end from g join r on r.plan_id = g.plan_id and r.cls_id = g.cls_id and r.k = g.k + 1), z as (select plan_id, cls_id, arg_max(kept, k) as kept from g group by plan_id, cls_id) select plan_id, cls_id, (unnest(kept)).ord as ord from z")
 def f1_suppression(spark, sf_dir):
     return detect.suppress(boxes(spark, sf_dir)).select("plan_id", "ord", "cls_id")
 
@@ -426,7 +441,15 @@ def s11_obj_export(spark, sf_dir):
     return files.obj_text(scene.build_scene(plans.sample_plans(spark)))
 
 
-@query()
+def sample_json(text: str) -> str:
+    """A sample as its sink writes it: fields in the schema's order, numbers of the schema's type, missing ones left out."""
+    d, num = json.loads(text), lambda v: [num(x) for x in v] if isinstance(v, list) else float(v)
+    kinds = {"scale": {"pixels_per_meter": num}, "walls": {"start": num, "end": num, "thickness": num}, "doors": {"position": list, "width": num, "type": str, "wall_index": int}, "windows": {"position": list, "width": num, "wall_index": int}, "rooms": {"label": str, "polygon": num, "area": num}}
+    row = lambda part, r: {k: f(r[k]) for k, f in kinds[part].items()}
+    return json.dumps({p: row(p, d[p]) if p == "scale" else [row(p, r) for r in d[p]] for p in kinds}, separators=(",", ":"))
+
+
+@query("select * from (values " + ", ".join(f"('{n}', '{sample_json(t)}')" for n, t in plans.SAMPLES.items()) + ") as t(plan_id, json)")
 def s8_json_sink(spark, sf_dir):
     return files.json_documents(plans.sample_plans(spark))
 
@@ -575,7 +598,7 @@ def j6_svg_image(spark, sf_dir):
     return dataset.find_samples(paths, "/data").select("name", "image_path")
 
 
-@query(WITH + OBJECTS + " select case type when 'wall' then 'FP3D_Wall' when 'floor' then 'FP3D_Floor' end as material, count(*) as n from ob group by 1")
+@query(WITH + OBJECTS + " select case type when 'wall' then 'Wall' when 'floor' then 'Floor' end as material, count(*) as n from ob group by 1")
 def j7_material_dimension(spark, sf_dir):
     return scene.with_materials(objects(spark, sf_dir)).groupBy("material").agg(F.count("*").alias("n"))
 
@@ -596,7 +619,17 @@ def o1_path_sort(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/pages.parquet").where("url is not null").select("page_id", "url").orderBy(dataset.path_parts(F.col("url")), "page_id")
 
 
-@query()
+def shuffled_sql() -> str:
+    """Python's seeded shuffle has no SQL, so its order is given for tables of 10, 100 and 1,000 rows."""
+    rows = []
+    for n in (10, 100, 1000):
+        order = list(range(n))
+        random.Random(42).shuffle(order)
+        rows += [f"({n}, {rank}, {at})" for at, rank in enumerate(order)]
+    return f"with p(n, rank, position) as (values {', '.join(rows)}), s as (select s_suppkey, row_number() over (order by string_split('c/' || s_suppkey, '/')) - 1 as rank, count(*) over () as n from supplier) select s_suppkey, cast(position as int) as position, case when position < cast(floor(n * 5e-2) as bigint) then 'test' when position < cast(floor(n * 5e-2) as bigint) + cast(floor(n * 15e-2) as bigint) then 'val' else 'train' end as split from s join p using (n, rank)"
+
+
+@query(shuffled_sql())
 def o2_seeded_shuffle(spark, sf_dir):
     return dataset.seeded_split(spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey", F.concat(F.lit("c/"), "s_suppkey").alias("dir"))).select("s_suppkey", "position", "split")
 
@@ -625,7 +658,7 @@ def s9_label_text(spark, sf_dir):
     return files.label_lines(labels, b.select("name", F.lit("train").alias("split")).distinct())
 
 
-@query()
+@query("select concat_ws(chr(10), 'names:', '- wall', '- door', '- window', '- room', 'nc: 4', 'path: /out', 'test: images/test', 'train: images/train', 'val: images/val', '') as yaml")
 def s10_manifest(spark, sf_dir):
     return spark.createDataFrame([(files.manifest("/out", CLASSES),)], "yaml string")
 

@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 #: What an archive leaves out, wherever it stands in a path.
 EXCLUDED = ("__pycache__", ".pyc", ".pyo", ".DS_Store")
 
+#: Formats by suffix.
+EXPORTS = {".fbx": "fbx", ".obj": "obj", ".glb": "gltf", ".gltf": "gltf"}
+
 
 def png_size(content: Column) -> tuple[Column, Column]:
     """Width and height from a PNG's header; null for other content."""
@@ -87,7 +90,7 @@ def write_label_files(content: DataFrame, images: DataFrame, out: str) -> int:
 
 
 def manifest(out: str, classes) -> str:
-    """The data set's description as YAML."""
+    """The data set's description as YAML. Its keys are fixed values."""
     import yaml
 
     return yaml.dump({"path": out, "train": "images/train", "val": "images/val", "test": "images/test", "nc": len(classes), "names": list(classes)}, default_flow_style=False)
@@ -95,7 +98,8 @@ def manifest(out: str, classes) -> str:
 
 def export_kind(path: str) -> str:
     """Format by suffix, whatever its case; an error for others."""
-    kind = {".fbx": "fbx", ".obj": "obj", ".glb": "gltf", ".gltf": "gltf"}.get("." + path.lower().rsplit(".", 1)[-1] if "." in path else "")
+    name = path.lower().rsplit("/", 1)[-1]
+    kind = EXPORTS.get("." + name.rsplit(".", 1)[-1] if "." in name.lstrip(".") else "")
     if kind is None:
         raise ValueError(f"no export for {path}")
     return kind

@@ -10,7 +10,7 @@ from atrium.plans.queries import ORACLE_SQL, QUERIES
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
-TABLES = "part lineitem events pages".split()
+TABLES = "part lineitem events pages supplier".split()
 
 
 @pytest.fixture(scope="module")
