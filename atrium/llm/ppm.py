@@ -1,12 +1,13 @@
 """LM scoring: prediction by partial matching over bytes, with escape estimation and symbol exclusion, and a word unigram base.
 
-The byte trie is learned from all training rows, to order 5 unless told otherwise. Its alphabet is the 62 commonest
-bytes, "other" and the end of a text; a byte of "other" is told apart by its share of those. Orders to 2 have at most
-64**3 nodes whatever the input, and are flattened into one table. Those above grow with the input, and are tables of
-grams: the commonest are broadcast, the places of all others are joined with them by shuffle.
-
-Above order 2, a symbol seen after a context has n / (all + kinds). Any other has the escape, kinds / (all + kinds),
-times its probability one order below, divided by what that order leaves to symbols not seen after the context.
+The byte trie is learned from all training rows, to order 5 unless told otherwise. Its symbols are the 256 bytes and the
+end of a text, each with a context of its own. At every order alike, a symbol that was seen after the context has its
+count over (all + kinds), any other the escape, kinds over the same, times its probability one order below, where the
+symbols that were seen above no longer count; below order 0 the symbols that were never seen share alike.
+
+What was seen after a context was also seen after its suffix, so what is excluded at an order is just what was seen after
+the context one longer. So an exclusion is a number for each context, and the trie is a table of grams and a table of
+contexts for each order, which grow with the input: the commonest grams are broadcast, the places of all others joined.
 """
 
 from __future__ import annotations
@@ -15,15 +16,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast, TaskContext
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Shared, columns_of, map_arrow
 from .words import LOWER, SPACED, U, Slice, mix, text_slices
 
-A, BITS, ORDER = 64, 6, 2  # symbols, their bits, and the order up to which the trie is one table
-OTHER, END = A - 2, A - 1
+BITS, END, SYMBOLS = 9, 256, 257
 END_TOKEN = int(mix(np.array([0x454E44], U)).astype(np.int64)[0])
 
 
@@ -62,36 +62,34 @@ class Tally:
 
 
 def count_words(df: DataFrame, flush_at: int = 2_000_000) -> DataFrame:
-    """(kind, key, n) of (t): kind 0 counts words by hash, and one end for each row; kind 1 counts lower-cased bytes."""
+    """(key, n) of (t): how often each word is met, by hash, and one end for each row, in parts that are yet to be added up."""
 
     def run(batches):
-        words, by_byte, ends = Tally(), np.zeros(256, np.int64), 0
-        rec = lambda kind, k, n: pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind), pa.int32()), pa.array(k, pa.int64()), pa.array(n, pa.int64())], names=["kind", "key", "n"])
+        words, ends = Tally(), 0
+        rec = lambda k, n: pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(n, pa.int64())], names=["key", "n"])
         for batch in batches:
             ends += batch.num_rows
             for s in text_slices(columns_of(batch, ["t"])[0], 4 << 20):
                 words.add(s.split(SPACED).hashes(lower=True).astype(np.int64))
-                by_byte += np.bincount(LOWER[s.data], minlength=256)
                 if words.size > flush_at:
-                    yield rec(0, *words.flush())
-        yield rec(0, *words.flush())
-        yield rec(0, np.array([END_TOKEN]), np.array([ends]))
-        yield rec(1, np.flatnonzero(by_byte), by_byte[by_byte > 0])
+                    yield rec(*words.flush())
+        yield rec(*words.flush())
+        yield rec(np.array([END_TOKEN]), np.array([ends]))
 
-    return map_arrow(df, run, "kind int, key long, n long").where("n > 0")
+    return map_arrow(df, run, "key long, n long").where("n > 0")
 
 
-def codes(s: Slice, classes: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
-    """Context and symbol of each byte and of the end of each row, as one number below A**(order + 1), and the rows' bounds in them."""
+def codes(s: Slice, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """Context and symbol of each byte and of the end of each row, BITS a symbol, and the rows' bounds in them."""
     lens = np.diff(s.offs)
     n = len(s.data) + order * (s.rows + 1)
     arr = np.full(n, END, np.int64)
     at = np.arange(len(s.data)) + np.repeat(order * (np.arange(s.rows) + 1), lens)
-    arr[at] = classes[s.data]
+    arr[at] = LOWER[s.data]
     full = arr[: n - order].copy()
     for j in range(1, order + 1):
-        full *= A
-        full += arr[j : n - order + j]
+        full <<= BITS
+        full |= arr[j : n - order + j]
     keep = np.ones(len(full), bool)  # but for the further ends after each row, which are padding
     stops = s.offs[1:] + order * np.arange(s.rows)
     for j in range(1, order):
@@ -99,7 +97,7 @@ def codes(s: Slice, classes: np.ndarray, order: int) -> tuple[np.ndarray, np.nda
     return full[keep], s.offs + np.arange(s.rows + 1)
 
 
-def count_grams(df: DataFrame, classes: np.ndarray, order: int, flush_at: int = 1_500_000) -> DataFrame:
+def count_grams(df: DataFrame, order: int, flush_at: int = 1_500_000) -> DataFrame:
     """(gram, n) of (t): how often each symbol follows the ones before it, in parts that are yet to be added up."""
 
     def run(batches):
@@ -112,7 +110,7 @@ def count_grams(df: DataFrame, classes: np.ndarray, order: int, flush_at: int =
 
         for batch in batches:
             for s in text_slices(columns_of(batch, ["t"])[0]):
-                grams.add(codes(s, classes, order)[0])
+                grams.add(codes(s, order)[0])
                 if grams.size > flush_at:
                     yield from parts()
         yield from parts()
@@ -120,42 +118,13 @@ def count_grams(df: DataFrame, classes: np.ndarray, order: int, flush_at: int =
     return map_arrow(df, run, "gram long, n long")
 
 
-def seen_shares(grams: DataFrame, contexts: DataFrame) -> DataFrame:
-    """(gram, n, den, lp) of the grams of one order: counts, and log10 probability where the symbol was seen after its context."""
-    both = grams.withColumn("ctx", F.shiftright("gram", BITS)).join(contexts.select("ctx", "den"), "ctx")
-    return both.select("gram", "n", "den", F.log10(F.col("n") / F.col("den")).alias("lp"))
-
-
-def contexts_of(grams: DataFrame) -> DataFrame:
-    """(ctx, den, kinds, seen): the divisor of its counts, how many symbols follow it, and which, as bits."""
-    by_ctx = grams.groupBy(F.shiftright("gram", BITS).alias("ctx")).agg(F.sum("n").alias("tot"), F.count("*").alias("kinds"), F.bit_or(F.expr(f"shiftleft(1L, cast(gram & {A - 1} as int))")).alias("seen"))
-    return by_ctx.select("ctx", (F.col("tot") + F.when(F.col("kinds") < A, F.col("kinds")).otherwise(0)).alias("den"), "kinds", "seen")  # none left to escape to
-
-
-def dense_rest(contexts: DataFrame, table: Broadcast) -> DataFrame:
-    """(ctx, rest) of the first order above the dense table: what that leaves to symbols not seen after the context."""
-
-    def run(batches):
-        for batch in batches:
-            ctx, seen = (c.to_numpy() for c in columns_of(batch, ["ctx", "seen"]))
-            below = table.value.reshape(-1, A)[ctx % A**ORDER]
-            free = (seen[:, None] >> np.arange(A)) & 1 == 0
-            yield pa.RecordBatch.from_arrays([pa.array(ctx), pa.array((10.0 ** below.astype(float) * free).sum(1))], names=["ctx", "rest"])
-
-    return map_arrow(contexts.select("ctx", "seen"), run, "ctx long, rest double")
+def last(c: str, symbols: int) -> Column:
+    """The last symbols of a gram or context."""
+    return F.col(c).bitwiseAND((1 << BITS * symbols) - 1)
 
 
-def rest_below(grams: DataFrame, below: DataFrame, order: int) -> DataFrame:
-    """(ctx, rest) of a further order, from the shares of the order below it."""
-    low = below.select(F.col("gram").alias("low"), F.col("n").alias("m"), F.col("den").alias("d"))
-    met = grams.withColumn("low", F.col("gram").bitwiseAND(A**order - 1)).join(low, "low")
-    return met.groupBy(F.shiftright("gram", BITS).alias("ctx")).agg(((F.max("d") - F.sum("m")) / F.max("d")).alias("rest"))
-
-
-def escapes(contexts: DataFrame, rest: DataFrame) -> DataFrame:
-    """(ctx, esc): log10 of what a context's escape multiplies the order below by."""
-    value = F.col("kinds") / F.col("den") / F.greatest("rest", F.lit(1e-30))
-    return contexts.join(rest, "ctx").select("ctx", F.log10(value).alias("esc"))
+def context() -> Column:
+    return F.shiftright("gram", BITS)
 
 
 def most_frequent(counts: DataFrame, most: int) -> Column:
@@ -170,80 +139,75 @@ def most_frequent(counts: DataFrame, most: int) -> Column:
     return step >= least
 
 
-def flatten(grams: np.ndarray, counts: np.ndarray, order: int = 3, block: int = 8192) -> np.ndarray:
-    """log10 probability of each symbol after each context, by PPM with escape method C and exclusion, as float32 [A**(order + 1)]."""
-    top = np.zeros(A ** (order + 1), np.float32)
-    top[grams] = counts
-    orders = [top.reshape(-1, A)]
-    for _ in range(order):
-        orders.append(orders[-1].reshape(A, -1, A).sum(0, dtype=float))
-    out = np.empty((A**order, A), np.float32)
-    block = min(block, A**order)
-    for lo in range(0, A**order, block):
-        ctx = np.arange(lo, lo + block)
-        p = np.zeros((block, A))
-        left = np.ones(block)
-        free = np.ones((block, A), bool)
-        for c in orders:
-            n_c = c[ctx % len(c)] * free
-            seen = n_c > 0
-            total, kinds = n_c.sum(1), seen.sum(1)
-            kinds = np.where(kinds == free.sum(1), 0, kinds)  # nothing left to escape to
-            some = total > 0
-            share = np.where(some, left / np.maximum(total + kinds, 1), 0)
-            p += n_c * share[:, None]
-            left = np.where(some, left * kinds / np.maximum(total + kinds, 1), left)
-            free &= ~seen
-        p += free * (left / np.maximum(free.sum(1), 1))[:, None]
-        out[lo : lo + block] = np.log10(np.maximum(p, 1e-30))
-    return out.ravel()
-
-
 @dataclass
 class Trie:
-    dense: Broadcast  # log10 probabilities of the lowest orders
-    shares: dict[int, DataFrame]  # seen_shares of each order above
-    escape: dict[int, DataFrame]  # and escapes
+    """grams[k]: (gram, n) of k + 1 symbols. contexts[k]: (ctx, t, kinds) and what follows from them.
+
+    first_den, first_esc: divisor of the counts and log10 of the escape where the context is the longest that was seen;
+    next_den, next_esc: those of its suffix, where what was seen after this context doesn't count.
+    """
+
+    grams: dict[int, DataFrame]
+    contexts: dict[int, DataFrame]
     order: int
 
+    def shares(self) -> DataFrame:
+        """(gram, n, lp) of the longest grams: log10 probability of a symbol that was seen after its whole context."""
+        both = self.grams[self.order].withColumn("ctx", context()).join(self.contexts[self.order].select("ctx", "first_den"), "ctx")
+        return both.select("gram", "n", F.log10(F.col("n") / F.col("first_den")).alias("lp"))
+
     def values(self, grams: DataFrame) -> DataFrame:
-        """(gram, value): log10 probability of the last symbol of each distinct gram, whether or not it was seen."""
-        dense = self.dense
-
-        def lowest(batches):
-            for batch in batches:
-                g = columns_of(batch, ["gram"])[0].to_numpy()
-                yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(dense.value[g % A ** (ORDER + 1)], pa.float64())], names=["gram", "value"])
-
-        out = map_arrow(grams.select("gram"), lowest, "gram long, value double")
-        for k in range(ORDER + 1, self.order + 1):
-            out = out.withColumn("low", F.col("gram").bitwiseAND(A ** (k + 1) - 1)).withColumn("ctx", F.shiftright("low", BITS))
-            out = out.join(self.shares[k].select(F.col("gram").alias("low"), "lp"), "low", "left").join(self.escape[k], "ctx", "left")
-            out = out.select("gram", F.coalesce("lp", F.col("value") + F.coalesce("esc", F.lit(0.0))).alias("value"))
-        return out
+        """(gram, value): log10 probability of the last symbol of each distinct gram, whether or not it was seen.
+
+        From order 0 up: value is that of the symbol after the context so far, below the same one order lower without
+        what was seen after this context. Tables of orders 0 and 1 have at most 257 and 257 * 257 rows.
+        """
+        out = grams.select("gram", F.lit(-float(np.log10(SYMBOLS))).alias("value"), F.lit(None).cast("double").alias("below"), F.lit(None).cast("long").alias("m"))
+        for k in range(self.order + 1):
+            small = F.broadcast if k <= 1 else lambda df: df
+            out = out.withColumn("low", last("gram", k + 1)).withColumn("ctx", F.shiftright("low", BITS))
+            out = out.join(small(self.grams[k].select(F.col("gram").alias("low"), "n")), "low", "left")
+            out = out.join(small(self.contexts[k].select("ctx", "first_den", "first_esc", "next_den", "next_esc")), "ctx", "left")
+            below = F.col("next_esc") if k == 0 else F.coalesce(F.log10(F.try_divide("m", "next_den")), F.col("next_esc") + F.col("below"))
+            value = F.coalesce(F.log10(F.col("n") / F.col("first_den")), F.col("first_esc") + below)
+            known = F.col("first_den").isNotNull()
+            out = out.select("gram", F.when(known, value).otherwise(F.col("value")).alias("value"), F.when(known, below).alias("below"), F.col("n").alias("m"))
+        return out.select("gram", "value")
+
+
+def escape(seen: Column, kinds: Column) -> Column:
+    """log10 of the share of what was not seen; 1 where nothing is left that was seen."""
+    return F.when(kinds > 0, F.log10(F.try_divide(kinds, seen + kinds))).otherwise(F.lit(0.0))
 
 
 def learn(shared: Shared, counts: DataFrame, order: int) -> Trie:
     """The trie from parts of the counts of its longest grams, (gram, n)."""
-    summed = lambda df, k: df.groupBy(F.col("gram").bitwiseAND(A ** (k + 1) - 1).alias("gram")).agg(F.sum("n").alias("n"))
-    grams = {order: shared.put(summed(counts, order), f"grams-{order}")}
-    for k in range(order - 1, ORDER, -1):
-        grams[k] = shared.put(summed(grams[k + 1], k), f"grams-{k}")
-    low = summed(grams[ORDER + 1], ORDER).toArrow()  # 64**3 rows at most
-    dense = shared.spark.sparkContext.broadcast(flatten(low.column("gram").to_numpy(), low.column("n").to_numpy(), ORDER))
-    trie = Trie(dense, {}, {}, order)
-    for k in range(ORDER + 1, order + 1):
-        ctx = shared.put(contexts_of(grams[k]), f"contexts-{k}")
-        trie.shares[k] = shared.put(seen_shares(grams[k], ctx), f"shares-{k}")
-        rest = dense_rest(ctx, dense) if k == ORDER + 1 else rest_below(grams[k], trie.shares[k - 1], k)
-        trie.escape[k] = shared.put(escapes(ctx, rest), f"escapes-{k}")
+    summed = lambda df, k: df.groupBy(last("gram", k + 1).alias("gram")).agg(F.sum("n").alias("n"))
+    trie = Trie({order: shared.put(summed(counts, order), f"grams-{order}")}, {}, order)
+    for k in range(order - 1, -1, -1):
+        trie.grams[k] = shared.put(summed(trie.grams[k + 1], k), f"grams-{k}")
+    for k in range(order + 1):
+        own = trie.grams[k].withColumn("ctx", context())
+        if k == 0:
+            by = own.groupBy("ctx").agg(F.sum("n").alias("t"), F.count("*").alias("kinds"))
+            rest = by.withColumn("seen", F.lit(0)).withColumn("left", F.lit(0))  # what was never seen shares alike
+            low_den, low_esc = F.lit(None).cast("double"), -F.log10(F.greatest(SYMBOLS - F.col("kinds"), F.lit(1)))
+        else:
+            low = trie.grams[k - 1].select(F.col("gram").alias("low"), F.col("n").alias("m"))
+            met = own.withColumn("low", last("gram", k)).join(F.broadcast(low) if k == 1 else low, "low")
+            by = met.groupBy("ctx").agg(F.sum("n").alias("t"), F.count("*").alias("kinds"), F.sum("m").alias("r"))
+            under = trie.contexts[k - 1].select(F.col("ctx").alias("suffix"), F.col("t").alias("t0"), F.col("kinds").alias("kinds0"))
+            rest = by.withColumn("suffix", last("ctx", k - 1)).join(F.broadcast(under) if k <= 2 else under, "suffix")
+            rest = rest.withColumn("seen", F.col("t0") - F.col("r")).withColumn("left", F.when(F.col("kinds0") < SYMBOLS, F.col("kinds0") - F.col("kinds")).otherwise(0))
+            low_den, low_esc = (F.col("seen") + F.col("left")).cast("double"), escape(F.col("seen"), F.col("left"))
+        kinds = F.when(F.col("kinds") < SYMBOLS, F.col("kinds")).otherwise(0)  # none left to escape to
+        found = rest.select("ctx", "t", "kinds", (F.col("t") + kinds).cast("double").alias("first_den"), escape(F.col("t"), kinds).alias("first_esc"), low_den.alias("next_den"), low_esc.alias("next_esc"))
+        trie.contexts[k] = shared.put(found, f"contexts-{k}")
     return trie
 
 
 @dataclass
 class Model:
-    classes: np.ndarray  # byte to symbol
-    within: np.ndarray  # log10 share of a byte in its symbol
     grams: np.ndarray  # the common grams, sorted
     shares: np.ndarray  # and their log10 probabilities
     known: np.ndarray  # sorted hashes of the common words
@@ -272,45 +236,35 @@ class Model:
         at = np.searchsorted(self.grams, kinds)
         at[at == len(self.grams)] = 0
         hit = self.grams[at] == kinds if len(self.grams) else np.zeros(len(kinds), bool)
-        value = np.where(hit, self.shares[at].astype(float), 0.0) if len(self.grams) else np.zeros(len(kinds))
+        value = np.where(hit, self.shares[at], 0.0) if len(self.grams) else np.zeros(len(kinds))
         return value[which], hit[which]
 
     def base(self, c: np.ndarray) -> np.ndarray:
         return np.log10((c + 0.1) / (self.tokens + 0.1 * (self.kinds + 1)))
 
 
-def alphabet(by_byte: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    classes, within = np.full(256, OTHER, np.int32), np.zeros(256)
-    order = np.lexsort((np.arange(256), -by_byte))
-    common = [b for b in order[: A - 2] if by_byte[b] > 0]
-    classes[common] = np.arange(len(common))
-    rest = classes == OTHER
-    within[rest] = np.log10((by_byte[rest] + 0.5) / (by_byte[rest].sum() + 0.5 * rest.sum()))
-    classes, within = classes[LOWER], within[LOWER]
-    return classes, within
-
-
 def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_common: int = 500_000, order: int = 5, max_grams: int = 1_500_000) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row; learns from rows that aren't held out.
 
     Counts of words and grams cover all training rows. The most frequent words and grams, at most max_common and
-    max_grams, are broadcast; the places of all others are joined with the rest by shuffle, so nothing is left out and
-    neither bound alters a result. order is 3 to 9. Null and empty texts have the end alone;
-    with nothing to learn from, all counts are 0 and the base score falls back on its constant; repeated rows each give
-    a row; an empty table gives an empty result.
+    max_grams, are broadcast; the places of all others are joined with the rest by shuffle, once for each row and gram,
+    so nothing is left out and neither bound alters a result. order is 1 to 6: a gram is 9 bits for each symbol.
+
+    Null and empty texts have the end alone; a very long text is read in slices but for its own; with nothing to learn
+    from, all counts are 0, the base score falls back on its constant and every symbol has one share; repeated rows each
+    count and each give a row, and ties in frequency are broadcast together or not at all; an empty table gives an empty
+    result; other columns don't matter.
     """
+    if not 1 <= order <= 6:
+        raise ValueError("order must be in 1 to 6")
     spark, shared = df.sparkSession, Shared(df.sparkSession)
     src = df.select(df[id_col].alias("id"), df[text_col].alias("t")).withColumn("held", held_out(F.col("id")))
     train = src.where("not held").select("t")
-    tally = shared.put(count_words(train).groupBy("kind", "key").agg(F.sum("n").alias("n")), "tally")
-    words = tally.where("kind = 0")
+    words = shared.put(count_words(train).groupBy("key").agg(F.sum("n").alias("n")), "tally")
     total, kinds = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    by_byte = np.zeros(256, np.int64)
-    for r in tally.where("kind = 1").collect():  # 256 at most
-        by_byte[r.key] = r.n
-    classes, within = alphabet(by_byte)
-    trie = learn(shared, count_grams(train, classes, order), order)
-    top = trie.shares[order].where(most_frequent(trie.shares[order], max_grams)).select("gram", "lp").sort("gram").toArrow()
+    trie = learn(shared, count_grams(train, order), order)
+    shares = shared.put(trie.shares(), "shares")
+    top = shares.where(most_frequent(shares, max_grams)).select("gram", "lp").sort("gram").toArrow()
     often = most_frequent(words, max_common) | (F.col("key") == END_TOKEN)
     common = words.where(often).select("key", "n").toArrow()
     keys = common.column("key").to_numpy().astype(U)
@@ -318,7 +272,7 @@ def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     keys = keys[by_key]
     start = np.searchsorted(keys, np.arange(2**20 + 1, dtype=U) << U(44)) if len(keys) else np.zeros(2**20 + 1, np.int64)
     start[-1] = len(keys)
-    model = spark.sparkContext.broadcast(Model(classes, within.astype(np.float32), top.column("gram").to_numpy(), top.column("lp").to_numpy().astype(np.float32), keys, common.column("n").to_numpy()[by_key], start.astype(np.int32), int(total), int(kinds)))
+    model = spark.sparkContext.broadcast(Model(top.column("gram").to_numpy(), top.column("lp").to_numpy(), keys, common.column("n").to_numpy()[by_key], start.astype(np.int32), int(total), int(kinds)))
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches):
@@ -327,7 +281,7 @@ def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
         for batch in batches:
             ids, helds, texts = columns_of(batch, ["id", "held", "t"])
             out: dict[str, list] = {k: [] for k in ("n_tokens", "n_known", "base", "score")}
-            tails, tail_n, novel, novel_n = [], [], [], []
+            tails, tail_n, novel, novel_n, times = [], [], [], [], []
             for s in text_slices(texts):
                 h = s.split(SPACED).hashes(lower=True)
                 c = m.lookup(h)
@@ -340,26 +294,30 @@ def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
                 out["base"].append(sums(np.where(found, m.base(np.maximum(c, 0)), 0.0)) + m.base(np.array([ends]))[0])
                 tails.append(h[~found].astype(np.int64))
                 tail_n.append(s.counts - n_found)
-                g, bounds = codes(s, m.classes, order)
+                g, bounds = codes(s, order)
                 value, hit = m.gram_shares(g)
                 bits = np.concatenate(([0.0], np.cumsum(value)))
-                novel.append(g[~hit])
-                novel_n.append(np.diff(np.concatenate(([0], np.cumsum(~hit)))[bounds]))
-                rest = np.concatenate(([0.0], np.cumsum(m.within[s.data], dtype=float)))
-                out["score"].append(np.diff(bits[bounds]) + np.diff(rest[s.offs]))
+                out["score"].append(np.diff(bits[bounds]))
+                new, of = g[~hit], np.repeat(np.arange(s.rows), np.diff(bounds))[~hit]
+                order_by = np.lexsort((new, of))
+                new, of = new[order_by], of[order_by]
+                one = np.flatnonzero(np.concatenate((np.ones(min(len(new), 1), bool), (new[1:] != new[:-1]) | (of[1:] != of[:-1]))))
+                novel.append(new[one])
+                times.append(np.diff(np.append(one, len(new))))
+                novel_n.append(np.bincount(of[one], minlength=s.rows))
             cat = lambda x, t: np.concatenate(x).astype(t) if x else np.zeros(0, t)
             lists = lambda x, k: pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(cat(k, np.int64)))).astype(np.int32)), pa.array(cat(x, np.int64)))
             n = batch.num_rows
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + n), pa.int64()), ids, helds, *(pa.array(cat(out[k], np.int64)) for k in ("n_tokens", "n_known")), *(pa.array(cat(out[k], float)) for k in ("base", "score")), lists(tails, tail_n), lists(novel, novel_n)], names=["row", "id", "held", "n_tokens", "n_known", "base", "score", "tail", "novel"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + n), pa.int64()), ids, helds, *(pa.array(cat(out[k], np.int64)) for k in ("n_tokens", "n_known")), *(pa.array(cat(out[k], float)) for k in ("base", "score")), lists(tails, tail_n), lists(novel, novel_n), lists(times, novel_n)], names=["row", "id", "held", "n_tokens", "n_known", "base", "score", "tail", "novel", "times"])
             row += n
 
-    rows = shared.put(map_arrow(src, run, f"row long, id {kind}, held boolean, n_tokens long, n_known long, base double, score double, tail array<long>, novel array<long>"), "rows")
+    rows = shared.put(map_arrow(src, run, f"row long, id {kind}, held boolean, n_tokens long, n_known long, base double, score double, tail array<long>, novel array<long>, times array<long>"), "rows")
     rare = words.where(~often).select("key", "n")
     tail = rows.select("row", F.explode("tail").alias("key")).join(rare, "key", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     cost = F.log10((F.col("n") + 0.1) / F.lit(float(total) + 0.1 * (kinds + 1)))
     tail = tail.groupBy("row").agg(F.sum(cost).alias("more"), F.sum(F.when(F.col("n") > 0, 1).otherwise(0)).alias("known"))
-    novel = rows.select("row", F.explode("novel").alias("gram"))
+    novel = rows.select("row", F.inline(F.arrays_zip(F.col("novel").alias("gram"), F.col("times").alias("times"))))
     value = shared.put(trie.values(novel.select("gram").distinct()), "values")
-    novel = novel.join(value, "gram").groupBy("row").agg(F.sum("value").alias("bits"))
-    out = rows.drop("tail", "novel").join(tail, "row", "left").join(novel, "row", "left")
+    novel = novel.join(value, "gram").groupBy("row").agg(F.sum(F.col("value") * F.col("times")).alias("bits"))
+    out = rows.drop("tail", "novel", "times").join(tail, "row", "left").join(novel, "row", "left")
     return out.select(F.col("id").alias(id_col), F.col("held").alias("held_out"), "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), (F.col("score") + F.coalesce("bits", F.lit(0.0))).alias("score"))

@@ -141,55 +141,38 @@ def unigram(rows):
     return {i: (held[i], len(w), sum(c[x] > 0 for x in w), n, sum(math.log10((c[x] + 0.1) / (n + 0.1 * (v + 1))) for x in w)) for i, w in toks.items()}
 
 
-def ppm(rows, order, size=64, dense=2):
-    """log10 probability of each text by a trie in dictionaries."""
+def ppm(rows, order, symbols=257):
+    """log10 probability of each text, by the definition: counts in dictionaries, what was seen at a longer context excluded below."""
     body = {i: low(t).encode() for i, t in rows}
-    train = [b for i, b in body.items() if zlib.crc32(str(i).encode()) % 10]
-    by_byte = Counter(x for b in train for x in b)
-    common = {x for x, _ in sorted(by_byte.items(), key=lambda p: (-p[1], p[0]))[: size - 2]}
-    others = sum(n for x, n in by_byte.items() if x not in common) + 0.5 * (256 - len(common))
+    end = "end"
     follow = defaultdict(Counter)
 
     def steps(b):
-        seq = [END] * order + [x if x in common else OTHER for x in b] + [END]
+        seq = [end] * order + list(b) + [end]
         return [(tuple(seq[j - order : j]), seq[j]) for j in range(order, len(seq))]
 
-    END, OTHER = "end", "other"
-    for b in train:
-        for ctx, s in steps(b):
-            for k in range(order + 1):
-                follow[ctx[order - k :]][s] += 1
+    for i, b in body.items():
+        if zlib.crc32(str(i).encode()) % 10:
+            for ctx, s in steps(b):
+                for k in range(order + 1):
+                    follow[ctx[order - k :]][s] += 1
 
-    def low_share(ctx, s, gone):
-        here = {x: n for x, n in follow[ctx].items() if x not in gone}
+    def share(ctx, s, gone=frozenset()):
+        here = {x: n for x, n in follow.get(ctx, {}).items() if x not in gone}
         total, kinds = sum(here.values()), len(here)
-        if kinds == size - len(gone):
+        if kinds == symbols - len(gone):
             kinds = 0
         if s in here:
             return here[s] / (total + kinds)
         left = kinds / (total + kinds) if total else 1
         gone = gone | set(here)
-        return left * (low_share(ctx[1:], s, gone) if ctx else 1 / (size - len(gone)))
+        return left * (share(ctx[1:], s, gone) if ctx else 1 / (symbols - len(gone)))
 
     known: dict = {}
-
-    def share(ctx, s):
-        if (ctx, s) not in known:
-            here = follow[ctx]
-            total, kinds = sum(here.values()), len(here)
-            if len(ctx) <= dense:
-                p = low_share(ctx, s, set())
-            elif not here:
-                p = share(ctx[1:], s)
-            elif s in here:
-                p = here[s] / (total + kinds)
-            else:
-                p = kinds / (total + kinds) * share(ctx[1:], s) / (1 - math.fsum(share(ctx[1:], x) for x in here))
-            known[ctx, s] = p
-        return known[ctx, s]
-
-    within = {x: math.log10((by_byte[x] + 0.5) / others) for x in range(256) if x not in common}
-    return {i: (math.fsum(math.log10(share(c, s)) for c, s in steps(b)) + math.fsum(within.get(x, 0) for x in b),) for i, b in body.items()}
+    for step in (x for b in body.values() for x in steps(b)):
+        if step not in known:
+            known[step] = math.log10(share(*step))
+    return {i: (math.fsum(known[x] for x in steps(b)),) for i, b in body.items()}
 
 
 def leaks(docs, items, size=10):

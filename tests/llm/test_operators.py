@@ -362,36 +362,34 @@ def test_ppm(tricky, docs):
 
 
 def test_ppm_scores(tricky, docs):
-    """Every score is the sum that a plain trie gives, at three orders."""
-    for order in (3, 5, 7):
-        got = by_id(ppm.score_texts(tricky, order=order, max_grams=200), "doc_id", "score")
-        same(got, brute.ppm(docs, order))
+    """Every score is the sum that the definition gives, at two orders and with all bytes in the texts."""
+    wild = tricky.sparkSession.createDataFrame([(1000 + i, "".join(chr(40 * i + j) for j in range(1, 60)) * 2) for i in range(30)] + [(2000, "Пример русского текста, пример"), (2001, "日本語のテキスト日本")], "doc_id long, text string")
+    some = [r for r in docs if not r[1] or len(r[1]) < 100_000]
+    rows = [*some, *((r.doc_id, r.text) for r in wild.collect())]
+    df = tricky.sparkSession.createDataFrame(rows, "doc_id long, text string")
+    for order in (2, 5):
+        same(by_id(ppm.score_texts(df, order=order, max_grams=200), "doc_id", "score"), brute.ppm(rows, order))
 
 
 def test_ppm_orders(spark):
-    """Above the dense orders too, each context's probabilities add up to one."""
+    """Each context's probabilities add up to one, seen or not."""
     rng = np.random.RandomState(1)
-    counts = collections.Counter(int(g) for g in rng.choice([0, 1, 2, 9, 63], (4000, 7)) @ ppm.A ** np.arange(7))
-    trie = ppm.learn(ppm.Shared(spark), spark.createDataFrame(list(counts.items()), "gram long, n long"), 6)
-    contexts = [*{g // ppm.A for g in list(counts)[:20]}, 5, ppm.A**6 - 1, ppm.A**5 + 1]
-    grams = spark.createDataFrame([(c * ppm.A + s,) for c in contexts for s in range(ppm.A)], "gram long")
+    counts = collections.Counter(int(g) for g in rng.choice([0, 1, 2, 9, 256], (3000, 5)) @ (1 << ppm.BITS * np.arange(5)))
+    trie = ppm.learn(ppm.Shared(spark), spark.createDataFrame(list(counts.items()), "gram long, n long"), 4)
+    contexts = [*{g >> ppm.BITS for g in list(counts)[:20]}, 5, (1 << 4 * ppm.BITS) - 1, 256 << 3 * ppm.BITS | 9]
+    grams = spark.createDataFrame([(c << ppm.BITS | s,) for c in contexts for s in range(ppm.SYMBOLS)], "gram long")
     total = collections.Counter()
     for r in trie.values(grams).collect():
-        total[r.gram // ppm.A] += 10.0**r.value
-    assert len(total) == len(contexts) and np.allclose(list(total.values()), 1, atol=1e-4)
-
-
-def test_ppm_probabilities():
-    """Each context's probabilities add up to one, and follow the definition for a context worked by hand."""
-    rng = np.random.RandomState(0)
-    grams = np.unique(rng.randint(0, ppm.A**4, 500))
-    table = ppm.flatten(grams, rng.randint(1, 9, len(grams))).reshape(-1, ppm.A)
-    total = (10.0 ** table.astype(float)).sum(1)
-    assert np.allclose(total, 1, atol=1e-4)
-    # Of "aaab" alone: after "aaa" b once (escape 1/2); then order 2 etc. know nothing more than b, and the rest is uniform.
-    one = 10.0 ** ppm.flatten(np.array([1]), np.array([1])).reshape(-1, ppm.A)[0].astype(float)
-    assert one[1] == pytest.approx(0.5)
-    assert one[0] == pytest.approx(0.5 / (ppm.A - 1))
+        total[r.gram >> ppm.BITS] += 10.0**r.value
+    assert len(total) == len(contexts) and np.allclose(list(total.values()), 1, atol=1e-9)
+
+
+def test_ppm_by_hand(spark):
+    """Of "aaab" alone, b has 1/2 after "aaa"; shorter contexts know nothing else, and the other half is shared alike."""
+    gram = 97 << 27 | 97 << 18 | 97 << 9 | 98
+    trie = ppm.learn(ppm.Shared(spark), spark.createDataFrame([(gram, 1)], "gram long, n long"), 3)
+    got = {r.gram: 10.0**r.value for r in trie.values(spark.createDataFrame([(gram,), (gram - 1,), (98,)], "gram long")).collect()}
+    assert got[gram] == pytest.approx(0.5) and got[gram - 1] == pytest.approx(0.5 / 256) and got[98] == pytest.approx(0.5)
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
