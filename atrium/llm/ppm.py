@@ -317,7 +317,10 @@ def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     cost = F.log10((F.col("n") + 0.1) / F.lit(float(total) + 0.1 * (kinds + 1)))
     tail = tail.groupBy("row").agg(F.sum(cost).alias("more"), F.sum(F.when(F.col("n") > 0, 1).otherwise(0)).alias("known"))
     novel = rows.select("row", F.inline(F.arrays_zip(F.col("novel").alias("gram"), F.col("times").alias("times"))))
-    value = shared.put(trie.values(novel.select("gram").distinct()), "values")
+    # A gram that was seen has its share; only those that weren't go down the orders.
+    met = shared.put(novel.select("gram").distinct().join(shares.select("gram", "lp"), "gram", "left"), "met")
+    unseen = shared.put(trie.values(met.where("lp is null").select("gram")), "unseen")
+    value = met.where("lp is not null").select("gram", F.col("lp").alias("value")).unionAll(unseen)
     novel = novel.join(value, "gram").groupBy("row").agg(F.sum(F.col("value") * F.col("times")).alias("bits"))
     out = rows.drop("tail", "novel", "times").join(tail, "row", "left").join(novel, "row", "left")
     return out.select(F.col("id").alias(id_col), F.col("held").alias("held_out"), "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), (F.col("score") + F.coalesce("bits", F.lit(0.0))).alias("score"))
