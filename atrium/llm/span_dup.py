@@ -143,7 +143,9 @@ def span_dedup(df: DataFrame, keep: list[str], order_col: str = "doc_id", text_c
     rows = shared.put(map_arrow(src, find, f"{base}, row long, {spans}"), "rows")
     places = rows.select("o", "row", F.inline("spans"))
     seen = places.groupBy("a", "b").agg(F.min(F.struct(F.col("o").isNull().alias("z"), "o", "row", "i")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    again = places.join(seen.select("a", "b", F.col("first.row").alias("row0"), F.col("first.i").alias("i0")), ["a", "b"]).where("row <> row0 or i <> i0")
+    # Written first, so that its shuffle is gone before the places' one, and the join can split a hot span.
+    seen = shared.put(seen.select("a", "b", F.col("first.row").alias("row0"), F.col("first.i").alias("i0")), "seen")
+    again = places.join(seen, ["a", "b"]).where("row <> row0 or i <> i0")
     gone = shared.put(again.groupBy("row").agg(F.collect_set(F.struct("i", "size")).alias("cut")), "gone")  # no more than a row has sentences, four times
     joined = rows.drop("spans", "o").join(gone, "row", "left").select(*inner, "t", "n_sentences", "cut")
     schema = ", ".join([*(f"{k} {kind}" for k, kind in zip(inner, kinds, strict=True)), "t string, n_sentences long, n_removed long, words_removed long"])
