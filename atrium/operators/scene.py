@@ -128,6 +128,12 @@ def build_scene(plans: DataFrame, wall_height: float = DEFAULT.wall_height, with
     return walls.unionByName(flat).unionByName(labels)
 
 
+def write_scene(objects: DataFrame, out: str) -> DataFrame:
+    """Writes the objects in place of whatever scene stood under out, and reads them again."""
+    objects.write.mode("overwrite").parquet(out)
+    return objects.sparkSession.read.schema(objects.schema).parquet(out)
+
+
 def scene_counts(plans: DataFrame, wall_height: float = DEFAULT.wall_height, with_ceiling: bool = False, cfg: Config = DEFAULT) -> DataFrame:
     """(plan_id, walls, doors, windows, floors, ceilings, labels, summary): what was made; the summary leaves zeros out."""
     w = source.walls(plans, cfg)

@@ -431,7 +431,13 @@ def f1_suppression(spark, sf_dir):
     return detect.suppress(boxes(spark, sf_dir)).select("plan_id", "ord", "cls_id")
 
 
-@query()
+#: Python rounds the exact binary value, as printf does.
+SNAP_EXACT = SNAP
+for _c in "xy":
+    SNAP_EXACT = SNAP_EXACT.replace(f"floor((({_c}s[p] + {_c}s[q]) / 2e0) * 1e3 + 5e-1) / 1e3", f"cast(printf('%.3f', ({_c}s[p] + {_c}s[q]) / 2e0) as double)")
+
+
+@query(RECURSIVE + SNAP_EXACT + f"select {WALLS_OUT} from sw")
 def a1_snap_exact(spark, sf_dir):
     return walls_out(resolve.snap_ends(found_walls(spark, sf_dir), CFG, exact=True))
 
@@ -672,3 +678,41 @@ def by_length(path: str) -> list[dict]:
 def s14_detector_call(spark, sf_dir):
     images = spark.read.parquet(f"{sf_dir}/pages.parquet").where("url is not null").select(F.col("page_id").alias("plan_id"), F.col("url").alias("path"))
     return detect.detect(images, by_length).select("plan_id", "ord", "cls_id", "x2")
+
+
+@query("select * from (values ('simple', 5, 2, false), ('broken', null, null, true), ('studio', 6, 3, false), ('empty', null, null, false)) as t(name, n_walls, n_rooms, corrupt)")
+def s1_plan_files(spark, sf_dir):
+    """Documents as files, of which one is cut off and one says nothing."""
+    texts = {"simple": plans.SAMPLES["apartment"], "broken": plans.SAMPLES["studio"][:200], "studio": plans.SAMPLES["studio"], "empty": "{}"}
+    out = files.scratch(spark, "plans")
+    spark.createDataFrame(list(texts.items()), "name string, value string").write.partitionBy("name").text(out)
+    got = plans.read_plans(spark, out)
+    sizes = [F.when(F.col(c).isNotNull(), F.size(c)).cast("int").alias(f"n_{c}") for c in ("walls", "rooms")]
+    return got.select(F.regexp_extract("plan_id", "name=([a-z]+)/", 1).alias("name"), *sizes, F.col("_corrupt_record").isNotNull().alias("corrupt"))
+
+
+@query("select * from (values ('data.nc', '4'), ('data.names', '[\"wall\", \"door\"]'), ('model.imgsz', '640'), ('model.conf', '0.5'), ('model.device', '\"auto\"'), ('augment', 'true')) as t(key, value)")
+def s7_config(spark, sf_dir):
+    """A configuration written and read, its settings by their whole names."""
+    text = "data: {nc: 4, names: [wall, door]}\nmodel:\n  imgsz: 640\n  conf: 0.5  # least\n  device: auto\naugment: true\n"
+    out = files.scratch(spark, "config")
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(out)
+    flat = {f"{k}.{n}" if n else k: v for k, part in files.load_config(spark, out).items() for n, v in (part.items() if isinstance(part, dict) else [("", part)])}
+    return spark.createDataFrame([(k, json.dumps(v)) for k, v in flat.items()], "key string, value string")
+
+
+@query(f"select page_id, 'code/p' || page_id || '/' || f as entry from (select page_id, string_split({FILES}, '/')[-1] as f, {FILES} as path from pages) where not contains(path, '__pycache__') and not contains(path, '.pyc') and not contains(path, '.pyo') and not contains(path, '.DS_Store')")
+def s13_archive_entries(spark, sf_dir):
+    """Names in an archive, without what is left out."""
+    p = spark.read.parquet(f"{sf_dir}/pages.parquet").withColumn("url", F.expr(FILES)).where("url is not null")
+    path = F.concat(F.lit("/home/x/repo/p"), "page_id", F.lit("/"), F.when(F.col("url").contains("__pycache__"), "__pycache__/x").otherwise(F.substring_index("url", "/", -1)))
+    return files.entries(p.select("page_id", path.alias("path")), "/home/x/repo/", "code").select("page_id", "entry")
+
+
+@query("select * from (values ('apartment', 'ceiling', 2), ('apartment', 'floor', 2), ('apartment', 'label', 2), ('apartment', 'wall', 5), ('studio', 'ceiling', 3), ('studio', 'floor', 3), ('studio', 'label', 3), ('studio', 'wall', 6)) as t(plan_id, type, n)")
+def c1_scene_replaced(spark, sf_dir):
+    """A scene of all samples, then one of two with ceilings in its place."""
+    out, samples = files.scratch(spark, "scene"), plans.sample_plans(spark)
+    scene.write_scene(scene.build_scene(samples), out)
+    got = scene.write_scene(scene.build_scene(samples.where("plan_id <> 'three_bedroom'"), with_ceiling=True), out)
+    return got.groupBy("plan_id", "type").agg(F.count("*").cast("int").alias("n"))

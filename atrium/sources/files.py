@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import io
+import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -45,15 +47,29 @@ def included(path: Column) -> Column:
     return out
 
 
+def entries(files: DataFrame, root: str, prefix: str) -> DataFrame:
+    """files(path, ...) that an archive takes, with entry, their name in it: prefix and the path below root."""
+    below = F.regexp_replace("path", rf"(?s)^.*?\Q{root.rstrip('/')}\E/", "")
+    return files.where(included(F.col("path"))).withColumn("entry", F.concat(F.lit(f"{prefix}/"), below))
+
+
 def pack(files: DataFrame, root: str, prefix: str) -> bytes:
     """A deflated archive of (path, content) under prefix; built on the driver, for packages of code, not for data."""
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-        for r in files.where(included(F.col("path"))).orderBy("path").toLocalIterator():
-            z.writestr(f"{prefix}/{r.path.split(root.rstrip('/') + '/', 1)[-1]}", bytes(r.content))
+        for r in entries(files, root, prefix).orderBy("path").toLocalIterator():
+            z.writestr(r.entry, bytes(r.content))
     return out.getvalue()
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path that driver and executors share: in spark.checkpoint.dir, else the warehouse; a temporary folder in local mode."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        root = "file://" + tempfile.mkdtemp(prefix="atrium-") if spark.conf.get("spark.master", "").startswith("local[") else spark.conf.get("spark.sql.warehouse.dir")
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def label_lines(labels: DataFrame, samples: DataFrame) -> DataFrame:
     """(name, split, content): one label text per sample, empty where it has no labels."""
     line = F.format_string("%d %.6f %.6f %.6f %.6f", "cls_id", "cx", "cy", "w", "h")
