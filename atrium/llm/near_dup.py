@@ -297,7 +297,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Equal sets are one node, so copies are never paired. Every bucket of the index is first tied to its least member,
     a pair per member; after confirming those, only buckets that still hold several components are compared crosswise,
     large ones in blocks. Nothing is capped: all near pairs of different components are confirmed on whole sets.
-    Without words, null included, a row is alone; repeated rows and ids each give a row; an empty table, an empty result.
+    Without words, null included, a row is alone; a very long text gives its whole set; repeated rows and ids each give
+    a row; of a group's rows that tie for the least id all are kept; a null id is least of all; an empty table gives an
+    empty result; columns besides the id and the text don't matter, whatever their names.
     """
     shared = Shared(df.sparkSession)
     src = df.select(df[id_col].alias("id"), df[text_col].alias("t"))
@@ -361,7 +363,11 @@ def texts_of(src: DataFrame, reps: DataFrame, pairs: DataFrame, k: int) -> DataF
 
 
 def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **args) -> DataFrame:
-    """One row of each group: the least id's. Of rows that repeat that id in one group, the least text stays, once."""
+    """One row of each group, with all columns: the least id's. Of rows that repeat that id in one group, the least text stays, once.
+
+    Rows without words, null texts included, all stay, repeats too; a null id is least of all; very long texts count
+    whole; an empty table gives an empty result; columns may have any names but __key.
+    """
     mark = F.struct(df[id_col].alias("i"), F.xxhash64(F.coalesce(df[text_col], F.lit(""))).alias("h"), F.monotonically_increasing_id().alias("r"))
     shared = Shared(df.sparkSession)
     tagged = shared.put(df.withColumn("__key", mark), "tagged")

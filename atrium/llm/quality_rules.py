@@ -58,8 +58,10 @@ def quantiles(sketch: DataFrame, keys: list[str], at: dict[str, float]) -> DataF
 def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keys: tuple[str, ...] = ("lang", "source"), rules: tuple[Rule, ...] = RULES, reach: float = 3.0, min_words: int = 50, small_thresholds: int = 100_000) -> DataFrame:
     """Statistics, base verdict and verdict of each row against the thresholds of its own language and source.
 
-    A null text has no words; null keys are a group of their own; rows with equal keys and texts each give a row; an
-    empty table gives an empty result. The thresholds, one row per group, are broadcast only if at most small_thresholds.
+    A null or empty text has no words and fails; a very long text counts whole; null keys are a group of their own;
+    repeated rows each count and each give a row; values that tie with a threshold pass; an empty table gives an empty
+    result; columns besides those named don't matter, whatever their names. The thresholds, one row per group, are
+    broadcast only if at most small_thresholds.
     """
     shared = Shared(df.sparkSession)
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines"]

@@ -427,6 +427,34 @@ def test_trees_follow_their_arrays():
     assert np.allclose(m.margin(x[:50]), [walk(r) for r in x[:50]])
 
 
+def test_trees_are_the_best_of_all_cuts():
+    """Margins are those of trying every cut of every node, ties and constant columns included."""
+    rng = np.random.RandomState(3)
+    for bins in (4, 16):
+        x = np.column_stack([rng.rand(150), rng.randint(0, 4, 150), np.ones(150), rng.randn(150)])
+        y = ((x[:, 0] > 0.4) & (x[:, 1] > 1) | (rng.rand(150) < 0.1)).astype(float)
+        got = quality_model.fit(x, y, trees=6, depth=3, bins=bins).margin(x)
+        assert np.allclose(got, brute.boosted(x.tolist(), y.tolist(), 6, 3, bins), atol=1e-9)
+
+
+def test_repeated_rows_and_clashing_names(spark):
+    """Rows that repeat give equal rows, a result each, and columns named like the results don't matter."""
+    texts = ["The MIT License and the Apache License. All rights reserved", "word " * 80, "a b c. d e f\na b c. d e f " * 9, None, ""]
+    extra = "lang string, source string, n_words string, labels string, score string, kept string, spans int, predicted int, n_chars int"
+    df = spark.createDataFrame([(i, t, "en", None, *"abcd", 1, 2, 3) for i, t in enumerate(texts) for _ in range(2)], f"doc_id long, text string, {extra}")
+    labels = spark.createDataFrame([(0, 1), (0, 1), (1, 0), (2, 0)], "doc_id long, quality int")
+    model = quality_model.train(df, labels)
+    pages = spark.createDataFrame([(i, f"http://a.net/{i}" if i else None, f"<p>{t}</p>" if t else t, "x", 1) for i, t in enumerate(texts) for _ in range(2)], "page_id long, url string, html string, text string, n_chars int")
+    for got, key in (
+        (licences.licence_scan(df), "doc_id"), (quality_rules.quality_rules(df), "doc_id"), (quality_model.score(df, model, ["doc_id", "text", "score", "n_chars"]), "doc_id"),
+        (extract_text(pages, ["page_id", "url", "text", "n_chars"]), "page_id"), (url_rules.url_filter(pages), "page_id"),
+    ):
+        assert len(set(got.columns)) == len(got.columns)
+        rows = collections.Counter(repr(r) for r in got.collect())
+        assert len(rows) == len(texts) and set(rows.values()) == {2}, got.columns
+        assert got.select(key).distinct().count() == len(texts)
+
+
 PAGE = """<html><head><title>T</title></head><body><header>Site</header><nav><ul><li><a href=x>Home</a></li></ul></nav>
 <div class="cookie-notice">We use cookies</div><main><article><h1>Head &amp; line</h1><p>First   para <b>bold</b>
 text.<p>Second<br>one.<div class="ad">Buy</div><aside>More</aside><form><input>Mail</form><script>x="</p>"</script><p>Ti.</p>
@@ -569,6 +597,38 @@ def test_pipeline(spark):
     assert pipeline.run(spark, DATA).count() == len(rows)
 
 
+def test_pipeline_of_hard_rows(spark, tmp_path):
+    """Nulls, empty and long texts, repeated rows, null ids, other columns, no labels, then no rows at all."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    long, copy = " ".join(f"w{i}" for i in range(20_000)), " ".join(f"a{i}" for i in range(12))
+    passage = " Shared passage starts here now. It goes on for a while. And it ends here."
+    own = [" ".join(f"{c}{i}" for i in range(60)) + "." for c in "xyz"]
+    rows = [(None, None, None, None)] * 2 + [(1, "", "en", "a"), (2, long, None, "b"), (3, copy, "en", "a"), (3, copy, "en", "a"), (4, copy, "de", None), (None, own[2], "en", "b"), (5, own[0] + passage, "en", "a"), (6, own[1] + passage, "en", "b")]
+    docs = spark.createDataFrame([(*r, len(r[1] or ""), "s", 7, 8, 9.0, "t") for r in rows], "doc_id long, text string, lang string, source string, n_chars long, id string, size int, predicted int, score double, taken string")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([("i", " ".join(long.split()[90:120])), (None, copy), ("n", None), ("e", "")], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    ids = lambda rs: sorted((r.doc_id or 0, r.text or "") for r in rs)
+    want = sorted((r[0] or 0, r[1] or "") for r in rows)
+    for name, stage in pipeline.STAGES:
+        out = stage(spark, docs, f"{tmp_path}")
+        got = out.collect()
+        if name == "near_dedup":
+            want.remove((3, copy)), want.remove((4, copy))
+        elif name == "substring_dedup":
+            want = sorted((i, own[1] + " " if i == 6 else t) for i, t in want)  # a blank belongs to the sentence before it
+            assert [r.n_chars for r in got if r.doc_id == 6] == [len(own[1]) + 1]
+        elif name == "decontamination":
+            want.remove((2, long))
+        assert ids(got) == want, name
+        if name != "mix":
+            assert out.columns == pipeline.COLUMNS
+            docs = spark.createDataFrame(got, out.schema)
+    assert all(r.taken == r["size"] * r.copies for r in got)
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    none = pipeline.run(spark, f"{tmp_path}")
+    assert none.count() == 0 and "taken" in none.columns
+
+
 def test_flow_is_cheapest():
     """As many words as any routing, at the least cost, by trying all routings."""
     rng = random.Random(3)
