@@ -37,32 +37,45 @@ def stage(f: Callable) -> Callable:
 
 @stage
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier doesn't reject."""
+    """Documents that the classifier doesn't reject.
+
+    Without labels for them nothing is; null and empty texts are scored like any other; repeated rows stay or go together.
+    """
     model = train(docs, table(spark, sf_dir, "labels"))
     return score(docs, model, COLUMNS).where("predicted = 1").select(*COLUMNS)
 
 
 @stage
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
+    """One document of each group of near copies: the least id's, a null id before all; of repeated rows one.
+
+    Documents without words, null texts included, are near nothing and all stay.
+    """
     return drop_near_duplicates(docs.select(*COLUMNS))
 
 
 @stage
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the spans that another document, or an earlier place, has first; n_chars follows."""
+    """Texts without the spans that another document, or an earlier place, has first; n_chars follows.
+
+    Every row stays, with an empty text if all of it was repeated; null texts stay null. Of ids that tie, null ones
+    included (they come last), it isn't fixed which has a span first.
+    """
     return span_dedup(docs, COLUMNS).selectExpr("doc_id", "text", "lang", "source", "if(n_removed > 0, cast(char_length(text) as bigint), n_chars) as n_chars")
 
 
 @stage
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark window."""
+    """Documents without a benchmark window. Null and empty texts have none; an empty benchmark removes nothing; repeated rows go together."""
     return clean_documents(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"))
 
 
 @stage
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """How often each document goes into the mix."""
+    """How often each document goes into the mix: all rows, with copies and taken, 0 for those left out.
+
+    A null text has size 0, a null source is a source of its own, rows that tie in the order go together.
+    """
     return mix_sources(docs, COLUMNS)
 
 
@@ -73,6 +86,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, of which only COLUMNS are used. Very long texts are handled whole; an empty table gives an empty mix."""
     docs = table(spark, sf_dir, "documents").select(*COLUMNS)
     root = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for i, (name, apply) in enumerate(STAGES):
