@@ -312,3 +312,35 @@ def boosted(x, y, trees, depth, bins, rate=0.2, ridge=1.0, least=1.0):
             for i in rows:
                 margin[i] += step
     return margin
+
+
+def licence_spans(text, templates, least=4, gap=6):
+    """(label, start, end, covered) of a text: where the longest piece of any template that ends at a word can't go on, it is a match; matches of a template in its order make a span."""
+    words, seqs = ALNUM.findall(low(text)), [ALNUM.findall(low(t)) for _, t in templates]
+    pieces = defaultdict(dict)
+    for t, s in enumerate(seqs):
+        for i in range(len(s)):
+            for j in range(i + 1, len(s) + 1):
+                pieces[tuple(s[i:j])].setdefault(t, i)
+    found, size = defaultdict(list), 0
+    for i in range(len(words) + 1):
+        now = 0 if i == len(words) else next(k for k in range(size + 1, -1, -1) if not k or tuple(words[i - k + 1 : i + 1]) in pieces)
+        if size >= least and now <= size:
+            for t, place in pieces[tuple(words[i - size : i])].items():
+                found[t].append((i - size, i, place, place + size))
+        size = now
+    for t, s in enumerate(seqs):
+        if len(s) < least:
+            found[t] = [(i, i + len(s), 0, len(s)) for i in range(len(words) - len(s) + 1) if s and words[i : i + len(s)] == s]
+    out = []
+    for t, matches in found.items():
+        spans = []
+        for m in sorted(matches):
+            if spans and m[0] - spans[-1][-1][1] <= gap and m[2] >= spans[-1][-1][3]:
+                spans[-1].append(m)
+            else:
+                spans.append([m])
+        for x in spans:
+            covered = len({w for a, b, *_ in x for w in range(a, b)})
+            out.append((templates[t][0], x[0][0], x[-1][1], min(1.0, covered / len(seqs[t]))))
+    return sorted(out)

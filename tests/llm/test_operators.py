@@ -80,6 +80,41 @@ def test_licences(tricky, docs):
     assert by_id(licences.licence_scan(full), "doc_id", "labels", "score") == {1: ("mit", 1.0), 2: ("gpl", 1.0)}
 
 
+def test_licence_spans(tricky, docs):
+    """Spans, labels and scores are those of comparing all pieces of all templates, in whole, cut, mixed and ordinary texts."""
+    rng = random.Random(12)
+    parts = [t.split() for _, t in licences.TEMPLATES]
+    made = []
+    for i in range(120):
+        words = []
+        for _ in range(rng.randrange(1, 5)):
+            p = rng.choice(parts)
+            a = rng.randrange(len(p)) if rng.random() < 0.5 else 0
+            p = p[a : a + rng.randrange(1, 40)] if rng.random() < 0.5 else list(p)
+            words += [w if rng.random() < 0.97 else "other" for w in p] + ["x"] * rng.randrange(9)
+        made.append((10_000 + i, " ".join(words)))
+    rows = [*docs, *made]
+    got = {r.doc_id: r for r in licences.licence_scan(tricky.sparkSession.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, t in rows:
+        want = brute.licence_spans(t, licences.TEMPLATES)
+        assert [tuple(s)[:3] for s in sorted(got[i].spans)] == [w[:3] for w in want], i
+        assert [s.covered for s in sorted(got[i].spans)] == pytest.approx([w[3] for w in want]), i
+        base = set(got[i].base_labels.split(",")) - {""}
+        assert got[i].labels == ",".join(sorted(base | {w[0] for w in want if w[3] >= 0.6})), i
+        assert got[i].score == pytest.approx(1.0 if base else max((w[3] for w in want), default=0.0)), i
+
+
+def test_licences_by_clause(spark):
+    """Bodies without their openings, and clauses that only one of two licences has, are told apart."""
+    t = collections.defaultdict(list)
+    for label, x in licences.TEMPLATES:
+        t[label].append(x)
+    bsd2 = "Copyright 2020 A. " + ". ".join(t["bsd"])
+    texts = [bsd2, bsd2 + ". " + t["bsd-3-clause"][0], bsd2 + ". " + t["bsd-4-clause"][0] + ". " + t["bsd-3-clause"][0], t["isc"][1], "THE" + t["mit"][3].partition("THE")[2], "The software is provided with care, and in no event shall the authors sing."]
+    got = by_id(licences.licence_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")), "doc_id", "labels")
+    assert got == {0: ("bsd",), 1: ("bsd,bsd-3-clause",), 2: ("bsd,bsd-3-clause,bsd-4-clause",), 3: ("isc",), 4: ("mit",), 5: ("",)}
+
+
 def test_short_licence_templates(spark):
     """Templates of fewer than min_match words count where they stand whole, alone or in longer matches, and not in part."""
     texts = ["x y.\nAll rights reserved. z", "Copyright 2024 Name. All rights reserved", "Copyright. All rights reserved", "all rights", "rights reserved", "All rights reserved. All Rights Reserved", "all", None]
