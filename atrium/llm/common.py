@@ -92,21 +92,39 @@ def map_arrow(df: DataFrame, run: Callable, schema: str) -> DataFrame:
     return df.mapInArrow(lean, schema)
 
 
+def hub_limit(rows: DataFrame) -> int:
+    """How many rows of a key one task takes: at most 10,000 keys of a table have more, so a list of these is small."""
+    return max(256, rows.count() // 10_000)
+
+
+def spread_join(rows: DataFrame, one: DataFrame, key: str, limit: int) -> DataFrame:
+    """rows.join(one, key), for at most one row of a key in one; keys of more than limit (hub_limit) rows go to several tasks.
+
+    rows are read twice: give a written table, or what follows from one without a shuffle.
+    """
+    hubs = rows.groupBy(key).agg(F.count("*").alias("__n")).where(F.col("__n") > limit).select(key, F.ceil(F.col("__n") / limit).cast("int").alias("__k"))
+    part = F.coalesce(F.pmod(F.xxhash64(*rows.columns), F.col("__k")).cast("int"), F.lit(0))
+    left = rows.join(F.broadcast(hubs), key, "left").withColumn("__s", part).drop("__k")
+    right = one.join(F.broadcast(hubs), key, "left").withColumn("__s", F.explode(F.sequence(F.lit(0), F.coalesce("__k", F.lit(1)) - 1))).drop("__k")
+    return left.join(right, [key, "__s"]).drop("__s")
+
+
 def components(shared: Shared, edges: DataFrame, tag: str, max_rounds: int = 60) -> DataFrame:
     """(node, comp): comp is the least node reachable over the edges (a, b). Alternating large and small stars.
 
-    Each round is a group-by with partial minima and a join that adaptive execution may split, so a hub is not one
-    task's work. It ends when all that is left are stars: no node has two edges down, and none that one leads to has
+    Each round is a group-by with partial minima and a join that deals the edges of a hub to several tasks; edges never
+    become more, so neither do hubs. It ends when all that is left are stars: no node has two edges down, and none that one leads to has
     any. Nodes without an edge are absent. An empty input gives an empty result.
     """
     cur = shared.put(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{tag}-0")
+    limit = hub_limit(cur)
     for i in range(max_rounds + 1):
         down = cur.groupBy("a").agg(F.count("*").alias("n"))
         if down.where("n > 1").limit(1).count() == 0 and down.join(cur.select(F.col("b").alias("a")).distinct(), "a", "left_semi").limit(1).count() == 0:
             return cur.select(F.col("a").alias("node"), F.col("b").alias("comp")).unionAll(cur.select(F.col("b").alias("node"), F.col("b").alias("comp")).distinct())
         both = cur.select("a", "b").unionAll(cur.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = spread_join(both, least, "a", limit).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.col("b").alias("x"), "a", "m")
         cur = shared.put(small.select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("x").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct(), f"{tag}-{i + 1}")

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Shared, columns_of, components, map_arrow
+from .common import Shared, columns_of, components, hub_limit, map_arrow, spread_join
 from .words import SPACED, U, Slice, distinct_by_row, mix, text_slices, windows
 
 CHUNKS, WIDTH = 12, 4
@@ -140,7 +140,7 @@ class Bucket:
     """Rows of one bucket, at most 2 * BLOCK: which of them are near and of different components.
 
     A pair counts only in the first bucket that it meets in: under its first chunk with at most one difference, and the
-    key that leaves out the differing symbol (or the first). Of two halves, only pairs across them count.
+    key that leaves out the differing symbol (or the first).
     """
 
     def __init__(self, t: pa.Table, percent: int):
@@ -148,6 +148,11 @@ class Bucket:
         self.sig = sig_matrix(t.column("sig").combine_chunks())
         self.percent = percent
 
+    def sides(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What to compare with what: of two halves, one with the other, else all rows with all."""
+        second = self.half[rows] == 1
+        return (rows[~second], rows[second]) if second.any() and not second.all() else (rows, rows)
+
     def near(self, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
         """A matrix for rows against cols; both are indexes."""
         shape = (len(rows), len(cols))
@@ -163,10 +168,7 @@ class Bucket:
                 own = e
         small, big = np.minimum(self.n[rows, None], self.n[None, cols]), np.maximum(self.n[rows, None], self.n[None, cols])
         ok = (total <= MAX_DISTANCE) & (first == slot // WIDTH) & ((own == 1) | (slot % WIDTH == 0)) & (100 * small >= self.percent * big)
-        ok &= self.comp[rows, None] != self.comp[None, cols]
-        if self.half[cols].any():
-            ok &= self.half[rows, None] != self.half[None, cols]
-        return ok
+        return ok & (self.comp[rows, None] != self.comp[None, cols])
 
 
 def cuts_of(t: pa.Table) -> np.ndarray:
@@ -187,10 +189,11 @@ def needed(rows: DataFrame, percent: int) -> DataFrame:
         ok = ((whole.sig[x] != whole.sig[y]).sum(1) <= MAX_DISTANCE) & (whole.comp[x] != whole.comp[y])
         keep[x[ok]] = keep[y[ok]] = True
         for k in np.flatnonzero(lens > 2):
-            cols = np.arange(cuts[k], cuts[k + 1])
-            for lo in range(0, len(cols), 256):
-                ok = whole.near(cols[lo : lo + 256], cols)
+            rows, cols = whole.sides(np.arange(cuts[k], cuts[k + 1]))
+            for lo in range(0, len(rows), 256):
+                ok = whole.near(rows[lo : lo + 256], cols)
                 keep[cols] |= ok.any(0)
+                keep[rows[lo : lo + 256]] |= ok.any(1)
         yield from t.filter(pa.array(keep)).to_batches()
 
     return map_arrow(rows, lambda it: by_bucket(it, closed), rows.schema)
@@ -208,26 +211,29 @@ def crosswise(rows: DataFrame, percent: int) -> DataFrame:
         whole = Bucket(t, percent)
         sets = t.column("set").combine_chunks()
         for k in range(len(cuts) - 1):
-            cols = np.arange(cuts[k], cuts[k + 1])
-            if len(cols) < 2:
+            if cuts[k + 1] - cuts[k] < 2:
                 continue
-            mine = [np.frombuffer(x, np.uint32) for x in sets.slice(cols[0], len(cols)).to_pylist()]
-            for lo in range(0, len(cols), 256):
-                ok = whole.near(cols[lo : lo + 256], cols) & (whole.sid[cols[lo : lo + 256], None] < whole.sid[None, cols])
+            mine = dict(enumerate((np.frombuffer(x, np.uint32) for x in sets.slice(cuts[k], cuts[k + 1] - cuts[k]).to_pylist()), cuts[k]))
+            rows, cols = whole.sides(np.arange(cuts[k], cuts[k + 1]))
+            for lo in range(0, len(rows), 256):
+                ok = whole.near(rows[lo : lo + 256], cols)
+                if rows is cols:
+                    ok &= whole.sid[rows[lo : lo + 256], None] < whole.sid[None, cols]
                 found = []
                 for i in np.flatnonzero(ok.any(1)):
-                    own = mine[lo + i]
-                    to = np.flatnonzero(ok[i])
+                    row = rows[lo + i]
+                    own = mine[row]
+                    to = cols[ok[i]]
                     for part in np.array_split(to, len(to) // 256 + 1):
+                        lens = np.array([len(mine[j]) for j in part])
                         flat = np.concatenate([mine[j] for j in part])
                         at = np.searchsorted(own, flat)
                         at[at == len(own)] = 0
                         hit = np.concatenate(([0], np.cumsum(own[at] == flat)))
-                        stop = np.cumsum([len(mine[j]) for j in part])
-                        both = hit[stop] - hit[stop - np.array([len(mine[j]) for j in part])]
-                        n = whole.n[cols]
-                        good = 100 * both >= percent * (n[lo + i] + n[part] - both)
-                        found += [(whole.sid[cols[lo + i]], whole.sid[cols[j]]) for j in part[good]]
+                        stop = np.cumsum(lens)
+                        both = hit[stop] - hit[stop - lens]
+                        good = 100 * both >= percent * (whole.n[row] + whole.n[part] - both)
+                        found += [tuple(sorted((whole.sid[row], whole.sid[j]))) for j in part[good]]
                 if found:
                     a, b = zip(*found, strict=True)
                     yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
@@ -286,7 +292,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFra
                 keep = pa.array(ok, pa.bool_())
                 yield pa.RecordBatch.from_arrays([a.filter(keep), b.filter(keep)], names=["a", "b"])
 
-    left = pairs.join(texts.select(F.col("sid").alias("a"), F.col("t").alias("ta")), "a")
+    left = spread_join(pairs, texts.select(F.col("sid").alias("a"), F.col("t").alias("ta")), "a", hub_limit(pairs))
     both = left.join(texts.select(F.col("sid").alias("b"), F.col("t").alias("tb")), "b")
     return map_arrow(both.select("a", "b", "ta", "tb"), run, "a long, b long")
 
@@ -296,7 +302,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Equal sets are one node, so copies are never paired. Every bucket of the index is first tied to its least member,
     a pair per member; after confirming those, only buckets that still hold several components are compared crosswise,
-    large ones in blocks. Nothing is capped: all near pairs of different components are confirmed on whole sets.
+    large ones in blocks and without the pairs inside their largest component. Nothing is capped: all near pairs of different components are confirmed on whole sets.
     Without words, null included, a row is alone; a very long text gives its whole set; repeated rows and ids each give
     a row; of a group's rows that tie for the least id all are kept; a null id is least of all; an empty table gives an
     empty result; columns besides the id and the text don't matter, whatever their names.
@@ -320,12 +326,18 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     for done in ("multi", "texts", "stars"):
         shared.drop(done)
     mixed = named.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
-    rest = named.join(mixed, "key", "left_semi")
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("sid"), blocks).cast("int")
-    other = rest.withColumn("n", blocks).withColumn("i", own)
-    # A bucket of n blocks is dealt to n * (n + 1) / 2 tasks, one for each two blocks.
-    spread = other.select("sid", "comp", "key", "i", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("j"))
+    rest = shared.put(named.join(mixed, "key", "left_semi"), "rest")
+    shared.drop("named")
+    # The rows of a bucket's largest component needn't meet each other, only the others of the bucket, which meet all.
+    # A bucket of more than BLOCK rows is dealt in p blocks of others and q of the largest component: p * (p + 1) / 2 + p * q tasks.
+    top = rest.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key").agg(F.max(F.struct("c", "comp")).alias("top"))
+    ranked = spread_join(rest, top.select("key", F.col("top.c").alias("c"), F.col("top.comp").alias("main")), "key", hub_limit(rest))
+    whole, main = F.col("m") <= BLOCK, F.col("comp") == F.col("main")
+    p, q = (F.ceil(x / BLOCK).cast("int") for x in (F.col("m") - F.col("c"), F.col("c")))
+    own = lambda n: F.pmod(F.xxhash64("sid"), n).cast("int")
+    dealt = ranked.withColumn("i", F.when(whole, 0).when(main, p + own(q)).otherwise(own(p)))
+    last = F.when(whole, 0).when(main, p - 1).otherwise(p + q - 1)
+    spread = dealt.select("sid", "comp", "key", "i", F.explode(F.sequence(F.lit(0), last)).alias("j"))
     slot = F.call_function("shiftright", F.col("key"), F.lit(48)).cast("int")
     spread = spread.select("sid", "comp", slot.alias("slot"), F.xxhash64("key", F.least("i", "j"), F.greatest("i", "j")).alias("bucket"), F.when(F.col("i") > F.col("j"), 1).otherwise(0).alias("half"))
     names = ["bucket", "slot", "half", "sid", "comp", "n", "sig"]
@@ -334,7 +346,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     sets = packed_sets(texts_of(src, reps, want.select(F.col("sid").alias("a"), F.col("sid").alias("b")), k), k)
     full = want.join(sets, "sid").repartition("bucket").sortWithinPartitions("bucket").select(*names, "set")
     more = shared.put(crosswise(full, percent).distinct(), "more")
-    for done in ("needed", "named"):
+    for done in ("needed", "rest"):
         shared.drop(done)
     extra = shared.put(confirm(more, shared.put(texts_of(src, reps, more, k), "texts2"), k, percent), "extra")
     comp = shared.put(components(shared, links.unionAll(extra), "all"), "comp")

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from . import brute
-from atrium.llm import licences, mixing, near_dup, ppm, quality_model, quality_rules, span_dup, url_rules
+from atrium.llm import common, licences, mixing, near_dup, ppm, quality_model, quality_rules, span_dup, url_rules
 from atrium.llm.decontaminate import clean_documents, decontaminate
 from atrium.llm.html_text import extract, extract_text
 from atrium.llm.words import ALNUM, SPACED, text_slices
@@ -307,8 +307,12 @@ def test_near(tricky, docs):
     assert kept.columns == tricky.columns
 
 
-def test_near_groups_that_the_leader_misses(spark):
-    """Chains whose ends aren't similar, in one large group."""
+@pytest.mark.parametrize("block,limit", [(512, 256), (8, 3)])
+def test_near_groups_that_the_leader_misses(spark, monkeypatch, block, limit):
+    """Chains whose ends aren't similar, in one large group: whole, and in blocks with hubs dealt to several tasks."""
+    monkeypatch.setattr(near_dup, "BLOCK", block)
+    for module in (common, near_dup):
+        monkeypatch.setattr(module, "hub_limit", lambda rows: limit)
     rng = random.Random(9)
     rows, words = [], [f"v{rng.randrange(10**6)}" for _ in range(200)]
     for i in range(120):
@@ -321,6 +325,20 @@ def test_near_groups_that_the_leader_misses(spark):
     same(by_id(got, "doc_id", "n_shingles", "component_id", "kept"), brute.near(sorted(rows)))
 
 
+def test_hubs(spark, monkeypatch):
+    """A star of 300, a chain from its hub, a pair apart: the components whatever a task may take; and joins keep rows as they are."""
+    edges = [(1000, i) for i in range(300)] + [(1000 + i, 1001 + i) for i in range(20)] + [(2001, 2000), (7, 7)]
+    df = spark.createDataFrame(edges, "a long, b long")
+    for limit in (3, 256):
+        monkeypatch.setattr(common, "hub_limit", lambda rows, limit=limit: limit)
+        got = {r.node: r.comp for r in common.components(common.Shared(spark), df, "t").collect()}
+        assert got == {**dict.fromkeys([*range(300), *range(1000, 1021)], 0), 2000: 2000, 2001: 2000}
+        one = spark.createDataFrame([(1000, "x"), (2001, "y"), (5, "z")], "a long, t string")
+        joined = common.spread_join(df.unionAll(df), one, "a", limit)
+        assert joined.columns == ["a", "b", "t"]
+        assert sorted(map(tuple, joined.collect())) == sorted([(1000, i, "x") for i in [*range(300), 1001]] * 2 + [(2001, 2000, "y")] * 2)
+
+
 def test_near_blocks(spark, monkeypatch):
     """Buckets larger than a block are split, and nothing is lost."""
     rng = random.Random(4)
