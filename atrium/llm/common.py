@@ -97,8 +97,10 @@ def hub_limit(rows: DataFrame) -> int:
     return max(256, rows.count() // 10_000)
 
 
-def spread_join(rows: DataFrame, one: DataFrame, key: str, limit: int) -> DataFrame:
-    """rows.join(one, key), for at most one row of a key in one; keys of more than limit (hub_limit) rows go to several tasks.
+def spread_join(rows: DataFrame, one: DataFrame, key: str, limit: int, how: str = "inner") -> DataFrame:
+    """rows.join(one, key, how), for at most one row of a key in one; keys of more than limit (hub_limit) rows go to several tasks.
+
+    how is inner or left; null keys match nothing and aren't split.
 
     rows are read twice: give a written table, or what follows from one without a shuffle.
     """
@@ -106,7 +108,7 @@ def spread_join(rows: DataFrame, one: DataFrame, key: str, limit: int) -> DataFr
     part = F.coalesce(F.pmod(F.xxhash64(*rows.columns), F.col("__k")).cast("int"), F.lit(0))
     left = rows.join(F.broadcast(hubs), key, "left").withColumn("__s", part).drop("__k")
     right = one.join(F.broadcast(hubs), key, "left").withColumn("__s", F.explode(F.sequence(F.lit(0), F.coalesce("__k", F.lit(1)) - 1))).drop("__k")
-    return left.join(right, [key, "__s"]).drop("__s")
+    return left.join(right, [key, "__s"], how).drop("__s")
 
 
 def components(shared: Shared, edges: DataFrame, tag: str, max_rounds: int = 60) -> DataFrame:

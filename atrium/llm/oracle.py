@@ -88,4 +88,38 @@ g as (select s from q where not exists (select 1 from q as z where len(z.s) < le
 n as (select row, count(*) as n from t join g on list_has_all(t.items, g.s) group by row)
 select page_id, host, path, rule, coalesce(v, case when n.n > 0 then 'block' else 'allow' end) as verdict, coalesce(n.n, 0)::bigint as n_matched from d left join f on d.row = f.row left join n on d.row = n.row"""
 
-ORACLE_SQL = {"op2_source_mix": MIX, "op3_quality_rules": RULES, "op4_url_filter": URLS, "op5_near_dedup": NEAR, "op6_span_dedup": SPANS, "op10_decontaminate": LEAKS}
+AUDIT = rf"""with d as (select doc_id, coalesce(lang, '') as part, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), {SPACED}) as w from documents),
+l as (select doc_id, bool_or(coalesce(quality = 1, false)) as good, bool_or(coalesce(toxic = 1, false)) as toxic from labels group by doc_id),
+f as (select part, coalesce(good, false) as good, coalesce(toxic, false) as toxic, [len(w) < 200, 100 * len(list_distinct(w)) < 50 * len(w), 100 * len(regexp_extract_all(t, '[A-Z]')) > 3 * length(t),
+ regexp_matches(t, '[#$%&*|]'), coalesce(d.doc_id > min(d.doc_id) over (partition by t), false)] as bad from d left join l on d.doc_id = l.doc_id),
+c as (select unnest(['A', 'B', 'C', 'D', 'E']) as x),
+p as (select a.x || b.x || c.x || d.x || e.x as filter_order from c a join c b on b.x <> a.x join c on c.x not in (a.x, b.x) join c d on d.x not in (a.x, b.x, c.x) join c e on e.x not in (a.x, b.x, c.x, d.x)),
+s as (select filter_order, step, ascii(filter_order[step]) - 64 as k, list_transform(range(1, step), lambda j: ascii(filter_order[j]) - 64) as ks from p, unnest(range(1, 6)) as t(step)),
+r as (select part, filter_order, step, k, bad[k] as fails, len(list_filter(ks, lambda j: bad[j])) = 0 as there, len(list_filter(bad, lambda x: x)) as n_bad, good, toxic from f, s),
+g as (select part, filter_order, step, k, count(*) filter (there and not fails) as kept, count(*) filter (there and fails) as removed, count(*) filter (fails and not there) as redundant, count(*) filter (fails and n_bad = 1) as unique_fails,
+ count(*) filter (there and fails and good) as good_lost, count(*) filter (there and fails and toxic) as toxic_lost from r group by part, filter_order, step, k)
+select part, filter_order, step::int as step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) over (partition by part, k))::bigint as shapley from g"""
+
+COPIES = rf"""with d as (select doc_id, {LOW} as t from documents)
+select doc_id, max(doc_id) over (partition by t) as keep_id, count(*) over (partition by t) as group_size, row_number() over (partition by t order by doc_id desc nulls last) = 1 as kept, sha256(t) as text_sha256 from d"""
+
+
+def _lloyd(rounds: int = 3) -> str:
+    """Assignment and means unrolled, round by round."""
+    out = """with v as (select row_number() over () as r, vec_id, embedding as e, list_transform(embedding, lambda x: floor(64 * x::double)::bigint) as v from embeddings where len(embedding) = 64 and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = 64),
+c0 as (select row_number() over (order by sha256('1:' || vec_id), e) - 1 as c, v as m from v where vec_id is not null order by c limit 16)"""
+    for i in range(rounds + 1):
+        out += f""",
+d{i} as (select r, c, v, list_sum(list_transform(list_zip(v, m), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::bigint as d from v, c{i}),
+a{i} as (select r, arg_min(c, d * 16 + c) as c, arg_min(v, d * 16 + c) as v, min(d) as d from d{i} group by r)"""
+        if i < rounds:
+            out += f""",
+s{i} as (select c, j, sum(v[j])::bigint as s, count(*) as n from a{i}, unnest(range(1, 65)) as t(j) group by c, j),
+m{i} as (select c, list((s - (s % n + n) % n) // n order by j) as m from s{i} group by c),
+c{i + 1} as (select c{i}.c, coalesce(m{i}.m, c{i}.m) as m from c{i} left join m{i} on c{i}.c = m{i}.c)"""
+    return f"""{out}
+select vec_id, a.c::int as cluster, a.d as distance, (sum(a.d) over (partition by a.c))::bigint as cluster_inertia, (sum(a.d) over ())::bigint as inertia, sha256(array_to_string(c{rounds}.m, ',')) as centroid_sha256
+from a{rounds} a join v on a.r = v.r join c{rounds} on a.c = c{rounds}.c"""
+
+
+ORACLE_SQL = {"op2_source_mix": MIX, "op3_quality_rules": RULES, "op4_url_filter": URLS, "op5_near_dedup": NEAR, "op6_span_dedup": SPANS, "op10_decontaminate": LEAKS, "op11_filter_audit": AUDIT, "op12_exact_dedup": COPIES, "op13_lloyd_clusters": _lloyd()}

@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .decontaminate import decontaminate
+from .exact_dup import exact_duplicates
+from .filter_audit import filter_audit
 from .html_text import extract_text
 from .licences import licence_scan
+from .lloyd import lloyd
 from .mixing import mix_sources
 from .near_dup import near_duplicates
 from .oracle import ORACLE_SQL as ORACLE_SQL
@@ -64,4 +67,16 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("hits")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_licence_scan, op2_source_mix, op3_quality_rules, op4_url_filter, op5_near_dedup, op6_span_dedup, op7_ppm_score, op8_quality_model, op9_html_text, op10_decontaminate)}
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op13_lloyd_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lloyd(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_licence_scan, op2_source_mix, op3_quality_rules, op4_url_filter, op5_near_dedup, op6_span_dedup, op7_ppm_score, op8_quality_model, op9_html_text, op10_decontaminate, op11_filter_audit, op12_exact_dedup, op13_lloyd_clusters)}

@@ -119,6 +119,23 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: b
     return out if wide else out[0]
 
 
+def equal_spans(data: np.ndarray, a: np.ndarray, b: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """Whether the bytes from a and from b, lens of each, are the same; about a megabyte is compared at a time."""
+    out = np.ones(len(a), bool)
+    long = lens > SLICE_BYTES
+    for i in np.flatnonzero(long):
+        out[i] = np.array_equal(data[a[i] : a[i] + lens[i]], data[b[i] : b[i] + lens[i]])
+    pick = np.flatnonzero(~long & (lens > 0))
+    block = (np.cumsum(lens[pick]) - 1) // SLICE_BYTES
+    for part in np.split(pick, np.flatnonzero(np.diff(block)) + 1):
+        if len(part):
+            n = lens[part]
+            before = np.cumsum(n) - n
+            step = np.arange(int(n.sum())) - np.repeat(before, n)
+            out[part] = np.logical_and.reduceat(data[step + np.repeat(a[part], n)] == data[step + np.repeat(b[part], n)], before)
+    return out
+
+
 def windows(h: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all k consecutive words that lie in one row, and the index of each one's first word."""
     n = len(h) - k + 1
@@ -160,3 +177,24 @@ def distinct_by_row(rows: np.ndarray, h: np.ndarray, n_rows: int) -> tuple[np.nd
         key = key[np.concatenate(([True], key[1:] != key[:-1]))]
     bounds = np.searchsorted(key, np.arange(n_rows + 1, dtype=U) << U(54)) if n_rows < 1024 else np.append(np.searchsorted(key, np.arange(n_rows, dtype=U) << U(54)), len(key))
     return key & U((1 << 54) - 1), bounds
+
+
+def verified_distinct(s: Slice, h: np.ndarray) -> np.ndarray:
+    """How many different words each row has: hashes sorted within the row, equal neighbours compared byte by byte.
+
+    A row in which two different words share a hash is counted again from its words.
+    """
+    assert s.rows <= 1024
+    row = s.row_of_word()
+    key = (row.astype(U) << U(54)) | (h >> U(10))
+    order = np.argsort(key)
+    same = np.flatnonzero(key[order[1:]] == key[order[:-1]])
+    a, b = order[same], order[same + 1]
+    lens = s.ends - s.starts
+    out = s.counts - np.bincount(row[a], minlength=s.rows)
+    wrong = lens[a] != lens[b]
+    wrong[~wrong] = ~equal_spans(s.data, s.starts[a[~wrong]], s.starts[b[~wrong]], lens[a[~wrong]])
+    for r in np.unique(row[a[wrong]]).tolist():
+        words = range(s.bounds[r], s.bounds[r + 1])
+        out[r] = len({s.data[s.starts[i] : s.ends[i]].tobytes() for i in words})
+    return out

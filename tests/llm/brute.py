@@ -9,6 +9,7 @@ import math
 import re
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 from html.parser import HTMLParser
 
 import numpy as np
@@ -344,3 +345,76 @@ def licence_spans(text, templates, least=4, gap=6):
             covered = len({w for a, b, *_ in x for w in range(a, b)})
             out.append((templates[t][0], x[0][0], x[-1][1], min(1.0, covered / len(seqs[t]))))
     return sorted(out)
+
+
+def audit(rows, labels):
+    """{(part, order, step): counts} by applying the five filters in each order; rows are (doc_id, text, lang)."""
+    good = {d for d, q, _ in labels if q == 1 and d is not None}
+    toxic = {d for d, _, t in labels if t == 1 and d is not None}
+    least = {}
+    for d, t, _ in rows:
+        if d is not None:
+            least[t or ""] = min(d, least.get(t or "", d))
+    fails = []
+    for d, t, lang in rows:
+        t = t or ""
+        words = re.findall(SPACED, t)
+        fails.append((lang or "", d, {
+            "A": len(words) < 200, "B": 100 * len(set(words)) < 50 * len(words), "C": 100 * len(re.findall("[A-Z]", t)) > 3 * len(t),
+            "D": bool(re.search("[#$%&*|]", t)), "E": d is not None and least[t] < d,
+        }))
+    out = {}
+    for part in {p for p, _, _ in fails}:
+        first = Counter()
+        for order in map("".join, itertools.permutations("ABCDE")):
+            left, gone = [(d, f) for p, d, f in fails if p == part], []
+            for step, x in enumerate(order, 1):
+                lost = [d for d, f in left if f[x]]
+                redundant = sum(f[x] for f in gone)
+                gone += [f for _, f in left if f[x]]
+                left = [(d, f) for d, f in left if not f[x]]
+                alone = sum(f[x] and sum(f.values()) == 1 for p, _, f in fails if p == part)
+                out[part, order, step] = (len(left), len(lost), redundant, alone, sum(d in good for d in lost), sum(d in toxic for d in lost))
+                first[x] += len(lost)
+        for (p, order, step), v in list(out.items()):
+            if p == part:
+                out[p, order, step] = (*v, first[order[step - 1]])
+    return out
+
+
+def exact_copies(rows):
+    """Sorted (doc_id, keep_id, group_size, kept, sha256); rows are (doc_id, text)."""
+    groups = defaultdict(list)
+    for d, t in rows:
+        groups[low(t)].append(d)
+    out = []
+    for t, ids in groups.items():
+        keep = max((d for d in ids if d is not None), default=None)
+        stays = ids.index(keep)
+        out += [(d, keep, len(ids), i == stays, hashlib.sha256(t.encode()).hexdigest()) for i, d in enumerate(ids)]
+    return sorted(out, key=repr)
+
+
+def lloyd(rows, k=16, rounds=3, dims=64, scale=64):
+    """Sorted (vec_id, cluster, distance, cluster_inertia, inertia, centroid_sha256) in Python's integers; rows are (vec_id, vector)."""
+    kept = [(i, [math.floor(Fraction(x) * scale) for x in v], v) for i, v in rows if v is not None and len(v) == dims and all(x is not None and math.isfinite(x) for x in v)]
+    named = sorted((hashlib.sha256(f"1:{i}".encode()).hexdigest(), raw, v) for i, v, raw in kept if i is not None)
+    cents = [v for _, _, v in named[:k]]
+    if not cents:
+        return []
+
+    def place(v):
+        return min((sum((a - b) ** 2 for a, b in zip(v, c, strict=True)), j) for j, c in enumerate(cents))
+
+    for _ in range(rounds):
+        of = [place(v)[1] for _, v, _ in kept]
+        for j in range(len(cents)):
+            own = [v for (_, v, _), c in zip(kept, of, strict=True) if c == j]
+            if own:
+                cents[j] = [sum(x) // len(own) for x in zip(*own, strict=True)]
+    found = [(i, *place(v)) for i, v, _ in kept]
+    per = Counter()
+    for _, d, c in found:
+        per[c] += d
+    fit = lambda x: x if x < 1 << 63 else None
+    return sorted(((i, c, fit(d), fit(per[c]), fit(sum(per.values())), hashlib.sha256(",".join(map(str, cents[c])).encode()).hexdigest()) for i, d, c in found), key=repr)
