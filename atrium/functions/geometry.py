@@ -6,13 +6,27 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def round3_sql(e: str) -> str:
-    """Three decimals, half up, the same in every engine for values from zero."""
-    return f"(floor(({e}) * 1e3 + 5e-1) / 1e3)"
+def round_exact(c: Column, digits: int) -> Column:
+    """The decimal of so many digits nearest to the exact binary value of c; of two as near, the even one.
+
+    A product with a power of ten is rounded itself. Only where it seems to end in exactly one half can that decide, and
+    there the product's error, which two halves of c give without loss, says on which side the true one lies.
+    """
+    k = float(10**digits)
+    a = F.abs(c)
+    p = a * k
+    whole = F.floor(p).cast("double")
+    part = p - whole
+    upper = a * 134217729.0 - (a * 134217729.0 - a)  # the upper 26 bits of a
+    error = (upper * k - p) + (a - upper) * k
+    up = (part > 0.5) | ((part == 0.5) & ((error > 0) | ((error == 0) & (whole % 2.0 == 1.0))))
+    out = F.when(p < 4503599627370496.0, (whole + F.when(up, 1.0).otherwise(0.0)) / k).otherwise(a)  # beyond 2**52 all are whole
+    return F.when(c < 0, -out).otherwise(out)
 
 
 def round3(c: Column) -> Column:
-    return F.floor(c * 1000.0 + 0.5) / 1000.0
+    """Millimetres of metres, as Python's round(x, 3)."""
+    return round_exact(c, 3)
 
 
 def length_sql(sx: str = "sx", sy: str = "sy", ex: str = "ex", ey: str = "ey") -> str:
@@ -54,3 +68,29 @@ def vertex_mean(p: Column) -> tuple[Column, Column]:
     """Mean of the vertices, which isn't the centroid of the area."""
     mean = lambda k: F.when(F.size(p) > 0, F.aggregate(p, F.lit(0.0), lambda s, v: s + F.get(v, F.lit(k))) / F.size(p))
     return mean(0), mean(1)
+
+
+def ring_fault(p: Column) -> Column:
+    """What is wrong with an open ring of points (arrays of two), the first that holds, or null: few points (under
+    three), bad point (a missing or unbounded number), no area (all on one line), repeated point, crossing (sides that
+    meet elsewhere than at a common corner). Turns of less than 1e-9 square metres count as none.
+    """
+    n = F.size(p)
+    x, y = (lambda i: F.get(F.get(p, i), F.lit(0))), (lambda i: F.get(F.get(p, i), F.lit(1)))
+    zero = F.lit(0)
+
+    def turn(a: Column, b: Column, c: Column) -> Column:
+        t = (x(b) - x(a)) * (y(c) - y(a)) - (y(b) - y(a)) * (x(c) - x(a))
+        return F.when(t > 1e-9, 1).when(t < -1e-9, -1).otherwise(0)
+
+    def meet(i: Column, j: Column) -> Column:
+        k, m = (i + 1) % n, (j + 1) % n
+        ends = (turn(i, k, j), turn(i, k, m), turn(j, m, i), turn(j, m, k))
+        touch = lambda f: (F.greatest(F.least(f(i), f(k)), F.least(f(j), f(m))) <= F.least(F.greatest(f(i), f(k)), F.greatest(f(j), f(m))))
+        return ((ends[0] != ends[1]) & (ends[2] != ends[3])) | ((ends[0] == 0) & (ends[1] == 0) & touch(x) & touch(y))
+
+    number = lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))
+    bad = F.exists(p, lambda v: v.isNull() | (F.size(v) != 2) | ~F.coalesce(number(F.get(v, zero)) & number(F.get(v, F.lit(1))), F.lit(False)))
+    flat = F.forall(F.sequence(F.lit(1), n - 2), lambda i: turn(zero, i, i + 1) == 0)
+    crossed = F.exists(F.sequence(zero, n - 3), lambda i: F.exists(F.sequence(i + 2, n - 1), lambda j: ~((i == 0) & (j == n - 1)) & meet(i, j)))
+    return F.when(F.coalesce(n, zero) < 3, "few points").when(bad, "bad point").when(flat, "no area").when(F.size(F.array_distinct(p)) < n, "repeated point").when(crossed, "crossing")

@@ -7,10 +7,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-#: A line of three backticks, plain or named json, then the block up to the next line that begins with them.
-FENCE = r"`{3}(?:json|)[ \t\r]*(?:\n[ \t\r]*)*\n([\s\S]*?)\n`{3}"
-
-
 @F.pandas_udf(StringType())
 def title(s: pd.Series) -> pd.Series:
     """Python's title case, which also capitalises after digits and apostrophes; initcap doesn't."""
@@ -23,10 +19,23 @@ def label_text(label: Column, exact: bool = True) -> Column:
     return title(plain) if exact else F.initcap(plain)
 
 
+def fenced_block(text: Column) -> Column:
+    """The lines between the first fence and the one that closes it, or null.
+
+    A block opens with a line that ends in three backticks, alone or with json after them; blanks at the end don't
+    matter, nor what stands before. It closes with a line that begins with three backticks, after one line at least.
+    """
+    lines = F.split(text, "\n")
+    opens = F.transform(lines, lambda x: F.regexp_replace(F.rtrim(x, F.lit(" \t\r\f\x0b")), F.lit("json$"), F.lit("")).endswith("```"))
+    first = F.array_position(opens, True)
+    rest = F.slice(lines, (first + 1).cast("int"), F.size(lines))
+    last = F.array_position(F.transform(rest, lambda x, i: (i > 0) & x.startswith("```")), True)
+    return F.when((first > 0) & (last > 0), F.array_join(F.slice(rest, F.lit(1), F.greatest(last - 1, F.lit(0)).cast("int")), "\n"))
+
+
 def fenced_json(text: Column) -> Column:
     """The whole text as JSON, else its first fenced block, else null, as variant."""
-    block = F.regexp_extract(text, FENCE, 1)
-    return F.coalesce(F.try_parse_json(text), F.try_parse_json(F.when(block != "", block)))
+    return F.coalesce(F.try_parse_json(text), F.try_parse_json(fenced_block(text)))
 
 
 def status_icon(status: Column) -> Column:

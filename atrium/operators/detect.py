@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geometry import polygon_area, round3
+from ..functions.geometry import polygon_area, round3, round_exact
+from ..functions.simplify import simplified
 from ..model import CLASSES, DEFAULT, Config
 
 
@@ -45,50 +47,23 @@ def opening_boxes(boxes: DataFrame, kind: str | None = None, cfg: Config = DEFAU
     return boxes.where(F.col("cls_id").isin([CLASSES.index(k) for k in ([kind] if kind else ["door", "window"])])).select("plan_id", "ord", name.alias("kind"), ((F.col("x1") + F.col("x2")) / 2.0).alias("x"), ((F.col("y1") + F.col("y2")) / 2.0).alias("y"), F.greatest(F.least(w, h), least).alias("width"), round3(F.col("conf")).alias("confidence"))
 
 
-def simplify_ring(points: list[tuple[float, float]], tolerance: float) -> list[tuple[float, float]]:
-    """Douglas-Peucker of a closed ring, split at its first point and the one farthest from it; an open ring of three or more."""
-    ring = [p for i, p in enumerate(points) if i == 0 or p != points[i - 1]]
-    if len(ring) > 1 and ring[0] == ring[-1]:
-        ring.pop()
-    if len(ring) < 4:
-        return ring
-    closed = [*ring, ring[0]]
-    far = max(range(1, len(ring)), key=lambda i: (ring[i][0] - ring[0][0]) ** 2 + (ring[i][1] - ring[0][1]) ** 2)
-    keep = {0, far, len(ring)}
-    todo = [(0, far), (far, len(ring))]
-    while todo:
-        a, b = todo.pop()
-        (ax, ay), (bx, by) = closed[a], closed[b]
-        size = ((bx - ax) ** 2 + (by - ay) ** 2) ** 0.5
-        worst, at = tolerance, None
-        for i in range(a + 1, b):
-            x, y = closed[i]
-            d = abs((bx - ax) * (y - ay) - (by - ay) * (x - ax)) / size if size else ((x - ax) ** 2 + (y - ay) ** 2) ** 0.5
-            if d > worst:
-                worst, at = d, i
-        if at is not None:
-            keep.add(at)
-            todo += [(a, at), (at, b)]
-    out = [closed[i] for i in sorted(keep) if i < len(ring)]
-    return out if len(out) >= 3 else ring[:3] if len(ring) == 3 else out
-
-
 def mask_polygons(masks: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """masks(plan_id, mask_idx, cls_id, contour array<struct<x,y>>) to (plan_id, mask_idx, label, polygon, area).
 
     mask_idx counts all masks, so labels may have gaps. Under three points, before or after simplifying, there is no
-    room; nor under the least area, which is taken unrounded from rounded points.
+    room; nor under the least area, which is taken unrounded from rounded points. A contour with a missing or unbounded
+    number gives none either.
     """
 
-    @F.pandas_udf("array<array<double>>")
-    def ring(contours: pd.Series) -> pd.Series:
-        return contours.map(lambda c: [list(p) for p in simplify_ring([(p["x"], p["y"]) for p in c], cfg.simplify_pixels)] if c is not None and len(c) >= 3 else [])
+    @F.arrow_udf("array<array<double>>")
+    def ring(contours: pa.Array) -> pa.Array:
+        return simplified(contours, cfg.simplify_pixels)
 
     rooms = masks.where(F.col("cls_id") == CLASSES.index("room"))
     metres = F.transform(F.col("ring"), lambda p: F.transform(p, lambda v: round3(v / F.lit(cfg.pixels_per_meter))))
     out = rooms.withColumn("ring", ring("contour")).select("plan_id", "mask_idx", F.concat(F.lit("room_"), F.col("mask_idx")).alias("label"), metres.alias("polygon")).where(F.size("polygon") >= 3)
     area = polygon_area(F.col("polygon"))
-    return out.withColumn("__area", area).where(F.col("__area") >= cfg.min_room_area).withColumn("area", F.floor(F.col("__area") * 100.0 + 0.5) / 100.0).drop("__area")
+    return out.withColumn("__area", area).where(F.col("__area") >= cfg.min_room_area).withColumn("area", round_exact(F.col("__area"), 2)).drop("__area")
 
 
 def zip_masks(plans: DataFrame) -> DataFrame:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from functools import partial
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import length_sql, round3, segment_distance_sql
 from ..model import DEFAULT, Config
+from .snapping import snap_lists
 
 
 def nearest_wall(openings: DataFrame, walls: DataFrame, earlier_only: bool = True) -> DataFrame:
@@ -32,28 +34,13 @@ def pair_places(n: Column) -> Column:
     return F.when(n >= 2, F.flatten(F.transform(F.sequence(F.lit(0), n - 2), rest))).otherwise(F.array().cast("array<struct<p:int,q:int>>"))
 
 
-def snap_ends(walls: DataFrame, cfg: Config = DEFAULT, exact: bool = False) -> DataFrame:
+def snap_ends(walls: DataFrame, cfg: Config = DEFAULT, most_folded: int = 60) -> DataFrame:
     """Walls with close ends moved together, pair after pair: ends nearer than the threshold, but apart, both go to their rounded middle.
 
-    Later pairs see earlier moves, so a plan's walls are folded as one array; rounding is half up. exact=True runs the
-    same walk in Python, with its rounding of exact binary values.
+    Later pairs see earlier moves. Plans of up to most_folded walls are folded over all pairs in the JVM; in larger ones
+    a walk in a task looks only at pairs that come close (snap_points). Both take the same steps in the same order, with
+    Python's rounding, so the number decides nothing but the time. One shuffle by plan, whose rows both read.
     """
-    if exact:
-        def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values("wall_index", kind="stable")
-            pts = pdf[["sx", "sy", "ex", "ey"]].to_numpy().reshape(-1, 2).tolist()
-            for i in range(len(pdf)):
-                for j in range(i + 1, len(pdf)):
-                    for p in (2 * i, 2 * i + 1):
-                        for q in (2 * j, 2 * j + 1):
-                            d = ((pts[p][0] - pts[q][0]) ** 2 + (pts[p][1] - pts[q][1]) ** 2) ** 0.5
-                            if 0 < d < cfg.snap_threshold:
-                                mid = [round((pts[p][k] + pts[q][k]) / 2, 3) for k in (0, 1)]
-                                pts[p], pts[q] = list(mid), list(mid)
-            pdf[["sx", "sy", "ex", "ey"]] = pd.DataFrame([pts[2 * i] + pts[2 * i + 1] for i in range(len(pdf))], index=pdf.index, columns=["sx", "sy", "ex", "ey"], dtype=float)
-            return pdf
-
-        return walls.groupBy("plan_id").applyInPandas(walk, walls.schema)
     rest = [c for c in walls.columns if c not in ("plan_id", "sx", "sy", "ex", "ey")]
     by_plan = walls.groupBy("plan_id").agg(F.array_sort(F.collect_list(F.struct("wall_index", *[c for c in rest if c != "wall_index"], "sx", "sy", "ex", "ey"))).alias("w"))
     point = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
@@ -66,10 +53,13 @@ def snap_ends(walls: DataFrame, cfg: Config = DEFAULT, exact: bool = False) -> D
         mid = point(round3((a["x"] + b["x"]) / 2.0), round3((a["y"] + b["y"]) / 2.0))
         return F.when((d > 0) & (d < cfg.snap_threshold), F.transform(s, lambda e, i: F.when((i == k["p"]) | (i == k["q"]), mid).otherwise(e))).otherwise(s)
 
-    done = by_plan.withColumn("pts", pts).withColumn("pts", F.aggregate(pair_places(F.size("w")), F.col("pts"), move))
-    out = done.select("plan_id", F.posexplode("w").alias("i", "w"), "pts")
-    a, b = F.get("pts", F.col("i") * 2), F.get("pts", F.col("i") * 2 + 1)
-    cols = {"plan_id": F.col("plan_id"), "sx": a["x"], "sy": a["y"], "ex": b["x"], "ey": b["y"]}
+    folded = by_plan.where(F.size("w") <= most_folded).withColumn("pts", pts).withColumn("pts", F.aggregate(pair_places(F.size("w")), F.col("pts"), move))
+    folded = folded.select("plan_id", "w", F.flatten(F.transform("pts", lambda p: F.array(p["x"], p["y"]))).alias("pts"))
+    large = by_plan.where(F.size("w") > most_folded)
+    flat = large.select("plan_id", "w", F.flatten(F.transform("w", lambda w: F.array(w["sx"], w["sy"], w["ex"], w["ey"]))).alias("pts"))
+    large = flat.mapInArrow(partial(snap_lists, threshold=cfg.snap_threshold), flat.schema)
+    out = folded.unionByName(large).select("plan_id", F.posexplode("w").alias("i", "w"), "pts")
+    cols = {"plan_id": F.col("plan_id"), **{c: F.get("pts", F.col("i") * 4 + k) for k, c in enumerate(("sx", "sy", "ex", "ey"))}}
     return out.select(*[cols.get(c, F.col(f"w.{c}")).alias(c) for c in walls.columns])
 
 

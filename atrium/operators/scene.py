@@ -5,37 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.geometry import direction, perpendicular, vertex_mean
+from ..functions.geometry import direction, ring_fault, vertex_mean
 from ..functions.text import label_text
 from ..model import DEFAULT, MATERIALS, Config, checked
 from ..sources import plans as source
-
-#: Faces of a box whose vertices 0-3 are its bottom and 4-7 its top, in the same order.
-BOX_FACES = ((0, 1, 2, 3), (7, 6, 5, 4), (0, 4, 5, 1), (1, 5, 6, 2), (2, 6, 7, 3), (3, 7, 4, 0))
-
-
-def vertex(x: Column, y: Column, z: Column) -> Column:
-    return F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"), z.cast("double").alias("z"))
-
-
-def faces(rows) -> Column:
-    return F.array(*[F.array(*[F.lit(i) for i in r]) for r in rows])
-
-
-def solid_walls(walls: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
-    """Walls that aren't degenerate; indexes stay."""
-    return walls.where(direction(F.col("sx"), F.col("sy"), F.col("ex"), F.col("ey"), cfg.degenerate)[2] >= cfg.degenerate)
-
+from .difference import wall_difference
+from .walls import BOX_FACES as BOX_FACES
+from .walls import box_corners, solid_walls, vertex
 
 def wall_prisms(walls: DataFrame, height: float = DEFAULT.wall_height, cfg: Config = DEFAULT) -> DataFrame:
-    """(plan_id, wall_index, name, height, vertices): corners start-, start+, end+, end- below, then above."""
-    dx, dy, _ = direction(*map(F.col, ("sx", "sy", "ex", "ey")), cfg.degenerate)
-    px, py = perpendicular(dx, dy)
-    half = F.col("thickness") / 2.0
-    corner = lambda x, y, s: (F.col(x) + px * half * s, F.col(y) + py * half * s)
-    ring = [corner("sx", "sy", -1.0), corner("sx", "sy", 1.0), corner("ex", "ey", 1.0), corner("ex", "ey", -1.0)]
-    v = F.array(*[vertex(x, y, F.lit(z)) for z in (0.0, height) for x, y in ring])
-    return solid_walls(walls, cfg).select("plan_id", "wall_index", F.concat(F.lit("Wall_"), F.col("wall_index")).alias("name"), F.lit(float(height)).alias("height"), v.alias("vertices"))
+    """(plan_id, wall_index, name, height, vertices) of solid walls, uncut; see box_corners() for the order."""
+    return solid_walls(walls, cfg).select("plan_id", "wall_index", F.concat(F.lit("Wall_"), F.col("wall_index")).alias("name"), F.lit(float(height)).alias("height"), box_corners(height, cfg).alias("vertices"))
 
 
 def opening_on_wall(openings: DataFrame, walls: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
@@ -77,19 +57,34 @@ def cut_walls(cut: DataFrame, prisms: DataFrame) -> DataFrame:
     return cut.withColumn("wall_name", F.concat(F.lit("Wall_"), F.col("wall_index"))).join(named, ["plan_id", "wall_name"], "left").withColumn("cut", F.coalesce("hit", F.lit(False))).drop("hit")
 
 
-def slabs(rooms: DataFrame, kind: str, height: float = DEFAULT.wall_height) -> DataFrame:
-    """Floors at 0 or ceilings, wound the other way, at wall height, of rooms with three points or more."""
+#: Faults of a ring that leave no face to make. A ring that crosses itself or meets a point twice still has one.
+NO_FACE = ("few points", "bad point", "no area")
+
+
+def slabs(rooms: DataFrame, kind: str, height: float = DEFAULT.wall_height, reject: tuple[str, ...] = NO_FACE) -> DataFrame:
+    """Floors at 0 or ceilings, wound the other way, at wall height, of rooms whose ring has none of the rejected faults.
+
+    Names are of kind, label and place, so rooms of one label have names of their own. fault holds what else is wrong.
+    """
     z = 0.0 if kind == "floor" else float(height)
     v = F.transform("polygon", lambda p: vertex(F.get(p, F.lit(0)), F.get(p, F.lit(1)), F.lit(z)))
     ring = F.sequence(F.lit(0), F.size("polygon") - 1)
     face = F.array(F.reverse(ring) if kind == "ceiling" else ring)
-    return rooms.where(F.size("polygon") >= 3).select("plan_id", "room_index", F.concat(F.lit(f"{kind.title()}_"), F.col("label")).alias("name"), F.lit(kind).alias("type"), "label", v.alias("vertices"), face.alias("faces"))
+    fine = rooms.withColumn("fault", ring_fault(F.col("polygon"))).where(~F.coalesce(F.col("fault").isin(*reject), F.lit(False)))
+    return fine.select("plan_id", "room_index", F.concat_ws("_", F.lit(kind.title()), "label", "room_index").alias("name"), F.lit(kind).alias("type"), "label", "fault", v.alias("vertices"), face.alias("faces"))
+
+
+def rejected_rooms(rooms: DataFrame, reject: tuple[str, ...] = NO_FACE) -> DataFrame:
+    """(plan_id, room_index, label, reason, made): rooms with a faulty ring, and whether slabs are made of them all the same."""
+    found = rooms.select("plan_id", "room_index", "label", ring_fault(F.col("polygon")).alias("reason")).where("reason is not null")
+    return found.withColumn("made", ~F.col("reason").isin(*reject))
 
 
 def room_labels(rooms: DataFrame, cfg: Config = DEFAULT, exact: bool = True) -> DataFrame:
-    """(plan_id, room_index, text, x, y, z, size, area): at the mean of the vertices."""
+    """(plan_id, room_index, name, text, x, y, z, size, area): at the mean of the vertices."""
     x, y = vertex_mean(F.col("polygon"))
-    return rooms.where(F.size("polygon") >= 3).select("plan_id", "room_index", label_text(F.col("label"), exact).alias("text"), x.alias("x"), y.alias("y"), F.lit(cfg.label_z).alias("z"), F.lit(cfg.label_size).alias("size"), "area")
+    name = F.concat_ws("_", F.lit("Label"), "label", "room_index")
+    return rooms.where(F.size("polygon") >= 3).select("plan_id", "room_index", name.alias("name"), label_text(F.col("label"), exact).alias("text"), x.alias("x"), y.alias("y"), F.lit(cfg.label_z).alias("z"), F.lit(cfg.label_size).alias("size"), "area")
 
 
 def materials(spark: SparkSession, names: dict[str, str] | None = None) -> DataFrame:
@@ -111,20 +106,20 @@ def adjust_height(objects: DataFrame, target: float, cfg: Config = DEFAULT) -> D
 def build_scene(plans: DataFrame, wall_height: float = DEFAULT.wall_height, with_ceiling: bool = False, cfg: Config = DEFAULT) -> DataFrame:
     """(plan_id, name, type, source_index, wall_index, vertices, faces, text, area, height, n_cuts) of whole documents.
 
-    Cutters aren't objects of the result; a wall counts those that cut it. Every part is keyed by plan_id.
+    Walls have their openings cut out; cutters aren't objects of the result, a wall counts those that cut it. Every part
+    is keyed by plan_id.
     """
     checked("wall_height", wall_height)
     w, r = source.walls(plans, cfg), source.rooms(plans)
-    prisms = wall_prisms(w, wall_height, cfg)
     o = source.openings(plans, "door", cfg).unionByName(source.openings(plans, "window", cfg))
-    hits = cut_walls(cutters(opening_on_wall(o, w, cfg), wall_height, cfg), prisms).where("cut").groupBy("plan_id", "wall_index").agg(F.count("*").alias("n_cuts"))
     null = lambda t: F.lit(None).cast(t)
-    walls = prisms.join(hits, ["plan_id", "wall_index"], "left").select("plan_id", "name", F.lit("wall").alias("type"), F.col("wall_index").alias("source_index"), "wall_index", "vertices", faces(BOX_FACES).alias("faces"), null("string").alias("text"), null("double").alias("area"), "height", F.coalesce("n_cuts", F.lit(0)).alias("n_cuts"))
+    cut = wall_difference(w, opening_on_wall(o, w, cfg), wall_height, cfg)
+    walls = cut.select("plan_id", "name", F.lit("wall").alias("type"), F.col("wall_index").alias("source_index"), "wall_index", "vertices", "faces", null("string").alias("text"), null("double").alias("area"), "height", "n_cuts")
     flat = slabs(r, "floor")
     if with_ceiling:
         flat = flat.unionByName(slabs(r, "ceiling", wall_height))
     flat = flat.select("plan_id", "name", "type", F.col("room_index").alias("source_index"), null("int").alias("wall_index"), "vertices", "faces", null("string").alias("text"), null("double").alias("area"), null("double").alias("height"), null("bigint").alias("n_cuts"))
-    labels = room_labels(r, cfg).select("plan_id", F.concat(F.lit("Label_"), F.col("room_index")).alias("name"), F.lit("label").alias("type"), F.col("room_index").alias("source_index"), null("int").alias("wall_index"), F.array(vertex(F.col("x"), F.col("y"), F.col("z"))).alias("vertices"), F.array().cast("array<array<int>>").alias("faces"), "text", "area", null("double").alias("height"), null("bigint").alias("n_cuts"))
+    labels = room_labels(r, cfg).select("plan_id", "name", F.lit("label").alias("type"), F.col("room_index").alias("source_index"), null("int").alias("wall_index"), F.array(vertex(F.col("x"), F.col("y"), F.col("z"))).alias("vertices"), F.array().cast("array<array<int>>").alias("faces"), "text", "area", null("double").alias("height"), null("bigint").alias("n_cuts"))
     return walls.unionByName(flat).unionByName(labels)
 
 
@@ -141,8 +136,9 @@ def scene_counts(plans: DataFrame, wall_height: float = DEFAULT.wall_height, wit
     o = source.openings(plans, "door", cfg).unionByName(source.openings(plans, "window", cfg))
     cut = cut_walls(cutters(opening_on_wall(o, w, cfg), wall_height, cfg), prisms).where("cut").select("plan_id", "kind")
     parts = prisms.select("plan_id", F.lit("wall").alias("kind")).unionByName(cut)
-    for f in ("floor", "label", *(("ceiling",) if with_ceiling else ())):
-        parts = parts.unionByName(source.rooms(plans).where(F.size("polygon") >= 3).select("plan_id", F.lit(f).alias("kind")))
+    rooms = source.rooms(plans)
+    for made in (slabs(rooms, "floor"), room_labels(rooms, cfg, exact=False).withColumn("type", F.lit("label")), *((slabs(rooms, "ceiling", wall_height),) if with_ceiling else ())):
+        parts = parts.unionByName(made.select("plan_id", F.col("type").alias("kind")))
     return count_kinds(parts)
 
 

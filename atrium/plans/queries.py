@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.geometry import direction, length_sql, perpendicular, polygon_area, round3_sql, segment_distance_sql, vertex_mean
+from ..functions.geometry import direction, length_sql, perpendicular, polygon_area, segment_distance_sql, vertex_mean
 from ..functions.text import PROMPTS, fenced_json, label_text, prompt, status_icon, suffix
 from ..model import CLASSES, MATERIALS, Config
 from ..operators import dataset, detect, resolve, scene
@@ -54,7 +54,11 @@ def mm_sql(e: str) -> str:
     return f"cast(floor(({e}) * 1e3 + 5e-1) as bigint)"
 
 
-R = round3_sql
+def R(e: str) -> str:
+    """Three decimals of the exact binary value, as printf does."""
+    return f"cast(printf('%.3f', {e}) as double)"
+
+
 WITH = f"""with b as ({BOXES}), f as (select * from b where conf >= 5e-1),
 m as (select plan_id, ord, cls_id, conf, x1 / 5e1 as x1, y1 / 5e1 as y1, x2 / 5e1 as x2, y2 / 5e1 as y2 from f),
 w as (select plan_id, ord, cast(row_number() over (partition by plan_id order by ord) - 1 as int) as wall_index,
@@ -149,11 +153,11 @@ def j1b_nearest_wall(spark, sf_dir):
 SNAP = """, e as (select plan_id, count(*) as n, list(sx order by wall_index) as lsx, list(sy order by wall_index) as lsy, list(ex order by wall_index) as lex, list(ey order by wall_index) as ley from w group by plan_id),
 s0 as (select plan_id, n, list_transform(range(2 * n), lambda k: case when k % 2 = 0 then lsx[k // 2 + 1] else lex[k // 2 + 1] end) as xs, list_transform(range(2 * n), lambda k: case when k % 2 = 0 then lsy[k // 2 + 1] else ley[k // 2 + 1] end) as ys from e),
 ns as (select distinct n from e),
-pairs as (select n, row_number() over (partition by n order by i, j, a, b) as k, 2 * i + a + 1 as p, 2 * j + b + 1 as q from ns, (select unnest(range(200)) as i), (select unnest(range(200)) as j), (select unnest([0, 1]) as a), (select unnest([0, 1]) as b) where i < j and j < n),
+pairs as (select n, row_number() over (partition by n order by i, j, a, b) as k, 2 * i + a + 1 as p, 2 * j + b + 1 as q from ns, (select unnest(range((select max(n) from ns))) as i), (select unnest(range((select max(n) from ns))) as j), (select unnest([0, 1]) as a), (select unnest([0, 1]) as b) where i < j and j < n),
 st as (select plan_id, n, cast(0 as bigint) as k, xs, ys from s0 union all
  select plan_id, n, k + 1, case when hit then list_transform(xs, lambda v, i: case when i = p or i = q then mx else v end) else xs end, case when hit then list_transform(ys, lambda v, i: case when i = p or i = q then my else v end) else ys end
  from (select st.*, p, q, sqrt((xs[p] - xs[q]) * (xs[p] - xs[q]) + (ys[p] - ys[q]) * (ys[p] - ys[q])) > 0 and sqrt((xs[p] - xs[q]) * (xs[p] - xs[q]) + (ys[p] - ys[q]) * (ys[p] - ys[q])) < 35e-2 as hit,
-  floor(((xs[p] + xs[q]) / 2e0) * 1e3 + 5e-1) / 1e3 as mx, floor(((ys[p] + ys[q]) / 2e0) * 1e3 + 5e-1) / 1e3 as my from st join pairs on pairs.n = st.n and pairs.k = st.k + 1)),
+  cast(printf('%.3f', (xs[p] + xs[q]) / 2e0) as double) as mx, cast(printf('%.3f', (ys[p] + ys[q]) / 2e0) as double) as my from st join pairs on pairs.n = st.n and pairs.k = st.k + 1)),
 done as (select * from st where k = 2 * n * (n - 1)),
 sw as (select w.plan_id, w.wall_index, xs[2 * w.wall_index + 1] as sx, ys[2 * w.wall_index + 1] as sy, xs[2 * w.wall_index + 2] as ex, ys[2 * w.wall_index + 2] as ey from w join done on w.plan_id = done.plan_id)
 """
@@ -377,11 +381,12 @@ def p24_prompts(spark, sf_dir):
     return e.select("event_id", F.md5(prompt("critique", F.struct("event_type"))).alias("prompt_md5"))
 
 
-def document_rows(spark, sf_dir) -> DataFrame:
-    """Whole plan documents of the boxes, a JSON text each."""
-    w, r = found_walls(spark, sf_dir), room_polygons(spark, sf_dir)
+def document_rows(spark, sf_dir, label: Column | None = None, rooms: DataFrame | None = None) -> DataFrame:
+    """Whole plan documents of the boxes, a JSON text each; rooms are the given ones, and have the given label or none."""
+    w, r = found_walls(spark, sf_dir), room_polygons(spark, sf_dir) if rooms is None else rooms
     ws = w.groupBy("plan_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("wall_index", "sx", "sy", "ex", "ey", "thickness"))), lambda x: F.struct(F.array(x["sx"], x["sy"]).alias("start"), F.array(x["ex"], x["ey"]).alias("end"), x["thickness"].alias("thickness"))).alias("walls"))
-    rs = r.groupBy("plan_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("room_index", "polygon"))), lambda x: F.struct(x["polygon"].alias("polygon"))).alias("rooms"))
+    named = F.struct("room_index", *([] if label is None else [label.alias("label")]), "polygon")
+    rs = r.groupBy("plan_id").agg(F.transform(F.array_sort(F.collect_list(named)), lambda x: x.dropFields("room_index")).alias("rooms"))
     return ws.join(rs, "plan_id", "full").select("plan_id", F.to_json(F.struct("walls", "rooms")).alias("doc"))
 
 
@@ -431,15 +436,10 @@ def f1_suppression(spark, sf_dir):
     return detect.suppress(boxes(spark, sf_dir)).select("plan_id", "ord", "cls_id")
 
 
-#: Python rounds the exact binary value, as printf does.
-SNAP_EXACT = SNAP
-for _c in "xy":
-    SNAP_EXACT = SNAP_EXACT.replace(f"floor((({_c}s[p] + {_c}s[q]) / 2e0) * 1e3 + 5e-1) / 1e3", f"cast(printf('%.3f', ({_c}s[p] + {_c}s[q]) / 2e0) as double)")
-
-
-@query(RECURSIVE + SNAP_EXACT + f"select {WALLS_OUT} from sw")
+@query(RECURSIVE + SNAP + f"select {WALLS_OUT} from sw")
 def a1_snap_exact(spark, sf_dir):
-    return walls_out(resolve.snap_ends(found_walls(spark, sf_dir), CFG, exact=True))
+    """The walk of large plans, used for all."""
+    return walls_out(resolve.snap_ends(found_walls(spark, sf_dir), CFG, most_folded=0))
 
 
 @query()

@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from atrium.functions import geometry as g
-from atrium.functions.text import fenced_json, label_text, prompt, status_icon, suffix
+from atrium.functions.text import fenced_block, fenced_json, label_text, prompt, status_icon, suffix
 from atrium.model import DEFAULT, Config
 from atrium.operators import dataset, detect, resolve, scene
 from atrium.sources import files, plans
@@ -83,6 +83,7 @@ def test_scene_objects(samples):
     z = [v.z for r in s.where("type = 'ceiling'").collect() for v in r.vertices]
     assert z == pytest.approx([2.7] * len(z))
     assert [r.n_cuts for r in s.where("type = 'wall'").orderBy("wall_index").collect()] == [1, 0, 2, 0, 1]
+    assert rows(s.where("type <> 'wall'"), "name") == [(f"{k}_{n}_{i}",) for k in ("Ceiling", "Floor", "Label") for n, i in (("bedroom", 1), ("living_room", 0))]
     assert rows(s.where("type = 'label'"), "text") == [("Bedroom",), ("Living Room",)]
     assert rows(scene.build_scene(samples, 2.7, True).where("plan_id = 'apartment'"), "name") == rows(s, "name")
     with pytest.raises(ValueError):
@@ -137,21 +138,20 @@ def test_direction(spark):
     assert tuple(df.select(px, py).first()) == (0, 1)
 
 
-@pytest.mark.parametrize("exact", [False, True])
-def test_snap(spark, exact):
-    near = {r.wall_index: r for r in resolve.snap_ends(wall_rows(spark, (0, 0, 5.01, 0), (5, 0, 5, 4)), exact=exact).collect()}
+@pytest.mark.parametrize("most", [60, 0])
+def test_snap(spark, most):
+    near = {r.wall_index: r for r in resolve.snap_ends(wall_rows(spark, (0, 0, 5.01, 0), (5, 0, 5, 4)), most_folded=most).collect()}
     assert (near[0].ex, near[0].ey) == (near[1].sx, near[1].sy) == (5.005, 0)
     far = wall_rows(spark, (0, 0, 3, 0), (5, 0, 5, 4))
-    assert rows(resolve.snap_ends(far, exact=exact)) == rows(far)
+    assert rows(resolve.snap_ends(far, most_folded=most)) == rows(far)
     one = wall_rows(spark, (0, 0, 3, 0))
-    assert rows(resolve.snap_ends(one, exact=exact)) == rows(one)
-    assert resolve.snap_ends(one.where("false"), exact=exact).count() == 0
+    assert rows(resolve.snap_ends(one, most_folded=most)) == rows(one)
+    assert resolve.snap_ends(one.where("false"), most_folded=most).count() == 0
 
 
 @settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
 @given(st.lists(st.lists(st.tuples(*[st.integers(0, 30)] * 4), min_size=1, max_size=6), min_size=1, max_size=6))
 def test_snap_like_a_walk(spark, some):
-    half_up = lambda v: math.floor(v * 1000.0 + 0.5) / 1000.0
     cfg, want, data = Config(snap_threshold=0.35), [], []
     for k, segs in enumerate(some):
         pts = [[v / 10 for v in p] for s in segs for p in (s[:2], s[2:])]
@@ -162,10 +162,11 @@ def test_snap_like_a_walk(spark, some):
                     for q in (2 * j, 2 * j + 1):
                         dx, dy = pts[p][0] - pts[q][0], pts[p][1] - pts[q][1]
                         if 0 < math.sqrt(dx * dx + dy * dy) < 0.35:
-                            mid = [half_up((pts[p][c] + pts[q][c]) / 2.0) for c in (0, 1)]
+                            mid = [round((pts[p][c] + pts[q][c]) / 2.0, 3) for c in (0, 1)]
                             pts[p], pts[q] = mid, list(mid)
         want += [(k, i, *pts[2 * i], *pts[2 * i + 1]) for i in range(len(segs))]
-    assert rows(resolve.snap_ends(spark.createDataFrame(data, WALL), cfg), "plan_id", "wall_index", "sx", "sy", "ex", "ey") == sorted(want)
+    for most in (60, 3, 0):
+        assert rows(resolve.snap_ends(spark.createDataFrame(data, WALL), cfg, most), "plan_id", "wall_index", "sx", "sy", "ex", "ey") == sorted(want)
 
 
 def test_nearest_wall(spark):
@@ -224,6 +225,9 @@ def test_text(spark):
     assert one(label_text(F.lit("o'neil suite"))) == "O'Neil Suite"
     assert one(fenced_json(F.lit('x\n```json\n{"a": 1}\n```')).cast("string")) == '{"a":1}'
     assert one(fenced_json(F.lit('```\n{bad\n```\n```\n{"a": 1}\n```'))) is None
+    fences = {"```json  \n\n\n1\n```": "\n\n1", "Here: ```json\n{}\n```x": "{}", "  ```\n1\n2\n``` end": "1\n2", "```python\n1\n```": None, "```\n1": None, "```\n1\n  ```": None, "```\n\n```": "", "```\n```\nx\n```": "```\nx", "a\nb": None, "": None, "````json\r\n1\n```": "1", "```xjson\n1\n```\n2\n```": "2"}
+    got = spark.createDataFrame([(t,) for t in fences] + [(None,)], "t string").select("t", fenced_block(F.col("t")).alias("b")).collect()
+    assert {r.t: r.b for r in got} == {**fences, None: None}
     assert [one(status_icon(F.lit(s))) for s in ("", "Ready", "Error: x", "Done", "Sample y", "Busy")] == [None, None, "ERROR", "CHECKMARK", "CHECKMARK", "INFO"]
     assert [one(suffix(F.lit(s))) for s in ("/a/B.OBJ", "/a/.hidden", "/a.b/c", "x.tar.gz")] == [".obj", "", "", ".gz"]
     assert '"a"' in one(prompt("furniture", F.struct(F.lit(1).alias("a")), F.lit("more light")))
@@ -293,8 +297,9 @@ def test_height_and_materials(spark):
 
 def test_sinks(spark, samples, tmp_path):
     o = files.obj_text(scene.build_scene(samples)).where("plan_id = 'apartment'").first().obj
-    assert o.count("\nv ") == 5 * 8 + 2 * 4
-    assert max(int(i) for line in o.splitlines() if line.startswith("f ") for i in line.split()[1:]) == 48
+    n = o.count("\nv ")
+    assert n > 5 * 8 + 2 * 4 and o.count("\no ") + o.startswith("o ") == 7
+    assert max(int(i) for line in o.splitlines() if line.startswith("f ") for i in line.split()[1:]) == n
     back = plans.parse_plans(files.json_documents(samples), "plan_id", "json")
     assert rows(plans.walls(back)) == rows(plans.walls(samples))
     assert [files.export_kind(p) for p in ("a.OBJ", "a.glb", "b.gltf", "c.fbx")] == ["obj", "gltf", "gltf", "fbx"]
