@@ -13,17 +13,24 @@ from .common import columns_of, map_arrow
 
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split())
 #: Elements whose text is never content.
-SILENT = frozenset("script style noscript template iframe object svg canvas math head title select button textarea datalist nav header footer aside form menu dialog audio video".split())
+SILENT = frozenset("script style noscript template iframe object svg canvas head title select button textarea datalist nav header footer aside form menu audio video".split())
+#: Elements and words of names that are silent in the body alone: within an article or main they hold its text.
+SILENT_OUTSIDE, HINT_OUTSIDE = frozenset(("dialog",)), frozenset(("search", "social"))
+#: Elements whose text isn't read at all.
+UNREAD = frozenset("script style noscript template iframe object svg canvas head title".split())
 #: Words of a class, id or role that say the same of other elements, and words that may stand beside them in one name.
 HINT = re.compile(r"ads?|advert\w*|banners?|sponsor\w*|promos?|promotions?|nav|navbar|navigation|menus?|breadcrumbs?|header|masthead|footer|sidebar|aside|notices?|cookies?|consent|popup|modal|newsletter|subscribe|share|sharing|social|related|comments?|disqus|replies|respond|complementary|contentinfo|search")
 BESIDE = frozenset("site page main top bottom left right box bar block area wrap wrapper container list links section widget primary secondary global inner outer content form buttons icons reader user".split())
 
 
-def hinted(value: str) -> bool:
-    """Whether a name in a class, id or role is made of hint words: "cookie-notice" and "site-footer" are, "post-header" and "share-price" aren't."""
+def hinted(value: str, inside: bool = False) -> bool:
+    """Whether a name in a class, id or role is made of hint words: "cookie-notice" and "site-footer" are, "post-header" and "share-price" aren't.
+
+    inside an article or main, HINT_OUTSIDE are no hint words.
+    """
     for name in value.lower().split():
         parts = [x for x in re.split(r"[_-]+", name) if x]
-        hints = [bool(HINT.fullmatch(x)) for x in parts]
+        hints = [bool(HINT.fullmatch(x)) and not (inside and x in HINT_OUTSIDE) for x in parts]
         if any(hints) and all(h or x in BESIDE or x.isdigit() for h, x in zip(hints, parts, strict=True)):
             return True
     return False
@@ -43,19 +50,20 @@ ENDS = {"p": BLOCKS, "li": frozenset(("li",)), "dt": frozenset(("dt", "dd")), "d
 
 
 class Lines(HTMLParser):
-    """Lines of a page, one per block: text, tags met, the region and the box they lie in, characters in links, and whether it is a heading.
+    """Lines of a page, one per block: text, tags met, the region and the box they lie in, characters in links, whether it is a heading, and silent characters.
 
-    Text of silent elements is left out. boxes holds each one's outer box and tag; box 0 is the body.
+    Text of silent elements is left out, but its length and that of its links are known. boxes holds each one's outer
+    box and tag; box 0 is the body.
     """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.stack: list[tuple[str, bool, int, int, bool]] = []
-        self.lines: list[tuple[str, int, int, int, int, bool]] = []
+        self.lines: list[tuple[str, int, int, int, int, bool, int]] = []
         self.regions = ["body"]
         self.boxes = [(0, "body")]
         self.text: list[str] = []
-        self.tags = self.linked = 0
+        self.tags = self.linked = self.muted = 0
 
     @property
     def quiet(self) -> bool:
@@ -64,8 +72,8 @@ class Lines(HTMLParser):
     def close_line(self) -> None:
         text = SPACE.sub(" ", "".join(self.text)).strip()
         if text or self.tags:
-            self.lines.append((text, self.tags, *(self.stack[-1][2:4] if self.stack else (0, 0)), self.linked, any(x[0] in HEADINGS for x in self.stack[-2:])))
-        self.text, self.tags, self.linked = [], 0, 0
+            self.lines.append((text, self.tags, *(self.stack[-1][2:4] if self.stack else (0, 0)), self.linked, any(x[0] in HEADINGS for x in self.stack[-2:]), self.muted))
+        self.text, self.tags, self.linked, self.muted = [], 0, 0, 0
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in BLOCKS:
@@ -78,9 +86,10 @@ class Lines(HTMLParser):
         if tag in VOID:
             return
         region, box, link = self.stack[-1][2:] if self.stack else (0, 0, False)
-        quiet = self.quiet or tag in SILENT
+        inside = region > 0
+        quiet = self.quiet or tag in SILENT or (tag in SILENT_OUTSIDE and not inside)
         if not quiet:
-            hidden = tag not in ("html", "body", "article", "main") and any(k in ("class", "id", "role") and v and hinted(v) for k, v in attrs)
+            hidden = tag not in ("html", "body", "article", "main") and any(k in ("class", "id", "role") and v and hinted(v, inside) for k, v in attrs)
             quiet = hidden or any(k == "hidden" or (k == "aria-hidden" and v == "true") for k, v in attrs)
         if not quiet and (tag in ("article", "main") or ("role", "main") in attrs) and self.regions[region] == "body":
             self.regions.append("main")
@@ -110,8 +119,12 @@ class Lines(HTMLParser):
     def handle_data(self, data: str) -> None:
         if not self.quiet:
             self.text.append(data)
-            if self.stack and self.stack[-1][4]:
-                self.linked += len(data.strip())
+        elif not any(x[0] in UNREAD for x in self.stack):
+            self.muted += len(data.strip())
+        else:
+            return
+        if self.stack and self.stack[-1][4]:
+            self.linked += len(data.strip())
 
 
 def smooth(x: np.ndarray, sigma: float) -> np.ndarray:
@@ -121,13 +134,38 @@ def smooth(x: np.ndarray, sigma: float) -> np.ndarray:
     return np.convolve(np.pad(x, r, mode="edge"), k, "valid") if len(x) else x
 
 
+def weak_level(p: Lines, sigma: float) -> tuple[np.ndarray, float]:
+    """Smoothed ratios of all lines, silent ones with their characters, and their mean over the page's link lines; 0 without any."""
+    chars = np.array([len(x[0]) + x[6] for x in p.lines])
+    ratio = smooth(chars / np.array([max(1, x[1]) for x in p.lines]), sigma)
+    links = (chars > 0) & (2 * np.array([x[4] for x in p.lines]) > chars)
+    return ratio, float(ratio[links].mean()) if links.any() else 0.0
+
+
 def content_lines(p: Lines, index: list[int], region: np.ndarray, sigma: float, cut: float) -> tuple[np.ndarray, float]:
-    """Which lines are content, by smoothed ratios, and the level that the body's lines must reach."""
+    """Which lines are content, by smoothed ratios, and the level that the body's lines must reach.
+
+    A line is sure of it from cut standard deviations on. In an article or main the sure lines make one cluster, from
+    the first to the last of them, and it goes on to both sides for as long as lines are above the weak level: what the
+    page's link lines have in the mean. So short paragraphs at its ends stay, and lists of links there go.
+    """
     raw = np.array([len(x[0]) / max(1, x[1]) for x in p.lines])
     ratio = smooth(raw, sigma)[index]
     capped = smooth(np.minimum(raw, PLAIN), sigma)[index]
     level = cut * capped.std()
-    return np.where(region > 0, ratio >= min(cut * ratio.std(), ratio.max()), capped >= min(level, capped.max())), level
+    sure = np.where(region > 0, ratio >= min(cut * ratio.std(), ratio.max()), capped >= min(level, capped.max()))
+    whole, weak = weak_level(p, sigma)
+    fair = whole[index] >= weak
+    for r in np.unique(region[(region > 0) & sure]):
+        own = np.flatnonzero(region == r)
+        at = np.flatnonzero(sure[own])
+        first, last = at[0], at[-1]
+        while first and fair[own[first - 1]]:
+            first -= 1
+        while last + 1 < len(own) and fair[own[last + 1]]:
+            last += 1
+        sure[own[first : last + 1]] = True
+    return sure, level
 
 
 def clusters(p: Lines, index: list[int], content: np.ndarray, level: float) -> np.ndarray:
@@ -163,10 +201,10 @@ def extract(html: str | None, sigma: float = 1.0, cut: float = 1.0) -> str:
     """The main text of one page.
 
     The ratio of a line is its characters over its tags; smoothed ratios above cut standard deviations over nothing
-    (the threshold of the clustering) are content lines. Each article or main is a region; the body around them is one
-    too, of which only what clusters() selects counts. If a marked region holds most content characters, the marked
-    ones with content are selected whole, so short blocks in them stay; if the body does, its clusters are, with the
-    marked regions that reach the level without their neighbours' help.
+    (the threshold of the clustering) are content lines, with those that join them in an article or main. Each of these
+    is a region; the body around them is one too, of which only what clusters() selects counts. If a marked region holds
+    most content characters, the content lines of the marked ones are the text; if the body does, its clusters are, with
+    those of the marked regions that reach the level without their neighbours' help.
     """
     if not html:
         return ""
@@ -188,7 +226,7 @@ def extract(html: str | None, sigma: float = 1.0, cut: float = 1.0) -> str:
         chosen &= np.bincount(region, chars, len(p.regions)) >= level * tags
     else:
         body[:] = False  # the marked regions hold the text
-    keep = body | (chosen[region] & (region > 0))
+    keep = body | (chosen[region] & (region > 0) & content)
     return "\n".join(x[0] for x, k in zip(lines, keep, strict=True) if k)
 
 

@@ -74,15 +74,16 @@ r as (select *, case when ok then regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1)
 d as (select row_number() over () as row, page_id, url, path, translate(h0, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host from r),
 w as (select * from (values ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')) as t(h, p, v)),
 f as (select d.row, arg_max(w.h || w.p, len(w.h) + len(w.p)) as rule, arg_max(w.v, len(w.h) + len(w.p)) as v from d join w on (host = h or ends_with(host, '.' || h)) and starts_with(path, p) group by d.row),
-k as (select d.row, coalesce(f.v = 'block', false) as bad, unnest(list_distinct(['scheme:' || regexp_extract(url, '^([A-Za-z]*)://', 1)]
+a as (select d.row, f.v is not null as known, coalesce(f.v = 'block', false) as bad, unnest(list_distinct(['scheme:' || regexp_extract(url, '^([A-Za-z]*)://', 1)]
  || list_transform(list_filter(string_split(host, '.'), lambda x: x <> ''), lambda x: 'host:' || case when regexp_matches(x, '^[0-9]+$') then '0' else x end)
  || list_transform(list_filter(regexp_split_to_array(lower(path), '[/._-]'), lambda x: x <> ''), lambda x: 'path:' || case when regexp_matches(x, '^[0-9]+$') then '0' else x end)
  || list_transform(list_filter(regexp_split_to_array(lower(regexp_extract(url, '(?s)\?([^#]*)', 1)), '[&=]'), lambda x: x <> ''), lambda x: 'query:' || case when regexp_matches(x, '^[0-9]+$') then '0' else x end))) as token from d left join f on d.row = f.row where host <> ''),
+k as (select row, bad, token from a where known),
 c as (select greatest(10, ceil(0.002 * count(distinct row))) as least from k),
 e as (select token, list_sort(list(row)) as pages from k group by token having count(*) filter (bad) >= (select least from c)),
 i as (select token, min(token) over (partition by pages) as item from e),
-t as (select row, bad, list_sort(list(distinct item)) as items from k join i using (token) group by row, bad),
-s as (select row, bad, list_filter(items, lambda x, n: (m >> (n - 1)) & 1 = 1) as s from (select *, unnest(range(1, 1 << len(items))) as m from t)),
+t as (select row, bad, known, list_sort(list(distinct item)) as items from a join i using (token) group by row, bad, known),
+s as (select row, bad, list_filter(items, lambda x, n: (m >> (n - 1)) & 1 = 1) as s from (select *, unnest(range(1, 1 << len(items))) as m from t where known)),
 q as (select s, count(*) filter (bad) / count(*) as conf from s group by s having count(*) filter (bad) >= (select least from c) and count(*) filter (bad) >= count(*) * 0.9e0),
 g as (select s from q where not exists (select 1 from q as z where len(z.s) < len(q.s) and list_has_all(q.s, z.s) and z.conf >= q.conf)),
 n as (select row, count(*) as n from t join g on list_has_all(t.items, g.s) group by row)

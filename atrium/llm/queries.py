@@ -37,7 +37,7 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The table labels marks documents, not pages, so the host rules label the pages."""
+    """The table labels marks documents, not pages, so the host rules label the pages that they decide."""
     return url_filter(table(spark, sf_dir, "pages"))
 
 

@@ -133,8 +133,8 @@ def url_filter(pages: DataFrame, labels: DataFrame | None = None, id_col: str =
     """id, host, path, rule, verdict, n_matched (mined rules that fit) of every row.
 
     labels (label_id, quality, toxic) mark pages by their id: one with quality 0 or toxic 1 is bad, and only labelled
-    pages are learned from. Without labels, the host rules label every page: those that a rule blocks are bad and all
-    others, undecided ones too, are not, so that a mined rule holds against the whole crawl.
+    pages are learned from. Without labels, the host rules label the pages that they decide: one that a rule blocks is
+    bad, one that a rule allows isn't. Mined rules carry these verdicts on to the undecided pages.
     A host rule that fits decides; else a mined rule blocks; else the page is allowed. Mined rules match by an inverted
     index from their rarest item: a rule fits if the page has its other items too. The index and the tokens are broadcast
     up to max_broadcast rows, joined by shuffle beyond.
@@ -149,7 +149,7 @@ def url_filter(pages: DataFrame, labels: DataFrame | None = None, id_col: str =
     toks = url_tokens(F.col("host"), F.col("path"), F.col("__url"))
     keyed = shared.put(src.select("__id", "host", "path", name.alias("rule"), verdict.alias("__v"), F.when(F.col("host") != "", toks).alias("tokens"), F.monotonically_increasing_id().alias("row")), "pages")
     if labels is None:
-        known = keyed.select("row", "tokens", F.coalesce(F.col("__v") == "block", F.lit(False)).alias("bad"))
+        known = keyed.where("__v is not null").select("row", "tokens", (F.col("__v") == "block").alias("bad"))
     else:
         bad = labels.where(labels[label_id].isNotNull()).groupBy(labels[label_id].alias("__id")).agg(F.max((F.coalesce(labels["quality"], F.lit(1)) == 0) | (F.coalesce(labels["toxic"], F.lit(0)) == 1)).alias("bad"))
         known = shared.put(keyed.join(bad, "__id").select("row", "tokens", "bad"), "known")

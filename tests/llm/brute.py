@@ -285,6 +285,35 @@ def article(html):
     return "\n".join(x for x in (re.sub(r"\s+", " ", b).strip() for b in p.blocks) if x)
 
 
+def content(lines, sigma=1.0, cut=1.0, plain=100.0):
+    """Which lines with text are content, from (characters, tags, region, characters in links, silent characters) of all lines, without arrays."""
+
+    def smoothed(v):
+        r = math.ceil(2 * sigma)
+        w = [math.exp(-0.5 * (k / sigma) ** 2) for k in range(-r, r + 1)]
+        return [sum(w[k + r] * v[min(max(i + k, 0), len(v) - 1)] for k in range(-r, r + 1)) / sum(w) for i in range(len(v))]
+
+    def spread(v):
+        return math.sqrt(sum((x - sum(v) / len(v)) ** 2 for x in v) / len(v))
+
+    at = [i for i, x in enumerate(lines) if x[0]]
+    plainly, capped = smoothed([x[0] / max(1, x[1]) for x in lines]), smoothed([min(x[0] / max(1, x[1]), plain) for x in lines])
+    whole = smoothed([(x[0] + x[4]) / max(1, x[1]) for x in lines])
+    links = [whole[i] for i, x in enumerate(lines) if x[0] + x[4] > 0 and 2 * x[3] > x[0] + x[4]]
+    weak = sum(links) / len(links) if links else 0.0
+    marked, body = ([v[i] for i in at] for v in (plainly, capped))
+    sure = {i for i in at if (plainly[i] >= min(cut * spread(marked), max(marked)) if lines[i][2] else capped[i] >= min(cut * spread(body), max(body)))}
+    for region in {lines[i][2] for i in sure} - {0}:
+        own = [i for i in at if lines[i][2] == region]
+        lo, hi = own.index(min(sure & set(own))), own.index(max(sure & set(own)))
+        while lo and whole[own[lo - 1]] >= weak:
+            lo -= 1
+        while hi + 1 < len(own) and whole[own[hi + 1]] >= weak:
+            hi += 1
+        sure |= set(own[lo : hi + 1])
+    return [i in sure for i in at]
+
+
 def boosted(x, y, trees, depth, bins, rate=0.2, ridge=1.0, least=1.0):
     """Margins of boosted trees: every cut of every feature is tried on the rows of a node, with sums over those rows."""
     n, cols = len(y), range(len(x[0]))
