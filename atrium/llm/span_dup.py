@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Shared, columns_of, map_arrow
+from .common import Shared, columns_of, hub_limit, map_arrow
 from .words import SPACED, U, mix, span_hashes, text_slices
 
 _M = 0x9E3779B97F4A7C15
@@ -87,6 +87,47 @@ def spans_of(data: np.ndarray, run: int, min_words: int, long_words: int) -> tup
     return *(np.concatenate(x, axis=-1) for x in zip(*out, strict=True)), n
 
 
+def covered(first: np.ndarray, size: np.ndarray) -> list[tuple[int, int]]:
+    """The same sentences as runs that don't touch, (first, size) in order."""
+    order = np.argsort(first, kind="stable")
+    a, b = first[order], np.maximum.accumulate((first + size)[order])
+    new = np.append(True, a[1:] > b[:-1])
+    begin, end = a[new], b[np.append(np.flatnonzero(new)[1:] - 1, len(b) - 1)]
+    return list(zip(begin.tolist(), (end - begin).tolist(), strict=True))
+
+
+def hot_cuts(rows: DataFrame, hot: DataFrame) -> DataFrame:
+    """(row, i, size): the sentences of each row that spans of hot (a, b, row0, i0) cover elsewhere than at their first place.
+
+    hot has few rows (see hub_limit), which every task holds sorted, so a span in a third of all rows meets in no shuffle
+    and gives a row of runs, not a row for each place.
+    """
+    # At most 10,000 spans, so no more than 320 KB.
+    known = np.array([tuple(r) for r in hot.select("a", "b", "row0", "i0").collect()], np.int64).reshape(-1, 4)
+    given = rows.sparkSession.sparkContext.broadcast(known[np.argsort(known[:, 0], kind="stable")])
+
+    def find(batches):
+        keys = given.value
+        for batch in batches:
+            ids, lists = columns_of(batch, ["row", "spans"])
+            flat = lists.flatten()
+            a, b, i, size = (np.asarray(flat.field(k)).astype(np.int64) for k in ("a", "b", "i", "size"))
+            row = np.repeat(np.asarray(ids), np.diff(np.asarray(lists.offsets)))
+            lo, hi = np.searchsorted(keys[:, 0], a, "left"), np.searchsorted(keys[:, 0], a, "right")
+            again = np.zeros(len(a), bool)
+            for step in range(int((hi - lo).max(initial=0))):  # spans that share half of their hash
+                at = np.minimum(lo + step, len(keys) - 1)
+                again |= (lo + step < hi) & (keys[at, 1] == b) & ((keys[at, 2] != row) | (keys[at, 3] != i))
+            out = []
+            at = np.flatnonzero(again)
+            for part in np.split(at, np.flatnonzero(np.diff(row[at])) + 1) if len(at) else []:
+                out += [(int(row[part[0]]), *run) for run in covered(i[part], size[part])]
+            cols = list(zip(*out, strict=True)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int32())], names=["row", "i", "size"])
+
+    return map_arrow(rows.select("row", "spans"), find, "row long, i int, size int")
+
+
 def cut_spans(text: str, cut: list[dict]) -> tuple[str, int, int]:
     """The text without the sentences of the spans, how many went, and their words."""
     data = text.encode()
@@ -106,9 +147,10 @@ def span_dedup(df: DataFrame, keep: list[str], order_col: str = "doc_id", text_c
     """The kept columns, text without repeated spans, n_sentences, n_removed and words_removed of every row.
 
     Of equal spans (see spans_of()) anywhere in the table, the one in the row of least order_col (null last), then the
-    earliest place, is the first; sentences that any other one covers go. Counting is a group-by with partial sums, and
-    the places of repeated spans are found by a join that adaptive execution can split, so a line that a third of all
-    rows hold is no single task. Texts are written once with their spans and shuffled once; only those that lose
+    earliest place, is the first; sentences that any other one covers go. Counting is a group-by with partial sums. The
+    places of repeated spans are found by a join, but for spans of more places than hub_limit, of which there are at most
+    10,000: those are broadcast (hot_cuts), so a passage that a third of all rows hold is no single task and its places
+    are no rows. Texts are written once with their spans and shuffled once; only those that lose
     sentences are handled in Python after that.
 
     Null texts stay null; texts without sentences stay as they are; a very long text is handled whole; rows that repeat
@@ -143,9 +185,15 @@ def span_dedup(df: DataFrame, keep: list[str], order_col: str = "doc_id", text_c
     rows = shared.put(map_arrow(src, find, f"{base}, row long, {spans}"), "rows")
     places = rows.select("o", "row", F.inline("spans"))
     seen = places.groupBy("a", "b").agg(F.min(F.struct(F.col("o").isNull().alias("z"), "o", "row", "i")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    # Written first, so that its shuffle is gone before the places' one, and the join can split a hot span.
-    seen = shared.put(seen.select("a", "b", F.col("first.row").alias("row0"), F.col("first.i").alias("i0")), "seen")
-    again = places.join(seen, ["a", "b"]).where("row <> row0 or i <> i0")
+    # Written first, so that its shuffle is gone before the places' one.
+    seen = shared.put(seen.select("a", "b", F.col("first.row").alias("row0"), F.col("first.i").alias("i0"), "n"), "seen")
+    limit = hub_limit(places)
+    hot = seen.where(F.col("n") > limit)
+    many = hot.limit(1).count() > 0
+    rare = places.join(F.broadcast(hot.select("a", "b")), ["a", "b"], "left_anti") if many else places
+    again = rare.join(seen.where(F.col("n") <= limit), ["a", "b"]).where("row <> row0 or i <> i0").select("row", "i", "size")
+    if many:
+        again = again.unionByName(hot_cuts(rows, hot))
     gone = shared.put(again.groupBy("row").agg(F.collect_set(F.struct("i", "size")).alias("cut")), "gone")  # no more than a row has sentences, four times
     joined = rows.drop("spans", "o").join(gone, "row", "left").select(*inner, "t", "n_sentences", "cut")
     schema = ", ".join([*(f"{k} {kind}" for k, kind in zip(inner, kinds, strict=True)), "t string, n_sentences long, n_removed long, words_removed long"])
