@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 CLASSES = ("wall", "door", "window", "room")
 
@@ -21,6 +21,7 @@ class Config:
 
     pixels_per_meter: float = 50.0
     min_confidence: float = 0.5
+    max_overlap: float = 0.45
     snap_threshold: float = 0.1
     min_wall_length: float = 0.3
     min_room_area: float = 1.0
@@ -45,6 +46,29 @@ class Config:
 
 DEFAULT = Config()
 
+#: Where a configuration file keeps the settings.
+SETTINGS = {
+    ("inference", "confidence_threshold"): "min_confidence",
+    ("inference", "iou_threshold"): "max_overlap",
+    ("inference", "snap_threshold"): "snap_threshold",
+    ("inference", "min_wall_length"): "min_wall_length",
+    ("inference", "min_room_area"): "min_room_area",
+    ("output", "default_wall_thickness"): "wall_thickness",
+    ("output", "default_wall_height"): "wall_height",
+    ("output", "default_door_height"): "door_height",
+    ("output", "default_window_height"): "window_height",
+    ("output", "default_window_sill_height"): "sill_height",
+    ("training", "val_split"): "val_share",
+    ("training", "test_split"): "test_share",
+}
+
+
+def configured(settings: dict) -> Config:
+    """The settings of a configuration file, as read; what it leaves out keeps its default, other keys don't matter."""
+    given = {name: (settings.get(part) or {}).get(key) for (part, key), name in SETTINGS.items()}
+    return replace(DEFAULT, **{k: float(v) for k, v in given.items() if v is not None})
+
+
 #: Material of each kind of object, as red, green, blue, alpha.
 MATERIALS = {"wall": (0.92, 0.90, 0.87, 1.0), "floor": (0.76, 0.60, 0.42, 1.0), "ceiling": (0.95, 0.95, 0.95, 1.0)}
 

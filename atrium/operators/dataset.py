@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..model import DEFAULT, Config
+from .ranks import global_rank
 
 #: Image names in order of preference; any other PNG comes after.
 PREFERRED = ("F1_scaled.png", "F1_original.png", "image.png")
@@ -43,26 +46,25 @@ def split_sizes(n: int, cfg: Config = DEFAULT) -> tuple[int, int, int]:
 
 
 def seeded_split(samples: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
-    """samples with split, by a seeded shuffle of their order: first test, then val, the rest train.
+    """samples with position and split, by a seeded shuffle of their order: first test, then val, the rest train.
 
-    The shuffle is Python's, which needs the ranks alone: the driver holds n numbers, no names; the split is joined by rank.
+    The shuffle is Python's, whose steps follow one another, but it needs no names: the driver holds n numbers, and the
+    positions are joined to the rows by their place in path order (global_rank).
     """
-    ranked = samples.withColumn("rank", F.row_number().over(Window.orderBy(path_parts(F.col("dir")))) - 1)
-    n = samples.count()
+    ranked = global_rank(samples, path_parts(F.col("dir")))
+    n = ranked.count()
     order = list(range(n))
     random.Random(cfg.seed).shuffle(order)
     train, val, test = split_sizes(n, cfg)
-    names = ["test"] * test + ["val"] * val + ["train"] * train
-    plan = samples.sparkSession.createDataFrame(list(zip(order, range(n), names, strict=True)) or [], "rank int, position int, split string")
-    return ranked.join(plan, "rank").drop("rank")
+    plan = pd.DataFrame({"rank": np.array(order, np.int64), "position": np.arange(n, dtype=np.int32), "split": np.repeat(["test", "val", "train"], (test, val, train))})
+    return ranked.join(samples.sparkSession.createDataFrame(plan, "rank long, position int, split string"), "rank").drop("rank")
 
 
 def range_split(ranked: DataFrame, rank_col: str, cfg: Config = DEFAULT) -> DataFrame:
     """The same cut by ranges of a given rank from 0, with no shuffle of the rows."""
-    n = ranked.agg(F.count("*").alias("n"))
-    test, val = (F.floor(F.col("n") * s).cast("long") for s in (cfg.test_share, cfg.val_share))
+    _, val, test = split_sizes(ranked.count(), cfg)
     r = F.col(rank_col)
-    return ranked.crossJoin(F.broadcast(n)).withColumn("split", F.when(r < test, "test").when(r < test + val, "val").otherwise("train")).drop("n")
+    return ranked.withColumn("split", F.when(r < test, "test").when(r < test + val, "val").otherwise("train"))
 
 
 def yolo_labels(boxes: DataFrame, width: Column, height: Column, least: float = 0.001) -> DataFrame:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import queue
+import threading
 from collections.abc import Callable, Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -85,13 +86,44 @@ def suppress(boxes: DataFrame, iou: float = 0.45) -> DataFrame:
     return groups.select("plan_id", "cls_id", F.inline(kept)).select(*boxes.columns)
 
 
-def detect(images: DataFrame, detector: Callable[[str], list[dict]], batch: int = 16) -> DataFrame:
-    """Boxes of (plan_id, path) by a detector that is given a path and returns dicts of cls_id, conf, x1, y1, x2, y2."""
+def one_call(detector: Callable[[str], list[dict]], path: str, seconds: float) -> tuple[list[dict], str | None]:
+    """What the detector finds, or what went wrong; a call that takes longer is left to end by itself."""
+    answer: queue.Queue = queue.Queue()
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in parts:
-            rows = [{"plan_id": r.plan_id, "ord": i, **b} for r in pdf.itertuples(index=False) for i, b in enumerate(detector(r.path))]
-            yield pd.DataFrame(rows, columns=["plan_id", "ord", "cls_id", "conf", "x1", "y1", "x2", "y2"])
+    def call() -> None:
+        try:
+            answer.put((list(detector(path)), None))
+        except Exception as e:  # a detector may raise anything; it becomes the image's error
+            answer.put(([], f"{type(e).__name__}: {e}"))
+
+    threading.Thread(target=call, daemon=True).start()
+    try:
+        return answer.get(timeout=seconds)
+    except queue.Empty:
+        return [], f"no answer within {seconds:g} seconds"
+
+
+def detect(images: DataFrame, detector: Callable[[str], list[dict]], seconds: float = 60.0) -> DataFrame:
+    """Boxes of (plan_id, path) by a detector that is given a path and returns dicts of cls_id, conf, x1, y1, x2, y2.
+
+    (plan_id, ord, cls_id, conf, x1, y1, x2, y2, error): an image whose call raises, or takes longer than the time
+    limit, has one row with the error and nothing else, so that it can be told from one without boxes; the others go on.
+    """
+    names = ["cls_id", "conf", "x1", "y1", "x2", "y2"]
+    kinds = [pa.int32(), *[pa.float64()] * 5]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, place, found, errors = [], [], [], []
+            for i, path in enumerate(batch.columns[1].to_pylist()):
+                boxes, error = one_call(detector, path, seconds)
+                boxes = [{}] if error else boxes
+                at += [i] * len(boxes)
+                place += [None] if error else range(len(boxes))
+                found += boxes
+                errors += [error] * len(boxes)
+            cols = [pa.array([b.get(n) for b in found], k) for n, k in zip(names, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.columns[0].take(pa.array(at, pa.int64())), pa.array(place, pa.int64()), *cols, pa.array(errors, pa.string())], names=["plan_id", "ord", *names, "error"])
 
     kind = images.schema["plan_id"].dataType.simpleString()
-    return images.select("plan_id", "path").mapInPandas(run, f"plan_id {kind}, ord long, cls_id int, conf double, x1 double, y1 double, x2 double, y2 double")
+    return images.select("plan_id", "path").mapInArrow(run, f"plan_id {kind}, ord long, cls_id int, conf double, x1 double, y1 double, x2 double, y2 double, error string")

@@ -13,6 +13,7 @@ from ..functions.geometry import direction, length_sql, perpendicular, polygon_a
 from ..functions.text import PROMPTS, fenced_json, label_text, prompt, status_icon, suffix
 from ..model import CLASSES, MATERIALS, Config
 from ..operators import dataset, detect, resolve, scene
+from ..operators.ranks import global_rank
 from ..sources import files, plans
 from ..sources.svg import scan_svg, svg_class
 
@@ -333,14 +334,7 @@ def p26_status_icon(spark, sf_dir):
 
 @query("with r as (select p_partkey, row_number() over (order by p_partkey) - 1 as rank, count(*) over () as n from part) select p_partkey, case when rank < cast(floor(n * 5e-2) as bigint) then 'test' when rank < cast(floor(n * 5e-2) as bigint) + cast(floor(n * 15e-2) as bigint) then 'val' else 'train' end as split from r")
 def o3_split(spark, sf_dir):
-    p = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey")
-    # Global ranks without one task for all rows: counts of ranges of the key, then a rank within each range.
-    step = 10_000
-    ranges = p.groupBy(F.floor(F.col("p_partkey") / step).alias("r")).agg(F.count("*").alias("n"))
-    from pyspark.sql import Window
-
-    before = ranges.withColumn("before", F.sum("n").over(Window.orderBy("r")) - F.col("n"))
-    ranked = p.withColumn("r", F.floor(F.col("p_partkey") / step)).join(before, "r").withColumn("rank", F.col("before") + F.row_number().over(Window.partitionBy("r").orderBy("p_partkey")) - 1)
+    ranked = global_rank(spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey"), "p_partkey")
     return dataset.range_split(ranked.select("p_partkey", "rank"), "rank").select("p_partkey", "split")
 
 

@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import io
 import tempfile
 import uuid
-import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,15 +51,6 @@ def entries(files: DataFrame, root: str, prefix: str) -> DataFrame:
     return files.where(included(F.col("path"))).withColumn("entry", F.concat(F.lit(f"{prefix}/"), below))
 
 
-def pack(files: DataFrame, root: str, prefix: str) -> bytes:
-    """A deflated archive of (path, content) under prefix; built on the driver, for packages of code, not for data."""
-    out = io.BytesIO()
-    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-        for r in entries(files, root, prefix).orderBy("path").toLocalIterator():
-            z.writestr(r.entry, bytes(r.content))
-    return out.getvalue()
-
-
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path that driver and executors share: in spark.checkpoint.dir, else the warehouse; a temporary folder in local mode."""
     root = spark.conf.get("spark.checkpoint.dir", None)
@@ -82,29 +71,6 @@ def write_labels(content: DataFrame, out: str) -> None:
     content.write.mode("overwrite").partitionBy("split").parquet(out)
 
 
-def write_label_files(content: DataFrame, images: DataFrame, out: str) -> int:
-    """labels/<split>/<name>.txt and images/<split>/<name>.png for all samples, written by the tasks through Hadoop-free local paths.
-
-    For a folder that all executors share. Returns the number of samples written.
-    """
-    import os
-
-    def put(rows):
-        n = 0
-        for r in rows:
-            for kind, ext, data in (("labels", "txt", r.content.encode()), ("images", "png", bytes(r.image) if r.image is not None else None)):
-                if data is None:
-                    continue
-                folder = f"{out}/{kind}/{r.split}"
-                os.makedirs(folder, exist_ok=True)
-                with open(f"{folder}/{r.name}.{ext}", "wb") as f:
-                    f.write(data)
-            n += 1
-        yield n
-
-    return sum(content.join(images.select("name", F.col("content").alias("image")), "name", "left").rdd.mapPartitions(put).collect())
-
-
 def manifest(out: str, classes) -> str:
     """The data set's description as YAML. Its keys are fixed values."""
     import yaml

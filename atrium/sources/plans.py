@@ -45,6 +45,13 @@ def sample_plans(spark: SparkSession, kind: str | None = None) -> DataFrame:
     return parse_plans(spark.createDataFrame([(n, SAMPLES[n]) for n in names], "plan_id string, doc string"), "plan_id", "doc")
 
 
+def sample_requests(requests: DataFrame, kind: Column) -> DataFrame:
+    """requests with the columns of the sample that kind names, the apartment where it names none. The samples are three rows."""
+    samples = sample_plans(requests.sparkSession).withColumnRenamed("plan_id", "__kind")
+    name = F.when(kind.isin(*SAMPLES), kind).otherwise("apartment")
+    return requests.withColumn("__name", name).join(F.broadcast(samples), F.col("__name") == F.col("__kind")).drop("__name", "__kind")
+
+
 def choose_source(json_path: Column, image_path: Column) -> Column:
     """Which source a request is served from: JSON before image; null where there is none."""
     some = lambda c: F.coalesce(c, F.lit("")) != ""
