@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Shared
+from .common import Shared, free_name
 
 UPPER, LOWERED = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -106,11 +106,12 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id
     """The rows of docs without a benchmark window. The flags are joined back on id and text hash, so repeated ids keep their own verdict.
 
     The keys of contaminated rows are written and counted; up to max_broadcast_rows they are broadcast, so no text is
-    shuffled; beyond, both sides are.
+    shuffled; beyond, both sides are. Null and empty texts have no windows and stay; very long texts count whole; rows
+    that repeat id and text go or stay together; an empty table gives an empty result; columns may have any names.
     """
-    mark = F.xxhash64(F.coalesce(docs[text_col], F.lit("")))
-    tagged = docs.withColumn("__key", F.struct(docs[id_col].alias("i"), mark.alias("h")))
-    bad = decontaminate(tagged.select("__key", text_col), benchmark, "__key", text_col, **args).where("contaminated").select("__key").distinct()
+    mark, key = F.xxhash64(F.coalesce(docs[text_col], F.lit(""))), free_name(docs, "__key")
+    tagged = docs.withColumn(key, F.struct(docs[id_col].alias("i"), mark.alias("h")))
+    bad = decontaminate(tagged.select(key, text_col), benchmark, key, text_col, **args).where("contaminated").select(key).distinct()
     bad = Shared(docs.sparkSession).put(bad, "contaminated")
     bad = F.broadcast(bad) if bad.count() <= max_broadcast_rows else bad
-    return tagged.join(bad, tagged["__key"].eqNullSafe(bad["__key"]), "left_anti").drop("__key")
+    return tagged.join(bad, tagged[key].eqNullSafe(bad[key]), "left_anti").drop(key)

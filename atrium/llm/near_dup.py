@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Shared, columns_of, components, hub_limit, map_arrow, spread_join
+from .common import Shared, columns_of, components, free_name, hub_limit, map_arrow, spread_join
 from .words import SPACED, U, Slice, distinct_by_row, mix, text_slices, windows
 
 CHUNKS, WIDTH = 12, 4
@@ -378,10 +378,10 @@ def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str =
     """One row of each group, with all columns: the least id's. Of rows that repeat that id in one group, the least text stays, once.
 
     Rows without words, null texts included, all stay, repeats too; a null id is least of all; very long texts count
-    whole; an empty table gives an empty result; columns may have any names but __key.
+    whole; an empty table gives an empty result; columns may have any names.
     """
     mark = F.struct(df[id_col].alias("i"), F.xxhash64(F.coalesce(df[text_col], F.lit(""))).alias("h"), F.monotonically_increasing_id().alias("r"))
-    shared = Shared(df.sparkSession)
-    tagged = shared.put(df.withColumn("__key", mark), "tagged")
-    kept = near_duplicates(tagged.select("__key", text_col), "__key", text_col, **args).where("kept").select("__key")
-    return tagged.join(kept, "__key", "left_semi").drop("__key")
+    shared, key = Shared(df.sparkSession), free_name(df, "__key")
+    tagged = shared.put(df.withColumn(key, mark), "tagged")
+    kept = near_duplicates(tagged.select(key, text_col), key, text_col, **args).where("kept").select(key)
+    return tagged.join(kept, key, "left_semi").drop(key)

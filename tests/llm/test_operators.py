@@ -655,6 +655,18 @@ def test_leaks(tricky, docs, spark):
     assert all(v[1:3] == (0, 0) and not v[4] for v in none.values())
 
 
+def test_columns_named_like_keys(spark):
+    """Columns called as the filters call their own ones stay as they are."""
+    words = " ".join(f"w{i}" for i in range(30))
+    rows = [(1, words, 5, "a"), (2, words, 6, "b"), (3, "w1 w2 w3 clean words " + words[60:], 7, "c"), (4, None, 8, "d")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __key int, `__KEY_` string")
+    bench = spark.createDataFrame([("x", " ".join(f"w{i}" for i in range(12)))], "item_id string, text string")
+    kept = clean_documents(df, bench)
+    assert kept.columns == df.columns and sorted(tuple(r) for r in kept.drop("text").collect()) == [(3, 7, "c"), (4, 8, "d")]
+    kept = near_dup.drop_near_duplicates(df)
+    assert kept.columns == df.columns and sorted(tuple(r) for r in kept.drop("text").collect()) == [(1, 5, "a"), (3, 7, "c"), (4, 8, "d")]
+
+
 def test_leaks_stay_native(tricky, spark):
     bench = spark.createDataFrame([("a", "x y z")], "item_id string, text string")
     plan = decontaminate(tricky, bench)._jdf.queryExecution().toString()
