@@ -42,6 +42,15 @@ def segment_distance_sql(x: str, y: str, sx: str = "sx", sy: str = "sy", ex: str
     return f"case when {sq} < 1e-10 then {length_sql(sx, sy, x, y)} else sqrt({px} * {px} + {py} * {py}) end"
 
 
+def segment_distance(x: Column, y: Column, sx: Column, sy: Column, ex: Column, ey: Column) -> Column:
+    """segment_distance_sql() of columns, for use within arrays."""
+    dx, dy = ex - sx, ey - sy
+    sq = dx * dx + dy * dy
+    t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((x - sx) * dx + (y - sy) * dy) / F.nullif(sq, F.lit(0.0))))
+    px, py = x - (sx + t * dx), y - (sy + t * dy)
+    return F.when(sq < 1e-10, F.sqrt((x - sx) * (x - sx) + (y - sy) * (y - sy))).otherwise(F.sqrt(px * px + py * py))
+
+
 def direction(sx, sy, ex, ey, least: float = 1e-6) -> tuple[Column, Column, Column]:
     """Unit vector and length; ((1, 0), 0) for what is shorter than least."""
     dx, dy = ex - sx, ey - sy

@@ -28,24 +28,39 @@ def to_metres(boxes: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     return boxes.withColumns({c: F.col(c) / F.lit(cfg.pixels_per_meter) for c in ("x1", "y1", "x2", "y2")})
 
 
-def wall_segments(boxes: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
-    """(plan_id, ord, wall_index, sx, sy, ex, ey, thickness, confidence) of wall boxes in metres.
+def segment(b: Column, cfg: Config = DEFAULT) -> dict[str, Column]:
+    """A wall box in metres as a segment: wider than high it is level, else upright."""
+    wide = b["x2"] - b["x1"] > b["y2"] - b["y1"]
+    mx, my = (b["x1"] + b["x2"]) / 2.0, (b["y1"] + b["y2"]) / 2.0
+    pick = lambda level, upright: round3(F.when(wide, level).otherwise(upright))
+    return {"sx": pick(b["x1"], mx), "sy": pick(my, b["y1"]), "ex": pick(b["x2"], mx), "ey": pick(my, b["y2"]), "thickness": F.lit(cfg.wall_thickness), "confidence": round3(b["conf"])}
 
-    A box wider than high is a level segment, any other an upright one. wall_index counts the walls in order.
-    """
-    wide = F.col("x2") - F.col("x1") > F.col("y2") - F.col("y1")
-    mx, my = (F.col("x1") + F.col("x2")) / 2.0, (F.col("y1") + F.col("y2")) / 2.0
-    pick = lambda a, b: round3(F.when(wide, a).otherwise(b))
+
+def opening(b: Column, cfg: Config = DEFAULT) -> dict[str, Column]:
+    """A door's or window's box: its centre unrounded, its width not under the least of its kind."""
+    kind = class_name(b["cls_id"])
+    least = F.when(kind == "window", cfg.min_window).otherwise(cfg.min_door)
+    width = F.greatest(F.least(b["x2"] - b["x1"], b["y2"] - b["y1"]), least)
+    return {"kind": kind, "x": (b["x1"] + b["x2"]) / 2.0, "y": (b["y1"] + b["y2"]) / 2.0, "width": width, "confidence": round3(b["conf"])}
+
+
+class Here:
+    """The columns of the row at hand, as a struct's fields."""
+
+    def __getitem__(self, name: str) -> Column:
+        return F.col(name)
+
+
+def wall_segments(boxes: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+    """(plan_id, ord, wall_index, sx, sy, ex, ey, thickness, confidence) of wall boxes in metres; wall_index counts the walls in order."""
     at = F.row_number().over(Window.partitionBy("plan_id").orderBy("ord")) - 1
-    return boxes.where("cls_id = 0").select("plan_id", "ord", at.cast("int").alias("wall_index"), pick(F.col("x1"), mx).alias("sx"), pick(my, F.col("y1")).alias("sy"), pick(F.col("x2"), mx).alias("ex"), pick(my, F.col("y2")).alias("ey"), F.lit(cfg.wall_thickness).alias("thickness"), round3(F.col("conf")).alias("confidence"))
+    return boxes.where("cls_id = 0").select("plan_id", "ord", at.cast("int").alias("wall_index"), *[v.alias(k) for k, v in segment(Here(), cfg).items()])
 
 
 def opening_boxes(boxes: DataFrame, kind: str | None = None, cfg: Config = DEFAULT) -> DataFrame:
-    """(plan_id, ord, kind, x, y, width, confidence) of one kind or of both in one pass: centres unrounded, widths not under the least of their kind."""
-    name = class_name(F.col("cls_id"))
-    least = F.when(name == "window", cfg.min_window).otherwise(cfg.min_door)
-    w, h = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
-    return boxes.where(F.col("cls_id").isin([CLASSES.index(k) for k in ([kind] if kind else ["door", "window"])])).select("plan_id", "ord", name.alias("kind"), ((F.col("x1") + F.col("x2")) / 2.0).alias("x"), ((F.col("y1") + F.col("y2")) / 2.0).alias("y"), F.greatest(F.least(w, h), least).alias("width"), round3(F.col("conf")).alias("confidence"))
+    """(plan_id, ord, kind, x, y, width, confidence) of one kind or of both in one pass."""
+    ids = [CLASSES.index(k) for k in ([kind] if kind else ["door", "window"])]
+    return boxes.where(F.col("cls_id").isin(ids)).select("plan_id", "ord", *[v.alias(k) for k, v in opening(Here(), cfg).items()])
 
 
 def mask_polygons(masks: DataFrame, cfg: Config = DEFAULT) -> DataFrame:

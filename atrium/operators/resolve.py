@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from functools import partial
-
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geometry import length_sql, round3, segment_distance_sql
+from ..functions.geometry import length_sql, round3, segment_distance, segment_distance_sql
 from ..model import DEFAULT, Config
+from .detect import opening, segment
 from .snapping import snap_lists
 
 
@@ -34,17 +34,16 @@ def pair_places(n: Column) -> Column:
     return F.when(n >= 2, F.flatten(F.transform(F.sequence(F.lit(0), n - 2), rest))).otherwise(F.array().cast("array<struct<p:int,q:int>>"))
 
 
-def snap_ends(walls: DataFrame, cfg: Config = DEFAULT, most_folded: int = 60) -> DataFrame:
-    """Walls with close ends moved together, pair after pair: ends nearer than the threshold, but apart, both go to their rounded middle.
+def snapped(w: Column, cfg: Config = DEFAULT, most_folded: int = 60) -> Column:
+    """Ends of a plan's walls, an array of structs with sx, sy, ex and ey in order, moved together: four numbers a wall.
 
-    Later pairs see earlier moves. Plans of up to most_folded walls are folded over all pairs in the JVM; in larger ones
-    a walk in a task looks only at pairs that come close (snap_points). Both take the same steps in the same order, with
-    Python's rounding, so the number decides nothing but the time. One shuffle by plan, whose rows both read.
+    Pair after pair, ends nearer than the threshold, but apart, both go to their rounded middle, and later pairs see
+    that. Up to most_folded walls are folded over all pairs in the JVM; more are walked in a Python worker that looks
+    only at pairs that come close (snap_points). Both take the same steps in the same order, with Python's rounding, so
+    the number decides nothing but the time.
     """
-    rest = [c for c in walls.columns if c not in ("plan_id", "sx", "sy", "ex", "ey")]
-    by_plan = walls.groupBy("plan_id").agg(F.array_sort(F.collect_list(F.struct("wall_index", *[c for c in rest if c != "wall_index"], "sx", "sy", "ex", "ey"))).alias("w"))
     point = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
-    pts = F.flatten(F.transform("w", lambda w: F.array(point(w["sx"], w["sy"]), point(w["ex"], w["ey"]))))
+    pts = F.flatten(F.transform(w, lambda e: F.array(point(e["sx"], e["sy"]), point(e["ex"], e["ey"]))))
 
     def move(s: Column, k: Column) -> Column:
         a, b = F.get(s, k["p"]), F.get(s, k["q"])
@@ -53,16 +52,49 @@ def snap_ends(walls: DataFrame, cfg: Config = DEFAULT, most_folded: int = 60) ->
         mid = point(round3((a["x"] + b["x"]) / 2.0), round3((a["y"] + b["y"]) / 2.0))
         return F.when((d > 0) & (d < cfg.snap_threshold), F.transform(s, lambda e, i: F.when((i == k["p"]) | (i == k["q"]), mid).otherwise(e))).otherwise(s)
 
-    folded = by_plan.where(F.size("w") <= most_folded).withColumn("pts", pts).withColumn("pts", F.aggregate(pair_places(F.size("w")), F.col("pts"), move))
-    folded = folded.select("plan_id", "w", F.flatten(F.transform("pts", lambda p: F.array(p["x"], p["y"]))).alias("pts"))
-    large = by_plan.where(F.size("w") > most_folded)
-    flat = large.select("plan_id", "w", F.flatten(F.transform("w", lambda w: F.array(w["sx"], w["sy"], w["ex"], w["ey"]))).alias("pts"))
-    large = flat.mapInArrow(partial(snap_lists, threshold=cfg.snap_threshold), flat.schema)
-    out = folded.unionByName(large).select("plan_id", F.posexplode("w").alias("i", "w"), "pts")
+    @F.arrow_udf("array<double>")
+    def walked(ends: pa.Array) -> pa.Array:
+        return snap_lists(ends, cfg.snap_threshold)
+
+    large = F.size(w) > most_folded
+    folded = F.flatten(F.transform(F.aggregate(pair_places(F.size(w)), pts, move), lambda p: F.array(p["x"], p["y"])))
+    ends = F.flatten(F.transform(w, lambda e: F.array(e["sx"], e["sy"], e["ex"], e["ey"])))
+    return F.when(large, walked(F.when(large, ends))).otherwise(folded)
+
+
+def snap_ends(walls: DataFrame, cfg: Config = DEFAULT, most_folded: int = 60) -> DataFrame:
+    """Walls with close ends moved together, see snapped(). One shuffle by plan; a plan's walls are one array."""
+    rest = [c for c in walls.columns if c not in ("plan_id", "sx", "sy", "ex", "ey")]
+    by_plan = walls.groupBy("plan_id").agg(F.array_sort(F.collect_list(F.struct("wall_index", *[c for c in rest if c != "wall_index"], "sx", "sy", "ex", "ey"))).alias("w"))
+    out = by_plan.withColumn("pts", snapped(F.col("w"), cfg, most_folded)).select("plan_id", F.posexplode("w").alias("i", "w"), "pts")
     cols = {"plan_id": F.col("plan_id"), **{c: F.get("pts", F.col("i") * 4 + k) for k, c in enumerate(("sx", "sy", "ex", "ey"))}}
     return out.select(*[cols.get(c, F.col(f"w.{c}")).alias(c) for c in walls.columns])
 
 
+def detected_plans(boxes: DataFrame, cfg: Config = DEFAULT, snap: bool = True) -> DataFrame:
+    """(plan_id, walls, openings, boxes): a detected plan in a row, from boxes in metres. One shuffle by plan and one pass.
+
+    walls: ord, wall_index, sx, sy, ex, ey, thickness, confidence, in order; openings: ord, kind, x, y, width,
+    confidence, wall_index, wall_distance, tied to the nearest wall of a lower ord as it stood before snapping (0 and
+    null without one). boxes holds all boxes in order. Same rows as wall_segments(), nearest_wall() and snap_ends().
+    """
+    names = ["ord", "cls_id", "conf", "x1", "y1", "x2", "y2"]
+    d = boxes.groupBy("plan_id").agg(F.array_sort(F.collect_list(F.struct(*names))).alias("boxes"))
+    d = d.withColumn("walls", F.transform(F.filter("boxes", lambda b: b["cls_id"] == 0), lambda b, i: F.struct(b["ord"].alias("ord"), i.alias("wall_index"), *[v.alias(k) for k, v in segment(b, cfg).items()])))
+
+    def tied(b: Column) -> Column:
+        o = opening(b, cfg)
+        earlier = F.filter("walls", lambda w: w["ord"] < b["ord"])
+        best = F.array_min(F.transform(earlier, lambda w: F.struct(segment_distance(o["x"], o["y"], w["sx"], w["sy"], w["ex"], w["ey"]).alias("d"), w["wall_index"].alias("i"))))
+        return F.struct(b["ord"].alias("ord"), *[v.alias(k) for k, v in o.items()], F.coalesce(best["i"], F.lit(0)).alias("wall_index"), best["d"].alias("wall_distance"))
+
+    d = d.withColumn("openings", F.transform(F.filter("boxes", lambda b: b["cls_id"].isin(1, 2)), tied))
+    if snap:
+        moved = F.transform("walls", lambda w, i: w.withField("sx", F.get("pts", i * 4)).withField("sy", F.get("pts", i * 4 + 1)).withField("ex", F.get("pts", i * 4 + 2)).withField("ey", F.get("pts", i * 4 + 3)))
+        d = d.withColumn("pts", snapped(F.col("walls"), cfg)).withColumn("walls", moved)
+    return d.select("plan_id", "walls", "openings", "boxes")
+
+
 def long_enough(walls: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """Walls of the least length or more; indexes stay as they are."""
     return walls.where(F.expr(length_sql()) >= cfg.min_wall_length)

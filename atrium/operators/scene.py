@@ -129,20 +129,42 @@ def write_scene(objects: DataFrame, out: str) -> DataFrame:
     return objects.sparkSession.read.schema(objects.schema).parquet(out)
 
 
-def scene_counts(plans: DataFrame, wall_height: float = DEFAULT.wall_height, with_ceiling: bool = False, cfg: Config = DEFAULT) -> DataFrame:
-    """(plan_id, walls, doors, windows, floors, ceilings, labels, summary): what was made; the summary leaves zeros out."""
-    w = source.walls(plans, cfg)
-    prisms = wall_prisms(w, wall_height, cfg)
-    o = source.openings(plans, "door", cfg).unionByName(source.openings(plans, "window", cfg))
-    cut = cut_walls(cutters(opening_on_wall(o, w, cfg), wall_height, cfg), prisms).where("cut").select("plan_id", "kind")
-    parts = prisms.select("plan_id", F.lit("wall").alias("kind")).unionByName(cut)
-    rooms = source.rooms(plans)
-    for made in (slabs(rooms, "floor"), room_labels(rooms, cfg, exact=False).withColumn("type", F.lit("label")), *((slabs(rooms, "ceiling", wall_height),) if with_ceiling else ())):
-        parts = parts.unionByName(made.select("plan_id", F.col("type").alias("kind")))
-    return count_kinds(parts)
-
-
-def count_kinds(parts: DataFrame) -> DataFrame:
-    kinds = ("wall", "door", "window", "floor", "ceiling", "label")
-    counted = parts.groupBy("plan_id").agg(*[F.count_if(F.col("kind") == k).alias(f"{k}s") for k in kinds])
-    return counted.withColumn("summary", F.array_join(F.array_compact(F.array(*[F.when(F.col(f"{k}s") > 0, F.concat(F.col(f"{k}s"), F.lit(f" {k}s"))) for k in kinds])), ", "))
+KINDS = ("wall", "door", "window", "floor", "ceiling", "label")
+
+
+def counts(**made: Column) -> list[Column]:
+    """walls, doors, ... as columns; what isn't given is 0."""
+    return [F.coalesce(made.get(k, F.lit(0)), F.lit(0)).cast("long").alias(f"{k}s") for k in KINDS]
+
+
+def with_summary(counted: DataFrame) -> DataFrame:
+    """counted with summary, which leaves zeros out; plans of which nothing is made have no row.
+
+    They go by a generator: a filter would be pushed down and carry all that is counted with it, over and over.
+    """
+    summary = F.array_join(F.array_compact(F.array(*[F.when(F.col(f"{k}s") > 0, F.concat(F.col(f"{k}s"), F.lit(f" {k}s"))) for k in KINDS])), ", ")
+    one = F.array(F.struct(*[f"{k}s" for k in KINDS], summary.alias("summary")))
+    return counted.select("plan_id", F.inline(F.filter(one, lambda c: c["summary"] != "")))
+
+
+def scene_counts(plans: DataFrame, with_ceiling: bool = False, cfg: Config = DEFAULT) -> DataFrame:
+    """(plan_id, walls, doors, windows, floors, ceilings, labels, summary): what build_scene() makes of each document that gives anything.
+
+    Counted within the row, so nothing is shuffled: walls that aren't degenerate, openings whose wall is such a one and
+    whose position isn't malformed, rings that have a face, and a label for each ring of three points or more.
+    """
+    at = lambda p, k: F.get(p, F.lit(k))
+    solid = lambda w: direction(at(w["start"], 0), at(w["start"], 1), at(w["end"], 0), at(w["end"], 1), cfg.degenerate)[2] >= cfg.degenerate
+    d = plans.withColumn("__solid", F.transform("walls", lambda w: F.coalesce(solid(w), F.lit(False))))
+
+    def cut(part: str) -> Column:
+        wall = lambda o: F.coalesce(o["wall_index"], F.lit(0))
+        on = lambda o: (wall(o) >= 0) & F.coalesce(F.get("__solid", wall(o)), F.lit(False)) & ~source.bad_position(o["position"])
+        return F.size(F.filter(part, on))
+
+    rings = F.transform("rooms", lambda r: F.coalesce(r["polygon"], F.array().cast("array<array<double>>")))
+    floors = F.size(F.filter(rings, lambda p: ~F.coalesce(ring_fault(p).isin(*NO_FACE), F.lit(False))))
+    made = {"wall": F.size(F.filter("__solid", lambda x: x)), "door": cut("doors"), "window": cut("windows"), "floor": floors, "label": F.size(F.filter(rings, lambda p: F.size(p) >= 3))}
+    if with_ceiling:
+        made["ceiling"] = floors
+    return with_summary(d.select("plan_id", *counts(**made)))

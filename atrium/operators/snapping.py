@@ -82,9 +82,10 @@ def snap_points(points: list[list[float]], threshold: float) -> list[list[float]
     return pts
 
 
-def snap_lists(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
-    """Batches whose last column, array<double> of four numbers a wall, is as it stands after the walk."""
-    for batch in batches:
-        pts = [[list(p) for p in zip(row[::2], row[1::2], strict=True)] for row in batch.columns[-1].to_pylist()]
-        walked = [[x for p in snap_points(row, threshold) for x in p] for row in pts]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(walked, pa.list_(pa.float64()))], names=batch.schema.names)
+def snap_lists(plans: pa.Array, threshold: float) -> pa.Array:
+    """Four numbers a wall of each plan, as they stand after the walk; null stays null."""
+    out = []
+    for row in plans.to_pylist():
+        pts = None if row is None else snap_points([list(p) for p in zip(row[::2], row[1::2], strict=True)], threshold)
+        out.append(None if pts is None else [x for p in pts for x in p])
+    return pa.array(out, pa.list_(pa.float64()))

@@ -288,13 +288,14 @@ def p19_materials(spark, sf_dir):
 
 @query(WITH + f", {ON}, q as (select plan_id, 'wall' as kind from w where {length_sql()} >= 1e-6 union all select plan_id, kind from a union all select plan_id, t from m, (select unnest(['floor', 'label']) as t) where cls_id = 3), g as (select plan_id, " + ", ".join(f"count(*) filter (kind = '{k}') as {k}s" for k in ("wall", "door", "window", "floor", "ceiling", "label")) + " from q group by plan_id) select *, concat_ws(', ', " + ", ".join(f"case when {k}s > 0 then {k}s || ' {k}s' end" for k in ("wall", "door", "window", "floor", "ceiling", "label")) + ") as summary from g")
 def a5_scene_counts(spark, sf_dir):
-    w, r = found_walls(spark, sf_dir), room_polygons(spark, sf_dir)
-    prisms = scene.wall_prisms(w)
-    cut = scene.cut_walls(scene.cutters(scene.opening_on_wall(placed(spark, sf_dir), w)), prisms).where("cut").select("plan_id", "kind")
-    parts = prisms.select("plan_id", F.lit("wall").alias("kind")).unionByName(cut)
-    for k in ("floor", "label"):
-        parts = parts.unionByName(r.where(F.size("polygon") >= 3).select("plan_id", F.lit(k).alias("kind")))
-    return scene.count_kinds(parts)
+    """Documents of the detected plans, in a row each, counted within the row."""
+    d = resolve.detected_plans(metres(spark, sf_dir), CFG, snap=False)
+    walls = F.transform("walls", lambda w: F.struct(F.array(w["sx"], w["sy"]).alias("start"), F.array(w["ex"], w["ey"]).alias("end")))
+    null = F.lit(None).cast("variant")
+    part = lambda k: F.transform(F.filter("openings", lambda o: o["kind"] == k), lambda o: F.struct(null.alias("position"), o["wall_index"].alias("wall_index")))
+    rooms = F.transform(room_rings(F.col("boxes")), lambda p: F.struct(F.lit(None).cast("string").alias("label"), p.alias("polygon")))
+    documents = d.select("plan_id", walls.alias("walls"), part("door").alias("doors"), part("window").alias("windows"), rooms.alias("rooms"))
+    return scene.scene_counts(documents, cfg=CFG)
 
 
 @query(WITH + OBJECTS + " select plan_id, count(*) filter (type = 'wall') as n_adjusted from ob group by plan_id")
@@ -454,15 +455,21 @@ def s8_json_sink(spark, sf_dir):
     return files.json_documents(plans.sample_plans(spark))
 
 
+def room_rings(boxes: Column) -> Column:
+    """Rectangles of a plan's room boxes, as open rings."""
+    ring = lambda b: F.array(*[F.array(b[x], b[y]) for x, y in (("x1", "y1"), ("x2", "y1"), ("x2", "y2"), ("x1", "y2"))])
+    return F.transform(F.filter(boxes, lambda b: b["cls_id"] == 3), ring)
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Detection to counts: walls that stay, openings on them, rooms, per plan."""
-    w = found_walls(spark, sf_dir)
-    kept = resolve.long_enough(resolve.snap_ends(w, CFG), CFG)
-    parts = kept.select("plan_id", F.lit("wall").alias("kind"))
-    tied = resolve.nearest_wall(found_openings(spark, sf_dir), w).join(kept.select("plan_id", "wall_index"), ["plan_id", "wall_index"], "left_semi")
-    parts = parts.unionByName(tied.select("plan_id", "kind"))
-    rooms = room_polygons(spark, sf_dir).where(polygon_area(F.col("polygon")) >= CFG.min_room_area)
-    return scene.count_kinds(parts.unionByName(rooms.select("plan_id", F.lit("floor").alias("kind"))))
+    """Detection to counts: walls that stay, openings on them, rooms, per plan. All of a plan is in one row after one shuffle."""
+    d = resolve.detected_plans(metres(spark, sf_dir), CFG)
+    dx, dy = (lambda w: w["ex"] - w["sx"]), (lambda w: w["ey"] - w["sy"])
+    kept = F.transform(F.filter("walls", lambda w: F.sqrt(dx(w) * dx(w) + dy(w) * dy(w)) >= CFG.min_wall_length), lambda w: w["wall_index"])
+    d = d.withColumn("kept", kept).withColumn("tied", F.filter("openings", lambda o: F.array_contains("kept", o["wall_index"])))
+    rooms = F.filter(room_rings(F.col("boxes")), lambda p: polygon_area(p) >= CFG.min_room_area)
+    of = lambda k: F.size(F.filter("tied", lambda o: o["kind"] == k))
+    return scene.with_summary(d.select("plan_id", *scene.counts(wall=F.size("kept"), door=of("door"), window=of("window"), floor=F.size(rooms))))
 
 
 @query(RECURSIVE + SNAP + f", {NEAR}, kw as (select plan_id, wall_index from sw where {length_sql()} >= 3e-1), q as (select plan_id, 'wall' as kind from kw union all select n.plan_id, n.kind from n join kw on kw.plan_id = n.plan_id and kw.wall_index = coalesce(n.wi, 0) union all select plan_id, 'floor' from m where cls_id = 3 and (x2 - x1) * (y2 - y1) >= 1e0), g as (select plan_id, " + ", ".join(f"count(*) filter (kind = '{k}') as {k}s" for k in ("wall", "door", "window", "floor", "ceiling", "label")) + " from q group by plan_id) select *, concat_ws(', ', " + ", ".join(f"case when {k}s > 0 then {k}s || ' {k}s' end" for k in ("wall", "door", "window", "floor", "ceiling", "label")) + ") as summary from g")

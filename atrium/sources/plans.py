@@ -65,6 +65,13 @@ def walls(plans: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     return w.select("plan_id", "wall_index", at("w.start", 0).alias("sx"), at("w.start", 1).alias("sy"), at("w.end", 0).alias("ex"), at("w.end", 1).alias("ey"), F.coalesce("w.thickness", F.lit(cfg.wall_thickness)).alias("thickness"), F.col("w.confidence").alias("confidence"))
 
 
+def bad_position(p: Column) -> Column:
+    """Whether a position is neither missing, nor two numbers' list, nor a number or the text of one."""
+    missing = p.isNull() | F.coalesce(F.is_variant_null(p), F.lit(False))
+    many = F.coalesce(F.size(F.try_variant_get(p, "$", "array<variant>")), F.lit(-1))
+    return ~missing & (many != 2) & ((many >= 0) | F.try_variant_get(p, "$", "double").isNull())
+
+
 def openings(plans: DataFrame, kind: str, cfg: Config = DEFAULT) -> DataFrame:
     """(plan_id, kind, opening_index, px, py, along, bad_position, width, height, sill, wall_index) of doors or windows.
 
