@@ -22,28 +22,30 @@ def flattened(p: np.ndarray) -> np.ndarray:
 def clip_ears(ring: np.ndarray) -> list[tuple[int, int, int]]:
     """Triangles of a ring in the plane, wound against the clock; two fewer than it has corners, of which flat ones have no area.
 
-    The next ear is a corner that turns left, or not at all, and whose triangle holds no other corner. A ring that
+    The next ear is a corner that turns left, or not at all, and whose triangle holds no other corner, not even on a
+    side, which is told with room for rounding: a cut through a corner would pinch what is left. A ring that
     crosses itself may run out of ears; then the corner that turns left the most goes, so there are as many triangles,
     but their areas don't add up to the ring's.
     """
     left = list(range(len(ring)))
     out = []
+    tiny = 1e-10 * float(np.ptp(ring, axis=0).max(initial=0.0)) ** 2
     while len(left) > 3:
         p = ring[left]
         before, after = np.roll(p, 1, axis=0), np.roll(p, -1, axis=0)
         turn = (p[:, 0] - before[:, 0]) * (after[:, 1] - p[:, 1]) - (p[:, 1] - before[:, 1]) * (after[:, 0] - p[:, 0])
-        at = next((int(i) for i in np.flatnonzero(turn >= 0) if is_ear(p, int(i), turn)), int(np.argmax(turn)))
+        at = next((int(i) for i in np.flatnonzero(turn >= -tiny) if is_ear(p, int(i), turn, tiny)), int(np.argmax(turn)))
         out.append((left[at - 1], left[at], left[(at + 1) % len(left)]))
         left.pop(at)
     return [*out, tuple(left)]
 
 
-def is_ear(p: np.ndarray, i: int, turn: np.ndarray) -> bool:
+def is_ear(p: np.ndarray, i: int, turn: np.ndarray, tiny: float) -> bool:
     a, b, c = p[i - 1], p[i], p[(i + 1) % len(p)]
-    if turn[i] == 0:  # on the line of its neighbours; it goes unless it is the tip of a spike
+    if turn[i] <= tiny:  # on the line of its neighbours; it goes unless it is the tip of a spike
         return bool(np.dot(b - a, c - b) >= 0)
     side = lambda u, v: (v[0] - u[0]) * (p[:, 1] - u[1]) - (v[1] - u[1]) * (p[:, 0] - u[0])
-    inside = (side(a, b) >= 0) & (side(b, c) >= 0) & (side(c, a) >= 0)
+    inside = (side(a, b) >= -tiny) & (side(b, c) >= -tiny) & (side(c, a) >= -tiny)
     inside &= ~((p == a).all(axis=1) | (p == b).all(axis=1) | (p == c).all(axis=1))
     return not inside.any()
 

@@ -112,7 +112,7 @@ def wall_difference(walls: DataFrame, on_wall: DataFrame, wall_height: float = D
     """
     s = swept(walls, holes(on_wall, wall_height), wall_height, cfg)
     wide = F.transform("free", lambda f, i: F.aggregate(f, F.lit(0.0), lambda t, x: t + x["z1"] - x["z0"]) * (F.get("us", i + 1) - F.get("us", i)))
-    s = s.withColumns({"quads": quads(), "face_area": F.aggregate(wide, F.lit(0.0), lambda t, x: t + x)})
+    s = s.withColumns({"quads": F.when(F.col("n_cuts") > 0, quads()), "face_area": F.aggregate(wide, F.lit(0.0), lambda t, x: t + x)})
     dx, dy, _ = direction(*map(F.col, ("sx", "sy", "ex", "ey")), cfg.degenerate)
     px, py = perpendicular(dx, dy)
     half = F.col("thickness") / 2.0

@@ -227,6 +227,10 @@ def test_ears():
     """Triangles of concave rings, flat corners and both windings have the ring's area and stay inside it."""
     rng = random.Random(5)
     rings = [[(0, 0), (4, 0), (4, 4), (2, 1), (0, 4)], [(0, 0), (1, 0), (2, 0), (2, 2), (1, 2), (0, 2)], [(0, 0), (0, 3), (3, 3), (3, 0)]]
+    for _ in range(2000):  # of an L one diagonal goes through the inner corner, but for rounding
+        x, y = rng.randrange(300) / 50, rng.randrange(250) / 50
+        u, v = x + (5 + rng.randrange(90)) / 50, y + (5 + rng.randrange(70)) / 50
+        rings.append([(x, y), (u, y), (u, (y + v) / 2), ((x + u) / 2, (y + v) / 2), ((x + u) / 2, v), (x, v)])
     for n in (5, 9, 30, 80):
         rings += [[(r * math.cos(a), r * math.sin(a)) for a, r in ((2 * math.pi * k / n, rng.uniform(1, 9)) for k in range(n))] for _ in range(5)]
     for ring in rings + [r[::-1] for r in rings]:
