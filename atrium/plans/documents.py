@@ -140,11 +140,12 @@ def s1_document_files(spark, sf_dir):
     """A file of each document, every fifth cut off before its end."""
     out = files.scratch(spark, "plans")
     cut = F.when(F.col("plan_id") % 5 == 0, F.expr("left(doc, length(doc) - 1)")).otherwise(F.col("doc"))
-    document_rows(spark, sf_dir).select(F.col("plan_id").alias("name"), cut.alias("value")).write.partitionBy("name").text(out)
-    got = plans.read_plans(spark, out)
+    path = F.concat((F.col("plan_id") % 1000).cast("string"), F.lit("/"), F.col("plan_id"), F.lit(".json"))  # no folder of millions
+    label_sink.write_files(document_rows(spark, sf_dir).select(path.alias("path"), cut.alias("content")), out)
+    got = plans.read_documents(label_sink.read_files(spark, out))
     fine = F.col("_corrupt_record").isNull()
     sizes = [F.when(fine & F.col(c).isNotNull(), F.size(c)).cast("long").alias(f"n_{c}") for c in ("walls", "rooms")]
-    return got.select(F.regexp_extract("plan_id", "name=([0-9]+)/", 1).cast("long").alias("plan_id"), *sizes, (~fine).alias("corrupt"))
+    return got.select(F.regexp_extract("plan_id", r"/([0-9]+)\.json$", 1).cast("long").alias("plan_id"), *sizes, (~fine).alias("corrupt"))
 
 
 @query("select event_id, kind, md5(head || chr(10) || chr(10) || '{' || chr(10) || '  \"event_type\" : \"' || event_type || '\"' || chr(10) || '}' || chr(10) || chr(10) || case when kind in ('modification', 'ambiguity') then 'Request: ' || event_id || chr(10) || chr(10) else '' end || tail) as prompt_md5 from events, (values " + ", ".join(f"('{k}', '{h}', '{t}')" for k, (h, t) in PROMPTS.items()) + ") as t(kind, head, tail)")
