@@ -26,7 +26,7 @@ def replace_scenes(objects: DataFrame, plans: DataFrame, out: str, buckets: int
     """Puts objects in place of what the plans had under out; other plans' scenes stay.
 
     Scenes lie in buckets by a hash of plan_id. Only buckets in which a plan changes are read and written again, all in
-    one commit of a dynamic partition overwrite. A row without a type stands in each of them, so that one of which no
+    one commit of a dynamic partition overwrite; several tasks write a bucket. A row without a type stands in each of them, so that one of which no
     object is left is written too. Doing it twice changes nothing.
     """
     spark = objects.sparkSession
@@ -40,7 +40,10 @@ def replace_scenes(objects: DataFrame, plans: DataFrame, out: str, buckets: int
         old = read_scenes(spark, out, objects.schema, with_bucket=True).where(F.col("bucket").isin(touched))
         same = old["plan_id"].eqNullSafe(changed["plan_id"])
         new = new.unionByName(old.join(changed, same, "left_anti"))
-    new.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(out)
+    # A bucket is dealt to several tasks, so that what a task sorts follows their number and not that of buckets.
+    slices = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // max(1, len(touched)))
+    part = F.pmod(F.xxhash64("plan_id", F.lit(1)), F.lit(slices))
+    new.repartition("bucket", part).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(out)
 
 
 def read_scenes(spark: SparkSession, out: str, schema, with_bucket: bool = False) -> DataFrame:
