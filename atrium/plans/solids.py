@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import replace
 
-from pyspark.sql import Window
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ..functions.geometry import length_sql, ring_fault
@@ -129,16 +130,28 @@ def s11_glb_export(spark, sf_dir):
     return got.groupBy("plan_id").agg(F.count("*").alias("n_nodes"), F.count_if(made).alias("n_meshes"), F.sum("n_vertices").alias("n_vertices"), F.sum("n_triangles").alias("n_triangles"), F.floor(area * 1e4 + 0.5).alias("floor_cm2"))
 
 
+def obj_numbers(batches):
+    """Objects, vertices, faces, largest corner and thousandths of x of floors of four corners, of each plan's mesh text."""
+    for batch in glb.few_plans(batches):
+        rows = []
+        for plan, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            objects, n_faces, last = [], 0, None
+            for line in text.split("\n"):
+                kind, *words = line.split(" ")
+                if kind == "o":
+                    objects.append((words[0], []))
+                elif kind == "v":
+                    objects[-1][1].append(math.floor(float(words[0]) * 1000.0 + 0.5))
+                elif kind == "f":
+                    n_faces, last = n_faces + 1, max(last or 0, *map(int, words))
+            even = sum(sum(xs) for name, xs in objects if name.startswith("Floor") and len(xs) == 4)
+            rows.append((plan, len(objects), sum(len(xs) for _, xs in objects), n_faces, last, even))
+        names = ("plan_id", "n_objects", "n_vertices", "n_faces", "last_corner", "even_mm")
+        yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows], pa.schema([(n, pa.int64()) for n in names]))
+
+
 @query(WITH + WHOLE + ", x as (select plan_id, cast(sum(cast(round(case when k < 2 then x1 else x2 end * 1e3) as bigint) * case when ord % 2 = 1 then 0 else 1 end) as bigint) as even_mm from m, (select unnest([0, 1, 2, 3]) as k) where cls_id = 3 group by plan_id) select p.plan_id, n_walls + n_rooms as n_objects, 8 * n_walls + 4 * n_rooms + 2 * n_bent as n_vertices, 6 * n_walls + n_rooms as n_faces, 8 * n_walls + 4 * n_rooms + 2 * n_bent as last_corner, coalesce(even_mm, 0) as even_mm from p left join x on x.plan_id = p.plan_id")
 def s11_obj_meshes(spark, sf_dir):
     """Each plan's mesh text, read line by line: objects, vertices, faces, the largest corner, and x of the square floors."""
     text = files.obj_text(scene.build_scene(plans.parse_plans(cornered(spark, sf_dir), "plan_id", "doc")))
-    line = text.select("plan_id", F.posexplode(F.split("obj", "\n")).alias("at", "line")).withColumn("part", F.split("line", " "))
-    word = lambda i: F.try_element_at("part", F.lit(i + 1))
-    over = Window.partitionBy("plan_id").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    line = line.withColumn("name", F.last(F.when(word(0) == "o", word(1)), ignorenulls=True).over(over))
-    corners = F.when(word(0) == "f", F.array_max(F.transform(F.slice("part", 2, 100), lambda c: c.cast("long"))))
-    n = F.count_if(word(0) == "v").over(Window.partitionBy("plan_id", "name"))
-    square = (word(0) == "v") & F.col("name").startswith("Floor") & (F.col("n") == 4)
-    rows = line.withColumn("n", n)
-    return rows.groupBy("plan_id").agg(F.count_if(word(0) == "o").alias("n_objects"), F.count_if(word(0) == "v").alias("n_vertices"), F.count_if(word(0) == "f").alias("n_faces"), F.max(corners).alias("last_corner"), F.sum(F.when(square, F.round(word(1).cast("double") * 1000.0).cast("long")).otherwise(0)).alias("even_mm"))
+    return text.mapInArrow(obj_numbers, "plan_id long, n_objects long, n_vertices long, n_faces long, last_corner long, even_mm long")

@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .glb import few_plans
+
 #: What an archive leaves out, wherever it stands in a path.
 EXCLUDED = ("__pycache__", ".pyc", ".pyo", ".DS_Store")
 
@@ -87,15 +91,25 @@ def export_kind(path: str) -> str:
     return kind
 
 
+def write_obj(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in few_plans(batches):
+        texts = []
+        for objects in batch.columns[1].to_pylist():
+            out, before = [], 1
+            for o in objects:
+                out.append(f"o {o['name']}")
+                out += ["v %.6f %.6f %.6f" % (p["x"], p["y"], p["z"]) for p in o["vertices"]]
+                out += ["f " + " ".join([str(i + before) for i in face]) for face in o["faces"]]
+                before += len(o["vertices"])
+            texts.append("\n".join(out) + "\n")
+        yield pa.RecordBatch.from_arrays([batch.columns[0], pa.array(texts, pa.string())], names=["plan_id", "obj"])
+
+
 def obj_text(objects: DataFrame) -> DataFrame:
-    """(plan_id, obj): a mesh text of each plan's objects that have faces; vertex numbers run through a plan."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("plan_id").orderBy("type", "source_index")
-    o = objects.where(F.size("faces") > 0).withColumn("n", F.size("vertices"))
-    o = o.withColumn("before", F.sum("n").over(w) - F.col("n")).withColumn("k", F.row_number().over(w))
-    v = F.transform("vertices", lambda p: F.format_string("v %.6f %.6f %.6f", p["x"], p["y"], p["z"]))
-    f = F.transform("faces", lambda face: F.concat(F.lit("f "), F.array_join(F.transform(face, lambda i: (i + 1 + F.col("before")).cast("string")), " ")))
-    text = F.concat(F.lit("o "), F.col("name"), F.lit("\n"), F.array_join(v, "\n"), F.lit("\n"), F.array_join(f, "\n"))
-    rows = o.select("plan_id", F.struct("k", text.alias("t")).alias("r")).groupBy("plan_id").agg(F.array_sort(F.collect_list("r")).alias("r"))
-    return rows.select("plan_id", F.concat(F.array_join(F.transform("r", lambda x: x["t"]), "\n"), F.lit("\n")).alias("obj"))
+    """(plan_id, obj): a mesh text of each plan's objects that have faces; vertex numbers run through a plan.
+
+    A plan's objects meet in one row, and its text is written there, so nothing is numbered across rows.
+    """
+    o = objects.where(F.size("faces") > 0).select("plan_id", F.struct("type", "source_index", "name", "vertices", "faces").alias("o"))
+    by_plan = o.groupBy("plan_id").agg(F.sort_array(F.collect_list("o")).alias("o"))
+    return by_plan.mapInArrow(write_obj, f"plan_id {objects.schema['plan_id'].dataType.simpleString()}, obj string")

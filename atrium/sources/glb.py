@@ -61,8 +61,19 @@ def glb(objects: list[tuple[str, str, str | None, np.ndarray, np.ndarray, np.nda
     return struct.pack("<III", MAGIC, VERSION, 12 + len(chunks)) + chunks
 
 
-def write_glb(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+#: Plans that are made into files, or read, together: a batch of Spark's may hold thousands, whose files would all stand in memory.
+PLANS = 128
+
+
+def few_plans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of batches, copied out a few plans at a time."""
     for batch in batches:
+        for k in range(0, batch.num_rows, PLANS):
+            yield batch.take(pa.array(range(k, min(k + PLANS, batch.num_rows)), pa.int64()))
+
+
+def write_glb(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in few_plans(batches):
         plans, lists = batch.columns
         o = lists.values
         name, kind, text = (o.field(k).to_pylist() for k in ("name", "type", "text"))
@@ -88,7 +99,7 @@ def glb_files(objects: DataFrame) -> DataFrame:
     Concave faces are cut into triangles by ear clipping. A plan's objects meet in one row; plans are many.
     """
     o = objects.select("plan_id", F.struct("type", "source_index", "name", "text", "vertices", "faces").alias("o"))
-    by_plan = o.groupBy("plan_id").agg(F.array_sort(F.collect_list("o")).alias("objects"))
+    by_plan = o.groupBy("plan_id").agg(F.sort_array(F.collect_list("o")).alias("objects"))
     return by_plan.mapInArrow(write_glb, f"plan_id {objects.schema['plan_id'].dataType.simpleString()}, glb binary")
 
 
@@ -119,7 +130,7 @@ def read_glb(files: DataFrame) -> DataFrame:
     """(plan_id, name, type, text, n_vertices, n_triangles, area) of the nodes of (plan_id, glb)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in few_plans(batches):
             rows = []
             for plan, data in zip(batch.columns[0], batch.columns[1].to_pylist(), strict=True):
                 for name, kind, text, n, t in parts(data):
