@@ -50,21 +50,63 @@ def is_ear(p: np.ndarray, i: int, turn: np.ndarray, tiny: float) -> bool:
     return not inside.any()
 
 
-def triangles(points: np.ndarray, corners: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """(n, 3) corners of the triangles of faces; face i has corners[starts[i]:starts[i + 1]], places in points.
+def clip_few(x: list[float], y: list[float]) -> list[tuple[int, int, int]]:
+    """clip_ears() of a ring of few corners, by plain numbers; the same steps."""
+    left, out = list(range(len(x))), []
+    tiny = 1e-10 * max(max(x) - min(x), max(y) - min(y)) ** 2
+
+    def side(u: int, v: int, k: int) -> float:
+        return (x[v] - x[u]) * (y[k] - y[u]) - (y[v] - y[u]) * (x[k] - x[u])
+
+    def ear(a: int, b: int, c: int, turn: float) -> bool:
+        if turn <= tiny:
+            return (x[b] - x[a]) * (x[c] - x[b]) + (y[b] - y[a]) * (y[c] - y[b]) >= 0
+        own = {(x[k], y[k]) for k in (a, b, c)}
+        return not any(side(a, b, k) >= -tiny and side(b, c, k) >= -tiny and side(c, a, k) >= -tiny and (x[k], y[k]) not in own for k in left)
+
+    while len(left) > 3:
+        n = len(left)
+        corner = [(left[i - 1], left[i], left[(i + 1) % n]) for i in range(n)]
+        turns = [(x[b] - x[a]) * (y[c] - y[b]) - (y[b] - y[a]) * (x[c] - x[b]) for a, b, c in corner]
+        at = next((i for i in range(n) if turns[i] >= -tiny and ear(*corner[i], turns[i])), None)
+        at = turns.index(max(turns)) if at is None else at
+        out.append(corner[at])
+        left.pop(at)
+    return [*out, tuple(left)]
+
+
+#: Rings of up to so many corners are cut by plain numbers, larger ones by arrays.
+FEW = 16
+
+
+def owned_triangles(points: np.ndarray, corners: np.ndarray, starts: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(n, 3) corners of the triangles of faces, and the owner of each, in order of owners; face i has
+    corners[starts[i]:starts[i + 1]], places in points.
 
     Convex faces of four corners, which walls consist of, are cut together; all others one by one.
     """
     sizes = np.diff(starts)
-    out = [np.zeros((0, 3), np.int64)]
-    four = corners[starts[:-1][sizes == 4][:, None] + np.arange(4)] if (sizes == 4).any() else np.zeros((0, 4), np.int64)
+    quad = np.flatnonzero(sizes == 4)
+    four = corners[starts[:-1][quad][:, None] + np.arange(4)]
     p = points[four]
     side = np.roll(p, -1, axis=1) - p
     up = np.cross(p[:, 2] - p[:, 0], p[:, 3] - p[:, 1])
     convex = (np.einsum("nkx,nx->nk", np.cross(np.roll(side, 1, axis=1), side), up) >= 0).all(axis=1)
-    out += [four[convex][:, [0, 1, 2]], four[convex][:, [0, 2, 3]]]
-    rest = [*four[~convex], *[corners[starts[i] : starts[i + 1]] for i in np.flatnonzero((sizes != 4) & (sizes >= 3))]]
-    for face in rest:
-        cut = clip_ears(flattened(points[face])) if len(face) > 3 else [(0, 1, 2)]
-        out.append(np.asarray(face)[np.array(cut, np.int64)])
-    return np.concatenate(out)
+    out = [four[convex][:, [0, 1, 2]], four[convex][:, [0, 2, 3]]]
+    whose = [owner[quad[convex]]] * 2
+    for i in [*quad[~convex], *np.flatnonzero((sizes != 4) & (sizes >= 3))]:
+        face = corners[starts[i] : starts[i + 1]]
+        cut = [(0, 1, 2)]
+        if len(face) > 3:
+            flat = flattened(points[face])
+            cut = clip_few(*flat.T.tolist()) if len(face) <= FEW else clip_ears(flat)
+        out.append(face[np.array(cut, np.int64)])
+        whose.append(np.full(len(cut), owner[i]))
+    tri, whose = np.concatenate(out), np.concatenate(whose)
+    order = np.argsort(whose, kind="stable")
+    return tri[order], whose[order]
+
+
+def triangles(points: np.ndarray, corners: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """(n, 3) corners of the triangles of faces of one owner."""
+    return owned_triangles(points, np.asarray(corners, np.int64), np.asarray(starts, np.int64), np.zeros(len(starts) - 1, np.int64))[0]

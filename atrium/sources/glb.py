@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.triangles import triangles
+from ..functions.triangles import owned_triangles
 from ..model import MATERIALS
 
 #: Fixed values of the format.
@@ -24,8 +24,8 @@ def upright(points: np.ndarray) -> np.ndarray:
     return np.stack((points[:, 0], points[:, 2], -points[:, 1]), axis=1).astype("<f4")
 
 
-def glb(objects: list[tuple[str, str, str | None, np.ndarray, np.ndarray, np.ndarray]]) -> bytes:
-    """A file of objects (name, type, text, points, corners, starts of faces). What has no faces is a node at its first point."""
+def glb(objects: list[tuple[str, str, str | None, np.ndarray, np.ndarray]]) -> bytes:
+    """A file of objects (name, type, text, points with y up, triangles). What has no faces is a node at its first point."""
     nodes, meshes, accessors, views, parts, size = [], [], [], [], [], 0
     kinds = [k for k in MATERIALS if any(o[1] == k for o in objects)]
 
@@ -36,10 +36,8 @@ def glb(objects: list[tuple[str, str, str | None, np.ndarray, np.ndarray, np.nda
         size += len(data)
         return len(views) - 1
 
-    for name, kind, text, points, corners, starts in objects:
+    for name, kind, text, at, tri in objects:
         node = {"name": name, "extras": {"type": kind} | ({} if text is None else {"text": text})}
-        at = upright(points)
-        tri = triangles(points, corners, starts)
         if len(tri):
             accessors.append({"bufferView": view(at.tobytes(), ARRAY_TARGET), "componentType": FLOATS, "count": len(at), "type": "VEC3", "min": at.min(axis=0).tolist(), "max": at.max(axis=0).tolist()})
             accessors.append({"bufferView": view(tri.astype("<u4").tobytes(), ELEMENT_TARGET), "componentType": INTEGERS, "count": tri.size, "type": "SCALAR"})
@@ -79,17 +77,18 @@ def write_glb(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, kind, text = (o.field(k).to_pylist() for k in ("name", "type", "text"))
         vertices, rings = o.field("vertices"), o.field("faces")
         points = np.stack([np.asarray(vertices.values.field(k)) for k in "xyz"], axis=1) if len(vertices.values) else np.zeros((0, 3))
-        v_at, f_at, c_at, corners = np.asarray(vertices.offsets), np.asarray(rings.offsets), np.asarray(rings.values.offsets), np.asarray(rings.values.values)
+        v_at, f_at, c_at, corners = (np.asarray(x).astype(np.int64) for x in (vertices.offsets, rings.offsets, rings.values.offsets, rings.values.values))
+        # The triangles of all plans of the batch are made together.
+        owner = np.repeat(np.arange(len(o)), np.diff(f_at))
+        base = v_at[:-1][np.repeat(owner, np.diff(c_at))]
+        tri, whose = owned_triangles(points, corners + base, c_at, owner)
+        tri = (tri - v_at[:-1][whose][:, None]).astype("<u4")
+        t_at, up = np.searchsorted(whose, np.arange(len(o) + 1)), upright(points)
         at = np.asarray(lists.offsets)
         out = []
         for r in range(len(plans)):
-            objects = []
-            for i in range(at[r], at[r + 1]):
-                starts = c_at[f_at[i] : f_at[i + 1] + 1]
-                lo = starts[0] if len(starts) > 1 else 0
-                own = corners[lo : starts[-1]] if len(starts) > 1 else corners[:0]
-                objects.append((name[i], kind[i], text[i], points[v_at[i] : v_at[i + 1]], own, starts - lo if len(starts) > 1 else np.zeros(1, np.int64)))
-            out.append(glb(objects))
+            own = range(at[r], at[r + 1])
+            out.append(glb([(name[i], kind[i], text[i], up[v_at[i] : v_at[i + 1]], tri[t_at[i] : t_at[i + 1]]) for i in own]))
         yield pa.RecordBatch.from_arrays([plans, pa.array(out, pa.binary())], names=["plan_id", "glb"])
 
 
@@ -103,6 +102,9 @@ def glb_files(objects: DataFrame) -> DataFrame:
     return by_plan.mapInArrow(write_glb, f"plan_id {objects.schema['plan_id'].dataType.simpleString()}, glb binary")
 
 
+NOTHING = np.zeros((0, 3)), np.zeros((0, 3), np.int64)
+
+
 def parts(data: bytes) -> list[tuple[str, str, str | None, int, np.ndarray]]:
     """(name, type, text, number of points, corners of the triangles as (n, 3, 3)) of a file's nodes, by its own accessors."""
     magic, version, size = struct.unpack_from("<III", data)
@@ -118,7 +120,7 @@ def parts(data: bytes) -> list[tuple[str, str, str | None, int, np.ndarray]]:
 
     out = []
     for n in head.get("nodes", []):
-        points, tri = np.zeros((0, 3)), np.zeros((0, 3), np.int64)
+        points, tri = NOTHING
         if "mesh" in n:
             p = head["meshes"][n["mesh"]]["primitives"][0]
             points, tri = read(p["attributes"]["POSITION"]).reshape(-1, 3).astype(np.float64), read(p["indices"]).reshape(-1, 3)
@@ -131,11 +133,15 @@ def read_glb(files: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in few_plans(batches):
-            rows = []
-            for plan, data in zip(batch.columns[0], batch.columns[1].to_pylist(), strict=True):
+            rows, found = [], [np.zeros((0, 3, 3))]
+            for plan, data in zip(batch.columns[0].to_pylist(), batch.columns[1].to_pylist(), strict=True):
                 for name, kind, text, n, t in parts(data):
-                    area = float(np.linalg.norm(np.cross(t[:, 1] - t[:, 0], t[:, 2] - t[:, 0]), axis=1).sum() / 2) if len(t) else 0.0
-                    rows.append((plan.as_py(), name, kind, text, n, len(t), area))
+                    rows.append((plan, name, kind, text, n, len(t)))
+                    found.append(t)
+            t = np.concatenate(found)
+            sizes = np.linalg.norm(np.cross(t[:, 1] - t[:, 0], t[:, 2] - t[:, 0]), axis=1) / 2
+            area = np.bincount(np.repeat(np.arange(len(rows)), [r[-1] for r in rows]), sizes, len(rows)) if rows else []
+            rows = [(*r, float(a)) for r, a in zip(rows, area, strict=True)]
             cols = list(zip(*rows, strict=True)) or [()] * 7
             kinds = [batch.schema.field(0).type, pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.float64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["plan_id", "name", "type", "text", "n_vertices", "n_triangles", "area"])
