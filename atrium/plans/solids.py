@@ -75,8 +75,7 @@ def p15_rejected_rooms(spark, sf_dir):
 
 @query(WITH + BENT + " select plan_id, type, count(*) as n, count(reason) as n_faulty from fault, (select unnest(['floor', 'ceiling']) as type) where coalesce(reason, '') not in ('few points', 'bad point', 'no area') group by plan_id, type")
 def p16_faces_made(spark, sf_dir):
-    bent = bent_rooms(spark, sf_dir)
-    made = scene.slabs(bent, "floor").unionByName(scene.slabs(bent, "ceiling"))
+    made = scene.slabs(bent_rooms(spark, sf_dir), ("floor", "ceiling"))
     return made.groupBy("plan_id", "type").agg(F.count("*").alias("n"), F.count("fault").alias("n_faulty"))
 
 
@@ -112,8 +111,7 @@ def cornered(spark, sf_dir):
     a, b, c, d = (F.get("polygon", F.lit(i)) for i in range(4))
     mid_x, mid_y = (x(a) + x(b)) / 2.0, (y(b) + y(c)) / 2.0
     bent = F.array(a, b, F.array(x(b), mid_y), F.array(mid_x, mid_y), F.array(mid_x, y(c)), d)
-    rooms = room_polygons(spark, sf_dir)
-    return document_rows(spark, sf_dir, rooms=rooms.withColumn("polygon", F.when(F.col("room_index") % 2 == 1, bent).otherwise(F.col("polygon"))))
+    return document_rows(spark, sf_dir, polygon=F.when(F.col("room_index") % 2 == 1, bent).otherwise(F.col("polygon")))
 
 
 WHOLE = f""", s as (select plan_id, count(*) as n_walls from w where {length_sql()} >= 1e-6 group by plan_id),
