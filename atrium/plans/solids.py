@@ -82,7 +82,8 @@ def p16_faces_made(spark, sf_dir):
 @query(WITH + f", z as (select plan_id, ord, row_number() over (partition by plan_id order by ord) - 1 as i from m where cls_id = 3) select plan_id, 'Wall_' || wall_index as name from w where {length_sql()} >= 1e-6 union all select plan_id, k || '_room_' || (ord % 3) || '_' || i from z, (select unnest(['Floor', 'Ceiling', 'Label']) as k)")
 def c1_object_names(spark, sf_dir):
     """Names of a scene's objects, where several rooms of a plan have one label."""
-    d = document_rows(spark, sf_dir, label=F.concat(F.lit("room_"), F.col("room_index") % 3))
+    # Dealt out, so that the parts of the scene read the documents from one shuffle and don't each make them again.
+    d = document_rows(spark, sf_dir, label=F.concat(F.lit("room_"), F.col("room_index") % 3)).repartition("plan_id", "doc")
     return scene.build_scene(plans.parse_plans(d, "plan_id", "doc"), with_ceiling=True).select("plan_id", "name")
 
 
